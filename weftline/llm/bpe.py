@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import SPACE, text_chunks
 
-#: Distinct fragments that a worker remembers, and as many of the time before (this affects speed alone).
-MEMO = 250_000
+#: Distinct fragments that a worker remembers: those seen twice, and those seen of late (this affects speed alone).
+MEMO, RECENT = 500_000, 150_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -82,7 +82,7 @@ class FragmentEncoder:
         vocab = self.tokenizer.get_vocab()
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = cut_table([*vocab], "</w>", specials).reshape(-1)
-        self.keep, self.memo, self.older = keep, {}, {}
+        self.keep, self.memo, self.recent = keep, {}, {}
 
     def fragments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], list[int]]:
         """The fragments of a chunk that hold no white space, and for each row the number of them before it."""
@@ -102,14 +102,17 @@ class FragmentEncoder:
         pieces, where = self.fragments(data, offsets)
         found = [*map(self.memo.get, pieces)]
         if None in found:
-            if len(self.memo) > MEMO:
-                self.memo, self.older = {}, self.memo
             missing = {f for f, x in zip(pieces, found, strict=True) if x is None}
-            known = {f: x for f in missing if (x := self.older.get(f)) is not None}
-            new = [*missing.difference(known)]
-            if new:
-                known |= zip(new, map(self.keep, self.tokenizer.encode_batch_fast([f.decode() for f in new], add_special_tokens=False)), strict=True)
-            self.memo |= known
+            known = {f: x for f in missing if (x := self.recent.get(f)) is not None}
+            if len(self.memo) > MEMO:
+                self.memo = {}
+            self.memo |= known  # seen twice of late
+            if new := [*missing.difference(known)]:
+                fresh = dict(zip(new, map(self.keep, self.tokenizer.encode_batch_fast([f.decode() for f in new], add_special_tokens=False)), strict=True))
+                known |= fresh
+                if len(self.recent) > RECENT:
+                    self.recent = {}
+                self.recent |= fresh
             found = [known[f] if x is None else x for f, x in zip(pieces, found, strict=True)]
         for i, j in zip(where, where[1:], strict=False):
             yield found[i:j]

@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .chat import op10_chat
+from .mixing import OP8_SQL, op8_poisson_mix
+from .rans import op2_rans
 
 QUERIES = {
+    "op2_rans": op2_rans,
     "op6_bpe": op6_bpe,
+    "op8_poisson_mix": op8_poisson_mix,
+    "op10_chat": op10_chat,
+}
+ORACLE: dict[str, str] = {
+    "op8_poisson_mix": OP8_SQL,
 }
-ORACLE: dict[str, str] = {}
