@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .chat import op10_chat
+from .jaccard import op3_ngram_join
 from .mixing import OP8_SQL, op8_poisson_mix
 from .rans import op2_rans
 
 QUERIES = {
     "op2_rans": op2_rans,
+    "op3_ngram_join": op3_ngram_join,
     "op6_bpe": op6_bpe,
     "op8_poisson_mix": op8_poisson_mix,
     "op10_chat": op10_chat,
