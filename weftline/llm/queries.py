@@ -6,9 +6,11 @@ from .bpe import op6_bpe
 from .chat import op10_chat
 from .jaccard import op3_ngram_join
 from .mixing import OP8_SQL, op8_poisson_mix
+from .quality import op1_quality_rules
 from .rans import op2_rans
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_rans": op2_rans,
     "op3_ngram_join": op3_ngram_join,
     "op6_bpe": op6_bpe,
