@@ -8,15 +8,18 @@ from .jaccard import op3_ngram_join
 from .mixing import OP8_SQL, op8_poisson_mix
 from .quality import op1_quality_rules
 from .rans import op2_rans
+from .simhash import op7_simhash
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_rans": op2_rans,
     "op3_ngram_join": op3_ngram_join,
     "op6_bpe": op6_bpe,
+    "op7_simhash": op7_simhash,
     "op8_poisson_mix": op8_poisson_mix,
     "op10_chat": op10_chat,
 }
 ORACLE: dict[str, str] = {
+    "op7_simhash": op7_simhash,
     "op8_poisson_mix": OP8_SQL,
 }
