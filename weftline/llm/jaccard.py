@@ -8,9 +8,15 @@ the cheapest segment that two sets share is left out by neither. Empty segments
 small sets may instead use fewer segments with one-deletion neighbourhoods, each of which stands for two segments; a
 cost model chooses. A set is also indexed in the band below its own where a partner can lie there.
 
-Sets that are equal are joined first and only one of each class goes on. All that share an index entry are paired with
-the entry's least id and verified on their whole texts; sets in one component need no more comparisons, and those left
-in entries with several components are compared across components, so no link between components is lost.
+Each set is indexed by a few segments more than it must (SPARE of its band's least size). Once the entries' true sizes
+are known, a set may leave that many of its most crowded entries, by the same argument; so passages that many documents
+share make no crowded entries. An entry of at most FEW sets gives their pairs. In a larger one, each set is paired with
+the entry's least id; sets in one component then need no more comparisons, and those of several components in one entry
+are compared across components, so no link between components is lost.
+
+Pairs are first compared by parity sketches (each shingle flips one bit, so sketches never differ in more bits than the
+sets in shingles), then verified exactly on whole texts. Sets that are equal are joined at the start, and only one of
+each class goes on.
 
 Null or wordless texts have empty sets and no links. Null ids: the row is returned with a null component. Rows that
 repeat an id count as one document (its texts' links are pooled). Other columns are not read.
@@ -23,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, materialise, mix, text_chunks, word_hashes, word_spans
@@ -31,7 +37,9 @@ from .graph import components
 
 WORDS, PERCENT = 5, 75
 #: Contents whose counts the cost order knows (the most frequent ones; others count as rare), and the least count that a worker reports.
-HOT_CONTENTS, HOT_LEAST = 65_536, 8
+HOT_CONTENTS, HOT_LEAST = 65_536, 4
+#: Up to so many sets of an entry are paired directly; a set's spare segments are its band's least size over SPARE.
+FEW, SPARE = 8, 6
 #: An index entry with more sets than this is split over several tasks.
 SPLIT_ROWS = 100_000
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -65,6 +73,10 @@ def most_different(a, b, percent: int):
     return ((a + b) * (100 - percent)) // (100 + percent)
 
 
+def spare(band: int) -> int:
+    return (1 << band) // SPARE
+
+
 @functools.cache
 def band_plan(band: int, percent: int) -> tuple[int, bool]:
     """(segments, whether each has its one-deletion neighbourhood) of the sets of 2**band to 2**(band + 1) - 1 shingles.
@@ -72,7 +84,7 @@ def band_plan(band: int, percent: int) -> tuple[int, bool]:
     The estimated cost is the entries of a set, and a fine for sets that have too few segments that aren't empty.
     """
     low, high = 1 << band, (2 << band) - 1
-    need = lambda n: most_different(n, n * 100 // percent, percent) + 1
+    need = lambda n: most_different(n, n * 100 // percent, percent) + 1 + spare(band)
 
     def cost(m: int, n: int) -> float:
         p = (1 - 1 / m) ** n if m > 1 else 0.0
@@ -80,7 +92,7 @@ def band_plan(band: int, percent: int) -> tuple[int, bool]:
         return need(n) + 20 * n * 0.5 * math.erfc((mean - need(n) + 0.5) / sd / math.sqrt(2))
 
     plans = [(max(cost(m, low), cost(m, high)), m, False) for m in {max(need(high), math.ceil(need(high) * x / 8)) for x in range(8, 33)}]
-    m = -(-need(high) // 2)
+    m = -(-(need(high) - spare(band)) // 2)
     plans.append((m + high, m, True))
     return min(plans)[1:]
 
@@ -102,16 +114,18 @@ class Index:
         sizes = np.array([len(x) for x in sets], np.int64)
         own = np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)
         below = (sizes > 1) & (-(-sizes * self.percent // 100) < (1 << own))
-        outs = []
+        outs, bands = [], []
         for which, band, partner in ((sizes > 0, own, sizes * 100 // self.percent), (below, own - 1, (1 << own) - 1)):
             for b in np.unique(band[which]).tolist():
                 some = np.flatnonzero(which & (band == b))
-                need = most_different(sizes[some], partner[some], self.percent) + 1
+                need = most_different(sizes[some], partner[some], self.percent) + 1 + spare(b)
                 rows, sig = self._band([sets[i] for i in some], need, b, all_segments)
                 outs.append((some[rows], sig))
+                bands.append(b)
         if not outs:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return np.concatenate([r for r, _ in outs]), np.concatenate([s for _, s in outs])
+        # The last six bits of an entry are its band.
+        return np.concatenate([r for r, _ in outs]), np.concatenate([(s & ~np.uint64(63)) | np.uint64(b) for (_, s), b in zip(outs, bands, strict=True)])
 
     def _band(self, sets: list[np.ndarray], need: np.ndarray, band: int, all_segments: bool) -> tuple[np.ndarray, np.ndarray]:
         m, deletions = band_plan(band, self.percent)
@@ -136,7 +150,8 @@ class Index:
         sig = mix(content + name(seg_of))
         if all_segments:
             return row_of, sig
-        hot = np.minimum(np.ceil(np.log2(self.counts(sig) + 1)), 255).astype(np.uint64)
+        known = self.counts((sig & ~np.uint64(63)) | np.uint64(band))
+        hot = np.minimum(np.ceil(np.log2(known + 1)), 255).astype(np.uint64)
         cost = (hot << np.uint64(56)) | ((np.uint64(255) - np.minimum(size, 255).astype(np.uint64)) << np.uint64(48)) | (sig >> np.uint64(16))
         keep = np.ones(len(sig), bool)
         bounds = np.searchsorted(row_of, np.arange(len(sets) + 1)).tolist()
@@ -160,8 +175,21 @@ def _rows(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of the shingles in each of at least twice as many bits (a power of two, 64 at least)."""
+    size = 1 << max(6, int(2 * len(h) - 1).bit_length() if len(h) else 6)
+    return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def sketches_differ(a: bytes, b: bytes) -> int:
+    """A lower bound of the shingles in which two sets differ."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, min(len(x), len(y))), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """kind 0: id, set size and 128-bit set hash of each row; kind 1: contents that a worker saw often (n times)."""
+    """kind 0: id, set size, 128-bit set hash and sketch of each row; kind 1: contents that a worker saw often (n times)."""
 
     def run(batches):
         index, seen, held = Index(percent), [], 0
@@ -169,7 +197,7 @@ def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
         def report():
             sig, n = np.unique(np.concatenate(seen), return_counts=True)
             sig, n = sig[n >= HOT_LEAST], n[n >= HOT_LEAST]
-            return _rows([pa.array([1] * len(n), pa.int32()), pa.nulls(len(n), pa.int64()), pa.array(n, pa.int64()), _long(sig), pa.array([0] * len(n), pa.int64())], ["kind", "id", "n", "h1", "h2"])
+            return _rows([pa.array([1] * len(n), pa.int32()), pa.nulls(len(n), pa.int64()), pa.array(n, pa.int64()), _long(sig), pa.array([0] * len(n), pa.int64()), pa.nulls(len(n), pa.binary())], ["kind", "id", "n", "h1", "h2", "sketch"])
 
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch):
@@ -177,7 +205,7 @@ def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 n = np.array([len(x) for x in sets], np.int64)
                 h1 = np.array([np.add.reduce(x) if len(x) else 0 for x in sets], np.uint64)
                 h2 = np.array([np.add.reduce(mix(x)) if len(x) else 0 for x in sets], np.uint64)
-                yield _rows([pa.array([0] * len(n), pa.int32()), batch.column("id").slice(i, j - i), pa.array(n), _long(h1), _long(h2)], ["kind", "id", "n", "h1", "h2"])
+                yield _rows([pa.array([0] * len(n), pa.int32()), batch.column("id").slice(i, j - i), pa.array(n), _long(h1), _long(h2), pa.array([sketch(x) for x in sets], pa.binary())], ["kind", "id", "n", "h1", "h2", "sketch"])
                 seen.append(index.entries(sets, all_segments=True)[1])
                 held += len(seen[-1])
                 if held > 2_000_000:
@@ -186,67 +214,104 @@ def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
         if held:
             yield report()
 
-    return docs.mapInArrow(run, "kind int, id long, n long, h1 long, h2 long")
+    return docs.mapInArrow(run, "kind int, id long, n long, h1 long, h2 long, sketch binary")
 
 
-def _entries(docs: DataFrame, words: int, percent: int, hot, extra: str | None = None) -> DataFrame:
-    """(sig, salt, id[, extra]) index entries; a very frequent content is split by salt unless extra is given."""
+def _entries(docs: DataFrame, words: int, percent: int, hot) -> DataFrame:
+    """(sig, salt, id) index entries; a very frequent content is split by salt."""
 
     def run(batches):
         index = Index(percent, hot)
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            more = batch.column(extra).to_numpy(zero_copy_only=False) if extra else None
             for i, j, data, offsets in text_chunks(batch):
                 row, sig = index.entries(shingle_sets(data, offsets, words))
                 own = ids[i:j][row].astype(np.int64)
                 parts = index.counts(sig) // SPLIT_ROWS
-                salt = np.where(parts > 0, 1 + (mix(own.view(np.uint64)) % (parts + 1).astype(np.uint64)).astype(np.int64), 0) if not extra else np.zeros(len(sig), np.int64)
-                columns, names = [_long(sig), pa.array(salt.astype(np.int32)), pa.array(own)], ["sig", "salt", "id"]
-                if extra:
-                    columns, names = [*columns, pa.array(more[i:j][row].astype(np.int64))], [*names, extra]
-                yield _rows(columns, names)
+                salt = np.where(parts > 0, 1 + (mix(own.view(np.uint64)) % (parts + 1).astype(np.uint64)).astype(np.int64), 0)
+                yield _rows([_long(sig), pa.array(salt.astype(np.int32)), pa.array(own)], ["sig", "salt", "id"])
 
-    return docs.mapInArrow(run, "sig long, salt int, id long" + (f", {extra} long" if extra else ""))
+    return docs.mapInArrow(run, "sig long, salt int, id long")
 
 
-def _stars(entries: DataFrame) -> DataFrame:
-    """(x, r): each id of an entry with the entry's least id; (r null, sig): the least id of a part of a split entry."""
+def _grouped(entries: DataFrame, few: int) -> DataFrame:
+    """What entries give, by kind: 0 a pair (a, b) of one with at most `few` sets, 1 a set (a) and its larger entry (b).
+
+    With few = 0, instead: 0 each set of an entry with the entry's least id, 2 the least id (a) of a part (b) of a split entry.
+    """
 
     def run(batches):
-        last = None  # sig, salt and least id of the run that the batch before has left open
-        xs, rs, held = [], [], 0
+        last = None  # sig, salt, least id and held ids of the run that the batch before has left open
+        held: list[np.ndarray] = []
+        n_held = 0
 
         def flush():
-            p = np.unique(np.stack([np.concatenate(xs), np.concatenate(rs)], 1), axis=0)
-            return _rows([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.int64())], ["x", "r", "sig"])
-
+            rows = np.unique(np.concatenate(held), axis=0)
+            return _rows([pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1]), pa.array(rows[:, 2])], ["kind", "a", "b"])
+
+        def keep(kind, a, b):
+            nonlocal n_held
+            held.append(np.stack([np.broadcast_to(np.int64(kind), np.shape(a)), a, np.broadcast_to(np.int64(b), np.shape(a)) if np.ndim(b) == 0 else b], 1))
+            n_held += len(a)
+
+        def small(sig, ids):
+            """Runs that are complete: those with at most `few` ids, and the others."""
+            new = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            size = np.diff(np.append(new, len(sig)))
+            each = np.repeat(size, size)
+            large = each > few
+            if large.any():
+                keep(1, ids[large], sig[large])
+            for n in range(2, few + 1):
+                at = new[size == n]
+                for i in range(n if len(at) else 0):
+                    for j in range(i + 1, n):
+                        a, b = np.maximum(ids[at + i], ids[at + j]), np.minimum(ids[at + i], ids[at + j])
+                        keep(0, a[a != b], b[a != b])
+
+        rest_sig, rest_ids, long_run = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig, salt, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "salt", "id"))
-            new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
-            begin = np.flatnonzero(new)
-            least = ids[begin].copy()
-            if last is not None and (sig[0], salt[0]) == last[:2]:
-                least[0], new[0] = last[2], False
-            rep = least[np.cumsum(np.concatenate([[0], new[1:]])).astype(np.int64)]
-            last = (sig[-1], salt[-1], rep[-1])
-            other = rep != ids
-            xs.append(ids[other])
-            rs.append(rep[other])
-            held += len(xs[-1])
-            part = new & (salt > 0)
-            if part.any():
-                yield _rows([pa.array(ids[part]), pa.nulls(int(part.sum()), pa.int64()), pa.array(sig[part])], ["x", "r", "sig"])
-            if held > 500_000:
+            if few:
+                if (salt > 0).any():  # split entries are large, whatever their parts hold
+                    keep(1, ids[salt > 0], sig[salt > 0])
+                    sig, ids = sig[salt == 0], ids[salt == 0]
+                if long_run is not None:  # a run that is large already goes on
+                    k = int((sig != long_run).argmax()) if (sig != long_run).any() else len(sig)
+                    keep(1, ids[:k], long_run)
+                    sig, ids = sig[k:], ids[k:]
+                    if len(sig):
+                        long_run = None
+                if len(sig):
+                    sig, ids = np.concatenate([rest_sig, sig]), np.concatenate([rest_ids, ids])
+                    k = int(np.flatnonzero(sig == sig[-1])[0])
+                    small(sig[:k], ids[:k])
+                    rest_sig, rest_ids = sig[k:], ids[k:]
+                    if len(rest_sig) > few:
+                        keep(1, rest_ids, rest_sig[0])
+                        long_run, rest_sig, rest_ids = rest_sig[0], rest_sig[:0], rest_ids[:0]
+            else:
+                new = np.ones(len(sig), bool)
+                new[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
+                least = ids[new].copy()
+                if last is not None and (sig[0], salt[0]) == last[:2]:
+                    least[0], new[0] = last[2], False
+                rep = least[np.cumsum(np.concatenate([[0], new[1:]])).astype(np.int64)]
+                last = (sig[-1], salt[-1], rep[-1])
+                other, part = rep != ids, new & (salt > 0)
+                keep(0, ids[other], rep[other])
+                keep(2, ids[part], sig[part])
+            if n_held > 500_000:
                 yield flush()
-                xs, rs, held = [], [], 0
-        if held:
+                held, n_held = [], 0
+        if few and len(rest_sig):
+            small(rest_sig, rest_ids)
+        if n_held:
             yield flush()
 
-    return entries.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "id").mapInArrow(run, "x long, r long, sig long")
+    return entries.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "id").mapInArrow(run, "kind int, a long, b long")
 
 
 def _across(entries: DataFrame) -> DataFrame:
@@ -286,8 +351,24 @@ def _only(docs: DataFrame, ids: DataFrame, n: int, how: str = "left_semi") -> Da
     return docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "id", how)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, r) whose sizes and sketches leave it open that they are similar."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = pairs.join(side("x"), "x").join(side("r"), "r").filter(f"100 * least(nx, nr) >= {percent} * greatest(nx, nr)")
+
+    def run(batches):
+        for batch in batches:
+            d = [sketches_differ(a, b) for a, b in zip(batch.column("sx").to_pylist(), batch.column("sr").to_pylist(), strict=True)]
+            most = most_different(batch.column("nx").to_numpy(), batch.column("nr").to_numpy(), percent)
+            ok = pa.array(np.array(d, np.int64) <= most)
+            yield _rows([batch.column("x").filter(ok), batch.column("r").filter(ok)], ["x", "r"])
+
+    return both.select("x", "r", "nx", "nr", "sx", "sr").mapInArrow(run, "x long, r long").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (x, r) whose whole texts are similar enough."""
+    pairs = materialise(_alike(pairs, sets, percent), "alike")
     ids = pairs.select(F.explode(F.array("x", "r")).alias("id")).distinct()
     some = _only(docs, ids, ids.count())
     both = pairs.join(some.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x").join(some.select(F.col("id").alias("r"), F.col("text").alias("tr")), "r")
@@ -320,6 +401,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     found = materialise(_described(docs, words, percent), "sets")
     sets = found.filter("kind = 0").select("id", "n", "h1", "h2")
+    sketched = found.filter("kind = 0 AND n > 0").select("id", "n", "sketch")
     hot = found.filter("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h1").limit(HOT_CONTENTS).collect()
     sigs = np.array([r["h1"] for r in hot], np.int64).view(np.uint64)
     order = np.argsort(sigs)
@@ -330,24 +412,32 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     copies = member.filter("class_id <> id").select("id").distinct()
     firsts = _only(docs.filter("id IS NOT NULL"), copies, copies.count(), "left_anti")
 
-    stars = materialise(_stars(_entries(firsts, words, percent, hot)), "stars")
-    parts = stars.filter("r IS NULL").select("sig", "x")
-    tops = parts.join(parts.groupBy("sig").agg(F.min("x").alias("r")), "sig").filter("x <> r").select("x", "r")
-    pairs = materialise(stars.filter("r IS NOT NULL").select("x", "r").unionByName(tops).distinct(), "pairs")
-    links = materialise(_verified(pairs, docs, words, percent), "near")
+    grouped = materialise(_grouped(_entries(firsts, words, percent, hot), FEW), "grouped")
+    direct = grouped.filter("kind = 0").select(F.col("a").alias("x"), F.col("b").alias("r")).distinct()
+    # Each set leaves as many of its most crowded entries as its band has spare ones.
+    crowded = grouped.filter("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("sig"))
+    crowd = crowded.groupBy("sig").agg(F.count("*").alias("crowd"))
+    band = F.col("sig").bitwiseAND(F.lit(63))
+    allowed = F.array(*[F.lit(0 if band_plan(b, percent)[1] else spare(b)) for b in range(40)])
+    rank = F.row_number().over(Window.partitionBy("id", band).orderBy(F.desc("crowd"), "sig"))
+    left = crowded.join(crowd, "sig").withColumn("rank", rank).filter(F.col("rank") > F.get(allowed, band.cast("int")))
+    parts = F.floor(F.col("crowd") / SPLIT_ROWS)
+    salt = F.when(parts > 0, 1 + F.pmod(F.xxhash64("id"), parts + 1)).otherwise(0).cast("int")
+    left = materialise(left.select("sig", salt.alias("salt"), "id"), "crowded")
+    stars = materialise(_grouped(left, 0), "stars")
+    some = stars.filter("kind = 2").select(F.col("a").alias("x"), F.col("b").alias("sig"))
+    tops = some.join(some.groupBy("sig").agg(F.min("x").alias("r")), "sig").filter("x <> r").select("x", "r")
+    star_pairs = materialise(stars.filter("kind = 0").select(F.col("a").alias("x"), F.col("b").alias("r")).unionByName(tops).distinct(), "pairs")
+    links = materialise(_verified(direct.unionByName(star_pairs).distinct(), docs, sketched, words, percent), "near")
 
     reach = materialise(components(links, "x", "r"), "components")
     of = lambda c, n: reach.select(F.col("node").alias(c), F.col("component").alias(n))
-    apart = pairs.join(of("x", "cx"), "x", "left").join(of("r", "cr"), "r", "left").filter(F.coalesce("cx", "x") != F.coalesce("cr", "r"))
-    open_ids = apart.select("r").distinct()
-    more = materialise(pairs.join(open_ids, "r").select(F.explode(F.array("x", "r")).alias("id")).distinct(), "open")
-    n_more = more.count()
-    if n_more:
-        labelled = more.join(of("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-        again = docs.join(F.broadcast(labelled) if n_more <= BROADCAST_ROWS else labelled, "id")
-        rest = _across(_entries(again, words, percent, hot, "component")).join(pairs, ["x", "r"], "left_anti")
-        rest = materialise(rest, "pairs")
-        links = links.unionByName(materialise(_verified(rest, docs, words, percent), "near"))
+    apart = star_pairs.join(of("x", "cx"), "x", "left").join(of("r", "cr"), "r", "left").filter(F.coalesce("cx", "x") != F.coalesce("cr", "r"))
+    if not apart.isEmpty():
+        labelled = left.join(of("id", "component"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+        mixed = labelled.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
+        rest = _across(labelled.join(mixed, "sig", "left_semi")).join(star_pairs, ["x", "r"], "left_anti")
+        links = links.unionByName(materialise(_verified(rest, docs, sketched, words, percent), "near"))
         reach = materialise(components(links, "x", "r"), "components")
     out = member.join(of("class_id", "component"), "class_id", "left")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
