@@ -6,6 +6,7 @@ from .bpe import op6_bpe
 from .chat import op10_chat
 from .jaccard import op3_ngram_join
 from .mixing import OP8_SQL, op8_poisson_mix
+from .pii import op4_pii
 from .quality import op1_quality_rules
 from .rans import op2_rans
 from .simhash import op7_simhash
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_rans": op2_rans,
     "op3_ngram_join": op3_ngram_join,
+    "op4_pii": op4_pii,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
     "op8_poisson_mix": op8_poisson_mix,
