@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op6_bpe
 from .chat import op10_chat
 from .jaccard import op3_ngram_join
+from .lm import op5_attention_lm
 from .mixing import OP8_SQL, op8_poisson_mix
 from .pii import op4_pii
 from .quality import op1_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_rans": op2_rans,
     "op3_ngram_join": op3_ngram_join,
     "op4_pii": op4_pii,
+    "op5_attention_lm": op5_attention_lm,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
     "op8_poisson_mix": op8_poisson_mix,
