@@ -8,17 +8,23 @@ distinct fragment of a worker's stream once, by the tokenizers library) and the
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import SPACE, text_chunks
+from .common import SPACE, mix, text_chunks
 
-#: Distinct fragments that a worker remembers: those seen twice, and those seen of late (this affects speed alone).
-MEMO, RECENT = 500_000, 150_000
+#: Places for short fragments, and the fragments after which a worker starts afresh (these affect speed alone).
+SLOTS, MEMO = 1 << 20, 4_000_000
+
+
+#: Words of Latin letters that are whole in Unicode's composed form.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -69,10 +75,13 @@ def cut_table(tokens: list[str], suffix: str, specials: list[str]) -> np.ndarray
 
 
 class FragmentEncoder:
-    """Encodes texts fragment by fragment with a tokenizers file; what a fragment gives is remembered."""
+    """Encodes texts fragment by fragment with a tokenizers file; the ids of fragments are remembered.
+
+    Short fragments (to 16 bytes) are remembered in a table of fixed size, looked up for all fragments of a chunk at
+    once: two places for each, by a hash, with the whole fragment kept for comparison. Longer ones are in a dict.
+    """
 
-    def __init__(self, path: str, keep):
-        """keep: makes what is remembered of a fragment from its ids and token strings."""
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -80,64 +89,125 @@ class FragmentEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         vocab = self.tokenizer.get_vocab()
+        self.tokens = [t for t, _ in sorted(vocab.items(), key=lambda x: x[1])]
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(self.tokenizer.to_str())
+        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        self.shown = {b: c for c, b in byte_alphabet().items()}
         self.cut = cut_table([*vocab], "</w>", specials).reshape(-1)
-        self.keep, self.memo, self.recent = keep, {}, {}
+        self.forget()
 
-    def fragments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], list[int]]:
-        """The fragments of a chunk that hold no white space, and for each row the number of them before it."""
-        if len(data) > 1:
-            at = np.flatnonzero(self.cut[(data[:-1].astype(np.uint16) << 8) | data[1:]]) + 1
-        else:
-            at = np.zeros(0, np.int64)
+    def forget(self) -> None:
+        self.keys = np.zeros((3, SLOTS), np.uint64)  # first and last 8 bytes, length
+        self.value = np.zeros(SLOTS, np.int64)
+        self.long: dict[bytes, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
+        self.at, self.size, self.values = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+
+    def fragments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the fragments of a chunk that hold no white space."""
         edge = np.zeros(len(data) + 1, bool)
-        edge[at] = edge[offsets] = True
+        if len(data) > 1:
+            edge[1:-1] = self.cut[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+        edge[offsets] = True
         bounds = np.flatnonzero(edge)
-        full = ~SPACE[data[bounds[:-1]]]
-        starts, ends, raw = bounds[:-1][full], bounds[1:][full], data.tobytes()
-        return [raw[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], np.searchsorted(starts, offsets).tolist()
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[list]:
-        """What is remembered of each fragment, row by row."""
-        pieces, where = self.fragments(data, offsets)
-        found = [*map(self.memo.get, pieces)]
-        if None in found:
-            missing = {f for f, x in zip(pieces, found, strict=True) if x is None}
-            known = {f: x for f in missing if (x := self.recent.get(f)) is not None}
-            if len(self.memo) > MEMO:
-                self.memo = {}
-            self.memo |= known  # seen twice of late
-            if new := [*missing.difference(known)]:
-                fresh = dict(zip(new, map(self.keep, self.tokenizer.encode_batch_fast([f.decode() for f in new], add_special_tokens=False)), strict=True))
-                known |= fresh
-                if len(self.recent) > RECENT:
-                    self.recent = {}
-                self.recent |= fresh
-            found = [known[f] if x is None else x for f, x in zip(pieces, found, strict=True)]
-        for i, j in zip(where, where[1:], strict=False):
-            yield found[i:j]
-
-
-_ENCODERS: dict[tuple[str, str], FragmentEncoder] = {}
-
-
-def encoder(path: str, what: str) -> FragmentEncoder:
-    """One encoder for each worker process, file and form: "text" remembers ids and tokens as text, "bytes" 16-bit ids."""
-    if (path, what) not in _ENCODERS:
-        keep = {
-            "text": lambda e: (" ".join(map(str, e.ids)), " ".join(e.tokens)) if e.ids else (),
-            "bytes": lambda e: np.array(e.ids, "<u2").tobytes(),
-        }[what]
-        _ENCODERS[path, what] = FragmentEncoder(path, keep)
-    return _ENCODERS[path, what]
-
-
-def encode_column(batches: Iterator[pa.RecordBatch], path: str, column: str = "text") -> Iterator[tuple[pa.RecordBatch, int, int, list[bytes]]]:
-    """Pieces of batches with the 16-bit ids of each text."""
-    enc = encoder(path, "bytes")
+        full = ~SPACE[data[bounds[:-1]]] if len(data) else np.zeros(len(bounds) - 1, bool)
+        return bounds[:-1][full], bounds[1:][full]
+
+    def fresh(self, fragments: list[bytes]) -> list[list[int]]:
+        """The ids of fragments not seen before. One of plain letters is a single piece that lower-casing alone changes."""
+        texts = [f.decode() for f in fragments]
+        plain = [*map(_PLAIN, texts)]
+        letters = [t.lower().encode().decode("latin-1").translate(self.shown) for t, p in zip(texts, plain, strict=True) if p]
+        quick = iter(self.model.encode_batch_fast(letters, add_special_tokens=False))
+        whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [next(quick if p else whole).ids for p in plain]
+
+    def remember(self, fragments: list[bytes]) -> np.ndarray:
+        """The numbers under which the ids of new fragments are kept."""
+        ids = self.fresh(fragments)
+        sizes = np.array([len(x) for x in ids], np.int64)
+        flat = np.array([y for x in ids for y in x], np.uint16)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.values + len(ids) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        self.pool[self.used : self.used + len(flat)] = flat
+        new = np.arange(self.values, self.values + len(ids))
+        self.at[new], self.size[new] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.values = self.used + len(flat), self.values + len(ids)
+        return new
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The 16-bit ids of a chunk, and for each row the number of ids before it."""
+        if self.values > MEMO:
+            self.forget()
+        starts, ends = self.fragments(data, offsets)
+        length = ends - starts
+        found = np.full(len(starts), -1)
+        short = np.flatnonzero(length <= 16)
+        n, s = length[short], starts[short]
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        k = np.zeros((3, len(short)), np.uint64)
+        k[2] = n
+        for i in range(16):
+            some = slice(None) if not i else np.flatnonzero(n > i)
+            k[i // 8, some] |= padded[s[some] + i].astype(np.uint64) << np.uint64(8 * (i % 8))
+        h = mix(k[0] ^ mix(k[1] + k[2]))
+        one, two = (h & np.uint64(SLOTS - 1)).astype(np.int64), (h >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
+        hit = (self.keys[0][one] == k[0]) & (self.keys[1][one] == k[1]) & (self.keys[2][one] == k[2])
+        found[short[hit]] = self.value[one[hit]]
+        rest = np.flatnonzero(~hit)
+        place = two[rest]
+        hit = (self.keys[0][place] == k[0][rest]) & (self.keys[1][place] == k[1][rest]) & (self.keys[2][place] == k[2][rest])
+        found[short[rest[hit]]] = self.value[place[hit]]
+        rest = rest[~hit]
+        if len(rest):
+            order = rest[np.lexsort((k[2][rest], k[1][rest], k[0][rest]))]
+            first = np.ones(len(order), bool)
+            first[1:] = (k[:, order[1:]] != k[:, order[:-1]]).any(0)
+            raw, which = data.tobytes(), order[first]
+            value = self.remember([raw[x:y] for x, y in zip(starts[short[which]].tolist(), ends[short[which]].tolist(), strict=True)])
+            found[short[order]] = value[np.cumsum(first) - 1]
+            to = np.where(self.keys[2][one[which]] == 0, one[which], np.where(self.keys[2][two[which]] == 0, two[which], one[which]))
+            self.keys[:, to], self.value[to] = 0, 0
+            last = np.full(SLOTS, -1, np.int32) if len(to) > 1 << 14 else None  # of fragments that want one place, the last gets it
+            if last is None:
+                owner = {p: q for q, p in enumerate(to.tolist())}
+                mine = np.fromiter(owner.values(), np.int64, len(owner))
+            else:
+                last[to] = np.arange(len(to))
+                mine = last[last >= 0].astype(np.int64)
+            self.keys[:, to[mine]], self.value[to[mine]] = k[:, which[mine]], value[mine]
+        long = np.flatnonzero(length > 16)
+        if len(long):
+            raw = data.tobytes()
+            pieces = [raw[x:y] for x, y in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+            if new := [*{*pieces}.difference(self.long)]:
+                self.long |= zip(new, self.remember(new).tolist(), strict=True)
+            found[long] = [*map(self.long.__getitem__, pieces)]
+        size = self.size[found]
+        total = np.concatenate([[0], np.cumsum(size)])
+        flat = self.pool[np.repeat(self.at[found] - total[:-1], size) + np.arange(total[-1])]
+        return flat, total[np.searchsorted(starts, offsets)]
+
+
+_ENCODERS: dict[str, FragmentEncoder] = {}
+
+
+def encoder(path: str) -> FragmentEncoder:
+    """One encoder for each worker process and file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = FragmentEncoder(path)
+    return _ENCODERS[path]
+
+
+def encode_column(batches: Iterator[pa.RecordBatch], path: str, column: str = "text") -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
+    """Pieces of batches with the 16-bit ids of their texts: batch, first row, last row, ids, ids before each row."""
+    enc = encoder(path)
     for batch in batches:
         for i, j, data, offsets in text_chunks(batch, column):
-            yield batch, i, j, [b"".join(r) for r in enc.encode(data, offsets)]
+            yield batch, i, j, *enc.encode(data, offsets)
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -149,15 +219,11 @@ def encode_decode(docs: DataFrame, path: str | None = None, *, id_column: str =
     path = path or vocabulary_path()
 
     def run(batches):
-        enc = encoder(path, "text")
-        for batch in batches:
-            for i, j, data, offsets in text_chunks(batch, text_column):
-                ids, decoded = [], []
-                for r in enc.encode(data, offsets):
-                    r = [x for x in r if x]
-                    ids.append([int(n) for x, _ in r for n in x.split()])
-                    decoded.append(" ".join([y for _, y in r]))
-                yield pa.RecordBatch.from_arrays([batch.column(id_column).slice(i, j - i), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+        tokens = encoder(path).tokens
+        for batch, i, j, flat, where in encode_column(batches, path, text_column):
+            ids = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(flat, pa.int32()))
+            decoded = [" ".join([tokens[t] for t in flat[x:y].tolist()]) for x, y in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(id_column).slice(i, j - i), ids, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
 
     kind = dict(docs.dtypes)[id_column]
     return docs.select(id_column, text_column).mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_column)
@@ -168,17 +234,15 @@ def encode_digests(docs: DataFrame, path: str | None = None, *, id_column: str =
     path = path or vocabulary_path()
 
     def run(batches):
-        enc = encoder(path, "text")
-        for batch in batches:
-            for i, j, data, offsets in text_chunks(batch, text_column):
-                n, ids, decoded = [], [], []
-                for r in enc.encode(data, offsets):
-                    r = [x for x in r if x]
-                    s = " ".join([x for x, _ in r])
-                    n.append(s.count(" ") + 1 if s else 0)
-                    ids.append(hashlib.sha256(s.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(" ".join([y for _, y in r]).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(id_column).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tokens = encoder(path).tokens
+        numbers = [str(i) for i in range(len(tokens))]
+        for batch, i, j, flat, where in encode_column(batches, path, text_column):
+            ids, decoded = [], []
+            for x, y in zip(where[:-1].tolist(), where[1:].tolist(), strict=True):
+                own = flat[x:y].tolist()
+                ids.append(hashlib.sha256(" ".join(map(numbers.__getitem__, own)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(" ".join(map(tokens.__getitem__, own)).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(id_column).slice(i, j - i), pa.array(np.diff(where)), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = dict(docs.dtypes)[id_column]
     return docs.select(id_column, text_column).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_column)

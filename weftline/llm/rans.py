@@ -140,8 +140,10 @@ def write_ids(docs: DataFrame, out: str, *, path: str | None = None, end_id: int
     end = b"" if end_id is None else struct.pack("<H", end_id)
 
     def tokenize(batches):
-        for batch, i, j, ids in encode_column(batches, path, text_column):
-            yield pa.RecordBatch.from_arrays([batch.column(id_column).slice(i, j - i).cast(pa.int64()), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "ids"])
+        for batch, i, j, flat, where in encode_column(batches, path, text_column):
+            raw, cuts = flat.tobytes(), (2 * where).tolist()
+            ids = pa.array([raw[x:y] + end for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(id_column).slice(i, j - i).cast(pa.int64()), ids], ["doc_id", "ids"])
 
     def count(batches):
         total = np.zeros(1 << 16, np.int64)
