@@ -7,6 +7,7 @@ from .chat import op10_chat
 from .jaccard import op3_ngram_join
 from .lm import op5_attention_lm
 from .mixing import OP8_SQL, op8_poisson_mix
+from .ordinal import op9_ordinal
 from .pii import op4_pii
 from .quality import op1_quality_rules
 from .rans import op2_rans
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
     "op8_poisson_mix": op8_poisson_mix,
+    "op9_ordinal": op9_ordinal,
     "op10_chat": op10_chat,
 }
 ORACLE: dict[str, str] = {
