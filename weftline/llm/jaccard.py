@@ -8,7 +8,7 @@ the cheapest segment that two sets share is left out by neither. Empty segments
 small sets may instead use fewer segments with one-deletion neighbourhoods, each of which stands for two segments; a
 cost model chooses. A set is also indexed in the band below its own where a partner can lie there.
 
-Each set is indexed by a few segments more than it must (SPARE of its band's least size). Once the entries' true sizes
+Each set is indexed by some spare segments more than it must. Once the entries' true sizes
 are known, a set may leave that many of its most crowded entries, by the same argument; so passages that many documents
 share make no crowded entries. An entry of at most FEW sets gives their pairs. In a larger one, each set is paired with
 the entry's least id; sets in one component then need no more comparisons, and those of several components in one entry
@@ -38,8 +38,8 @@ from .graph import components
 WORDS, PERCENT = 5, 75
 #: Contents whose counts the cost order knows (the most frequent ones; others count as rare), and the least count that a worker reports.
 HOT_CONTENTS, HOT_LEAST = 65_536, 4
-#: Up to so many sets of an entry are paired directly; a set's spare segments are its band's least size over SPARE.
-FEW, SPARE = 8, 6
+#: Up to so many sets of an entry are paired directly.
+FEW = 8
 #: An index entry with more sets than this is split over several tasks.
 SPLIT_ROWS = 100_000
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -74,7 +74,8 @@ def most_different(a, b, percent: int):
 
 
 def spare(band: int) -> int:
-    return (1 << band) // SPARE
+    """The segments that a set is indexed by beyond what it must: many where one passage can be most of a text."""
+    return (1 << band) // (3 if band < 8 else 6)
 
 
 @functools.cache
@@ -93,7 +94,7 @@ def band_plan(band: int, percent: int) -> tuple[int, bool]:
 
     plans = [(max(cost(m, low), cost(m, high)), m, False) for m in {max(need(high), math.ceil(need(high) * x / 8)) for x in range(8, 33)}]
     m = -(-(need(high) - spare(band)) // 2)
-    plans.append((m + high, m, True))
+    plans.append((m + 2 * high, m, True))  # twice: none of these entries can be left when it proves crowded
     return min(plans)[1:]
 
 
@@ -314,36 +315,39 @@ def _grouped(entries: DataFrame, few: int) -> DataFrame:
     return entries.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "id").mapInArrow(run, "kind int, a long, b long")
 
 
-def _across(entries: DataFrame) -> DataFrame:
-    """(x, r): pairs of an entry's ids in different components. A task holds the ids of one entry."""
+def _across(entries: DataFrame, percent: int) -> DataFrame:
+    """(x, r): pairs of an entry's sets in different components that may be similar by their sizes and sketches.
 
-    def run(batches):
-        run_sig, comps, ids = None, [], []
+    entries: sig, component, id, n, sketch. A task holds the sketches of one entry.
+    """
 
-        def pairs():
-            c, d = np.concatenate(comps), np.concatenate(ids)
-            begin = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])).tolist()
-            for i, j in zip(begin, [*begin[1:], len(c)], strict=True):
-                for k in range(i, j) if j < len(c) else ():
-                    yield _rows([pa.array(d[j:]), pa.array(np.full(len(d) - j, d[k]))], ["x", "r"])
+    def alike(rows):
+        comp, ids, n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        if comp.min() == comp.max():
+            return
+        size = min(len(r[3]) for r in rows) // 8
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[3], np.uint64).reshape(-1, size), axis=0) for r in rows])
+        for i in range(len(rows) - 1):
+            ok = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
+            j = np.flatnonzero(ok) + i + 1
+            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= most_different(n[j], n[i], percent)]
+            if len(j):
+                yield _rows([pa.array(np.maximum(ids[j], ids[i])), pa.array(np.minimum(ids[j], ids[i]))], ["x", "r"])
 
+    def run(batches):
+        sig, rows = None, []
         for batch in batches:
-            sig, comp, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "component", "id"))
-            cuts = [0, *(np.flatnonzero(sig[1:] != sig[:-1]) + 1).tolist(), len(sig)]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if i == j:
-                    continue
-                if sig[i] != run_sig:
-                    if comps:
-                        yield from pairs()
-                    run_sig, comps, ids = sig[i], [], []
-                comps.append(comp[i:j])
-                ids.append(own[i:j])
-        if comps:
-            yield from pairs()
-
-    out = entries.repartition("sig").sortWithinPartitions("sig", "component", "id").mapInArrow(run, "x long, r long")
-    return out.select(F.greatest("x", "r").alias("x"), F.least("x", "r").alias("r")).distinct()
+            columns = [batch.column(c).to_pylist() for c in ("sig", "component", "id", "n", "sketch")]
+            for s, *row in zip(*columns, strict=True):
+                if s != sig:
+                    if len(rows) > 1:
+                        yield from alike(rows)
+                    sig, rows = s, []
+                rows.append(row)
+        if len(rows) > 1:
+            yield from alike(rows)
+
+    return entries.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "x long, r long").distinct()
 
 
 def _only(docs: DataFrame, ids: DataFrame, n: int, how: str = "left_semi") -> DataFrame:
@@ -436,7 +440,8 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     if not apart.isEmpty():
         labelled = left.join(of("id", "component"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
         mixed = labelled.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
-        rest = _across(labelled.join(mixed, "sig", "left_semi")).join(star_pairs, ["x", "r"], "left_anti")
+        inside = labelled.join(mixed, "sig", "left_semi").join(sketched, "id").select("sig", "component", "id", "n", "sketch")
+        rest = _across(inside, percent).join(star_pairs, ["x", "r"], "left_anti")
         links = links.unionByName(materialise(_verified(rest, docs, sketched, words, percent), "near"))
         reach = materialise(components(links, "x", "r"), "components")
     out = member.join(of("class_id", "component"), "class_id", "left")
