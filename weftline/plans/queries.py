@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import grids, logs, records
+
+QUERIES = {**grids.QUERIES, **logs.QUERIES, **records.QUERIES}
+ORACLE = {**grids.ORACLE, **logs.ORACLE, **records.ORACLE}
