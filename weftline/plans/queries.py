@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import grids, logs, records
+from . import folds, grids, logs, records
 
-QUERIES = {**grids.QUERIES, **logs.QUERIES, **records.QUERIES}
-ORACLE = {**grids.ORACLE, **logs.ORACLE, **records.ORACLE}
+QUERIES = {**grids.QUERIES, **logs.QUERIES, **records.QUERIES, **folds.QUERIES}
+ORACLE = {**grids.ORACLE, **logs.ORACLE, **records.ORACLE, **folds.ORACLE}
