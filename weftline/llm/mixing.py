@@ -46,7 +46,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, size:
         weighed = counts.withColumn("weight", F.coalesce(F.try_element_at(given, F.col(source)), F.lit(0.0)))
     total = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("n_docs").alias("all_docs"))
     want = F.lit(float(size)) if size is not None else F.col("all_docs").cast("double")
-    return weighed.crossJoin(F.broadcast(total)).select(source, "n_docs", (F.col("weight") / F.col("all_weight") * want / F.col("n_docs")).alias("rate"))
+    return weighed.crossJoin(F.broadcast(total)).select(source, "n_docs", (F.coalesce(F.try_divide("weight", "all_weight"), F.lit(0.0)) * want / F.col("n_docs")).alias("rate"))
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, *, size: float | None = None, seed: str = SEED, source: str = "source", id_column: str = "doc_id") -> DataFrame:
@@ -57,12 +57,12 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, *, size:
     """
     if clash := [c for c in ADDED if c in docs.columns]:
         docs = docs.drop(*clash)
-    rates = source_rates(docs, weights, size, source).select(F.col(source).alias("_source"), poisson_table(F.col("rate")).alias("_cdf"))
+    rates = source_rates(docs, weights, size, source).select(F.col(source).alias("_mix_source"), poisson_table(F.col("rate")).alias("_mix_cdf"))
     few = docs.select(source).distinct().limit(10_001).count() <= 10_000
-    joined = docs.join(F.broadcast(rates) if few else rates, F.col(source).eqNullSafe(F.col("_source")))
+    joined = docs.join(F.broadcast(rates) if few else rates, F.col(source).eqNullSafe(F.col("_mix_source")))
     u = uniform(F.col(id_column), seed)
-    copies = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    exploded = joined.withColumn("_u", u).withColumn("_n", copies).filter("_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    copies = F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u")))
+    exploded = joined.withColumn("_mix_u", u).withColumn("_mix_n", copies).filter("_mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1)))
     keyed = exploded.withColumn("mix_key", F.xxhash64(F.lit(seed), id_column, "mix_copy"))
     return keyed.select(*docs.columns, *ADDED).repartition("mix_key").sortWithinPartitions("mix_key", id_column)
 

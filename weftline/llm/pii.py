@@ -158,10 +158,12 @@ def _with_added(found: DataFrame, key: list[str]) -> DataFrame:
 
 
 def find(docs: DataFrame, carried: list[str], text: str = "text") -> DataFrame:
-    """The columns `carried` of docs, with email, ip, card and phone (base spans) and added (what contexts discover)."""
-    key = F.xxhash64(F.col("doc_id"), F.coalesce(F.col(text), F.lit("")))
-    d = seeds(docs, text).withColumn("_key", key).select(*carried, "_key", *KINDS, "mention")
-    return _with_added(materialise(d, "seeds"), ["_key"]).drop("_key", "mention")
+    """doc (a struct of the columns `carried`), email, ip, card, phone (base spans) and added (what contexts discover)."""
+    own = {f"_c{i}": c for i, c in enumerate(carried)}
+    d = docs.select(*[F.col(c).alias(k) for k, c in own.items()], F.col("doc_id").alias("_id"), F.coalesce(text, F.lit("")).alias("_text"))
+    d = seeds(d, "_text").withColumn("_key", F.xxhash64("_id", "_text")).select(*own, "_key", *KINDS, "mention")
+    d = _with_added(materialise(d, "seeds"), ["_key"])
+    return d.select(F.struct(*[F.col(k).alias(c) for k, c in own.items()]).alias("doc"), *KINDS, "added")
 
 
 def _listed(kind: str, with_added: bool) -> Column:
@@ -175,19 +177,19 @@ def _listed(kind: str, with_added: bool) -> Column:
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span of personal data in the text replaced by its kind in brackets; overlapping spans are one."""
-    columns = docs.columns
-    d = find(docs, columns, text)
-    every = F.array_sort(F.flatten(F.array(*[_named(k) for k in (*KINDS, "added")])))
-    d = d.withColumn("_spans", every)
-    t = F.col(text)
+    d = find(docs, docs.columns, text)
+    d = d.withColumn("spans", F.array_sort(F.flatten(F.array(*[_named(k) for k in (*KINDS, "added")]))))
+    t = F.col(f"doc.{text}")
 
     def step(a, x):
         new = x["start"] >= a["at"]
         told = F.concat(F.substring(t, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0))), F.lit("["), F.upper(x["kind"]), F.lit("]"))
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(new, F.concat(a["out"], told)).otherwise(a["out"]).alias("out"))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return d.withColumn("_done", F.when(F.size("_spans") > 0, done)).withColumn(text, F.when(F.size("_spans") > 0, F.concat(F.col("_done.out"), F.substring(t, F.col("_done.at") + 1, F.length(t)))).otherwise(t)).select(*columns)
+    some = F.size("spans") > 0
+    d = d.withColumn("done", F.when(some, F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)))
+    whole = F.when(some, F.concat(F.col("done.out"), F.substring(t, F.col("done.at") + 1, F.length(t)))).otherwise(t)
+    return d.select(*[whole.alias(c) if c == text else F.col(f"doc.{c}").alias(c) for c in docs.columns])
 
 
 def _named(kind: str) -> Column:
@@ -198,4 +200,4 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' personal data."""
     d = find(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
     every = lambda added: F.array_join(F.flatten(F.array(*[_listed(k, added) for k in KINDS])), ",")
-    return d.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(every(False), 256).alias("base_sha256"), every(True).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return d.select("doc.doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(every(False), 256).alias("base_sha256"), every(True).alias("spans"), F.size("added").cast("long").alias("n_added"))

@@ -54,35 +54,35 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with COUNTS (long) of each whole text."""
     t = F.coalesce(F.col(text), F.lit(""))
     inner = F.btrim(t, F.lit(BLANK))
-    n = F.size("_w")
+    n = F.size("_q_w")
     d = docs.drop(*COUNTS)
-    d = d.withColumn("_w", F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+")))
+    d = d.withColumn("_q_w", F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+")))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")
-    d = d.withColumns({"_lines": lines, "_h": F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<bigint>"))})
-    d = d.withColumn("_s", F.sort_array("_h"))
-    d = d.withColumn("_again", F.array_distinct(F.filter("_s", lambda x, i: (i > 0) & (x == F.get("_s", i - 1)))))
-    looked_up = F.filter(F.sequence(F.lit(0), n - 3), lambda i: F.array_contains("_again", F.get("_h", i)))
-    placed = F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    d = d.withColumns({"_q_lines": lines, "_q_h": F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_q_w", i), F.get("_q_w", i + 1), F.get("_q_w", i + 2)))).otherwise(F.array().cast("array<bigint>"))})
+    d = d.withColumn("_q_s", F.sort_array("_q_h"))
+    d = d.withColumn("_q_again", F.array_distinct(F.filter("_q_s", lambda x, i: (i > 0) & (x == F.get("_q_s", i - 1)))))
+    looked_up = F.filter(F.sequence(F.lit(0), n - 3), lambda i: F.array_contains("_q_again", F.get("_q_h", i)))
+    placed = F.sort_array(F.transform("_q_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     near = lambda a, x, k: F.get(a, k)["h"] == x["h"]
     doubled = lambda a: F.sort_array(F.transform(F.filter(a, lambda x, k: ((k > 0) & near(a, x, k - 1)) | F.coalesce(near(a, x, k + 1), F.lit(False))), lambda x: x["i"]))
     sorted_out = F.get(F.transform(F.array(placed), doubled), 0)
-    d = d.withColumn("_at", F.when(F.size("_again") == 0, F.array().cast("array<int>")).when(F.size("_again") <= FEW_REPEATS, looked_up).otherwise(sorted_out))
-    covered = F.aggregate("_at", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("end")), lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p + 3 - a["end"])).alias("n"), (p + 3).alias("end")))["n"]
-    total = lambda f: F.aggregate("_w", F.lit(0), lambda a, x: a + f(x))
+    d = d.withColumn("_q_at", F.when(F.size("_q_again") == 0, F.array().cast("array<int>")).when(F.size("_q_again") <= FEW_REPEATS, looked_up).otherwise(sorted_out))
+    covered = F.aggregate("_q_at", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("end")), lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p + 3 - a["end"])).alias("n"), (p + 3).alias("end")))["n"]
+    total = lambda f: F.aggregate("_q_w", F.lit(0), lambda a, x: a + f(x))
     made = {
         "n_words": n,
         "word_chars": total(F.length),
         "n_symbols": F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", "")),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_dup_lines": F.size("_q_lines") - F.size(F.array_distinct("_q_lines")),
         "n_repeat_words": covered,
-        "n_lines": F.size("_lines"),
+        "n_lines": F.size("_q_lines"),
         "n_upper_words": total(lambda x: F.when((F.length(x) > 1) & (x == F.upper(x)) & (x != F.lower(x)), 1).otherwise(0)),
-        "n_distinct_words": F.size(F.array_distinct("_w")),
+        "n_distinct_words": F.size(F.array_distinct("_q_w")),
         "n_bare_words": total(lambda x: F.when(F.length(x) <= 2, F.when(x.rlike(r"^[^\p{L}\p{N}]+$"), 1).otherwise(0)).otherwise(0)),
         "n_ends": total(lambda x: F.when(F.right(x, F.lit(1)).isin(".", "!", "?"), 1).otherwise(0)),
     }
     d = d.withColumns({k: c.cast("long") for k, c in made.items()})
-    return d.drop("_w", "_lines", "_h", "_s", "_again", "_at")
+    return d.drop("_q_w", "_q_lines", "_q_h", "_q_s", "_q_again", "_q_at")
 
 
 def fit(patterns: Sequence[tuple[tuple[int, ...], int]]) -> tuple[float, list[list[list[float]]]]:
