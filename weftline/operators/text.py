@@ -63,7 +63,7 @@ def html_to_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"<[^>]*+>", "")
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"(?: ?\n ?)+", "\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(t, r"[ \t\r]+", " "), r"(?: ?\n ?)+", "\n"), F.lit(" \n"))
 
 
 def slug(text: Column) -> Column:

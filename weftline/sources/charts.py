@@ -56,7 +56,7 @@ def chart_documents(runs: DataFrame, palette: DataFrame, title: Column) -> DataF
 
 def read_csv_grid(spark: SparkSession, path: str) -> DataFrame:
     """grid_id (the file's path), y, x, code of CSV grids, a line of codes for each row."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("grid_id"), F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("y", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("grid_id"), F.posexplode(F.split(F.regexp_replace("value", r"\s+\z", ""), r"\r?\n")).alias("y", "line"))
     return lines.select("grid_id", "y", F.posexplode(F.split("line", ",")).alias("x", "code")).withColumn("code", F.trim("code"))
 
 
