@@ -247,3 +247,57 @@ def test_empty_tables(spark, n):
     c = cells(spark, []).limit(n)
     assert runs.run_strings(runs.rle_encode(c)).count() == 0
     assert islands.stretches(sequence.passes(runs.rle_encode(c))).count() == 0
+
+
+def test_project_totals_and_sessions(spark):
+    from weftline.operators import project
+
+    e = spark.createDataFrame([(1, 1, 3, 10), (1, 4, 6, 5), (2, 1, 2, None), (2, 3, 4, 7), (3, 1, 2, 4), (3, 3, None, 4)], "k long, from_ long, to_ long, count long")
+    assert {r.k: (r.total_rows, r.total_stitches) for r in project.written_totals(e, ["k"]).collect()} == {1: (6, 45), 2: (4, None), 3: (None, None)}
+    cursors = spark.createDataFrame([(1, 1), (1, 3), (1, 5), (3, 9)], "k long, row long")
+    assert rows(project.stitches_before(e, cursors, ["k"]), "k", "row", "stitches_before") == [(1, 1, 0), (1, 3, 20), (1, 5, 35), (3, 9, 32)]
+    t0 = dt.datetime(2026, 1, 1)
+    log_ = [("a", 0, "advance", 2), ("a", 60, "advance", 3), ("a", 120, "advance", 3), ("x", 130, "advance", 2), ("a", 4000, "back", 3), ("a", 4060, "advance", 3), ("b", 4100, "advance", 2)]
+    log_ = spark.createDataFrame([(1, p, 1, t0 + dt.timedelta(seconds=s), i, k, r) for i, (p, s, k, r) in enumerate(log_)], "project long, piece string, copy long, t timestamp_ntz, seq long, kind string, row long")
+    manifest = spark.createDataFrame([(1, "a", 3, 1), (1, "b", None, 2)], "project long, piece string, total long, make long")
+    got = project.project_sessions(log_, manifest).orderBy("start").collect()
+    assert [r["rows"] for r in got] == [3, 1] and [(r.end - r.start).seconds for r in got] == [120, 100]
+    done = spark.createDataFrame([(1, "a", True), (1, "b", False), (1, "x", True)], "project long, piece string, finished boolean")
+    assert rows(project.project_figures(done, manifest), "pieces_done", "pieces_total") == [(1, 3)]
+
+
+def test_numbers_slugs_scores_and_paths(spark):
+    from weftline.operators import project
+
+    d = spark.createDataFrame([(1, n) for n in (1, 2, 2, 4, 9)], "k long, n long")
+    h = spark.createDataFrame([(1, 5)], "k long, height long")
+    assert rows(project.row_number_problems(d, h, ["k"], "n"), "kind", "at") == [("beyond", 9), ("duplicate", 2), ("missing", 3), ("missing", 5)]
+    names = spark.createDataFrame([(1, i, x) for i, x in enumerate(["a", "a-2", "a", "a", ""])], "g long, i long, base string")
+    assert rows(project.unique_slugs(names, "g", "i", "base"), "i", "slug") == [(0, "a"), (1, "a-2"), (2, "a-3"), (3, "a-4"), (4, "piece")]
+    kind = "array<struct<code:string,count:int>>"
+    truth = spark.createDataFrame([(1, 1, [("A", 2), ("B", 1)]), (1, 2, [("A", 5)]), (1, 3, [("B", 1)])], f"k long, row long, runs {kind}")
+    read = spark.createDataFrame([(1, 1, 0, [("X", 2), ("Y", 1)]), (1, 2, 1, [("A", 5)]), (1, 2, 2, [("A", 6)])], f"k long, row long, seq long, runs {kind}")
+    assert rows(project.reading_scores(truth, read, ["k"]), "n_truth", "n_read", "n_exact", "n_relabelled") == [(3, 2, 1, 2)]
+    files = spark.createDataFrame([(1, p) for p in ("a/b.json", "A/b.json", "a/b.json/c", "../x", "ok.png")], "k long, path string")
+    assert rows(project.paths_problems(files, "k", "path"), "path", "kind") == [("../x", "unusable"), ("A/b.json", "duplicate"), ("a/b.json/c", "nested")]
+    body = spark.createDataFrame([(1, "1 A, 2 B, 3 C")], "k long, body string")
+    assert rows(project.chunks(body, ["k"], "body", 2), "chunk", "body") == [(0, "1 A, 2 B"), (1, "3 C")]
+
+
+def test_shapes(spark):
+    from weftline.operators import shapes
+
+    assert rows(shapes.no_stitch_code(cells(spark, ["ANAAN", "NAAAN", "AAAAN"])), "code") == []
+    assert rows(shapes.no_stitch_code(cells(spark, ["NNAAN", "NAAAN", "NAANN"])), "code") == [("N",)]
+    assert rows(shapes.no_stitch_code(cells(spark, ["NNAAN", "NANAN", "NAANN"])), "code") == []
+    lines = spark.createDataFrame([(1, float(x)) for x in (0, 10, 20, 30, 100, 110)], "k long, at double")
+    assert rows(shapes.gap_clusters(lines, ["k"], "at"), "at", "cluster") == [(0, 1), (10, 1), (20, 1), (30, 1), (100, 2), (110, 2)]
+    boxes = spark.createDataFrame([(1, 1, 0, 0, 10, 10), (1, 2, 1, 1, 6, 6), (1, 3, 9, 9, 14, 14)], "p long, box long, x0 long, y0 long, x1 long, y1 long")
+    assert rows(shapes.suppress(boxes, "p"), "box") == [(1,), (3,)]
+    column = spark.createDataFrame([(1, y, 0, c) for y, c in enumerate("AABAAAB")], "grid_id long, y long, x long, code string")
+    assert rows(shapes.longest_runs(column, "A"), "longest") == [(3,)] and rows(shapes.longest_runs(column, "A", 1), "longest") == [(6,)]
+    assert shapes.dilate(spark.createDataFrame([(1, 0, 0), (1, 0, 1)], "g long, y long, x long"), ["g"]).count() == 12
+    ticks = spark.createDataFrame([(1, float(x)) for x in (0, 5, 16, 20, 40, 41)], "k long, at double")
+    assert rows(shapes.thinned(ticks, ["k"], "at", 16.0, 8), "at") == [(0,), (16,), (40,)]
+    assert shapes.lattice(spark, 21, 21).filter(shapes.ellipse(10, 10, 3, 5)).count() == sum((y / 3) ** 2 + (x / 5) ** 2 <= 1 for y in range(-10, 11) for x in range(-10, 11))
+    assert shapes.lattice(spark, 9, 9).filter(shapes.diamond(4, 4, 2, 2)).count() == 13 and shapes.lattice(spark, 9, 9).filter(shapes.segment(4, 1, 4, 7, 0.5)).count() == 7

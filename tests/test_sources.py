@@ -70,3 +70,16 @@ def test_cursor_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.table("live_cursors").collect()) == [(1, 12, 2, 2, False), (2, 24, 3, 3, False)]
+
+
+def test_png(spark):
+    import pytest
+
+    c = grid(spark)
+    palette = spark.createDataFrame([("A", "#ff0000"), ("B", "#00FF00"), ("C", "#0000ff")], "code string, hex string")
+    drawn = charts.png_grids(c, palette)
+    back = charts.read_png_grids(drawn, palette)
+    assert sorted(tuple(r) for r in back.select("y", "x", "code").collect()) == sorted(tuple(r) for r in c.select("y", "x", "code").collect())
+    assert charts.read_png_grids(drawn, palette.filter("code <> 'A'")).filter("code IS NULL").count() == 2
+    with pytest.raises(ValueError):
+        charts.png_grids(c, spark.createDataFrame([("A", "#1"), ("B", "#1")], "code string, hex string"))

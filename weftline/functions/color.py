@@ -16,18 +16,28 @@ def to_hex(r: Column, g: Column, b: Column) -> Column:
     return F.lower(F.concat(F.lit("#"), *[F.lpad(F.hex(x.cast("long")), 2, "0") for x in (r, g, b)]))
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def lab(r: Column, g: Column, b: Column) -> Column:
     """struct<l, a, b> of sRGB values from 0 to 255."""
     # The sRGB transfer function, its matrix, and the D65 white.
     linear = lambda c: F.when(c / 255.0 <= 0.04045, c / 255.0 / 12.92).otherwise(F.pow((c / 255.0 + 0.055) / 1.055, F.lit(2.4)))
-    r, g, b = linear(r), linear(g), linear(b)
-    x = (r * 0.4124564 + g * 0.3575761 + b * 0.1804375) / 0.95047
-    y = r * 0.2126729 + g * 0.7151522 + b * 0.0721750
-    z = (r * 0.0193339 + g * 0.1191920 + b * 0.9503041) / 1.08883
     f = lambda t: F.when(t > 216.0 / 24389, F.cbrt(t)).otherwise((t * 24389.0 / 27 + 16) / 116)
-    return F.struct((f(y) * 116 - 16).alias("l"), ((f(x) - f(y)) * 500).alias("a"), ((f(y) - f(z)) * 200).alias("b"))
+
+    def xyz(c):
+        x = (c["r"] * 0.4124564 + c["g"] * 0.3575761 + c["b"] * 0.1804375) / 0.95047
+        y = c["r"] * 0.2126729 + c["g"] * 0.7151522 + c["b"] * 0.0721750
+        z = (c["r"] * 0.0193339 + c["g"] * 0.1191920 + c["b"] * 0.9503041) / 1.08883
+        return _let(F.struct(x.alias("x"), y.alias("y"), z.alias("z")), lambda p: F.struct(*[f(p[k]).alias(k) for k in "xyz"]))
+
+    scaled = lambda q: F.struct((q["y"] * 116 - 16).alias("l"), ((q["x"] - q["y"]) * 500).alias("a"), ((q["y"] - q["z"]) * 200).alias("b"))
+    given = F.struct(*[linear(c).alias(k) for c, k in ((r, "r"), (g, "g"), (b, "b"))])
+    return _let(_let(given, xyz), scaled)
 
 
 def delta_e(p: Column, q: Column) -> Column:
     """The 1976 distance of two Lab structs."""
-    return F.sqrt(sum((p[c] - q[c]) * (p[c] - q[c]) for c in ("l", "a", "b")))
+    return _let(F.struct(p.alias("p"), q.alias("q")), lambda s: F.sqrt(sum((s["p"][c] - s["q"][c]) * (s["p"][c] - s["q"][c]) for c in ("l", "a", "b"))))

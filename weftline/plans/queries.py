@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import folds, grids, logs, records
+from . import folds, grids, logs, projects, records
 
-QUERIES = {**grids.QUERIES, **logs.QUERIES, **records.QUERIES, **folds.QUERIES}
-ORACLE = {**grids.ORACLE, **logs.ORACLE, **records.ORACLE, **folds.ORACLE}
+QUERIES = {**grids.QUERIES, **logs.QUERIES, **records.QUERIES, **folds.QUERIES, **projects.QUERIES}
+ORACLE = {**grids.ORACLE, **logs.ORACLE, **records.ORACLE, **folds.ORACLE, **projects.ORACLE}

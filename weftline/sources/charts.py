@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -108,3 +110,56 @@ def bundles(files: DataFrame) -> DataFrame:
         return pd.DataFrame({"bundle": [key[0]], "content": [out.getvalue()]})
 
     return files.select("bundle", "name", "content").groupBy("bundle").applyInPandas(pack, "bundle string, content binary")
+
+
+def _png_chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def png_grids(cells: DataFrame, palette: DataFrame) -> DataFrame:
+    """grid_id, content: a PNG of one pixel a cell. palette: code, hex; two codes of one colour are refused."""
+    twice = palette.groupBy("hex").count().filter("count > 1")
+    if not twice.isEmpty():
+        raise ValueError("two codes have one colour, so the picture could not be read back")
+    told = cells.join(F.broadcast(palette.select("code", "hex")), "code")
+    rows = told.groupBy("grid_id", "y").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", F.regexp_replace("hex", "#", "").alias("h")))), lambda c: c["h"]), "").alias("h"))
+    grids = rows.groupBy("grid_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "h"))), lambda r: r["h"]).alias("rows"))
+
+    @F.pandas_udf("binary")
+    def draw(many: pd.Series) -> pd.Series:
+        def one(lines):
+            raw = b"".join(b"\0" + bytes.fromhex(x) for x in lines)
+            head = struct.pack(">IIBBBBB", len(lines[0]) // 6, len(lines), 8, 2, 0, 0, 0)
+            return b"\x89PNG\r\n\x1a\n" + _png_chunk(b"IHDR", head) + _png_chunk(b"IDAT", zlib.compress(raw, 9)) + _png_chunk(b"IEND", b"")
+
+        return many.map(one)
+
+    return grids.select("grid_id", draw("rows").alias("content"))
+
+
+def read_png_grids(files: DataFrame, palette: DataFrame) -> DataFrame:
+    """grid_id, y, x, code of what png_grids has drawn (grid_id, content); a colour that the palette lacks gives a null code."""
+
+    def read(batches):
+        for pdf in batches:
+            out = []
+            for g, content in zip(pdf.grid_id, pdf.content, strict=True):
+                width, height, at, data = *struct.unpack(">II", content[16:24]), 8, b""
+                while at < len(content):
+                    n, kind = struct.unpack(">I4s", content[at : at + 8])
+                    data += content[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+                    at += 12 + n
+                raw = zlib.decompress(data)
+                for y in range(height):
+                    line = raw[y * (3 * width + 1) + 1 : (y + 1) * (3 * width + 1)]
+                    out += [(g, y, x, "#" + line[3 * x : 3 * x + 3].hex()) for x in range(width)]
+            yield pd.DataFrame(out, columns=["grid_id", "y", "x", "hex"])
+
+    found = files.select("grid_id", "content").mapInPandas(read, "grid_id long, y long, x long, hex string")
+    return found.join(F.broadcast(palette.select("code", F.lower("hex").alias("hex"))), "hex", "left").select("grid_id", "y", "x", "code")
+
+
+def feed(charts: DataFrame, slug: Column, title: Column) -> DataFrame:
+    """One index row for each pattern: slug, title, n_charts, first chart's id; slugs must be lower-case words with hyphens."""
+    d = charts.select(slug.alias("slug"), title.alias("title"), F.col("chart.id").alias("id")).filter(F.col("slug").rlike(r"\A[a-z0-9]+(?:-[a-z0-9]+)*\z"))
+    return d.groupBy("slug").agg(F.min("title").alias("title"), F.count("*").alias("n_charts"), F.min("id").alias("first_id"))
