@@ -1,7 +1,7 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 P(grade >= k) = sigmoid(w . x - theta_k) with one weight vector for all grades and ordered thresholds. Features are
-hashed: a text's distinct words and word ends (scaled by the root of their number), and bins of a few shares of the whole text.
+hashed: a text's distinct words, word beginnings and word ends (scaled by the root of their number), and bins of a few shares of the whole text.
 The model is fitted in numpy on a bounded, documented sample of labelled rows (TRAIN_ROWS, by a hash of their ids);
 every document is scored where it lies. The expected grade and the tail probabilities select documents.
 
@@ -18,10 +18,16 @@ from pyspark.sql import functions as F
 
 from .common import mix, text_chunks, word_hashes, word_spans
 
-BITS, BINS = 18, 16
+BITS, BINS = 20, 16
+#: Marks (up to so many) after a word are left off; the first bytes of a word are a feature as well.
+MARK = np.zeros(256, bool)
+MARK[[*b".,;:!?\"')]*#&$%|"]] = True
+MARKS, PREFIX = 3, 6
 #: The most labelled rows that the model is fitted on, and the longest text (characters) among them.
 TRAIN_ROWS, TRAIN_CHARS = 8000, 200_000
-EPOCHS, RATE, DECAY, BATCH = 12, 0.3, 1e-5, 256
+EPOCHS, RATE, DECAY, BATCH = 60, 3.0, 1e-6, 256
+#: Features that fewer labelled texts have keep no weight.
+MIN_DF = 10
 
 #: A document's grade by its labels (quality, toxic).
 GRADES = {(0, 0): 0, (0, 1): 0, (1, 1): 1, (1, 0): 2}
@@ -34,12 +40,17 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, before = word_spans(data, offsets)
     size = np.diff(before)
     row = np.repeat(np.arange(rows), size)
-    h = word_hashes(data, starts, ends)
+    inner = ends.copy()
+    for _ in range(MARKS if len(data) else 0):
+        inner = inner - (MARK[data[inner - 1]] & (inner - starts > 1))
+    h = word_hashes(data, starts, inner)
+    head = word_hashes(data, starts, np.minimum(inner, starts + PREFIX))
     padded = np.concatenate([np.zeros(2, np.uint8), data]).astype(np.uint64)
     tail = padded[ends + 1] | (padded[ends] << np.uint64(8)) | (padded[ends - 1] << np.uint64(16))
     one = (mix(h) & np.uint64((1 << BITS) - 1)).astype(np.int64)
     two = (mix(tail + np.uint64(1 << 40)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
-    key = np.unique(np.concatenate([(row << BITS) | one, (row << BITS) | two]))
+    three = (mix(head + np.uint64(1 << 41)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    key = np.unique(np.concatenate([(row << BITS) | x for x in (one, two, three)]))
     upper = (data >= 65) & (data <= 90)
     symbol = np.isin(data, np.frombuffer(b"#*$%&|<>!{}=_~^", np.uint8))
     count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
@@ -68,6 +79,8 @@ class CumulativeLink:
     def fit(self, index, value, begin, grade) -> CumulativeLink:
         """AdaGrad over the log likelihood of grades, classes weighed by the root of their rarity."""
         n, k = len(grade), len(self.theta)
+        seen = np.bincount(index, minlength=len(self.w)) >= MIN_DF  # others say nothing of other texts
+        value = value * seen[index]
         freq = np.bincount(grade, minlength=k + 1)
         weight = np.sqrt(n / np.maximum(freq, 1))[grade]
         weight /= weight.mean()
