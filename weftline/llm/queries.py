@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
-from .chat import op10_chat
+from .chat import OP10_SQL, op10_chat
 from .jaccard import op3_ngram_join
 from .lm import op5_attention_lm
 from .mixing import OP8_SQL, op8_poisson_mix
@@ -28,4 +28,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op7_simhash": op7_simhash,
     "op8_poisson_mix": OP8_SQL,
+    "op10_chat": OP10_SQL,
 }
