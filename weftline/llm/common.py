@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a worker handles at once (one longer text is handled alone).
 CHUNK_BYTES = 1 << 20
@@ -47,6 +48,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counts: DataFrame, n: str, rows: int) -> DataFrame:
+    """The rows of the largest n, up to about `rows` of them: a threshold from a histogram, so nothing is sorted.
+
+    The histogram has eight classes to a doubling; classes come whole, so fewer rows than asked for may come.
+    """
+    level = F.floor(F.log2(n) * 8)
+    total, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # some hundred rows
+        total += r["count"]
+        if total > rows:
+            break
+        least = r["level"]
+    return counts.filter("false") if least is None else counts.filter(level >= least)
+
+
+def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About `rows` rows of df (all, if it has no more), chosen by a hash of a key; never more than twice as many."""
+    n = df.select(key).count()
+    if n <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * rows / n)).limit(2 * rows)
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, offsets of rows in them) of pieces of a batch; a null text counts as empty."""
     col = batch.column(column)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, mix, text_chunks, word_hashes, word_spans
+from .common import BROADCAST_ROWS, materialise, mix, most_frequent, text_chunks, word_hashes, word_spans
 from .graph import components
 
 WORDS, PERCENT = 5, 75
@@ -406,7 +406,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     found = materialise(_described(docs, words, percent), "sets")
     sets = found.filter("kind = 0").select("id", "n", "h1", "h2")
     sketched = found.filter("kind = 0 AND n > 0").select("id", "n", "sketch")
-    hot = found.filter("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h1").limit(HOT_CONTENTS).collect()
+    hot = most_frequent(found.filter("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")), "n", HOT_CONTENTS).collect()
     sigs = np.array([r["h1"] for r in hot], np.int64).view(np.uint64)
     order = np.argsort(sigs)
     hot = (sigs[order], np.array([r["n"] for r in hot], np.int64)[order])

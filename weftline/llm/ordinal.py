@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, text_chunks, word_hashes, word_spans
+from .common import hashed_sample, mix, text_chunks, word_hashes, word_spans
 
 BITS, BINS = 20, 16
 #: Marks (up to so many) after a word are left off; the first bytes of a word are a feature as well.
@@ -118,7 +118,7 @@ def fit_labels(docs: DataFrame, labels: DataFrame) -> CumulativeLink:
     """A model of the labelled documents: labels has doc_id, quality and toxic (0 or 1)."""
     pairs = [x for (q, t), g in GRADES.items() for x in (F.lit(q * 2 + t), F.lit(g))]
     graded = labels.select("doc_id", F.try_element_at(F.create_map(*pairs), (F.col("quality") * 2 + F.col("toxic")).cast("int")).alias("grade")).filter("grade IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    sample = graded.orderBy(F.xxhash64("doc_id")).limit(TRAIN_ROWS)
+    sample = hashed_sample(graded, "doc_id", TRAIN_ROWS)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter(F.length("text") <= TRAIN_CHARS)
     table = texts.select("doc_id", "text", "grade").limit(2 * TRAIN_ROWS).orderBy("doc_id").toArrow().combine_chunks()
     model = CumulativeLink()
