@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import SPACE, mix, text_chunks
 
 #: Places for short fragments, and the fragments after which a worker starts afresh (these affect speed alone).
-SLOTS, MEMO = 1 << 20, 4_000_000
+SLOTS, MEMO = 1 << 20, 2_000_000
 
 
 #: Words of Latin letters that are whole in Unicode's composed form.
