@@ -44,9 +44,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, size:
     else:
         given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
         weighed = counts.withColumn("weight", F.coalesce(F.try_element_at(given, F.col(source)), F.lit(0.0)))
-    total = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("n_docs").alias("all_docs"))
-    want = F.lit(float(size)) if size is not None else F.col("all_docs").cast("double")
-    return weighed.crossJoin(F.broadcast(total)).select(source, "n_docs", (F.coalesce(F.try_divide("weight", "all_weight"), F.lit(0.0)) * want / F.col("n_docs")).alias("rate"))
+    all_weight, all_docs = weighed.agg(F.sum("weight"), F.sum("n_docs")).first()
+    want = float(size if size is not None else all_docs or 0)
+    share = F.col("weight") / F.lit(float(all_weight)) if all_weight else F.lit(0.0)
+    return weighed.select(source, "n_docs", (share * want / F.col("n_docs")).alias("rate"))
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, *, size: float | None = None, seed: str = SEED, source: str = "source", id_column: str = "doc_id") -> DataFrame:
