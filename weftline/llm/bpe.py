@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import SPACE, mix, text_chunks
+from .common import CACHES, SPACE, mix, text_chunks
 
 #: Places for short fragments, and the fragments after which a worker starts afresh (these affect speed alone).
 SLOTS, MEMO = 1 << 20, 2_000_000
@@ -193,6 +193,7 @@ class FragmentEncoder:
 
 
 _ENCODERS: dict[str, FragmentEncoder] = {}
+CACHES.append(_ENCODERS)
 
 
 def encoder(path: str) -> FragmentEncoder:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -16,6 +19,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a worker handles at once (one longer text is handled alone).
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and its Python workers while a table is written.
+BATCH_BYTES, _BATCH_BYTES = str(4 << 20), "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What this worker process remembers between tasks, by operator: dicts that may be emptied.
+CACHES: list[dict] = []
 #: Rows below which a key list may be broadcast; beyond it, the same join is made by shuffling.
 BROADCAST_ROWS = 500_000
 
@@ -44,10 +51,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and lost executors cost nothing that is done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_BYTES)
+    spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_BYTES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_caches() -> None:
+    """Give back what other operators' tasks have left in this worker process."""
+    if any(CACHES):
+        for cache in CACHES:
+            cache.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def most_frequent(counts: DataFrame, n: str, rows: int) -> DataFrame:
     """The rows of the largest n, up to about `rows` of them: a threshold from a histogram, so nothing is sorted.
 

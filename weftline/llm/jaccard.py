@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, mix, most_frequent, text_chunks, word_hashes, word_spans
+from .common import BROADCAST_ROWS, forget_caches, materialise, mix, most_frequent, text_chunks, word_hashes, word_spans
 from .graph import components
 
 WORDS, PERCENT = 5, 75
@@ -193,6 +193,7 @@ def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """kind 0: id, set size, 128-bit set hash and sketch of each row; kind 1: contents that a worker saw often (n times)."""
 
     def run(batches):
+        forget_caches()
         index, seen, held = Index(percent), [], 0
 
         def report():
@@ -209,7 +210,7 @@ def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 yield _rows([pa.array([0] * len(n), pa.int32()), batch.column("id").slice(i, j - i), pa.array(n), _long(h1), _long(h2), pa.array([sketch(x) for x in sets], pa.binary())], ["kind", "id", "n", "h1", "h2", "sketch"])
                 seen.append(index.entries(sets, all_segments=True)[1])
                 held += len(seen[-1])
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield report()
                     seen, held = [], 0
         if held:
@@ -222,6 +223,7 @@ def _entries(docs: DataFrame, words: int, percent: int, hot) -> DataFrame:
     """(sig, salt, id) index entries; a very frequent content is split by salt."""
 
     def run(batches):
+        forget_caches()
         index = Index(percent, hot)
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
@@ -304,7 +306,7 @@ def _grouped(entries: DataFrame, few: int) -> DataFrame:
                 other, part = rep != ids, new & (salt > 0)
                 keep(0, ids[other], rep[other])
                 keep(2, ids[part], sig[part])
-            if n_held > 500_000:
+            if n_held > 250_000:
                 yield flush()
                 held, n_held = [], 0
         if few and len(rest_sig):
