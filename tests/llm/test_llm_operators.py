@@ -46,6 +46,12 @@ def texts(docs):
     return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
 
 
+def test_oracles_are_sql():
+    """An operator's oracle is the text of a DuckDB query that parses, of a registered query."""
+    for name, sql in queries.ORACLE.items():
+        assert name in queries.QUERIES and isinstance(sql, str) and len(duckdb.extract_statements(sql)) == 1
+
+
 # ---- words and graph
 
 

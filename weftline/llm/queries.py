@@ -26,7 +26,6 @@ QUERIES = {
     "op10_chat": op10_chat,
 }
 ORACLE: dict[str, str] = {
-    "op7_simhash": op7_simhash,
     "op8_poisson_mix": OP8_SQL,
     "op10_chat": OP10_SQL,
 }
