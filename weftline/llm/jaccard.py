@@ -444,8 +444,9 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
         mixed = labelled.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
         inside = labelled.join(mixed, "sig", "left_semi").join(sketched, "id").select("sig", "component", "id", "n", "sketch")
         rest = _across(inside, percent).join(star_pairs, ["x", "r"], "left_anti")
-        links = links.unionByName(materialise(_verified(rest, docs, sketched, words, percent), "near"))
-        reach = materialise(components(links, "x", "r"), "components")
+        more = materialise(_verified(rest, docs, sketched, words, percent), "near")
+        if not more.isEmpty():  # the components so far stand for their links
+            reach = materialise(components(of("x", "r").unionByName(more), "x", "r"), "components")
     out = member.join(of("class_id", "component"), "class_id", "left")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
