@@ -489,6 +489,17 @@ def test_copies_are_poisson(spark):
     assert all(abs(k[i] / 10_000 - math.exp(-3) * 3**i / math.factorial(i)) < 0.02 for i in range(1, 7))
 
 
+def test_copies_of_large_rates_are_poisson(spark):
+    d = spark.range(401).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 200, "a").when(F.col("id") < 400, "b").otherwise("c").alias("source"))
+    weights = {"a": 200 * 760.0, "b": 200 * 6000.0, "c": 1_500_000.0}
+    rows = mixing.replicate(d, weights, size=sum(weights.values())).groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.max("mix_copy").alias("last")).collect()
+    assert all(r.last == r.n - 1 for r in rows)
+    for source, rate in (("a", 760), ("b", 6000)):
+        n = np.array([r.n for r in rows if r.source == source])
+        assert len(n) == 200 and abs(n.mean() - rate) < 5 * math.sqrt(rate / 200) and 0.6 < n.var() / rate < 1.5
+    assert [abs(r.n - 1_500_000) < 5 * math.sqrt(1_500_000) for r in rows if r.source == "c"] == [True]
+
+
 def test_mixing_odd(odd, none):
     once = odd.drop("source").withColumn("source", F.when(F.col("doc_id") < 5, "a"))
     got = mixing.replicate(once, size=40.0)
