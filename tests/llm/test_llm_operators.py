@@ -350,6 +350,16 @@ def test_chances_sum_to_one_and_look_back_only():
     assert all(abs(np.exp(c.inside[c.of == k]).sum() - 1) < 1e-9 for k in (0, lm.FREQUENT, lm.FREQUENT + 3))
 
 
+def test_large_products_stay_finite():
+    m = lm.Attention(np.ones(64) / 64)
+    for sign in (1, -1):
+        m.p["q"], m.p["k"] = np.eye(lm.WIDTH, dtype=np.float32) * 200, np.eye(lm.WIDTH, dtype=np.float32) * 200 * sign
+        inputs, scored = np.arange(2 * lm.WINDOW).reshape(2, -1) % 64, np.ones((2, lm.WINDOW), bool)
+        got = m.log_chance(inputs, inputs, scored)
+        assert np.isfinite(got).all() and np.allclose(got, m._output(m.hidden(inputs)[-1][scored], inputs[scored])[0], atol=1e-4)
+        assert all(np.isfinite(x).all() for x in m.gradient(inputs, inputs, scored)[0].values())
+
+
 def test_each_token_is_scored_once():
     for sizes in ([1], [lm.WINDOW], [lm.WINDOW + 1], [3, 200, 1, 77]):
         where = np.concatenate([[0], np.cumsum(sizes)])
@@ -358,6 +368,19 @@ def test_each_token_is_scored_once():
         assert (inputs[scored] == np.where(np.isin(at[scored], where[:-1]), -1, at[scored] - 1)).all()
 
 
+def test_all_training_tokens_are_learnt(texts):
+    """Also of a partition with less than a batch of windows, however its rows are dealt to batches."""
+    path = bpe.vocabulary_path()
+    enc = bpe.encoder(path)
+    classes = lm.Classes(np.ones(len(enc.tokens) + 1, np.int64))
+    begun = lm.Attention(classes.prior).pack()
+    for some, step in ((["one short text"], 1), ([*texts.values()][:40], 7), ([*texts.values()][:40], 40)):
+        batches = [pa.RecordBatch.from_pydict({"text": some[k : k + step]}) for k in range(0, len(some), step)]
+        n = sum(len(lm._subwords(enc, data, offsets)[0]) for b in batches for _, _, data, offsets in common.text_chunks(b))
+        p, tokens = lm.trained(batches, begun, classes, path)
+        assert tokens == n and not np.array_equal(p, begun)
+
+
 def test_scores(spark, texts, docs):
     rows = lm.score(docs).collect()
     words = {k: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t)), None] for k, t in texts.items()}

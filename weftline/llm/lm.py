@@ -4,7 +4,7 @@ The attention model is written in numpy. Its symbols are classes: the most frequ
 the others share some by frequency; within a class, ids have their smoothed share of the corpus counts, which cover all
 training documents. Classes are grouped in clusters; a prediction chooses a cluster, then a class in it, so that only
 one cluster's classes are computed for a token. Parameters start from a bounded sample of documents trained on the driver, then every partition
-trains a copy on pieces of all its training documents, and the copies are averaged by the tokens they saw.
+trains a copy on all windows of all its training documents, and the copies are averaged by the tokens they saw.
 
 Scoring cuts each text in windows that overlap by a context; every token is scored once, with attention to what stands
 before it in its window, batches of windows at a time. A text's score is the log10 probability of its ids and an end.
@@ -27,16 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary_path
-from .common import hashed_sample, materialise, mix, most_frequent, text_chunks, word_hashes, word_spans
+from .common import hashed_sample, materialise, most_frequent, text_chunks, word_hashes, word_spans
 
 FREQUENT, SHARED, CLUSTER = 992, 32, 32
 WIDTH, WINDOW, CONTEXT = 16, 40, 8
 BATCH = 64
 #: Windows scored at once, and those whose attention is computed at once.
 SCORED, PART = 512, 48
-#: Documents of the starting sample (of texts to so many characters); partitions train on pieces of PIECE words of all
-#: training documents, one in TRAIN_EVERY of them.
-SAMPLE_DOCS, SAMPLE_CHARS, PIECE, TRAIN_EVERY = 1500, 200_000, 20, 24
+#: Documents of the starting sample (of texts to so many characters); partitions then train on all training documents.
+SAMPLE_DOCS, SAMPLE_CHARS = 1500, 200_000
 STEPS, RATE, LOCAL_RATE = 1500, 0.02, 0.002
 #: Words whose counts go to every task.
 KNOWN_WORDS = 1 << 19
@@ -85,9 +84,9 @@ class Attention:
         x = p["embed"][inputs] + p["place"]
         q, k, v = x @ (p["q"] / np.float32(math.sqrt(WIDTH))), x @ p["k"], x @ p["v"]
         a = q @ k.transpose(0, 2, 1)
-        np.minimum(a, np.float32(20), out=a)
+        a[:, self.mask == 0] = -np.inf
+        a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
-        a *= self.mask
         a /= a.sum(-1, keepdims=True)
         o = a @ v
         return x, q, k, v, a, o, x + o @ p["o"]
@@ -109,8 +108,9 @@ class Attention:
         v = np.ones((*inputs.shape, WIDTH + 1), np.float32)
         v.reshape(-1, WIDTH + 1)[:, :WIDTH] = flat @ p["v"]
         a = q @ k.transpose(0, 2, 1)
-        if (np.einsum("ijk,ijk->ij", q, q).max() * np.einsum("ijk,ijk->ij", k, k).max()) > 400:  # else no product is over 20
-            np.minimum(a, np.float32(20), out=a)
+        if (np.einsum("ijk,ijk->ij", q, q).max() * np.einsum("ijk,ijk->ij", k, k).max()) > 400:  # else no product is beyond 20
+            a[:, self.mask == 0] = -np.inf
+            a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
         a *= self.mask
         o = a @ v
@@ -171,7 +171,9 @@ class Attention:
         dx = dh + dq @ (p["q"] / root).T + dk @ p["k"].T + dv @ p["v"].T
         g |= {"q": flat(x).T @ flat(dq) / root, "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "place": dx.sum(0)}
         g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], inputs.reshape(-1), flat(dx))
+        order = np.argsort(inputs.reshape(-1), kind="stable")
+        own, first = np.unique(inputs.reshape(-1)[order], return_index=True)
+        g["embed"][own] = np.add.reduceat(flat(dx)[order], first)
         return g, loss
 
 
@@ -215,32 +217,6 @@ def _subwords(enc, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return np.insert(ids.astype(np.int64), where[1:], end), where + np.arange(len(where))
 
 
-def _pieces(enc, classes: Classes, data: np.ndarray, offsets: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows (inputs, targets, scored) of a hashed choice of a chunk's pieces of words, of all its texts.
-
-    Only the chosen pieces are encoded. What stands before a piece that doesn't begin its text is not known, and its
-    end is none where the text goes on, so neither is scored.
-    """
-    starts, ends, before = word_spans(data, offsets)
-    size = np.diff(before)
-    count = -(-size // PIECE)
-    row = np.repeat(np.arange(len(size)), count)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    some = np.flatnonzero(mix((row + salt).astype(np.uint64) * np.uint64(1 << 32) + nth.astype(np.uint64)) % np.uint64(TRAIN_EVERY) == 0)
-    row, nth = row[some], nth[some]
-    first = before[row] + nth * PIECE
-    last = np.minimum(first + PIECE, before[row + 1])
-    begin, end = starts[first], ends[last - 1]
-    where = np.concatenate([[0], np.cumsum(end - begin)])
-    at = np.repeat(begin - where[:-1], end - begin) + np.arange(where[-1])
-    ids, bounds = _subwords(enc, data[at] if len(at) else data[:0], where)
-    inputs, targets, scored, place, of = windows(classes.of[ids], bounds, classes.n)
-    goes_on = (last < before[row + 1])[of]
-    scored &= ~(goes_on[:, None] & (place == (bounds[1:] - 1)[of][:, None]))
-    scored &= ~((nth > 0)[of][:, None] & (place == bounds[:-1][of][:, None]))
-    return inputs, targets, scored
-
-
 def _rows(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names)
 
@@ -273,6 +249,30 @@ def _counts(train: DataFrame, path: str) -> DataFrame:
     return train.select("text").mapInArrow(run, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
 
 
+def trained(batches, begun: np.ndarray, classes: Classes, path: str) -> tuple[np.ndarray, int]:
+    """Parameters after one pass from `begun` over all texts of the batches, and the tokens seen."""
+    enc, model, tokens = encoder(path), Attention(classes.prior), 0
+    model.unpack(begun)
+    adam, rest = Adam(model, LOCAL_RATE), None
+
+    def learn(some):
+        adam.step(model.gradient(*some)[0])
+        return int(some[2].sum())
+
+    for batch in batches:
+        for _, _, data, offsets in text_chunks(batch):
+            ids, where = _subwords(enc, data, offsets)
+            held = windows(classes.of[ids], where, classes.n)[:3]
+            if rest:
+                held = tuple(np.concatenate(x) for x in zip(rest, held, strict=True))
+            whole = len(held[0]) // BATCH * BATCH
+            tokens += sum(learn([x[k : k + BATCH] for x in held]) for k in range(0, whole, BATCH))
+            rest = tuple(x[whole:].copy() for x in held)
+    if rest and len(rest[0]):
+        tokens += learn(rest)
+    return model.pack(), tokens
+
+
 def train_model(train: DataFrame, classes: Classes, path: str) -> Attention:
     """An attention model of the training texts (column text, and doc_id for the sample's order)."""
     model = Attention(classes.prior)
@@ -296,21 +296,9 @@ def train_model(train: DataFrame, classes: Classes, path: str) -> Attention:
     begun = model.pack()
 
     def local(batches):
-        enc, own, tokens = encoder(path), Attention(classes.prior), 0
-        own.unpack(begun)
-        adam, held, n_held = Adam(own, LOCAL_RATE), [], 0
-        for batch in batches:
-            for i, _, data, offsets in text_chunks(batch):
-                held.append(_pieces(enc, classes, data, offsets, i))
-                n_held += len(held[-1][0])
-                if n_held >= BATCH:
-                    some = [np.concatenate(x) for x in zip(*held, strict=True)]
-                    for k in range(0, n_held, BATCH):
-                        adam.step(own.gradient(*(x[k : k + BATCH] for x in some))[0])
-                    tokens += int(some[2].sum())
-                    held, n_held = [], 0
+        p, tokens = trained(batches, begun, classes, path)
         if tokens:
-            yield _rows([pa.array([(own.pack() * np.float64(tokens)).astype("<f8").tobytes()], pa.binary()), pa.array([float(tokens)])], ["p", "n"])
+            yield _rows([pa.array([(p * np.float64(tokens)).astype("<f8").tobytes()], pa.binary()), pa.array([float(tokens)])], ["p", "n"])
 
     def added(batches):
         total, n = 0, 0.0
