@@ -350,6 +350,13 @@ def test_chances_sum_to_one_and_look_back_only():
     assert all(abs(np.exp(c.inside[c.of == k]).sum() - 1) < 1e-9 for k in (0, lm.FREQUENT, lm.FREQUENT + 3))
 
 
+def test_tokens_after_a_cut_see_a_context():
+    """The model's size is a choice of quality; a smaller one needs held-out figures in the README."""
+    assert (lm.FREQUENT, lm.SHARED, lm.WIDTH, lm.WINDOW, lm.CONTEXT) >= (1504, 32, 24, 48, 16)
+    inputs, targets, scored, at, row = lm.windows(np.arange(200), np.array([0, 200]), -1)
+    assert all(at[k][s][0] - at[k][0] >= 16 for k, s in enumerate(scored) if k)
+
+
 def test_large_products_stay_finite():
     m = lm.Attention(np.ones(64) / 64)
     for sign in (1, -1):
