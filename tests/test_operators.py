@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import color
 from weftline.operators import identity, islands, machine, match, prose, runs, sequence, text, validate
+from weftline.plans import folds
 
 
 def rows(df, *columns):
@@ -301,3 +302,13 @@ def test_shapes(spark):
     assert rows(shapes.thinned(ticks, ["k"], "at", 16.0, 8), "at") == [(0,), (16,), (40,)]
     assert shapes.lattice(spark, 21, 21).filter(shapes.ellipse(10, 10, 3, 5)).count() == sum((y / 3) ** 2 + (x / 5) ** 2 <= 1 for y in range(-10, 11) for x in range(-10, 11))
     assert shapes.lattice(spark, 9, 9).filter(shapes.diamond(4, 4, 2, 2)).count() == 13 and shapes.lattice(spark, 9, 9).filter(shapes.segment(4, 1, 4, 7, 0.5)).count() == 7
+
+
+def test_users_work_the_charts_of_all_suppliers(spark, monkeypatch):
+    tables = {"events": spark.range(1, 41).select(F.col("id").alias("user_id"), F.col("id").alias("event_id")), "supplier": spark.range(1, 26).select(F.col("id").alias("s_suppkey"))}
+    passes = spark.range(1, 26).select(F.col("id").alias("grid_id"), F.lit(1).alias("pass_no"), F.lit(1).alias("run_no"), F.concat(F.lit("c"), "id").alias("code"), F.lit(2).alias("n"))
+    monkeypatch.setattr(folds, "table", lambda s, d, name: tables[name])
+    monkeypatch.setattr(folds, "_passes", lambda s, d: passes)
+    monkeypatch.setattr(folds.machine, "replay", lambda log, charts, **k: charts)
+    got = {(r.project, r.runs[0].code) for r in folds.work_engine_replay(spark, "").collect()}
+    assert got == {(u, f"c{u % 25 + 1}") for u in range(1, 41)}

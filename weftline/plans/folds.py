@@ -28,7 +28,8 @@ def work_engine_replay(s, d):
     """Every user works the chart of the supplier with the user's number (modulo the suppliers)."""
     p = _passes(s, d).groupBy("grid_id", "pass_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("run_no", "code", "n"))), lambda r: F.struct(r["code"].alias("code"), r["n"].alias("n"))).alias("runs"))
     users = table(s, d, "events").select(F.col("user_id").alias("project")).distinct()
-    return machine.replay(_log(s, d), users.join(p, users.project % 10 + 1 == p.grid_id).select("project", "pass_no", "runs"), boundary=True)
+    suppliers = max(1, table(s, d, "supplier").count())
+    return machine.replay(_log(s, d), users.join(p, users.project % suppliers + 1 == p.grid_id).select("project", "pass_no", "runs"), boundary=True)
 
 
 def written_engine_replay(s, d):
