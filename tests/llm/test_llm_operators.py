@@ -250,6 +250,57 @@ def test_near_duplicates_of_edits_and_shared_passages(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == want
 
 
+def test_near_duplicates_in_one_crowded_entry(spark, monkeypatch):
+    """Variants of one text that differ in one word: those with close places are linked, so no star reaches all of them."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    out = {i: " ".join(base[:p] + [f"n{i}"] + base[p + 1 :]) for i in range(700) for p in [rng.randrange(60)]}
+    out |= {1000 + i: " ".join(base[:30] + [f"m{i}-{j}" for j in range(25)]) for i in range(30)}  # share a passage, are not linked
+    df, want, seen = spark.createDataFrame([*out.items()], "doc_id long, text string"), brute_components(out), []
+    across = jaccard._across
+
+    def watched(*args):
+        links = across(*args).cache()
+        seen.append(links.count())
+        return links
+
+    monkeypatch.setattr(jaccard, "_across", watched)
+    for sets in (2048, 64):  # whole entries, and many pairs of blocks
+        monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard, "SPLIT_ROWS", 50)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == want
+    assert len({c for _, c in want.values()}) == 31 and seen and 0 < min(seen) and max(seen) < 20 * len(out)
+
+
+def test_near_duplicates_pool_an_ids_texts(spark):
+    words = [f"v{i}" for i in range(40)]
+    a, b = " ".join(words[:20]), " ".join(words[20:])
+    rows = [(1, a), (2, b), (3, a), (3, b), (4, b + " more"), (5, "x y z")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
+
+
+def test_spanning_links_join_what_is_linked():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 63, 80).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[:70], rng.integers(0, 1 << 63, 3).astype(np.uint64)])) for _ in range(60)]
+    own, every = np.arange(60), np.arange(60)
+    found = jaccard.spanning_links(own, sets, every, every, 75)
+    parent = list(range(60))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in found:
+        assert jaccard._similar(sets[i], sets[j], 75) and find(i) != find(j)
+        parent[find(i)] = find(j)
+    assert all(find(i) == find(j) for i in range(60) for j in range(i) if jaccard._similar(sets[i], sets[j], 75))
+
+
 def test_sketches_bound_differences():
     rng = np.random.default_rng(1)
     for n, m in ((1, 1), (40, 50), (300, 90), (5000, 4000)):

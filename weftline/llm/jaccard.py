@@ -11,15 +11,19 @@ cost model chooses. A set is also indexed in the band below its own where a part
 Each set is indexed by some spare segments more than it must. Once the entries' true sizes
 are known, a set may leave that many of its most crowded entries, by the same argument; so passages that many documents
 share make no crowded entries. An entry of at most FEW sets gives their pairs. In a larger one, each set is paired with
-the entry's least id; sets in one component then need no more comparisons, and those of several components in one entry
-are compared across components, so no link between components is lost.
+the entry's most central set, which is the one whose own entries are the most crowded. Where an entry then still holds
+several components, its sets outside the largest component are compared with all others, block against block, each pair
+of blocks in a task of its own; a task verifies what its sketches leave open and puts out only links that join two
+components which it has not joined yet. So no link between components is lost, and links stay fewer than sets.
 
 Pairs are first compared by parity sketches (each shingle flips one bit, so sketches never differ in more bits than the
 sets in shingles), then verified exactly on whole texts. Sets that are equal are joined at the start, and only one of
 each class goes on.
 
 Null or wordless texts have empty sets and no links. Null ids: the row is returned with a null component. Rows that
-repeat an id count as one document (its texts' links are pooled). Other columns are not read.
+repeat an id count as one document (its texts' links are pooled). Equal texts are one class; of ids that tie, the
+least names it. Other columns, whatever their names, are not read. An empty table gives an empty result. A text of any
+length is taken whole: a task then holds that text's shingles, and blocks hold fewer sets the larger the sets are.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ HOT_CONTENTS, HOT_LEAST = 65_536, 4
 FEW = 8
 #: An index entry with more sets than this is split over several tasks.
 SPLIT_ROWS = 100_000
+#: Sets of a block, and shingles in it, when the sets of an entry are compared block against block.
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 21
 _SALT = np.uint64(0x5851F42D4C957F2D)
 _STEP = [np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) for j in range(64)]
 
@@ -176,9 +182,9 @@ def _rows(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """Parities of the shingles in each of at least twice as many bits (a power of two, 64 at least)."""
-    size = 1 << max(6, int(2 * len(h) - 1).bit_length() if len(h) else 6)
+def sketch(h: np.ndarray, size: int | None = None) -> bytes:
+    """Parities of the shingles in each of `size` bits (None: a power of two, 64 and twice the shingles at least)."""
+    size = size or 1 << max(6, int(2 * len(h) - 1).bit_length() if len(h) else 6)
     return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
 
 
@@ -238,13 +244,9 @@ def _entries(docs: DataFrame, words: int, percent: int, hot) -> DataFrame:
 
 
 def _grouped(entries: DataFrame, few: int) -> DataFrame:
-    """What entries give, by kind: 0 a pair (a, b) of one with at most `few` sets, 1 a set (a) and its larger entry (b).
-
-    With few = 0, instead: 0 each set of an entry with the entry's least id, 2 the least id (a) of a part (b) of a split entry.
-    """
+    """What entries give, by kind: 0 a pair (a, b) of one with at most `few` sets, 1 a set (a) and its larger entry (b)."""
 
     def run(batches):
-        last = None  # sig, salt, least id and held ids of the run that the batch before has left open
         held: list[np.ndarray] = []
         n_held = 0
 
@@ -277,39 +279,27 @@ def _grouped(entries: DataFrame, few: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             sig, salt, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "salt", "id"))
-            if few:
-                if (salt > 0).any():  # split entries are large, whatever their parts hold
-                    keep(1, ids[salt > 0], sig[salt > 0])
-                    sig, ids = sig[salt == 0], ids[salt == 0]
-                if long_run is not None:  # a run that is large already goes on
-                    k = int((sig != long_run).argmax()) if (sig != long_run).any() else len(sig)
-                    keep(1, ids[:k], long_run)
-                    sig, ids = sig[k:], ids[k:]
-                    if len(sig):
-                        long_run = None
+            if (salt > 0).any():  # split entries are large, whatever their parts hold
+                keep(1, ids[salt > 0], sig[salt > 0])
+                sig, ids = sig[salt == 0], ids[salt == 0]
+            if long_run is not None:  # a run that is large already goes on
+                k = int((sig != long_run).argmax()) if (sig != long_run).any() else len(sig)
+                keep(1, ids[:k], long_run)
+                sig, ids = sig[k:], ids[k:]
                 if len(sig):
-                    sig, ids = np.concatenate([rest_sig, sig]), np.concatenate([rest_ids, ids])
-                    k = int(np.flatnonzero(sig == sig[-1])[0])
-                    small(sig[:k], ids[:k])
-                    rest_sig, rest_ids = sig[k:], ids[k:]
-                    if len(rest_sig) > few:
-                        keep(1, rest_ids, rest_sig[0])
-                        long_run, rest_sig, rest_ids = rest_sig[0], rest_sig[:0], rest_ids[:0]
-            else:
-                new = np.ones(len(sig), bool)
-                new[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
-                least = ids[new].copy()
-                if last is not None and (sig[0], salt[0]) == last[:2]:
-                    least[0], new[0] = last[2], False
-                rep = least[np.cumsum(np.concatenate([[0], new[1:]])).astype(np.int64)]
-                last = (sig[-1], salt[-1], rep[-1])
-                other, part = rep != ids, new & (salt > 0)
-                keep(0, ids[other], rep[other])
-                keep(2, ids[part], sig[part])
+                    long_run = None
+            if len(sig):
+                sig, ids = np.concatenate([rest_sig, sig]), np.concatenate([rest_ids, ids])
+                k = int(np.flatnonzero(sig == sig[-1])[0])
+                small(sig[:k], ids[:k])
+                rest_sig, rest_ids = sig[k:], ids[k:]
+                if len(rest_sig) > few:
+                    keep(1, rest_ids, rest_sig[0])
+                    long_run, rest_sig, rest_ids = rest_sig[0], rest_sig[:0], rest_ids[:0]
             if n_held > 250_000:
                 yield flush()
                 held, n_held = [], 0
-        if few and len(rest_sig):
+        if len(rest_sig):
             small(rest_sig, rest_ids)
         if n_held:
             yield flush()
@@ -317,39 +307,96 @@ def _grouped(entries: DataFrame, few: int) -> DataFrame:
     return entries.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "id").mapInArrow(run, "kind int, a long, b long")
 
 
-def _across(entries: DataFrame, percent: int) -> DataFrame:
-    """(x, r): pairs of an entry's sets in different components that may be similar by their sizes and sketches.
+def _stars(entries: DataFrame) -> DataFrame:
+    """(x, r): each set of an entry with the entry's most central one. entries: sig, salt, id, weight (how central)."""
+    pivots = entries.groupBy("sig").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"), F.max("parts").alias("parts"))
+    pivots = materialise(pivots, "pivots")
+    if pivots.count() <= BROADCAST_ROWS:
+        both = entries.join(F.broadcast(pivots.select("sig", "pivot")), "sig")
+    else:  # a split entry's pivot goes to all of its parts
+        both = entries.join(pivots.select("sig", "pivot", F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("salt")), ["sig", "salt"])
+    return both.filter("id <> pivot").select(F.greatest("id", "pivot").alias("x"), F.least("id", "pivot").alias("r")).distinct()
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets of sorted distinct shingles are similar enough."""
+    a, b = (a, b) if len(a) < len(b) else (b, a)
+    if not len(a) or 100 * len(a) < percent * len(b):
+        return False
+    same = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * same >= percent * (len(a) + len(b) - same)
+
+
+def spanning_links(component: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Positions of similar sets, one of `left` and one of `right` (positions), that join components not joined before."""
+    n, root, out = np.array([len(x) for x in sets], np.int64), component.copy(), []
+    words = max(1, (1 << max(6, int(2 * n.max() - 1).bit_length())) // 64)
+    bits = np.stack([np.frombuffer(sketch(x, 64 * words), np.uint64) for x in sets])
+    for i in left.tolist():
+        j = right[(root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
+        near = apart <= most_different(n[j], n[i], percent)
+        j = j[near][np.argsort(apart[near], kind="stable")]
+        while len(j):
+            first, j = int(j[0]), j[1:]
+            if _similar(sets[i], sets[first], percent):
+                out.append((i, first))
+                root[root == root[first]] = root[i]
+                j = j[root[j] != root[i]]
+    return out
 
-    entries: sig, component, id, n, sketch. A task holds the sketches of one entry.
-    """
 
-    def alike(rows):
-        comp, ids, n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        if comp.min() == comp.max():
-            return
-        size = min(len(r[3]) for r in rows) // 8
-        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[3], np.uint64).reshape(-1, size), axis=0) for r in rows])
-        for i in range(len(rows) - 1):
-            ok = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
-            j = np.flatnonzero(ok) + i + 1
-            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= most_different(n[j], n[i], percent)]
-            if len(j):
-                yield _rows([pa.array(np.maximum(ids[j], ids[i])), pa.array(np.minimum(ids[j], ids[i]))], ["x", "r"])
+def _across(entries: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(x, r): links between sets of an entry in different components, few enough to join those that are linked.
+
+    entries: sig, id, component of entries with several components. A set outside an entry's largest component has a
+    block among such sets (`outer`), every set one among all (`inner`); each pair of blocks is a task's group.
+    """
+    band = F.col("sig").bitwiseAND(F.lit(63))
+    sizes = entries.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    of = lambda n: F.ceil(n / F.greatest(F.lit(16), F.least(F.lit(BLOCK_SETS), F.lit(BLOCK_SHINGLES) / F.pow(F.lit(2.0), band)))).cast("int")
+    sizes = materialise(sizes.select("sig", "largest", of(F.col("n") - F.col("most")).alias("outers"), of(F.col("n")).alias("inners")), "blocks")
+    placed = entries.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "sig")
+    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+    placed = placed.withColumns({"outer": F.when(F.col("component") != F.col("largest"), block("outers", 1)).otherwise(-1), "inner": block("inners", 2)})
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    as_inner = F.transform(F.sequence(F.lit(0), F.col("outers") - 1), lambda i: pair(i, F.col("inner")))
+    as_outer = F.when(F.col("outer") >= 0, F.transform(F.sequence(F.lit(0), F.col("inners") - 1), lambda j: pair(F.col("outer"), j))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    placed = placed.select("sig", "id", "component", "outer", "inner", F.explode(F.array_union(as_inner, as_outer)).alias("at")).select("sig", "at.i", "at.j", "id", "component", "outer", "inner")
+
+    def shingled(batches):
+        forget_caches()
+        for batch in batches:
+            for i, j, data, offsets in text_chunks(batch):
+                sets = [x.tobytes() for x in shingle_sets(data, offsets, words)]
+                yield _rows([batch.column("id").slice(i, j - i), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     def run(batches):
-        sig, rows = None, []
+        at, rows = None, []
+
+        def links():
+            if len(rows) < 2:
+                return
+            ids, component, outer, inner = (np.array([r[c] for r in rows], np.int64) for c in range(4))
+            sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+            found = spanning_links(component, sets, np.flatnonzero(outer == at[1]), np.flatnonzero(inner == at[2]), percent)
+            if found:
+                a, b = (ids[list(c)] for c in zip(*found, strict=True))
+                yield _rows([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["x", "r"])
+
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("sig", "component", "id", "n", "sketch")]
-            for s, *row in zip(*columns, strict=True):
-                if s != sig:
-                    if len(rows) > 1:
-                        yield from alike(rows)
-                    sig, rows = s, []
-                rows.append(row)
-        if len(rows) > 1:
-            yield from alike(rows)
+            columns = [batch.column(c).to_pylist() for c in ("sig", "i", "j", "id", "component", "outer", "inner", "shingles")]
+            for *key, u, v, w, x, y in zip(*columns, strict=True):
+                if key != at:
+                    yield from links()
+                    at, rows = key, []
+                rows.append((u, v, w, x, y))
+        yield from links()
 
-    return entries.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "x long, r long").distinct()
+    ids = materialise(entries.select("id").distinct(), "open")
+    sets = _only(docs, ids, ids.count()).mapInArrow(shingled, "id long, shingles binary").distinct()
+    both = placed.join(sets, "id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return both.select("sig", "i", "j", "id", "component", "outer", "inner", "shingles").mapInArrow(run, "x long, r long").distinct()
 
 
 def _only(docs: DataFrame, ids: DataFrame, n: int, how: str = "left_semi") -> DataFrame:
@@ -386,15 +433,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, pe
                 sets = []
                 for c in ("tx", "tr"):
                     sets.append([s for _, _, data, offsets in text_chunks(_rows([part.column(c)], ["text"])) for s in shingle_sets(data, offsets, words)])
-                ok = []
-                for a, b in zip(*sets, strict=True):
-                    a, b = (a, b) if len(a) < len(b) else (b, a)
-                    if 100 * len(a) < percent * len(b) or not len(a):
-                        ok.append(False)
-                        continue
-                    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                    same = int((b[at] == a).sum())
-                    ok.append(100 * same >= percent * (len(a) + len(b) - same))
+                ok = [_similar(a, b, percent) for a, b in zip(*sets, strict=True)]
                 ok = pa.array(ok, pa.bool_())
                 yield _rows([part.column("x").filter(ok), part.column("r").filter(ok)], ["x", "r"])
 
@@ -415,7 +454,10 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
 
     classes = sets.filter("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("class_id"), F.max("id").alias("top")).filter("top > class_id").drop("top")
     member = materialise(sets.join(classes, ["h1", "h2", "n"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")), "classes")
-    copies = member.filter("class_id <> id").select("id").distinct()
+    # An id whose rows have different texts stays in the index, linked with the classes of all its texts.
+    own = member.filter("id IS NOT NULL").groupBy("id").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"))
+    copies = own.filter("low = high AND low <> id").select("id")
+    pooled = member.join(own.filter("low < high").select("id"), "id", "left_semi").select(F.col("id").alias("x"), F.col("class_id").alias("r"))
     firsts = _only(docs.filter("id IS NOT NULL"), copies, copies.count(), "left_anti")
 
     grouped = materialise(_grouped(_entries(firsts, words, percent, hot), FEW), "grouped")
@@ -425,16 +467,15 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     crowd = crowded.groupBy("sig").agg(F.count("*").alias("crowd"))
     band = F.col("sig").bitwiseAND(F.lit(63))
     allowed = F.array(*[F.lit(0 if band_plan(b, percent)[1] else spare(b)) for b in range(40)])
-    rank = F.row_number().over(Window.partitionBy("id", band).orderBy(F.desc("crowd"), "sig"))
-    left = crowded.join(crowd, "sig").withColumn("rank", rank).filter(F.col("rank") > F.get(allowed, band.cast("int")))
-    parts = F.floor(F.col("crowd") / SPLIT_ROWS)
-    salt = F.when(parts > 0, 1 + F.pmod(F.xxhash64("id"), parts + 1)).otherwise(0).cast("int")
-    left = materialise(left.select("sig", salt.alias("salt"), "id"), "crowded")
-    stars = materialise(_grouped(left, 0), "stars")
-    some = stars.filter("kind = 2").select(F.col("a").alias("x"), F.col("b").alias("sig"))
-    tops = some.join(some.groupBy("sig").agg(F.min("x").alias("r")), "sig").filter("x <> r").select("x", "r")
-    star_pairs = materialise(stars.filter("kind = 0").select(F.col("a").alias("x"), F.col("b").alias("r")).unionByName(tops).distinct(), "pairs")
-    links = materialise(_verified(direct.unionByName(star_pairs).distinct(), docs, sketched, words, percent), "near")
+    own = Window.partitionBy("id", band)
+    ranked = crowded.join(crowd, "sig").withColumns({"rank": F.row_number().over(own.orderBy(F.desc("crowd"), "sig")), "weight": F.sum("crowd").over(own)})
+    left = ranked.filter(F.col("rank") > F.get(allowed, band.cast("int")))
+    parts = F.floor(F.col("crowd") / SPLIT_ROWS).cast("int")
+    salt = F.when(parts > 0, F.pmod(F.xxhash64("id"), parts + 1)).otherwise(0).cast("int")
+    left = materialise(left.select("sig", salt.alias("salt"), parts.alias("parts"), "id", "weight"), "crowded")
+    star_pairs = materialise(_stars(left), "pairs")
+    links = _verified(direct.unionByName(star_pairs).distinct(), docs, sketched, words, percent)
+    links = materialise(links.unionByName(pooled), "near")
 
     reach = materialise(components(links, "x", "r"), "components")
     of = lambda c, n: reach.select(F.col("node").alias(c), F.col("component").alias(n))
@@ -442,9 +483,8 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     if not apart.isEmpty():
         labelled = left.join(of("id", "component"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
         mixed = labelled.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
-        inside = labelled.join(mixed, "sig", "left_semi").join(sketched, "id").select("sig", "component", "id", "n", "sketch")
-        rest = _across(inside, percent).join(star_pairs, ["x", "r"], "left_anti")
-        more = materialise(_verified(rest, docs, sketched, words, percent), "near")
+        inside = materialise(labelled.join(mixed, "sig", "left_semi"), "mixed")
+        more = materialise(_across(inside, docs, words, percent), "near")
         if not more.isEmpty():  # the components so far stand for their links
             reach = materialise(components(of("x", "r").unionByName(more), "x", "r"), "components")
     out = member.join(of("class_id", "component"), "class_id", "left")
