@@ -251,27 +251,25 @@ def test_near_duplicates_of_edits_and_shared_passages(spark, monkeypatch):
 
 
 def test_near_duplicates_in_one_crowded_entry(spark, monkeypatch):
-    """Variants of one text that differ in one word: those with close places are linked, so no star reaches all of them."""
+    """Variants of one text that differ in one word: those with close places are linked, so one star cannot reach all of them."""
     rng = random.Random(11)
     base = [f"b{i}" for i in range(60)]
     out = {i: " ".join(base[:p] + [f"n{i}"] + base[p + 1 :]) for i in range(700) for p in [rng.randrange(60)]}
     out |= {1000 + i: " ".join(base[:30] + [f"m{i}-{j}" for j in range(25)]) for i in range(30)}  # share a passage, are not linked
-    df, want, seen = spark.createDataFrame([*out.items()], "doc_id long, text string"), brute_components(out), []
-    across = jaccard._across
-
-    def watched(*args):
-        links = across(*args).cache()
-        seen.append(links.count())
-        return links
-
-    monkeypatch.setattr(jaccard, "_across", watched)
-    for sets in (2048, 64):  # whole entries, and many pairs of blocks
-        monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == want
+    df, want = spark.createDataFrame([*out.items()], "doc_id long, text string"), brute_components(out)
+    assert len({c for _, c in want.values()}) == 31
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(jaccard, "SPLIT_ROWS", 50)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == want
-    assert len({c for _, c in want.values()}) == 31 and seen and 0 < min(seen) and max(seen) < 20 * len(out)
+    docs = df.withColumnRenamed("doc_id", "id")
+    entries = docs.select(F.lit(64 + 5).cast("long").alias("sig"), "id", F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("component"))
+    known = {i: min(i, want[i][1]) for i in out}
+    for sets, most in ((2048, 1), (100, 7 * 8)):  # the whole entry in one task, and many pairs of blocks
+        monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
+        links = [(r.x, r.r) for r in jaccard._across(entries, docs, 5, 75).collect()]
+        assert 0 < len(links) < most * len(out)
+        got = graph.components(spark.createDataFrame(links + [(i, 0) for i in range(1, 300)], "x long, r long"), "x", "r")
+        assert {r.node: r.component for r in got.collect()} == {i: c for i, c in known.items() if i < 1000}
 
 
 def test_near_duplicates_pool_an_ids_texts(spark):
