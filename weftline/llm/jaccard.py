@@ -12,9 +12,11 @@ Each set is indexed by some spare segments more than it must. Once the entries'
 are known, a set may leave that many of its most crowded entries, by the same argument; so passages that many documents
 share make no crowded entries. An entry of at most FEW sets gives their pairs. In a larger one, each set is paired with
 the entry's most central set, which is the one whose own entries are the most crowded. Where an entry then still holds
-several components, its sets outside the largest component are compared with all others, block against block, each pair
-of blocks in a task of its own; a task verifies what its sketches leave open and puts out only links that join two
-components which it has not joined yet. So no link between components is lost, and links stay fewer than sets.
+several components, its sets outside the largest component are compared by sketches with all others, block against
+block, each pair of blocks as a group of its own, which gives only as many pairs as join what may belong together. Once
+these are verified, entries that still hold several components are compared again: now the sets of all pairs that the
+sketches leave open are verified inside the group, which gives only links that join two components it has not joined
+yet. So no link between components is lost, and what is put out grows with sets, not with pairs.
 
 Pairs are first compared by parity sketches (each shingle flips one bit, so sketches never differ in more bits than the
 sets in shingles), then verified exactly on whole texts. Sets that are equal are joined at the start, and only one of
@@ -182,9 +184,9 @@ def _rows(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def sketch(h: np.ndarray, size: int | None = None) -> bytes:
-    """Parities of the shingles in each of `size` bits (None: a power of two, 64 and twice the shingles at least)."""
-    size = size or 1 << max(6, int(2 * len(h) - 1).bit_length() if len(h) else 6)
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of the shingles in each of at least twice as many bits (a power of two, 64 at least)."""
+    size = 1 << max(6, int(2 * len(h) - 1).bit_length() if len(h) else 6)
     return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
 
 
@@ -327,76 +329,128 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
-def spanning_links(component: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Positions of similar sets, one of `left` and one of `right` (positions), that join components not joined before."""
-    n, root, out = np.array([len(x) for x in sets], np.int64), component.copy(), []
-    words = max(1, (1 << max(6, int(2 * n.max() - 1).bit_length())) // 64)
-    bits = np.stack([np.frombuffer(sketch(x, 64 * words), np.uint64) for x in sets])
+def open_pairs(component: np.ndarray, n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int):
+    """For each position in `left`: it, and positions in `right` of other components that may be similar by sizes and sketches, nearest first.
+
+    component may be changed between steps, when components are joined.
+    """
     for i in left.tolist():
-        j = right[(root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        j = right[(component[right] != component[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
         apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
         near = apart <= most_different(n[j], n[i], percent)
-        j = j[near][np.argsort(apart[near], kind="stable")]
+        if near.any():
+            yield i, j[near][np.argsort(apart[near], kind="stable")]
+
+
+def spanning_links(component: np.ndarray, n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, similar) -> list[tuple[int, int]]:
+    """Open pairs that are similar (by a function of two positions) and join components not joined before."""
+    root, out = component.copy(), []
+    for i, j in open_pairs(root, n, bits, left, right, percent):
         while len(j):
             first, j = int(j[0]), j[1:]
-            if _similar(sets[i], sets[first], percent):
+            if similar(i, first):
                 out.append((i, first))
                 root[root == root[first]] = root[i]
                 j = j[root[j] != root[i]]
     return out
 
 
-def _across(entries: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(x, r): links between sets of an entry in different components, few enough to join those that are linked.
+_PLACED = "sig long, i int, j int, id long, component long, outer int, inner int, n long, sketch binary"
+
 
-    entries: sig, id, component of entries with several components. A set outside an entry's largest component has a
-    block among such sets (`outer`), every set one among all (`inner`); each pair of blocks is a task's group.
+def _placed(entries: DataFrame, sketched: DataFrame) -> DataFrame:
+    """_PLACED: the sets of entries with several components, in each group (sig, i, j) that they belong to.
+
+    entries: sig, id, component. A set outside an entry's largest component has a block among such sets (`outer`, else
+    -1), every set has one among all (`inner`); each pair of blocks is a group.
     """
     band = F.col("sig").bitwiseAND(F.lit(63))
     sizes = entries.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n"))
     of = lambda n: F.ceil(n / F.greatest(F.lit(16), F.least(F.lit(BLOCK_SETS), F.lit(BLOCK_SHINGLES) / F.pow(F.lit(2.0), band)))).cast("int")
-    sizes = materialise(sizes.select("sig", "largest", of(F.col("n") - F.col("most")).alias("outers"), of(F.col("n")).alias("inners")), "blocks")
+    sizes = materialise(sizes.filter("n > most").select("sig", "largest", of(F.col("n") - F.col("most")).alias("outers"), of(F.col("n")).alias("inners")), "blocks")
     placed = entries.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "sig")
     block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
     placed = placed.withColumns({"outer": F.when(F.col("component") != F.col("largest"), block("outers", 1)).otherwise(-1), "inner": block("inners", 2)})
     pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
     as_inner = F.transform(F.sequence(F.lit(0), F.col("outers") - 1), lambda i: pair(i, F.col("inner")))
     as_outer = F.when(F.col("outer") >= 0, F.transform(F.sequence(F.lit(0), F.col("inners") - 1), lambda j: pair(F.col("outer"), j))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
-    placed = placed.select("sig", "id", "component", "outer", "inner", F.explode(F.array_union(as_inner, as_outer)).alias("at")).select("sig", "at.i", "at.j", "id", "component", "outer", "inner")
+    placed = placed.select("sig", "id", "component", "outer", "inner", F.explode(F.array_union(as_inner, as_outer)).alias("at"))
+    return placed.select("sig", "at.i", "at.j", "id", "component", "outer", "inner").join(sketched, "id").select(*[c.split()[0] for c in _PLACED.split(", ")])
 
-    def shingled(batches):
-        forget_caches()
-        for batch in batches:
-            for i, j, data, offsets in text_chunks(batch):
-                sets = [x.tobytes() for x in shingle_sets(data, offsets, words)]
-                yield _rows([batch.column("id").slice(i, j - i), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+def _by_group(placed: DataFrame, compare, schema: str) -> DataFrame:
+    """What compare(sig, i, j, rows of the group) gives, a group at a time; placed: sig, i, j, id, component, outer, inner, and more."""
+    columns = placed.columns
 
     def run(batches):
         at, rows = None, []
-
-        def links():
-            if len(rows) < 2:
-                return
-            ids, component, outer, inner = (np.array([r[c] for r in rows], np.int64) for c in range(4))
-            sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-            found = spanning_links(component, sets, np.flatnonzero(outer == at[1]), np.flatnonzero(inner == at[2]), percent)
-            if found:
-                a, b = (ids[list(c)] for c in zip(*found, strict=True))
-                yield _rows([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["x", "r"])
-
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("sig", "i", "j", "id", "component", "outer", "inner", "shingles")]
-            for *key, u, v, w, x, y in zip(*columns, strict=True):
+            for *key, rest in zip(*[batch.column(c).to_pylist() for c in columns[:3]], zip(*[batch.column(c).to_pylist() for c in columns[3:]], strict=True), strict=True):
                 if key != at:
-                    yield from links()
+                    if len(rows) > 1:
+                        yield from compare(*at, rows)
                     at, rows = key, []
-                rows.append((u, v, w, x, y))
-        yield from links()
+                rows.append(rest)
+        if len(rows) > 1:
+            yield from compare(*at, rows)
+
+    return placed.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, schema)
+
+
+def _group(i: int, j: int, rows: list, percent: int) -> tuple:
+    """Arrays of a group's rows (id, component, outer, inner, n, sketch): ids, and the arguments of open_pairs."""
+    ids, component, outer, inner, n = (np.array([r[c] for r in rows], np.int64) for c in range(5))
+    words = min(len(r[5]) for r in rows) // 8
+    bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[5], np.uint64).reshape(-1, words), axis=0) for r in rows])
+    return ids, component, n, bits, np.flatnonzero(outer == i), np.flatnonzero(inner == j), percent
+
 
-    ids = materialise(entries.select("id").distinct(), "open")
+def _forest(placed: DataFrame, percent: int) -> DataFrame:
+    """(sig, x, r): pairs that are open by their sketches, as many as join the components they belong to."""
+
+    def compare(sig, i, j, rows):
+        ids, *group = _group(i, j, rows, percent)
+        if found := spanning_links(*group, lambda a, b: True):
+            a, b = (ids[list(c)] for c in zip(*found, strict=True))
+            yield _rows([pa.array(np.full(len(a), sig)), pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["sig", "x", "r"])
+
+    return _by_group(placed, compare, "sig long, x long, r long")
+
+
+def _across(placed: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(x, r): links between sets of a group in different components, as many as join those that are linked.
+
+    Only sets of pairs that the sketches leave open are read: first which they are, then what they hold.
+    """
+
+    def involved(sig, i, j, rows):
+        _, *group = _group(i, j, rows, percent)
+        some = np.zeros(len(rows), bool)
+        for k, near in open_pairs(*group):
+            some[k] = some[near] = True
+        if some.any():
+            kept = [rows[k] for k in np.flatnonzero(some).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(kept), t) for x, t in ((sig, pa.int64()), (i, pa.int32()), (j, pa.int32()))] + [pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), fields, strict=True)], names=["sig", "i", "j", *[f.name for f in fields]])
+
+    fields = [pa.field("id", pa.int64()), pa.field("component", pa.int64()), pa.field("outer", pa.int32()), pa.field("inner", pa.int32()), pa.field("n", pa.int64()), pa.field("sketch", pa.binary())]
+
+    def shingled(batches):
+        forget_caches()
+        for batch in batches:
+            for i, j, data, offsets in text_chunks(batch):
+                yield _rows([batch.column("id").slice(i, j - i), pa.array([x.tobytes() for x in shingle_sets(data, offsets, words)], pa.binary())], ["id", "shingles"])
+
+    def compare(sig, i, j, rows):
+        ids, *group = _group(i, j, rows, percent)
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        if found := spanning_links(*group, lambda a, b: _similar(sets[a], sets[b], percent)):
+            a, b = (ids[list(c)] for c in zip(*found, strict=True))
+            yield _rows([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["x", "r"])
+
+    rows = materialise(_by_group(placed, involved, _PLACED), "involved")
+    ids = materialise(rows.select("id").distinct(), "open")
     sets = _only(docs, ids, ids.count()).mapInArrow(shingled, "id long, shingles binary").distinct()
-    both = placed.join(sets, "id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return both.select("sig", "i", "j", "id", "component", "outer", "inner", "shingles").mapInArrow(run, "x long, r long").distinct()
+    return _by_group(rows.join(sets, "id").select(*rows.columns, "shingles"), compare, "x long, r long").distinct()
 
 
 def _only(docs: DataFrame, ids: DataFrame, n: int, how: str = "left_semi") -> DataFrame:
@@ -480,11 +534,19 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     reach = materialise(components(links, "x", "r"), "components")
     of = lambda c, n: reach.select(F.col("node").alias(c), F.col("component").alias(n))
     apart = star_pairs.join(of("x", "cx"), "x", "left").join(of("r", "cr"), "r", "left").filter(F.coalesce("cx", "x") != F.coalesce("cr", "r"))
-    if not apart.isEmpty():
-        labelled = left.join(of("id", "component"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-        mixed = labelled.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
-        inside = materialise(labelled.join(mixed, "sig", "left_semi"), "mixed")
-        more = materialise(_across(inside, docs, words, percent), "near")
+    mixed = None if apart.isEmpty() else left
+    for last in (False, True):
+        if mixed is None:
+            break
+        labelled = mixed.join(of("id", "component"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+        placed = _placed(materialise(labelled, "labelled"), sketched)
+        if last:
+            more = materialise(_across(placed, docs, words, percent), "near")
+        else:
+            forest = materialise(_forest(placed, percent), "forest")
+            more = materialise(_verified(forest.select("x", "r").distinct().join(star_pairs, ["x", "r"], "left_anti"), docs, sketched, words, percent), "near")
+            sigs = forest.select("sig").distinct()  # in other entries, nothing is open
+            mixed = None if forest.isEmpty() else left.join(sigs, "sig", "left_semi")
         if not more.isEmpty():  # the components so far stand for their links
             reach = materialise(components(of("x", "r").unionByName(more), "x", "r"), "components")
     out = member.join(of("class_id", "component"), "class_id", "left")
