@@ -5,8 +5,10 @@ pass: expectation-maximisation over the counted vote patterns estimates, for the
 each rule casts each vote, and a document's posterior probability of being good follows from its votes. All counting is
 done with DataFrame functions; the driver sees only the table of vote patterns, at most 3 to the number of rules.
 
-A null or empty text has no words and fails the base rule; null or repeated ids are kept as rows of their own. Columns
-of the input are carried along except those named like an output of this operator, which are replaced.
+A null or empty text has no words and fails the base rule; null or repeated ids are kept as rows of their own. Rows that
+repeat or tie get the same verdict. A very long text is counted whole, in one row's memory. An empty table gives an empty
+result (the beliefs stand). Columns of the input are carried along except those named like an output of this operator,
+which are replaced.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ BLANK = " \t\n\x0b\x0c\r"
 FEW_REPEATS = 64
 ITERATIONS = 60
 PSEUDO_DOCS = 20.0
-#: The least precision that EM may give a vote against a document.
-RIGHT = 0.9
+#: Beliefs before any vote is seen: chances of votes (bad, none, good) on bad and on good documents, and the share of good ones.
+BELIEF, GOOD = ((0.35, 0.35, 0.30), (0.02, 0.18, 0.80)), 0.85
 
 
 def _when(bad: Column, good: Column) -> Column:
@@ -36,18 +38,19 @@ def _share(a: str, b: str = "n_words") -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
-#: Rules by name, over the counts of `counted`.
+#: Rules by name, over the counts of `counted`: each has a range in which it votes against, one in which it votes for, and abstains between.
 RULES = {
-    "symbols": lambda: _when(_share("n_symbols", "word_chars") > 0.03, F.lit(False)),
-    "shouting": lambda: _when((_share("n_upper_words") > 0.25) & (F.col("n_upper_words") >= 10), F.lit(False)),
-    "repeats": lambda: _when(_share("n_repeat_words") > 0.3, F.lit(False)),
-    "lines": lambda: _when((F.col("n_dup_lines") >= 3) & (_share("n_dup_lines", "n_lines") > 0.3), F.lit(False)),
-    "variety": lambda: _when(_share("n_distinct_words") < F.when(F.col("n_words") < 500, 0.3).otherwise(0.1), F.lit(False)),
-    "wordless": lambda: _when(_share("n_bare_words") > 0.1, F.lit(False)),
-    "lengths": lambda: _when((_share("word_chars") < 2.5) | (_share("word_chars") > 12), (_share("word_chars") >= 3.5) & (_share("word_chars") <= 9)),
-    "sentences": lambda: _when((F.col("n_ends") == 0) & (F.col("n_words") >= 50), _share("n_ends") >= 0.02),
+    "symbols": lambda: _when(_share("n_symbols", "word_chars") > 0.05, _share("n_symbols", "word_chars") <= 0.01),
+    "wordless": lambda: _when(_share("n_bare_words") > 0.1, _share("n_bare_words") <= 0.01),
+    "lengths": lambda: _when((_share("word_chars") < 3.5) | (_share("word_chars") > 7), _share("word_chars").between(4.3, 6)),
+    "sentences": lambda: _when(_share("n_ends") < 0.025, _share("n_ends").between(0.05, 0.2)),
+    "commas": lambda: _when(_share("n_commas") < 0.01, _share("n_commas").between(0.03, 0.15)),
+    "repeats": lambda: _when(_share("n_repeat_words") > 0.1, _share("n_repeat_words") <= 0.01),
+    "lines": lambda: _when(_share("n_dup_lines", "n_lines") > 0.1, F.col("n_dup_lines") == 0),
+    "shouting": lambda: _when(_share("n_upper_words") > 0.1, _share("n_upper_words") <= 0.02),
+    "variety": lambda: _when(_share("n_distinct_words") < F.when(F.col("n_words") < 1000, 0.55).otherwise(0.2), _share("n_distinct_words") >= F.when(F.col("n_words") < 1000, 0.65).otherwise(0.3)),
 }
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_distinct_words", "n_bare_words", "n_ends")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_distinct_words", "n_bare_words", "n_ends", "n_commas")
 
 
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -80,6 +83,7 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_distinct_words": F.size(F.array_distinct("_q_w")),
         "n_bare_words": total(lambda x: F.when(F.length(x) <= 2, F.when(x.rlike(r"^[^\p{L}\p{N}]+$"), 1).otherwise(0)).otherwise(0)),
         "n_ends": total(lambda x: F.when(F.right(x, F.lit(1)).isin(".", "!", "?"), 1).otherwise(0)),
+        "n_commas": total(lambda x: F.when(F.right(x, F.lit(1)) == ",", 1).otherwise(0)),
     }
     d = d.withColumns({k: c.cast("long") for k, c in made.items()})
     return d.drop("_q_w", "_q_lines", "_q_h", "_q_s", "_q_again", "_q_at")
@@ -88,15 +92,15 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
 def fit(patterns: Sequence[tuple[tuple[int, ...], int]]) -> tuple[float, list[list[list[float]]]]:
     """EM over (votes, documents) patterns: (share of good documents, chances[class][rule][vote + 1]), class 1 is good.
 
-    It starts from rules that are seldom wrong on good documents, and PSEUDO_DOCS documents of that belief stay in.
+    It starts from BELIEF, and PSEUDO_DOCS documents of that belief stay in; nothing else binds the estimates, so a rule
+    whose votes the others contradict loses its weight.
     """
     rules = len(patterns[0][0]) if patterns else len(RULES)
-    belief = ([0.35, 0.35, 0.30], [0.01, 0.29, 0.70])
-    chances = [[list(belief[c]) for _ in range(rules)] for c in (0, 1)]
-    prior = 0.85
+    chances = [[list(BELIEF[c]) for _ in range(rules)] for c in (0, 1)]
+    prior = GOOD
     for _ in range(ITERATIONS):
-        sums = [[[PSEUDO_DOCS * p for p in belief[c]] for _ in range(rules)] for c in (0, 1)]
-        good, all_docs = 0.85 * PSEUDO_DOCS, PSEUDO_DOCS
+        sums = [[[PSEUDO_DOCS * p for p in BELIEF[c]] for _ in range(rules)] for c in (0, 1)]
+        good, all_docs = GOOD * PSEUDO_DOCS, PSEUDO_DOCS
         for votes, n in patterns:
             p = posterior(votes, prior, chances)
             good, all_docs = good + n * p, all_docs + n
@@ -105,9 +109,6 @@ def fit(patterns: Sequence[tuple[tuple[int, ...], int]]) -> tuple[float, list[li
                 sums[0][r][v + 1] += n * (1 - p)
         prior = min(0.999, max(0.001, good / all_docs))
         chances = [[[x / sum(row) for x in row] for row in c] for c in sums]
-        for r in range(rules):  # a vote against a document is taken to be right at least RIGHT of the time, one for it to say little
-            chances[1][r][0] = min(chances[1][r][0], chances[0][r][0] * (1 - prior) / prior * (1 - RIGHT) / RIGHT)
-            chances[0][r][2] = max(chances[0][r][2], chances[1][r][2] * 0.7)
     return prior, chances
 
 
