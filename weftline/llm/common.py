@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: Bytes of an Arrow batch between Spark and its Python workers while a table is written.
 BATCH_BYTES, _BATCH_BYTES = str(4 << 20), "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Tables that `materialise` has written, by application.
+_WRITTEN: dict[str, set[str]] = {}
 #: What this worker process remembers between tasks, by operator: dicts that may be emptied.
 CACHES: list[dict] = []
 #: Rows below which a key list may be broadcast; beyond it, the same join is made by shuffling.
@@ -57,7 +59,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH_BYTES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return out
+
+
+def _delete(spark: SparkSession, paths) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` has written; nothing may read them any more."""
+    for t in tables:
+        _delete(t.sparkSession, [t._weftline_path])
+        _WRITTEN[t.sparkSession.sparkContext.applicationId].discard(t._weftline_path)
+
+
+@atexit.register
+def discard_all() -> None:
+    """Delete what is left of this application's tables, at the end of the driver, while its session is still there."""
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        spark = SparkSession.getActiveSession() if _WRITTEN else None
+        if spark is not None:
+            _delete(spark, _WRITTEN.pop(spark.sparkContext.applicationId, ()))
 
 
 def forget_caches() -> None:

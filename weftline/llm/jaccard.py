@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, forget_caches, materialise, mix, most_frequent, text_chunks, word_hashes, word_spans
+from .common import BROADCAST_ROWS, discard, forget_caches, materialise, mix, most_frequent, text_chunks, word_hashes, word_spans
 from .graph import components
 
 WORDS, PERCENT = 5, 75
@@ -530,6 +530,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     star_pairs = materialise(_stars(left), "pairs")
     links = _verified(direct.unionByName(star_pairs).distinct(), docs, sketched, words, percent)
     links = materialise(links.unionByName(pooled), "near")
+    discard(grouped)
 
     reach = materialise(components(links, "x", "r"), "components")
     of = lambda c, n: reach.select(F.col("node").alias(c), F.col("component").alias(n))
@@ -549,6 +550,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
             mixed = None if forest.isEmpty() else left.join(sigs, "sig", "left_semi")
         if not more.isEmpty():  # the components so far stand for their links
             reach = materialise(components(of("x", "r").unionByName(more), "x", "r"), "components")
+    discard(found, left, star_pairs, links)
     out = member.join(of("class_id", "component"), "class_id", "left")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
 

@@ -1,26 +1,34 @@
 """Personal data by bootstrapped contextual extraction.
 
-Patterns of four kinds (email, ip, card, phone) give the seed entities. Words that look like identifiers (they hold a
-digit or an @) are mentions, each with its lexical context: the word before it, and the two words before it. Contexts
-and mentions form a graph; Spark scores it in rounds: a context's confidence for a kind is the smoothed share of its
-mentions that are known to be of that kind, and a mention becomes known when its contexts are confident enough. Only
-contexts with enough distinct seed entities and high confidence discover mentions that no pattern has matched. All of
-it is DataFrame functions; what is grouped by context is aggregated partially first, so a frequent word is no hot key.
-
-Offsets are code points, ends exclusive. A null text counts as empty; rows that repeat an id, or have none, stay.
-Where texts of one id are equal, they get the same spans. Other columns are carried by `redacted`, not by `found`.
+Patterns of four kinds (email, ip, card, phone) give the seed entities, and assignments of long quoted values to names
+such as token or password give seeds of a fifth, secret. Words that look like identifiers (they hold a digit or an @;
+numeric words that follow one another are one) are mentions. Each mention induces lexical patterns: the one and the two
+words before it, the word after it, both sides together, its shape (character classes with the lengths of digit runs), its
+form (the same without lengths), its kind of characters with its length, the same with its first character, and its shape with the word on either side.
+
+Patterns and mentions form a graph, which Spark scores in rounds: a pattern's confidence for a kind is the smoothed
+share of its mentions that are known to be of that kind, and a pattern counts only with enough distinct seed entities
+and high confidence; a mention's belief is one minus the product of its patterns' doubts, and a mention that is believed
+is known in the next round. Rounds end when none finds a new mention. All of it is DataFrame functions; what is grouped
+by pattern is aggregated partially first, so a frequent word or shape is no hot key.
+
+Offsets are code points, ends exclusive. A null or empty text has no spans; rows that repeat an id, or have none, stay.
+Where texts of one id are equal, they get the same spans. Of kinds with equal beliefs the later name is taken. A text of
+any length is searched whole, in one row's memory. An empty table gives an empty result. Other columns, whatever their
+names, are carried by `redacted`, not by `found`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise
+from .common import BROADCAST_ROWS, discard, materialise
 
 KINDS = ("email", "ip", "card", "phone")
-#: A context needs so many distinct seed entities, and so high a confidence, before it discovers anything.
-LEAST_SEEDS, CONFIDENT, ROUNDS = 5, 0.8, 2
+ALL_KINDS = (*KINDS, "secret")
+#: A pattern needs so many distinct seed entities, and so high a confidence, before it discovers anything.
+LEAST_SEEDS, CONFIDENT = 5, 0.8
 
 # The patterns match what the plain ones of the contract match, without their rescans and recursion on long texts:
 # a match begins where a run begins (or where the match before ended), and runs are possessive.
@@ -28,7 +36,9 @@ _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"(?=(?:[0-9][\x20-]?){12}[0-9])[0-9][0-9\x20-]*"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_MENTION = r"(?<!\S)[^\s0-9@]{0,64}[0-9@]\S*"
+_SECRET = r"(?i)(?<=(?:token|secret|password|passwd|api_key|apikey|access_key)[\"']?\x20{0,2}[=:]\x20{0,2}[\"'])[^\s\"']{16,}+"
+_NUMERIC = r"[0-9().+-]*+"
+_MENTION = rf"(?<!\S)(?:[+(]?+[0-9]{_NUMERIC}(?:\x20(?=[(+]?[0-9]){_NUMERIC}(?!\S))++(?!\S)|[^\s0-9@]*+[0-9@]\S*+)"
 
 _SPANS = "array<struct<start:int,end:int,what:string>>"
 
@@ -83,87 +93,105 @@ def _cards(runs: Column) -> Column:
 
 
 def seeds(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with columns email, ip, card, phone and mention: arrays of {start, end, what}."""
+    """docs with columns email, ip, card, phone, secret and mention: arrays of {start, end, what}, mentions with the words around."""
     digit = F.col("t").rlike("[0-9]")
     d = docs.withColumn("t", F.coalesce(F.col(text), F.lit("")))
     d = _matches(d, "email", _EMAIL, F.col("t").contains("@"))
     d = _matches(d, "ip", _IP, digit)
     d = _matches(d, "card", _CARD, digit)
     d = _matches(d, "phone", _PHONE, F.col("t").contains("+"))
-    # A mention's context: the piece of text before it.
+    d = _matches(d, "secret", _SECRET, F.col("t").rlike("(?i)token|secret|passw|api_?key|access_key"))
+    # A mention's context: the pieces of text before and after it.
     d = d.withColumn("_m", F.when(digit | F.col("t").contains("@"), F.regexp_extract_all("t", F.lit(_MENTION), F.lit(0))).otherwise(F.array().cast("array<string>")))
     d = d.withColumn("_g", F.when(F.size("_m") > 0, F.split("t", _MENTION, -1)))
     d = d.withColumn("_p", _placed(F.col("_m"), F.col("_g")))
-    before = lambda p, i: F.lower(F.right(F.get("_g", i), F.lit(120)))
-    d = d.withColumn("mention", F.transform("_p", lambda p, i: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["what"].alias("what"), F.regexp_extract(before(p, i), r"(\S+)\s+$", 1).alias("one"), F.regexp_extract(before(p, i), r"(\S+\s+\S+)\s+$", 1).alias("two"))))
+    around = F.transform("_g", lambda g: F.struct(F.reverse(g).alias("back"), g.alias("on")))
+    d = d.withColumn("_a", around)
+    back = lambda i, n: F.lower(F.reverse(F.regexp_extract(F.get("_a", i)["back"], r"^\s+(\S+)(?:\s+(\S+))?", n)))
+    made = lambda p, i: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["what"].alias("what"), back(i, 1).alias("one"), back(i, 2).alias("two"), F.lower(F.regexp_extract(F.get("_a", i + 1)["on"], r"^\s+(\S+)", 1)).alias("after"))
+    d = d.withColumn("mention", F.transform("_p", made))
     part = lambda x: F.forall(F.split(x["what"], r"\."), lambda y: F.coalesce(y.try_cast("decimal(38,0)") <= 255, F.lit(False)))
     return d.withColumns({
         "ip": F.filter("ip", part),
         "card": _cards(F.col("card")),
         "phone": F.filter("phone", lambda x: F.length(_digits(x["what"])).between(9, 15)),
-    }).drop("t", "_m", "_g", "_p")
-
-
-def discovered(found: DataFrame, key: list[str]) -> DataFrame:
-    """(key..., kind, start, end) of mentions that contexts discover. found: key, the kinds' spans, mention."""
-    known = F.flatten(F.array(*[_tagged(k) for k in KINDS]))
-    m = found.filter(F.size("mention") > 0).select(*key, known.alias("known"), F.explode("mention").alias("m"))
+    }).drop("t", "_m", "_g", "_p", "_a")
+
+
+def _patterns(core: Column, one: Column, two: Column, after: Column) -> Column:
+    """The lexical patterns that a mention induces; core: the mention without what surrounds it."""
+    shape = core
+    for these, by in (("[0-9]", "9"), (r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"\p{L}+", "a")):
+        shape = F.regexp_replace(shape, these, by)
+    of = F.when(core.rlike("^[0-9]+$"), "number").when(core.rlike("(?i)^[0-9a-f]+$"), "hex").when(core.rlike(r"^[\p{L}\p{N}_-]+$"), "name").otherwise("mixed")
+    classed = F.concat_ws(" ", of, F.length(core))
+    left, right = F.col("one") != "", F.col("after") != ""
+    every = [
+        F.when(left, F.concat(F.lit("left "), one)), F.when(two != "", F.concat(F.lit("left2 "), two, F.lit(" "), one)), F.when(right, F.concat(F.lit("right "), after)),
+        F.when(left & right, F.concat(F.lit("both "), one, F.lit(" _ "), after)), F.concat(F.lit("shape "), shape), F.concat(F.lit("form "), F.regexp_replace(shape, "9+", "9")), F.concat(F.lit("class "), classed), F.concat(F.lit("first "), F.left(core, F.lit(1)), F.lit(" "), classed),
+        F.when(left, F.concat(F.lit("left+shape "), one, F.lit(" "), shape)), F.when(right, F.concat(F.lit("shape+right "), shape, F.lit(" "), after)),
+    ]
+    return F.array_compact(F.array(*every))
+
+
+def mentions(found: DataFrame) -> DataFrame:
+    """_key, start, end (without what surrounds the mention), what, kind (null: not a seed), patterns. found: _key, kinds' spans, mention."""
+    known = F.flatten(F.array(*[_tagged(k) for k in ALL_KINDS]))
+    m = found.filter(F.size("mention") > 0).select("_key", known.alias("known"), F.explode("mention").alias("m"))
     over = F.filter("known", lambda k: (k["start"] < F.col("m.end")) & (k["end"] > F.col("m.start")))
-    m = m.select(*key, "m.start", "m.end", "m.what", "m.one", "m.two", over.alias("over"))
+    m = m.select("_key", "m.*", over.alias("over"))
     first = F.get("over", 0)
     # A mention inside an entity that began before it is a part of it, not a mention of its own.
     m = m.filter((F.size("over") == 0) | (first["start"] >= F.col("start")))
-    m = m.select(*key, "start", "end", F.coalesce(first["what"], "what").alias("what"), first["kind"].alias("kind"), F.array("one", "two").alias("contexts"))
-    m = materialise(m.distinct(), "mentions")
-    if m.filter("kind IS NULL").isEmpty() or m.filter("kind IS NOT NULL").isEmpty():
-        return m.filter("false").select(*key, "kind", "start", "end")
-    state = m.withColumn("seed", F.col("kind").isNotNull())
-    for _ in range(ROUNDS):
-        edges = state.select("what", "kind", "seed", F.explode("contexts").alias("context")).filter("context <> ''")
-        counts = edges.groupBy("context").agg(F.count("*").alias("n"))
-        scored = edges.filter("kind IS NOT NULL").groupBy("context", "kind").agg(F.count("*").alias("n_kind"), F.count_distinct(F.when(F.col("seed"), F.col("what"))).alias("n_seeds"))
-        scored = scored.join(counts, "context").withColumn("confidence", F.col("n_kind") / (F.col("n") + 1)).filter((F.col("n_seeds") >= LEAST_SEEDS) & (F.col("confidence") >= CONFIDENT)).select("context", F.col("kind").alias("found"), "confidence")
-        scored = materialise(scored, "contexts")
-        if scored.isEmpty():
-            break
-        open_rows = state.filter("kind IS NULL").select(*key, "start", "end", F.explode("contexts").alias("context"))
-        # Independent contexts: one minus the product of their doubts.
-        won = open_rows.join(scored, "context").groupBy(*key, "start", "end", "found").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence") * 0.999)))).alias("p"))
-        won = won.groupBy(*key, "start", "end").agg(F.max_by("found", F.struct("p", "found")).alias("found"))
-        condition = F.lit(True)
-        for c in [*key, "start", "end"]:
-            condition = condition & F.col(f"s.{c}").eqNullSafe(F.col(f"w.{c}"))
-        state = materialise(state.alias("s").join(won.alias("w"), condition, "left").select("s.*", "w.found").withColumn("kind", F.coalesce("kind", "found")).drop("found"), "mentions")
-    new = state.filter("kind IS NOT NULL AND NOT seed")
-    # What surrounds an identifier is not part of it.
-    lead = F.length(F.regexp_extract("what", r"^[^\p{L}\p{N}+]*", 0))
-    tail = F.length(F.regexp_extract("what", r"[^\p{L}\p{N}]*$", 0))
-    return new.select(*key, "kind", (F.col("start") + lead).alias("start"), (F.col("end") - tail).alias("end")).filter("start < end")
+    lead = F.length(F.regexp_extract("what", r"^[^\p{L}\p{N}+]*+", 0))
+    tail = F.length(F.regexp_extract(F.reverse("what"), r"^[^\p{L}\p{N}]*+", 0))
+    core = F.substring(F.col("what"), lead + 1, F.greatest(F.length("what") - lead - tail, F.lit(0)))
+    m = m.select("_key", (F.col("start") + lead).alias("start"), (F.col("end") - tail).alias("end"), core.alias("core"), first["what"].alias("seed"), first["kind"].alias("kind"), "one", "two", "after").filter("start < end")
+    return m.select("_key", "start", "end", F.coalesce("seed", "core").alias("what"), "kind", _patterns(F.col("core"), F.col("one"), F.col("two"), F.col("after")).alias("patterns")).distinct()
+
+
+def discovered(m: DataFrame) -> DataFrame:
+    """_key, kind, start, end of mentions that patterns discover (m: of `mentions`)."""
+    state = materialise(m.withColumn("seed", F.col("kind").isNotNull()), "mentions")
+    if state.filter("kind IS NULL").isEmpty() or state.filter("kind IS NOT NULL").isEmpty():
+        return state.filter("false").select("_key", "kind", "start", "end")
+    while True:
+        edges = state.select("what", "kind", "seed", F.explode("patterns").alias("pattern"))
+        counts = edges.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("seed"), F.col("what"))).alias("n_seeds"))
+        totals = F.sum("n").over(Window.partitionBy("pattern"))  # one row for each kind, six at most
+        scored = counts.withColumn("confidence", F.col("n") / (totals + 1)).filter(F.col("kind").isNotNull() & (F.col("n_seeds") >= LEAST_SEEDS) & (F.col("confidence") >= CONFIDENT))
+        scored = materialise(scored.select("pattern", F.col("kind").alias("found"), "confidence"), "patterns")
+        few = scored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        open_rows = state.filter("kind IS NULL").select("_key", "start", "end", F.explode("patterns").alias("pattern"))
+        # Independent patterns: one minus the product of their doubts.
+        won = open_rows.join(F.broadcast(scored) if few else scored, "pattern").groupBy("_key", "start", "end", "found").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence") * 0.999)))).alias("p"))
+        won = materialise(won.groupBy("_key", "start", "end").agg(F.max_by("found", F.struct("p", "found")).alias("found")), "believed")
+        discard(scored)
+        if won.isEmpty():
+            return state.filter("kind IS NOT NULL AND NOT seed").select("_key", "kind", "start", "end")
+        before, state = state, materialise(state.join(won, ["_key", "start", "end"], "left").withColumn("kind", F.coalesce("kind", "found")).drop("found"), "mentions")
+        discard(before, won)
 
 
 def _tagged(kind: str) -> Column:
     return F.transform(kind, lambda x: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("start"), x["start"], F.lit("end"), x["end"], F.lit("what"), x["what"]))
 
 
-def _with_added(found: DataFrame, key: list[str]) -> DataFrame:
+def _with_added(found: DataFrame) -> DataFrame:
     """found with `added`: an array of {kind, start, end}."""
-    added = discovered(found, key).groupBy(*key).agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
+    added = discovered(mentions(found)).groupBy("_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
     few = added.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    added = added.select(*[F.col(c).alias(f"_{c}") for c in key], "added")
-    condition = F.lit(True)
-    for c in key:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    out = found.join(F.broadcast(added) if few else added, condition, "left").drop(*[f"_{c}" for c in key])
+    out = found.join(F.broadcast(added) if few else added, "_key", "left")
     return out.withColumn("added", F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
 
 
 def find(docs: DataFrame, carried: list[str], text: str = "text") -> DataFrame:
-    """doc (a struct of the columns `carried`), email, ip, card, phone (base spans) and added (what contexts discover)."""
+    """doc (a struct of the columns `carried`), email, ip, card, phone, secret (base spans) and added (what patterns discover)."""
     own = {f"_c{i}": c for i, c in enumerate(carried)}
     d = docs.select(*[F.col(c).alias(k) for k, c in own.items()], F.col("doc_id").alias("_id"), F.coalesce(text, F.lit("")).alias("_text"))
-    d = seeds(d, "_text").withColumn("_key", F.xxhash64("_id", "_text")).select(*own, "_key", *KINDS, "mention")
-    d = _with_added(materialise(d, "seeds"), ["_key"])
-    return d.select(F.struct(*[F.col(k).alias(c) for k, c in own.items()]).alias("doc"), *KINDS, "added")
+    d = seeds(d, "_text").withColumn("_key", F.xxhash64("_id", "_text")).select(*own, "_key", *ALL_KINDS, "mention")
+    d = _with_added(materialise(d, "seeds"))
+    return d.select(F.struct(*[F.col(k).alias(c) for k, c in own.items()]).alias("doc"), *ALL_KINDS, "added")
 
 
 def _listed(kind: str, with_added: bool) -> Column:
@@ -178,7 +206,7 @@ def _listed(kind: str, with_added: bool) -> Column:
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span of personal data in the text replaced by its kind in brackets; overlapping spans are one."""
     d = find(docs, docs.columns, text)
-    d = d.withColumn("spans", F.array_sort(F.flatten(F.array(*[_named(k) for k in (*KINDS, "added")]))))
+    d = d.withColumn("spans", F.array_sort(F.flatten(F.array(*[_named(k) for k in (*ALL_KINDS, "added")]))))
     t = F.col(f"doc.{text}")
 
     def step(a, x):
@@ -200,4 +228,4 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' personal data."""
     d = find(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
     every = lambda added: F.array_join(F.flatten(F.array(*[_listed(k, added) for k in KINDS])), ",")
-    return d.select("doc.doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(every(False), 256).alias("base_sha256"), every(True).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return d.select("doc.doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(every(False), 256).alias("base_sha256"), every(True).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size("secret").cast("long").alias("n_secret"))
