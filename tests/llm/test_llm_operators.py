@@ -443,8 +443,9 @@ def test_entities_odd(odd, none, texts):
 
 
 def test_gradients():
-    m = lm.Attention(np.ones(64) / 64)
     rng = np.random.default_rng(0)
+    m = lm.Attention(np.ones(64) / 64, rng.integers(0, 9, (65, 64)))
+    m.before, m.inside = m.before.astype(np.float64), m.inside.astype(np.float64)
     inputs, targets, scored = rng.integers(0, 64, (3, lm.WINDOW)), rng.integers(0, 64, (3, lm.WINDOW)), rng.random((3, lm.WINDOW)) < 0.7
     m.p = {k: v.astype(np.float64) * (1 if "bias" in k else 5) for k, v in m.p.items()}
     g, _ = m.gradient(inputs, targets, scored)
@@ -460,7 +461,7 @@ def test_gradients():
 
 
 def test_chances_sum_to_one_and_look_back_only():
-    m = lm.Attention(np.ones(64) / 64)
+    m = lm.Attention(np.ones(64) / 64, np.random.default_rng(0).integers(0, 9, (65, 64)))
     inputs, scored = np.arange(lm.WINDOW)[None] % 64, np.zeros((1, lm.WINDOW), bool)
     scored[0, 20] = True
     total = sum(np.exp(m.log_chance(inputs, np.full((1, lm.WINDOW), t), scored)[0]) for t in range(64))
@@ -480,15 +481,25 @@ def test_tokens_after_a_cut_see_a_context():
 
 
 def test_large_products_stay_finite():
-    m = lm.Attention(np.ones(64) / 64)
+    m, d = lm.Attention(np.ones(64) / 64), lm.WIDTH
     for sign in (1, -1):
-        m.p["q"], m.p["k"] = np.eye(lm.WIDTH, dtype=np.float32) * 200, np.eye(lm.WIDTH, dtype=np.float32) * 200 * sign
+        m.p["qkv"][:, :d], m.p["qkv"][:, d : 2 * d] = np.eye(d, dtype=np.float32) * 200, np.eye(d, dtype=np.float32) * 200 * sign
         inputs, scored = np.arange(2 * lm.WINDOW).reshape(2, -1) % 64, np.ones((2, lm.WINDOW), bool)
         got = m.log_chance(inputs, inputs, scored)
-        assert np.isfinite(got).all() and np.allclose(got, m._output(m.hidden(inputs)[-1][scored], inputs[scored])[0], atol=1e-4)
+        assert np.isfinite(got).all() and np.allclose(got, m._output(m.hidden(inputs)[-1][scored], inputs[scored], inputs[scored])[0], atol=1e-4)
         assert all(np.isfinite(x).all() for x in m.gradient(inputs, inputs, scored)[0].values())
 
 
+def test_context_alone_is_not_computed_twice():
+    """Windows whose first places are context alone give what whole ones give."""
+    rng = np.random.default_rng(2)
+    m = lm.Attention(np.ones(64) / 64, rng.integers(0, 9, (65, 64)))
+    inputs, targets, scored = rng.integers(0, 64, (9, lm.WINDOW)), rng.integers(0, 64, (9, lm.WINDOW)), np.ones((9, lm.WINDOW), bool)
+    scored[::2, : lm.CONTEXT] = False
+    whole = m._output(m.hidden(inputs)[-1][scored], inputs[scored], targets[scored])[0]
+    assert np.allclose(m.log_chance(inputs, targets, scored), whole, atol=1e-4)
+
+
 def test_each_token_is_scored_once():
     for sizes in ([1], [lm.WINDOW], [lm.WINDOW + 1], [3, 200, 1, 77]):
         where = np.concatenate([[0], np.cumsum(sizes)])
@@ -497,17 +508,30 @@ def test_each_token_is_scored_once():
         assert (inputs[scored] == np.where(np.isin(at[scored], where[:-1]), -1, at[scored] - 1)).all()
 
 
-def test_all_training_tokens_are_learnt(texts):
-    """Also of a partition with less than a batch of windows, however its rows are dealt to batches."""
-    path = bpe.vocabulary_path()
-    enc = bpe.encoder(path)
-    classes = lm.Classes(np.ones(len(enc.tokens) + 1, np.int64))
-    begun = lm.Attention(classes.prior).pack()
-    for some, step in ((["one short text"], 1), ([*texts.values()][:40], 7), ([*texts.values()][:40], 40)):
-        batches = [pa.RecordBatch.from_pydict({"text": some[k : k + step]}) for k in range(0, len(some), step)]
-        n = sum(len(lm._subwords(enc, data, offsets)[0]) for b in batches for _, _, data, offsets in common.text_chunks(b))
-        p, tokens = lm.trained(batches, begun, classes, path)
-        assert tokens == n and not np.array_equal(p, begun)
+def test_all_training_tokens_are_learnt():
+    """Also of a shard with less than a batch of windows."""
+    rng = np.random.default_rng(3)
+    for sizes in ([1], [5, 7000, 1, 48, 49], [20] * 300):
+        model = lm.Attention(np.ones(64) / 64)
+        begun = model.pack()
+        trainer = lm.Trainer(model, begun, 64)
+        for n in sizes:
+            trainer.add(rng.integers(0, 64, n).astype(np.uint16))
+        p, tokens = trainer.finish()
+        assert tokens == sum(sizes) and not np.array_equal(p, begun)
+
+
+def test_scores_do_not_depend_on_partitions(docs, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 20_000)  # several shards
+    a, b = ({r.doc_id: r.score for r in lm.score(docs.repartition(n)).collect()} for n in (2, 5))
+    assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-4) for k in a)
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_held_out_texts_are_likelier_than_by_words(spark, sf):
+    got = queries.QUERIES["op5_attention_lm"](spark, f"/root/testdata/sf{sf}").filter("held_out")
+    score, base, better, n = got.agg(F.sum("score"), F.sum("base_score"), F.count_if(F.col("score") > F.col("base_score")), F.count("*")).first()
+    assert score > (0.94 if sf == "0.1" else 1.0) * base, (score, base, better, n)  # both are negative
 
 
 def test_scores(spark, texts, docs):

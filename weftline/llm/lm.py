@@ -3,8 +3,13 @@
 The attention model is written in numpy. Its symbols are classes: the most frequent subwords are classes of their own,
 the others share some by frequency; within a class, ids have their smoothed share of the corpus counts, which cover all
 training documents. Classes are grouped in clusters; a prediction chooses a cluster, then a class in it, so that only
-one cluster's classes are computed for a token. Parameters start from a bounded sample of documents trained on the driver, then every partition
-trains a copy on all windows of all its training documents, and the copies are averaged by the tokens they saw.
+one cluster's classes are computed for a token. The output's biases are the log chances of classes after the class
+before, counted over all training documents; attention over the window learns what these leave open.
+
+Parameters start from a bounded sample of documents trained on the driver. Then training documents are dealt to shards
+by a hash (as many as the corpus needs at SHARD_TOKENS each, so the model does not depend on how rows lie in partitions);
+each shard trains a copy once on every token of its documents, in a fixed order, and the copies are averaged by their
+tokens, in order of shards.
 
 Scoring cuts each text in windows that overlap by a context; every token is scored once, with attention to what stands
 before it in its window, batches of windows at a time. A text's score is the log10 probability of its ids and an end.
@@ -12,13 +17,18 @@ before it in its window, batches of windows at a time. A text's score is the log
 The word model (base_score) has add-one counts of all training words. The most frequent words' counts, of a bounded
 number, go to every task; the other words of each document are joined with the table of counts.
 
-A null or empty text is its end alone. A null id counts as training; rows that repeat an id stay. Other columns are
-not read. Words are told apart by 64-bit hashes.
+A null or empty text is its end alone. A null id counts as training; rows that repeat an id stay. Equal texts have equal
+scores, up to the rounding of single precision. A text of any length is scored whole, and in one row's memory. An empty
+table gives an empty result. Other columns, whatever their names, are not read. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import glob
 import math
+import os
 import zlib
 
 import numpy as np
@@ -27,16 +37,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary_path
-from .common import hashed_sample, materialise, most_frequent, text_chunks, word_hashes, word_spans
+from .common import discard, hashed_sample, materialise, most_frequent, text_chunks, word_hashes, word_spans
 
 FREQUENT, SHARED, CLUSTER = 1504, 32, 32
 WIDTH, WINDOW, CONTEXT = 24, 48, 16
-BATCH = 64
+#: Inputs whose embeddings a place adds: its own and those just before.
+BACK = 3
+BATCH = 128
 #: Windows scored at once, and those whose attention is computed at once.
 SCORED, PART = 512, 48
-#: Documents of the starting sample (of texts to so many characters); partitions then train on all training documents.
+#: Documents of the starting sample, of texts to so many characters; then shards train on all training documents.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 200_000
-STEPS, RATE, LOCAL_RATE = 1500, 0.02, 0.002
+STEPS, RATE, LOCAL_RATE = 400, 0.02, 0.005
+#: Tokens of a shard (about), and groups in which copies are added.
+SHARD_TOKENS, GROUPS = 1_000_000, 16
+#: The weight of the chances without context in those after a class, in tokens.
+PRIOR_TOKENS = 30.0
 #: Words whose counts go to every task.
 KNOWN_WORDS = 1 << 19
 #: Words after which a worker reports its counts.
@@ -44,6 +60,17 @@ REPORT_WORDS = 2_000_000
 _END_WORD = np.uint64(0x5EED0E4D)
 
 
+@functools.cache
+def one_thread() -> None:
+    """Let numpy's BLAS use one thread in this process: its products are small, and Spark fills the cores with tasks."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                break
+
+
 class Classes:
     """Classes of ids, and the log share of each id in its class. The last id is the end."""
 
@@ -62,14 +89,20 @@ class Classes:
 
 
 class Attention:
-    """One layer of causal self-attention. p: parameters by name (float32)."""
+    """One layer of causal self-attention. p: parameters by name (float32); before, inside: fixed biases by the class before.
+
+    pairs: how often each class (column) follows each class or the start (row), over all training documents.
+    """
 
-    def __init__(self, prior: np.ndarray, seed: int = 1):
+    def __init__(self, prior: np.ndarray, pairs: np.ndarray | None = None, seed: int = 1):
         rng, d, c = np.random.default_rng(seed), WIDTH, len(prior)
-        group = prior.reshape(-1, CLUSTER).sum(1)
         draw = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        self.p = {"embed": draw(c + 1, d), "place": draw(WINDOW, d), "q": draw(d, d), "k": draw(d, d), "v": draw(d, d), "o": draw(d, d), "pick": draw(d, c // CLUSTER), "pick_bias": np.log(group).astype(np.float32), "out": draw(d, c), "bias": np.log(prior / np.repeat(group, CLUSTER)).astype(np.float32)}
+        self.p = {"embed": draw(BACK, c + 1, d), "place": draw(WINDOW, d), "qkv": draw(d, 3 * d), "o": draw(d, d), "pick": draw(d, c // CLUSTER), "pick_bias": np.zeros(c // CLUSTER, np.float32), "out": draw(c // CLUSTER, d, CLUSTER), "bias": np.zeros((c // CLUSTER, CLUSTER), np.float32)}
         self.mask = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+        chance = np.zeros((c + 1, c), np.float32) + prior.astype(np.float32) if pairs is None else (pairs + PRIOR_TOKENS * prior) / (pairs.sum(1, keepdims=True) + PRIOR_TOKENS)
+        group = chance.reshape(c + 1, -1, CLUSTER).sum(2)
+        self.before = np.log(group).astype(np.float32)
+        self.inside = np.log(chance.reshape(c + 1, -1, CLUSTER) / group[:, :, None]).transpose(1, 0, 2).reshape(-1, CLUSTER).astype(np.float32)
 
     def pack(self) -> np.ndarray:
         return np.concatenate([x.reshape(-1) for x in self.p.values()])
@@ -79,101 +112,106 @@ class Attention:
         for k, x in self.p.items():
             self.p[k], at = flat[at : at + x.size].reshape(x.shape).astype(np.float32), at + x.size
 
-    def hidden(self, inputs: np.ndarray):
-        p = self.p
-        x = p["embed"][inputs] + p["place"]
-        q, k, v = x @ (p["q"] / np.float32(math.sqrt(WIDTH))), x @ p["k"], x @ p["v"]
-        a = q @ k.transpose(0, 2, 1)
-        a[:, self.mask == 0] = -np.inf
-        a -= a.max(-1, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        o = a @ v
-        return x, q, k, v, a, o, x + o @ p["o"]
-
-    def log_chance(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of the targets under `scored` (flat, in order)."""
-        h = [self._states(inputs[k : k + PART])[scored[k : k + PART]] for k in range(0, len(inputs), PART)]
-        return self._output(np.concatenate(h), targets[scored])[0]
-
-    def _states(self, inputs: np.ndarray) -> np.ndarray:
-        """The last of hidden(), with less memory moved: the sums of weights come with the values."""
-        p = self.p
-        x = p["embed"][inputs]
+    def hidden(self, inputs: np.ndarray, first: int = 0):
+        """States at the places from `first` on, and what led to them: embedded inputs, queries, keys, values, weights, sums."""
+        p, d, n = self.p, WIDTH, len(inputs)
+        x = p["embed"][0][inputs]
         x += p["place"]
-        flat = x.reshape(-1, WIDTH)
-        shape = (*inputs.shape, -1)
-        q = (flat @ (p["q"] / np.float32(math.sqrt(WIDTH)))).reshape(shape)
-        k = (flat @ p["k"]).reshape(shape)
-        v = np.ones((*inputs.shape, WIDTH + 1), np.float32)
-        v.reshape(-1, WIDTH + 1)[:, :WIDTH] = flat @ p["v"]
+        for back in range(1, BACK):
+            x[:, back:] += p["embed"][back][inputs[:, :-back]]
+        weights = p["qkv"].copy()
+        weights[:, :d] /= np.float32(math.sqrt(d))
+        if first:
+            q = (x[:, first:].reshape(-1, d) @ weights[:, :d]).reshape(n, -1, d)
+            kv = (x.reshape(-1, d) @ weights[:, d:]).reshape(n, WINDOW, 2 * d)
+            k, v = kv[..., :d], kv[..., d:]
+        else:
+            qkv = (x.reshape(-1, d) @ weights).reshape(n, WINDOW, 3 * d)
+            q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
         a = q @ k.transpose(0, 2, 1)
-        if (np.einsum("ijk,ijk->ij", q, q).max() * np.einsum("ijk,ijk->ij", k, k).max()) > 400:  # else no product is beyond 20
-            a[:, self.mask == 0] = -np.inf
+        if np.einsum("ijk,ijk->ij", q, q).max(initial=0) * np.einsum("ijk,ijk->ij", k, k).max(initial=0) > 400:  # else no product is beyond 20
+            a[:, self.mask[first:] == 0] = -np.inf
             a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
-        a *= self.mask
+        a *= self.mask[first:]
+        a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(n, -1, 1)
         o = a @ v
-        x += ((o[..., :WIDTH] / o[..., WIDTH:]).reshape(-1, WIDTH) @ p["o"]).reshape(shape)
-        return x
-
-    def _output(self, h: np.ndarray, t: np.ndarray, grads: dict | None = None):
-        """Log probabilities of targets t after hidden states h; with grads, those of the summed loss are put there."""
-        p = self.p
-        group = t // CLUSTER
-        z = h @ p["pick"]
+        h = (o.reshape(-1, d) @ p["o"]).reshape(n, -1, d)
+        h += x[:, first:]
+        return x, q, k, v, a, o, h
+
+    def log_chance(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of the targets under `scored` (flat, in order); before each stands its input."""
+        out = np.empty(int(scored.sum()))
+        place = np.cumsum(scored).reshape(scored.shape) - 1
+        later = ~scored[:, :CONTEXT].any(1)  # windows whose first places are context alone
+        for some, first in ((np.flatnonzero(~later), 0), (np.flatnonzero(later), CONTEXT)):
+            for k in range(0, len(some), SCORED):
+                which = some[k : k + SCORED]
+                on = scored[which][:, first:]
+                h = np.concatenate([self.hidden(inputs[which[i : i + PART]], first)[-1] for i in range(0, len(which), PART)])[on]
+                out[place[which][:, first:][on]] = self._output(h, inputs[which][:, first:][on], targets[which][:, first:][on])[0]
+        return out
+
+    def _output(self, h: np.ndarray, previous: np.ndarray, t: np.ndarray, grads: dict | None = None):
+        """Log probabilities of targets t after hidden states h and classes before; with grads, those of the summed loss are put there."""
+        p, n = self.p, len(t)
+        order = np.argsort(t.astype(np.int16), kind="stable")  # so that a cluster's rows are together
+        h, previous, t = h[order], previous[order], t[order]
+        group, rows = t // CLUSTER, np.arange(n)
+        bounds = np.searchsorted(group, np.arange(len(p["out"]) + 1)).tolist()
+        some = [(c, slice(i, j)) for c, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)) if i < j]
+        z = self.before[previous]
+        z += h @ p["pick"]
         z += p["pick_bias"]
-        rows = np.arange(len(t))
-        chance = z[rows, group].astype(np.float64)
-        np.exp(z, out=z)
-        total = z @ np.ones(z.shape[1], z.dtype)
-        chance -= np.log(total)
-        dh = None
+        y = self.inside[group * len(self.before) + previous]
+        y += p["bias"][group]
+        for c, at in some:
+            y[at] += h[at] @ p["out"][c]
+        chance, dh = np.empty(n), None
+        for x, own in ((z, group), (y, t % CLUSTER)):
+            told = x[rows, own].astype(np.float64)
+            np.exp(x, out=x)
+            total = x @ np.ones(x.shape[1], x.dtype)
+            told -= np.log(total)
+            chance[order] = told if x is z else chance[order] + told
+            if grads is not None:
+                x *= (1 / total)[:, None]
+                x[rows, own] -= 1
         if grads is not None:
-            z /= total[:, None]
-            z[rows, group] -= 1
             grads |= {"pick": h.T @ z, "pick_bias": z.sum(0), "out": np.zeros_like(p["out"]), "bias": np.zeros_like(p["bias"])}
-            dh = z @ p["pick"].T
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(p["pick"].shape[1] + 1)).tolist()
-        h2, t2, inner, ones = h[order], t[order] % CLUSTER, np.empty(len(t)), np.ones(CLUSTER, h.dtype)
-        for c, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)):
-            if i == j:
-                continue
-            at = slice(c * CLUSTER, (c + 1) * CLUSTER)
-            z = h2[i:j] @ p["out"][:, at]
-            z += p["bias"][at]
-            own = z[np.arange(j - i), t2[i:j]].astype(np.float64)
-            np.exp(z, out=z)
-            total = z @ ones
-            inner[i:j] = own - np.log(total)
-            if grads is not None:
-                z /= total[:, None]
-                z[np.arange(j - i), t2[i:j]] -= 1
-                grads["out"][:, at], grads["bias"][at] = h2[i:j].T @ z, z.sum(0)
-                dh[order[i:j]] += z @ p["out"][:, at].T
-        chance[order] += inner
+            part = z @ p["pick"].T
+            for c, at in some:
+                grads["out"][c], grads["bias"][c] = h[at].T @ y[at], y[at].sum(0)
+                part[at] += y[at] @ p["out"][c].T
+            dh = np.empty_like(part)
+            dh[order] = part
         return chance, dh
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        p, root, g = self.p, np.float32(math.sqrt(WIDTH)), {}
+        p, d, g = self.p, WIDTH, {}
         x, q, k, v, a, o, h = self.hidden(inputs)
-        chance, part = self._output(h[scored], targets[scored], g)
-        n = np.float32(len(chance))
+        chance, part = self._output(h[scored], inputs[scored], targets[scored], g)
+        n = h.dtype.type(len(chance))
         g, loss = {name: y / n for name, y in g.items()}, -float(chance.mean())
         dh = np.zeros_like(h)
         dh[scored] = part / n
         flat = lambda y: y.reshape(-1, y.shape[-1])
-        g["o"], do = flat(o).T @ flat(dh), dh @ p["o"].T
-        da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dx = dh + dq @ (p["q"] / root).T + dk @ p["k"].T + dv @ p["v"].T
-        g |= {"q": flat(x).T @ flat(dq) / root, "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "place": dx.sum(0)}
-        g["embed"] = np.zeros_like(p["embed"])
-        order = np.argsort(inputs.reshape(-1), kind="stable")
+        g["o"], do = flat(o).T @ flat(dh), (flat(dh) @ p["o"].T).reshape(dh.shape)
+        ds = do @ v.transpose(0, 2, 1)
+        ds -= np.einsum("ijk,ijk->ij", do, o)[..., None]
+        ds *= a
+        dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], -1)
+        dqkv[..., :d] /= h.dtype.type(math.sqrt(d))
+        dx = (flat(dqkv) @ p["qkv"].T).reshape(dh.shape)
+        dx += dh
+        g |= {"qkv": flat(x).T @ flat(dqkv), "place": dx.sum(0), "embed": np.zeros_like(p["embed"])}
+        order = np.argsort(inputs.reshape(-1).astype(np.int16), kind="stable")
         own, first = np.unique(inputs.reshape(-1)[order], return_index=True)
-        g["embed"][own] = np.add.reduceat(flat(dx)[order], first)
+        for back in range(BACK):  # the place `back` further on sees this input
+            moved = np.zeros_like(dx)
+            moved[:, : WINDOW - back] = dx[:, back:]
+            g["embed"][back][own] = np.add.reduceat(flat(moved)[order], first)
         return g, loss
 
 
@@ -190,20 +228,21 @@ class Adam:
             self.model.p[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)).astype(np.float32)
 
 
-def windows(classes: np.ndarray, where: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(classes: np.ndarray, where: np.ndarray, start: int, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows of texts: inputs, targets, what is scored (windows x WINDOW), the position scored, and rows by window.
 
-    classes: of the ids and ends of all texts; where: each text's bounds in them; start: the class that stands before.
+    classes: of the ids and ends of all texts; where: each text's bounds in them; start: the class that stands before;
+    context: how many places of each window but a text's first are not scored.
     """
     size = np.diff(where)
-    stride = WINDOW - CONTEXT
+    stride = WINDOW - context
     count = 1 + np.maximum(0, -(-(size - WINDOW) // stride))
     row = np.repeat(np.arange(len(size)), count)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     place = (nth * stride)[:, None] + np.arange(WINDOW)
     real = place < size[row][:, None]
     at = where[row][:, None] + np.where(real, place, 0)
-    scored = real & ((nth == 0)[:, None] | (np.arange(WINDOW) >= CONTEXT))
+    scored = real & ((nth == 0)[:, None] | (np.arange(WINDOW) >= context))
     targets = classes[at]
     inputs = np.where(place == 0, start, classes[np.maximum(at - 1, 0)])
     inputs[~real] = start
@@ -249,69 +288,135 @@ def _counts(train: DataFrame, path: str) -> DataFrame:
     return train.select("text").mapInArrow(run, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
 
 
-def trained(batches, begun: np.ndarray, classes: Classes, path: str) -> tuple[np.ndarray, int]:
-    """Parameters after one pass from `begun` over all texts of the batches, and the tokens seen."""
-    enc, model, tokens = encoder(path), Attention(classes.prior), 0
-    model.unpack(begun)
-    adam, rest = Adam(model, LOCAL_RATE), None
-
-    def learn(some):
-        adam.step(model.gradient(*some)[0])
-        return int(some[2].sum())
-
-    for batch in batches:
-        for _, _, data, offsets in text_chunks(batch):
-            ids, where = _subwords(enc, data, offsets)
-            held = windows(classes.of[ids], where, classes.n)[:3]
-            if rest:
-                held = tuple(np.concatenate(x) for x in zip(rest, held, strict=True))
-            whole = len(held[0]) // BATCH * BATCH
-            tokens += sum(learn([x[k : k + BATCH] for x in held]) for k in range(0, whole, BATCH))
-            rest = tuple(x[whole:].copy() for x in held)
-    if rest and len(rest[0]):
-        tokens += learn(rest)
-    return model.pack(), tokens
-
-
-def train_model(train: DataFrame, classes: Classes, path: str) -> Attention:
-    """An attention model of the training texts (column text, and doc_id for the sample's order)."""
-    model = Attention(classes.prior)
-    sample = hashed_sample(train, "doc_id", SAMPLE_DOCS).filter(F.length("text") <= SAMPLE_CHARS)
-    texts = sample.select("text").toArrow().combine_chunks()
+def _pieces(train: DataFrame, classes: Classes, path: str, shards: int) -> DataFrame:
+    """kind 0: each text's classes (16-bit numbers in a binary) with its shard and order in it; kind 1: class pairs (order: their number) that a worker saw n times."""
+    order = F.xxhash64("doc_id", "text")
+    of = sc_broadcast(train, classes.of.astype(np.uint16))
+    wide = classes.n
+
+    def run(batches):
+        enc, total = encoder(path), np.zeros((wide + 1) * wide, np.int64)
+        for batch in batches:
+            for i, j, data, offsets in text_chunks(batch):
+                ids, where = _subwords(enc, data, offsets)
+                own = of.value[ids]
+                previous = np.concatenate([[wide], own[:-1]]).astype(np.int64)
+                previous[where[:-1]] = wide
+                total += np.bincount(previous * wide + own, minlength=len(total))
+                parts = [own[x:y].tobytes() for x, y in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
+                yield _rows([pa.array(np.zeros(j - i, np.int32)), batch.column("shard").slice(i, j - i), batch.column("order").slice(i, j - i), pa.array(np.diff(where)), pa.array(parts, pa.binary())], ["kind", "shard", "order", "n", "classes"])
+        some = np.flatnonzero(total)
+        yield _rows([pa.array(np.ones(len(some), np.int32)), pa.nulls(len(some), pa.int32()), pa.array(some), pa.array(total[some]), pa.nulls(len(some), pa.binary())], ["kind", "shard", "order", "n", "classes"])
+
+    rows = train.select("text", F.pmod(order, F.lit(shards)).cast("int").alias("shard"), order.alias("order"))
+    return rows.mapInArrow(run, "kind int, shard int, order long, n long, classes binary")
+
+
+def sc_broadcast(df: DataFrame, value):
+    return df.sparkSession.sparkContext.broadcast(value)
+
+
+class Trainer:
+    """One pass of a copy of the model over texts as they come, a batch of windows at a time; `finish` trains on the rest."""
+
+    def __init__(self, model: Attention, begun: np.ndarray, start: int):
+        model.unpack(begun)
+        self.model, self.adam, self.start = model, Adam(model, LOCAL_RATE), start
+        self.held: list[tuple] = []
+        self.n_held, self.tokens = 0, 0
+
+    def learn(self, some) -> None:
+        self.adam.step(self.model.gradient(*some)[0])
+        self.tokens += int(some[2].sum())
+
+    def add(self, classes: np.ndarray) -> None:
+        w = windows(classes.astype(np.int64), np.array([0, len(classes)]), self.start, 0)[:3]
+        self.held.append(w)
+        self.n_held += len(w[0])
+        if self.n_held >= BATCH:
+            whole = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+            k = self.n_held // BATCH * BATCH
+            for i in range(0, k, BATCH):
+                self.learn([x[i : i + BATCH] for x in whole])
+            self.held, self.n_held = [tuple(x[k:].copy() for x in whole)], self.n_held - k
+
+    def finish(self) -> tuple[np.ndarray, int]:
+        if self.n_held:
+            self.learn([np.concatenate(x) for x in zip(*self.held, strict=True)])
+        return self.model.pack(), self.tokens
+
+
+def started(sample: DataFrame, model: Attention, classes: Classes, path: str) -> None:
+    """Train the model on a bounded sample of texts, on the driver."""
+    texts = sample.orderBy("doc_id", "text").select("text").toArrow().combine_chunks()
     if not texts.num_rows:
-        return model
-    batch = texts.to_batches()[0]
-    enc, start = encoder(path), classes.n
-    parts = [windows(classes.of[ids], where, start)[:3] for _, _, data, offsets in text_chunks(batch) for ids, where in [_subwords(enc, data, offsets)]]
+        return
+    enc = encoder(path)
+    parts = [windows(classes.of[ids], where, classes.n, 0)[:3] for _, _, data, offsets in text_chunks(texts.to_batches()[0]) for ids, where in [_subwords(enc, data, offsets)]]
     inputs, targets, scored = (np.concatenate(x) for x in zip(*parts, strict=True))
     rng, epochs = np.random.default_rng(1), min(8, -(-STEPS * BATCH // len(inputs)))
-    steps = epochs * -(-len(inputs) // BATCH)
+    steps = min(STEPS, epochs * -(-len(inputs) // BATCH))
     adam, k = Adam(model, RATE), 0
     for _ in range(epochs):
         order = rng.permutation(len(inputs))
         for i in range(0, len(order), BATCH):
+            if k == steps:
+                return
             some = order[i : i + BATCH]
-            adam.rate, k = RATE * (1 - 0.95 * k / steps), k + 1
+            adam.rate, k = RATE * (1 - 0.8 * k / steps), k + 1
             adam.step(model.gradient(inputs[some], targets[some], scored[some])[0])
-    begun = model.pack()
+
+
+def train_model(train: DataFrame, classes: Classes, path: str, tokens: int) -> Attention:
+    """An attention model of the training texts (doc_id, text), which have so many tokens."""
+    one_thread()
+    shards = max(1, round(tokens / SHARD_TOKENS))
+    pieces = materialise(_pieces(train, classes, path, shards), "pieces")
+    pairs = np.zeros((classes.n + 1) * classes.n)
+    seen = pieces.filter("kind = 1").groupBy("order").agg(F.sum("n").alias("n")).toArrow()  # at most one row for each pair of classes
+    pairs[seen.column("order").to_numpy()] = seen.column("n").to_numpy()
+    model = Attention(classes.prior, pairs.reshape(classes.n + 1, classes.n))
+    started(hashed_sample(train, "doc_id", SAMPLE_DOCS).filter(F.length("text") <= SAMPLE_CHARS), model, classes, path)
+    start, begun = classes.n, sc_broadcast(train, (model, model.pack()))
 
     def local(batches):
-        p, tokens = trained(batches, begun, classes, path)
-        if tokens:
-            yield _rows([pa.array([(p * np.float64(tokens)).astype("<f8").tobytes()], pa.binary()), pa.array([float(tokens)])], ["p", "n"])
+        one_thread()
+        at, own = None, None
+
+        def done():
+            p, n = own.finish()
+            return _rows([pa.array([at], pa.int32()), pa.array([(p * np.float64(n)).astype("<f8").tobytes()], pa.binary()), pa.array([float(n)])], ["shard", "p", "n"])
+
+        for batch in batches:
+            for shard, text in zip(batch.column("shard").to_pylist(), batch.column("classes"), strict=True):
+                if shard != at:
+                    if own:
+                        yield done()
+                    at, own = shard, Trainer(*begun.value, start)
+                own.add(np.frombuffer(text.as_buffer(), np.uint16))
+        if own:
+            yield done()
 
     def added(batches):
-        total, n = 0, 0.0
+        at, total, n = None, 0, 0.0
         for batch in batches:
-            for p, k in zip(batch.column("p").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                total, n = total + np.frombuffer(p, "<f8"), n + k
+            for group, p, k in zip(*[batch.column(c).to_pylist() for c in ("g", "p", "n")], strict=True):
+                if group != at and n:
+                    yield _rows([pa.array([at], pa.int32()), pa.array([total.astype("<f8").tobytes()], pa.binary()), pa.array([n])], ["shard", "p", "n"])
+                    total, n = 0, 0.0
+                at, total, n = group, total + np.frombuffer(p, "<f8"), n + k
         if n:
-            yield _rows([pa.array([total.astype("<f8").tobytes()], pa.binary()), pa.array([n])], ["p", "n"])
-
-    kind = "p binary, n double"
-    copies = train.select("text").mapInArrow(local, kind).repartition(16).mapInArrow(added, kind).collect()  # 16 rows of the parameters' size
-    if copies:
-        model.unpack(sum(np.frombuffer(r["p"], "<f8") for r in copies) / sum(r["n"] for r in copies))
+            yield _rows([pa.array([at], pa.int32()), pa.array([total.astype("<f8").tobytes()], pa.binary()), pa.array([n])], ["shard", "p", "n"])
+
+    kind = "shard int, p binary, n double"
+    dealt = pieces.filter("kind = 0").select("shard", "order", "classes").repartition("shard").sortWithinPartitions("shard", "order", "classes")
+    copies = materialise(dealt.mapInArrow(local, kind), "copies")
+    grouped = copies.withColumn("g", F.floor(F.col("shard") * F.lit(GROUPS) / F.lit(shards)).cast("int"))
+    sums = grouped.repartition("g").sortWithinPartitions("g", "shard").select("g", "p", "n").mapInArrow(added, kind).collect()  # GROUPS rows of the parameters' size
+    if sums:
+        sums.sort(key=lambda r: r["shard"])
+        model.unpack(sum(np.frombuffer(r["p"], "<f8") for r in sums) / sum(r["n"] for r in sums))
+    discard(pieces, copies)
     return model
 
 
@@ -333,12 +438,11 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     for r in counts.filter("kind = 1").collect():  # at most one row for each id of the vocabulary
         by_id[r["h"]] = r["n"]
     classes = Classes(by_id)
-    model = train_model(train, classes, path)
-    parameters = model.pack()
+    trained = sc_broadcast(docs, (train_model(train, classes, path, int(by_id.sum())), classes))
 
     def run(batches):
-        enc, own = encoder(path), Attention(classes.prior)
-        own.unpack(parameters)
+        one_thread()
+        enc, (own, classes) = encoder(path), trained.value
         h, n = known.value
         # Where words whose hashes begin with 20 given bits begin in the sorted table.
         first = np.searchsorted(h, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44))
@@ -365,10 +469,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
                 inside = classes.inside[ids]
                 result = np.add.reduceat(inside, where[:-1])
                 inputs, targets, scored, at, of = windows(classes.of[ids], where, classes.n)
-                for k in range(0, len(inputs), SCORED):
-                    some = slice(k, k + SCORED)
-                    got = own.log_chance(inputs[some], targets[some], scored[some])
-                    result += np.bincount(np.repeat(of[some], scored[some].sum(1)), got, rows)
+                result += np.bincount(np.repeat(of, scored.sum(1)), own.log_chance(inputs, targets, scored), rows)
                 check = [zlib.crc32(data[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield _rows(
                     [batch.column("doc_id").slice(i, rows), batch.column("held_out").slice(i, rows), pa.array(np.diff(before) + 1), pa.array(n_hit), pa.array(base), pa.array(result / math.log(10)), pa.array(check, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tail.view(np.int64)))],
@@ -378,9 +479,10 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     kind = "doc_id long, held_out boolean, n_tokens long, n_hit long, base double, score double, check long, tail array<long>"
     done = materialise(docs.mapInArrow(run, kind), "scores")
     key = F.xxhash64("doc_id", "check", "n_tokens", "score")
-    # The rest of the words, and one row (h null) for each document: rows that repeat a key are counted by it.
-    rest = done.select(key.alias("key"), F.explode(F.concat("tail", F.array(F.lit(None).cast("long")))).alias("h"))
-    rest = rest.join(words.select("h", "n"), "h", "left").groupBy("key").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("n").alias("n_more"), F.count_if(F.col("h").isNull()).alias("copies"))
+    # The rest of the words, and, without a join, one row for each document: rows that repeat a key are counted by it.
+    rest = done.select(key.alias("key"), F.explode("tail").alias("h")).join(words.select("h", "n"), "h").select("key", F.log10(F.col("n") + 1.0).alias("more"), F.lit(1).alias("n_more"), F.lit(0).alias("copies"))
+    own = done.select(key.alias("key"), F.lit(None).cast("double").alias("more"), F.lit(0).alias("n_more"), F.lit(1).alias("copies"))
+    rest = rest.unionByName(own).groupBy("key").agg(F.sum("more").alias("more"), F.sum("n_more").alias("n_more"), F.sum("copies").alias("copies"))
     out = done.drop("tail").withColumn("key", key).join(rest, "key")
     n_known = (F.col("n_hit") + (F.col("n_more") / F.col("copies")).cast("long")).alias("n_known")
     base = (F.col("base") + F.coalesce("more", F.lit(0.0)) / F.col("copies") - F.col("n_tokens") * math.log10(low)).alias("base_score")
