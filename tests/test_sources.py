@@ -61,16 +61,6 @@ def test_session_stream(spark, sf, tmp_path):
     assert got <= want and len(got) >= len(want) - 15
 
 
-def test_cursor_stream(spark, tmp_path):
-    rows = [(p, i, "back" if i % 4 == 3 else "advance") for p in (1, 2) for i in range(12 * p)]
-    df = spark.createDataFrame(rows, "project long, seq long, action string")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = live.cursor_stream(stream, 3, 4).writeStream.format("memory").queryName("live_cursors").option("checkpointLocation", str(tmp_path / "cp")).outputMode("update").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(tuple(r) for r in spark.table("live_cursors").collect()) == [(1, 12, 2, 2, False), (2, 24, 3, 3, False)]
-
 
 def test_png(spark):
     import pytest

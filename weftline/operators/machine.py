@@ -1,14 +1,14 @@
-"""Folds whose order matters: segments of a pass, replay of work logs, greedy colour clusters.
+"""Folds whose order matters: segments of a pass, replay of logs over written rows, greedy colour clusters.
 
-Each is a small function per group (a pass, a project, a table of distinct colours), applied by Spark to groups that
-are partitioned by key. A pass's runs come as one array column, so segments need no grouping of their own.
+Segments are array expressions over a pass's runs. The others are a small function for each group (a project's log, a
+table of distinct colours), applied by Spark to groups that are partitioned by key.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Thresholds of segments.
@@ -16,176 +16,63 @@ BRAID_RUNS, BRAID_MOST, LEAST_REPEATS, FILL_CELLS = 8, 4, 3, 20
 PERIODS = (2, 3, 4)
 
 
-def segments_of(runs: list[tuple[str, int]]) -> list[tuple[str, int, int, int, int]]:
-    """(kind, first run, end, period, repetitions) of a pass: braids at the ends, repeat bands, fills and single runs."""
-    n = len(runs)
-    short = lambda a, b: all(c <= BRAID_MOST for _, c in runs[a:b])
-    low, high, out = 0, n, []
-    if n >= BRAID_RUNS and short(0, BRAID_RUNS):
-        low = BRAID_RUNS
-        out.append(("braid", 0, low, 0, 0))
-    if n >= 2 * BRAID_RUNS and short(n - BRAID_RUNS, n):
-        high = n - BRAID_RUNS
-    i = low
-    while i < high:
-        best = None
-        for period in PERIODS:
-            reps, unit = 1, runs[i : i + period]
-            while i + (reps + 1) * period <= high and runs[i + reps * period : i + (reps + 1) * period] == unit:
-                reps += 1
-            if reps >= LEAST_REPEATS and (best is None or reps * period > best[1]):
-                best = (period, reps * period, reps)
-        if best:
-            out.append(("repeat", i, i + best[1], best[0], best[2]))
-            i += best[1]
-        else:
-            out.append(("fill" if runs[i][1] >= FILL_CELLS else "run", i, i + 1, 0, 0))
-            i += 1
-    if high < n:
-        out.append(("braid", high, n, 0, 0))
-    return out
+def _same_ahead(runs: Column, high: Column, period: int) -> Column:
+    """For each run, how many runs from it on equal the run `period` further, before `high`."""
+    same = lambda k: (k + period < high) & (F.get(runs, k)["code"] == F.get(runs, k + period)["code"]) & (F.get(runs, k)["n"] == F.get(runs, k + period)["n"])
+    back = F.reverse(F.sequence(F.lit(0), F.size(runs) - 1))
+    counted = F.aggregate(back, F.array().cast("array<int>"), lambda a, k: F.array_append(a, F.when(same(k), F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + 1).otherwise(F.lit(0))))
+    return F.reverse(counted)
 
 
 def segments(runs: DataFrame) -> DataFrame:
-    """grid_id, pass_no, kind, start, end, period, repetitions of each pass (runs: grid_id, pass_no, run_no, code, n)."""
-    rows = runs.groupBy("grid_id", "pass_no").agg(F.array_sort(F.collect_list(F.struct("run_no", "code", "n"))).alias("runs"))
-
-    def fold(batches):
-        for pdf in batches:
-            out = [(g, p, *s) for g, p, rs in zip(pdf.grid_id, pdf.pass_no, pdf.runs, strict=True) for s in segments_of([(r["code"], r["n"]) for r in rs])]
-            yield pd.DataFrame(out, columns=["grid_id", "pass_no", "kind", "start", "end", "period", "repetitions"])
-
-    return rows.mapInPandas(fold, "grid_id long, pass_no long, kind string, start long, end long, period long, repetitions long")
-
-
-class Work:
-    """A cursor (row from 1, run, stitch) over passes (lists of (code, n)); moves return whether they were possible."""
-
-    def __init__(self, passes: list[list[tuple[str, int]]], step: int = 10, grouped: bool = True, boundary: bool = False):
-        self.passes, self.step, self.grouped, self.boundary = passes, step, grouped, boundary
-        self.row, self.run, self.stitch = 1, 0, 0
-        self._segments: dict[int, list] = {}
-
-    def segment(self, row: int, run: int):
-        if row not in self._segments:
-            self._segments[row] = segments_of(self.passes[row - 1])
-        return next((s for s in self._segments[row] if s[1] <= run < s[2]), None)
-
-    @property
-    def finished(self) -> bool:
-        return bool(self.passes) and self.row == len(self.passes) and self.run == len(self.passes[-1])
-
-    def _stride(self, n: int) -> int:
-        return self.step or n
-
-    def _unit(self, row: int, run: int):
-        s = self.segment(row, run)
-        return (run - (run - s[1]) % s[3], s) if self.grouped and s and s[0] == "repeat" else None
-
-    def _turn_after(self, row: int) -> bool:
-        return self.boundary and row < len(self.passes)
-
-    def _land(self, row: int, run: int) -> None:
-        """Back enters a run from behind: a fill at its last step, others at their start."""
-        self.row, self.run, self.stitch = row, run, 0
-        s = self.segment(row, run)
-        if s and s[0] == "fill":
-            n = self.passes[row - 1][run][1]
-            k = self._stride(n)
-            last = n - n % k
-            self.stitch = max(0, last if last < n else n - k)
-
-    def advance(self) -> bool:
-        if not self.passes or self.finished:
-            return False
-        runs = self.passes[self.row - 1]
-        if self.run < len(runs):
-            s, n = self.segment(self.row, self.run), runs[self.run][1]
-            if s[0] == "fill" and self.stitch + self._stride(n) < n:
-                self.stitch += self._stride(n)
-                return True
-            unit = self._unit(self.row, self.run)
-            target = min(unit[0] + unit[1][3], unit[1][2]) if unit else self.run + 1
-            if target < len(runs) or self._turn_after(self.row):
-                self.run, self.stitch = target, 0
-                return True
-        if self.row < len(self.passes):
-            self.row, self.run, self.stitch = self.row + 1, 0, 0
-        else:
-            self.run, self.stitch = len(runs), 0
-        return True
-
-    def back(self) -> bool:
-        if not self.passes:
-            return False
-        runs = self.passes[self.row - 1]
-        if self.run < len(runs) and self.stitch > 0:
-            self.stitch = max(0, self.stitch - self._stride(runs[self.run][1]))
-        elif self.run > 0:
-            unit = self._unit(self.row, self.run - 1)
-            if unit:
-                self.run, self.stitch = unit[0], 0
-            else:
-                self._land(self.row, self.run - 1)
-        elif self.row > 1:
-            before = self.passes[self.row - 2]
-            if self._turn_after(self.row - 1):
-                self.row, self.run, self.stitch = self.row - 1, len(before), 0
-            else:
-                self._land(self.row - 1, max(0, len(before) - 1))
-        else:
-            return False
-        return True
-
-    def jump(self, row: int, run: int = 0, stitch: int = 0) -> bool:
-        if not (1 <= row <= len(self.passes) and 0 <= run < len(self.passes[row - 1]) and 0 <= stitch < self.passes[row - 1][run][1]):
-            return False
-        self.row, self.run, self.stitch = row, run, 0
-        if self.segment(row, run)[0] == "fill":
-            self.stitch = stitch - stitch % self._stride(self.passes[row - 1][run][1])
-        return True
+    """grid_id, pass_no, kind, start, end, period, repetitions of each pass (runs: grid_id, pass_no, run_no, code, n).
 
-
-def replay(log: DataFrame, passes: DataFrame, step: int = 10, grouped: bool = True, boundary: bool = False) -> DataFrame:
-    """project, seq, row, run, stitch, moved, finished after each action of a log.
-
-    log: project, seq, action (advance, back, jump), row (of jumps); passes: project, pass_no, runs (array of {code, n}).
-    Actions of a project are folded in order of seq; a project is one group, as its state is one cursor. A project
-    without passes moves nowhere.
+    Eight short runs at an end are a braid. Between, from left to right: the longest band of at least three repetitions
+    of two to four runs that begins at a run (of equal ones, the shortest period), else one run, a fill if it is long.
     """
-
-    def fold(key, log: pd.DataFrame, passes: pd.DataFrame) -> pd.DataFrame:
-        rows = passes.sort_values("pass_no").runs if len(passes) else []
-        work = Work([[(r["code"], int(r["n"])) for r in runs] for runs in rows], step, grouped, boundary)
-        out = []
-        for seq, action, row in log.sort_values("seq")[["seq", "action", "row"]].itertuples(index=False):
-            moved = work.advance() if action == "advance" else work.back() if action == "back" else work.jump(int(row))
-            out.append((key[0], seq, work.row, work.run, work.stitch, moved, work.finished))
-        return pd.DataFrame(out, columns=["project", "seq", "row", "run", "stitch", "moved", "finished"])
-
-    both = log.select("project", "seq", "action", "row").groupBy("project").cogroup(passes.select("project", "pass_no", "runs").groupBy("project"))
-    return both.applyInPandas(fold, "project long, seq long, row long, run long, stitch long, moved boolean, finished boolean")
+    d = runs.groupBy("grid_id", "pass_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("run_no", "code", "n"))), lambda r: F.struct(r["code"].alias("code"), r["n"].alias("n"))).alias("runs"))
+    n, short = F.size("runs"), lambda a: F.forall(a, lambda r: r["n"] <= BRAID_MOST)
+    ends = {
+        "low": F.when((n >= BRAID_RUNS) & short(F.slice("runs", 1, BRAID_RUNS)), BRAID_RUNS).otherwise(0),
+        "high": F.when((n >= 2 * BRAID_RUNS) & short(F.slice("runs", -BRAID_RUNS, BRAID_RUNS)), n - BRAID_RUNS).otherwise(n),
+    }
+    d = d.withColumns(ends).withColumns({f"same{p}": _same_ahead(F.col("runs"), F.col("high"), p) for p in PERIODS})
+    segment = lambda kind, start, end, period, reps: F.struct(kind.alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), period.cast("long").alias("period"), reps.cast("long").alias("repetitions"))
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,period:bigint,repetitions:bigint>>")
+
+    def step(a, i):
+        reps = {p: F.lit(1) + F.floor(F.get(F.col(f"same{p}"), i) / p).cast("int") for p in PERIODS}
+        bands = F.array(*[F.when(reps[p] >= LEAST_REPEATS, F.struct((reps[p] * p).alias("cells"), F.lit(-p).alias("period"), reps[p].alias("reps"))) for p in PERIODS])
+        best = F.array_max(bands)
+        one = segment(F.when(F.get("runs", i)["n"] >= FILL_CELLS, "fill").otherwise("run"), i, i + 1, F.lit(0), F.lit(0))
+        here = F.when(best.isNotNull(), segment(F.lit("repeat"), i, i + best["cells"], -best["period"], best["reps"])).otherwise(one)
+        return F.when((i < a["next"]) | (i >= F.col("high")), a).otherwise(F.struct(here["end"].cast("int").alias("next"), F.array_append(a["out"], here).alias("out")))
+
+    walked = F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(F.col("low").alias("next"), none.alias("out")), step)["out"]
+    first = F.when(F.col("low") > 0, F.array(segment(F.lit("braid"), F.lit(0), F.col("low"), F.lit(0), F.lit(0)))).otherwise(none)
+    last = F.when(F.col("high") < n, F.array(segment(F.lit("braid"), F.col("high"), n, F.lit(0), F.lit(0)))).otherwise(none)
+    return d.select("grid_id", "pass_no", F.explode(F.concat(first, walked, last)).alias("s")).select("grid_id", "pass_no", "s.*")
 
 
 def replay_written(log: DataFrame, last_row: int | None) -> DataFrame:
     """project, seq, row, finished of a log over written rows: whole rows; the last row finishes in place, an open piece never.
 
-    log: project, seq, action (advance, back).
+    log: project, seq, action (advance, back, jump), row (of jumps). A jump to a row that isn't there changes nothing.
     """
 
     def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        row, finished, out = 1, False, []
-        for seq, action in pdf.sort_values("seq")[["seq", "action"]].itertuples(index=False):
-            if action == "back":
-                row, finished = (row, False) if finished else (max(1, row - 1), False)
-            elif last_row is None or row < last_row:
-                row += 1
-            else:
-                finished = True
-            out.append((key[0], seq, row, finished))
+        at, top, out = 1, np.inf if last_row is None else last_row, []  # a finished piece stands one beyond its last row
+        for seq, action, target in pdf.sort_values("seq")[["seq", "action", "row"]].itertuples(index=False):
+            if action == "advance":
+                at = min(at + 1, top + 1)
+            elif action == "back":
+                at = max(at - 1, 1)
+            elif 1 <= target <= top:
+                at = int(target)
+            out.append((key[0], seq, int(min(at, top)), bool(at > top)))
         return pd.DataFrame(out, columns=["project", "seq", "row", "finished"])
 
-    return log.select("project", "seq", "action").groupBy("project").applyInPandas(fold, "project long, seq long, row long, finished boolean")
+    return log.select("project", "seq", "action", "row").groupBy("project").applyInPandas(fold, "project long, seq long, row long, finished boolean")
 
 
 def greedy_clusters(colours: pd.DataFrame, radius: float = 6.0) -> pd.DataFrame:

@@ -1,13 +1,9 @@
-"""Streams of progress events: sessions with a watermark, and a cursor that is kept for each project."""
+"""Streams of progress events: sessions with a watermark."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.islands import GAP_SECONDS
 
@@ -17,22 +13,3 @@ def session_stream(events: DataFrame, key: str = "project", t: str = "t", gap_se
     d = events.withColumn(t, F.col(t).cast("timestamp")).withWatermark(t, late)
     g = d.groupBy(key, F.session_window(t, f"{gap_seconds} seconds").alias("_w")).agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count("*").alias("n_events"))
     return g.select(key, "start", "end", "n_events")
-
-
-def cursor_stream(events: DataFrame, rows: int, cells: int) -> DataFrame:
-    """project, n_events, row, cell, finished after each batch: a cursor over `rows` rows of `cells` cells.
-
-    events: project, seq, action (advance or back). The state is one small tuple for each project.
-    """
-
-    def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, at = state.get if state.exists else (0, 0)
-        parts = [*pdfs]
-        for action in pd.concat(parts).sort_values("seq").action if parts else []:
-            n += 1
-            at = max(0, at - 1) if action == "back" else min(rows * cells, at + 1)
-        state.update((n, at))
-        last = at == rows * cells
-        yield pd.DataFrame({"project": [key[0]], "n_events": [n], "row": [rows if last else at // cells + 1], "cell": [cells if last else at % cells], "finished": [last]})
-
-    return events.groupBy("project").applyInPandasWithState(fold, "project long, n_events long, row long, cell long, finished boolean", "n long, at long", "update", GroupStateTimeout.NoTimeout)
