@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runs import RUN_STRING, rows_to_runs
 
 #: A palette code and a colour.
 CODE, HEX = r"\A[A-Za-z]{1,3}\z", r"\A#[0-9A-Fa-f]{6}\z"
+#: Kinds of boundaries, colours of chains, kinds of cells, corners of row 1, units of lengths; stats that count stitches.
+BOUNDARY_KINDS = ("turn", "join", "rejoin", "spiral", "return")
+CHAIN_COLORS = ("next", "current")
+CELL_KINDS = ("stitch", "block", "tile", "motif", "pair")
+ROW1 = ("bottom-right", "bottom-left", "top-right", "top-left")
+UNITS = ("in", "cm")
+STITCH_STATS = ("stitches", "yards_est", "skeins_364yd")
+#: The most rows, colours and characters of a field that a transcription may have.
+MOST_ROWS, MOST_COLOURS, MOST_TEXT = 5000, 64, 20_000
 
 
 def problem(df: DataFrame, rule: str, doc: str, at, message) -> DataFrame:
@@ -95,3 +104,110 @@ def manifest_problems(charts: DataFrame, pieces: DataFrame) -> DataFrame:
 def closure(used: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
     """Distinct keys that are used and not known."""
     return used.select(*on).distinct().join(known.select(*on), on, "left_anti")
+
+
+def _listed(df: DataFrame, doc: str, rules: list[tuple]) -> DataFrame:
+    """Problems of rules that look at one row alone: (rule, where it is broken, at, message); one pass, nothing is shuffled."""
+    told = [F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(rule).alias("rule"), at.cast("string").alias("at"), message.alias("message"))) for rule, broken, at, message in rules]
+    return df.select(F.col(doc).alias("doc"), F.explode(F.array_compact(F.array(*told))).alias("p")).select("doc", "p.*")
+
+
+def cell_kind(kind: Column) -> Column:
+    """What a grid's cell is: a known kind, else a stitch."""
+    return F.when(kind.isin(*CELL_KINDS), kind).otherwise("stitch")
+
+
+def size_derives(kind: Column, unit: Column) -> Column:
+    """Whether a finished size follows from the gauge: cells and gauge must count the same thing."""
+    of = F.when(cell_kind(kind) == "stitch", "stitches").when(cell_kind(kind) == "tile", "tiles")
+    return F.coalesce(of == F.coalesce(F.nullif(unit, F.lit("")), F.lit("stitches")), F.lit(False))
+
+
+def document_problems(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """Rules of a document as a whole; absent parts are null.
+
+    docs: doc, schema, no_stitch (code), boundary and foundation (structs kind, chain, color; chain, first_stitch_in),
+    first_row (stitches that pass 1 works), cell, stats (names), n_written, n_passes, id, content_id.
+    """
+    b, f, nothing = F.col("boundary"), F.col("foundation"), F.lit("")
+    needed = F.col("first_row") + F.coalesce(f["first_stitch_in"], F.lit(1)) - 1
+    kind, withheld = cell_kind(F.col("cell")), F.array_intersect("stats", F.array(*[F.lit(x) for x in STITCH_STATS]))
+    return _listed(docs, doc, [
+        ("no_stitch_schema", F.col("no_stitch").isNotNull() & ~F.col("schema").eqNullSafe(3), F.col("no_stitch"), F.lit("a no-stitch colour needs schema 3")),
+        ("boundary_kind", b.isNotNull() & ~F.coalesce(b["kind"].isin(*BOUNDARY_KINDS), F.lit(False)), F.coalesce(b["kind"], nothing), F.lit("is not a kind of boundary")),
+        ("boundary_chain", b.isNotNull() & ~F.coalesce(b["chain"] >= 0, F.lit(False)), F.coalesce(b["chain"].cast("string"), nothing), F.lit("is not 0 or more")),
+        ("boundary_color", b["color"].isNotNull() & ~b["color"].isin(*CHAIN_COLORS), b["color"], F.lit("is not next or current")),
+        ("foundation", f["chain"] < needed, f["chain"], F.concat(F.lit("is shorter than the "), needed.cast("string"), F.lit(" chains that row 1 needs"))),
+        ("cell_kind", F.col("cell").isNotNull() & ~F.col("cell").isin(*CELL_KINDS), F.col("cell"), F.lit("is not a kind of cell")),
+        ("withheld", (kind != "stitch") & (F.size(withheld) > 0), F.array_join(withheld, ","), F.lit("counts stitches, but cells are none")),
+        ("written", F.col("n_written") != F.col("n_passes"), F.col("n_written"), F.concat(F.lit("is not one text for each of "), F.col("n_passes").cast("string"), F.lit(" passes"))),
+        ("id", ~F.col("id").eqNullSafe(F.col("content_id")), F.coalesce("id", nothing), F.lit("does not match the content")),
+    ])
+
+
+def layer_problems(rows: DataFrame, legend: DataFrame, size: DataFrame, doc: str = "doc") -> DataFrame:
+    """rows: doc, layer, y, runs; legend: doc, layer, code; size: doc, width, height. At: layer or layer/y."""
+    at = F.concat_ws("/", "layer", F.col("y").cast("string"))
+    well = F.coalesce(F.col("runs").rlike(RUN_STRING), F.lit(False))
+    height = rows.groupBy(doc, "layer").agg(F.count("*").alias("n")).join(size, doc).filter("n <> height")
+    runs = rows_to_runs(rows.filter(well), row=(doc, "layer", "y"))
+    width = runs.groupBy(doc, "layer", "y").agg(F.sum("n").alias("n")).join(size, doc).filter("n <> width")
+    unknown = runs.join(legend.select(doc, "layer", "code"), [doc, "layer", "code"], "left_anti").select(doc, "layer", "y", "code").distinct()
+    return report(
+        problem(height, "layer_height", doc, F.col("layer"), F.concat("n", F.lit(" rows, the chart has "), "height")),
+        problem(rows.filter(~well), "layer_run_string", doc, at, F.lit("is not a run string")),
+        problem(width, "layer_width", doc, at, F.lit("does not sum to the width")),
+        problem(unknown, "layer_code", doc, at, F.concat(F.lit("code "), "code", F.lit(" is not in the legend"))),
+    )
+
+
+def explicit_pass_problems(given: DataFrame, palette: DataFrame, extent: DataFrame, doc: str = "doc") -> DataFrame:
+    """given: doc, pass_no, run_no, grid_row, code, n, x0; palette: doc, code, stitch; extent: doc, y, width of each row as parsed.
+
+    A run breaks the first rule that applies: unknown code, no-stitch colour, count, outside the grid.
+    """
+    at = F.concat_ws("/", F.col("pass_no").cast("string"), F.col("run_no").cast("string"))
+    known = palette.groupBy(doc, "code").agg(F.bool_or(F.coalesce(F.col("stitch"), F.lit(True))).alias("_stitch"))
+    d = given.join(known, [doc, "code"], "left").join(extent.select(doc, F.col("y").alias("grid_row"), F.col("width").alias("_width")), [doc, "grid_row"], "left")
+    placed = F.col("grid_row").isNotNull() & F.col("x0").isNotNull()
+    outside = placed & (F.col("_width").isNull() | (F.col("x0") < 0) | (F.col("x0") + F.col("n") > F.col("_width")))
+    rule = F.when(F.col("_stitch").isNull(), "pass_code").when(~F.col("_stitch"), "pass_no_stitch").when(~F.coalesce(F.col("n") >= 1, F.lit(False)), "pass_count").when(outside, "pass_outside")
+    return d.withColumn("rule", rule).filter("rule IS NOT NULL").select(F.col(doc).alias("doc"), "rule", at.alias("at"), F.coalesce("code", F.lit("")).alias("message"))
+
+
+def prose_problems(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """Rules of a transcription: docs: doc, palette (array of code, hex), row1, width, height, rows (array of row, runs (array of code, count), text), finished (width, height, unit).
+
+    Every rule is an expression over a document's own arrays, so a table of documents is checked in one pass.
+    """
+    codes = F.transform("palette", lambda p: p["code"])
+    bad_code = F.filter(codes, lambda c: ~F.coalesce(c.rlike(CODE), F.lit(False)))
+    twice = F.filter(F.array_distinct(codes), lambda c: F.size(F.filter(codes, lambda x: x == c)) > 1)
+    bad_hex = F.filter("palette", lambda p: p["hex"].isNotNull() & ~p["hex"].rlike(HEX))
+    bad_row = F.filter("rows", lambda r: ~F.coalesce(r["row"] >= 1, F.lit(False)))
+    empty = F.filter("rows", lambda r: F.coalesce(F.size(r["runs"]), F.lit(0)) < 1)
+    bad_run = F.filter("rows", lambda r: F.exists(F.coalesce(r["runs"], F.array().cast("array<struct<code:string,count:bigint>>")), lambda x: ~F.coalesce(x["code"].rlike(CODE) & (x["count"] >= 1), F.lit(False))))
+    long = F.filter("rows", lambda r: F.length(r["text"]) > MOST_TEXT)
+    rows_of = lambda a: F.array_join(F.transform(a, lambda r: F.coalesce(r["row"].cast("string"), F.lit("?"))), ",")
+    done = F.col("finished")
+    return _listed(docs, doc, [
+        ("code", F.size(bad_code) > 0, F.array_join(bad_code, ",", "?"), F.lit("is not 1-3 letters")),
+        ("duplicate", F.size(twice) > 0, F.array_join(F.array_sort(twice), ","), F.lit("is a duplicate")),
+        ("hex", F.size(bad_hex) > 0, F.array_join(F.transform(bad_hex, lambda p: p["hex"]), ","), F.lit("is not #RRGGBB")),
+        ("row1", F.col("row1").isNotNull() & ~F.col("row1").isin(*ROW1), F.col("row1"), F.lit("is not a corner")),
+        ("width", F.col("width") < 1, F.col("width"), F.lit("is not positive")), ("height", F.col("height") < 1, F.col("height"), F.lit("is not positive")),
+        ("most_rows", F.size("rows") > MOST_ROWS, F.size("rows"), F.lit("rows are too many")), ("most_colours", F.size("palette") > MOST_COLOURS, F.size("palette"), F.lit("colours are too many")),
+        ("row", F.size(bad_row) > 0, rows_of(bad_row), F.lit("is not a positive number")), ("runs", F.size(empty) > 0, rows_of(empty), F.lit("has no runs")),
+        ("run", F.size(bad_run) > 0, rows_of(bad_run), F.lit("has a run that is not a code and a count")), ("text", F.size(long) > 0, rows_of(long), F.lit("is too long")),
+        ("finished", done.isNotNull() & ~F.coalesce(done["unit"].isin(*UNITS) & (done["width"] > 0) & (done["height"] > 0), F.lit(False)), F.coalesce(done["unit"], F.lit("")), F.lit("is not width, height and unit")),
+    ])
+
+
+def published_problems(entries: DataFrame, variants: DataFrame, gauges: DataFrame, doc: str = "doc") -> DataFrame:
+    """entries: doc, variant, gauge; variants: doc, variant; gauges: gauge. Unknown variants and gauges, and entries listed twice."""
+    at = F.concat_ws("/", "variant", "gauge")
+    return report(
+        problem(entries.join(variants, [doc, "variant"], "left_anti"), "variant", doc, at, F.lit("the variant is unknown")),
+        problem(entries.join(gauges, "gauge", "left_anti"), "gauge", doc, at, F.lit("the gauge is unknown")),
+        problem(entries.groupBy(doc, "variant", "gauge").agg(F.count("*").alias("n")).filter("n > 1"), "twice", doc, at, F.lit("is listed twice")),
+    )

@@ -36,6 +36,50 @@ def validate_codes(s, d):
     return validate.palette_problems(p)
 
 
+def _pick(k, *values):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (k + 1).cast("int"))
+
+
+def document_rules(s, d):
+    """Rules of documents as a whole, over documents that parts' numbers give."""
+    k = F.col("p_partkey")
+    boundary = F.struct(_pick(k % 6, "turn", "join", "rejoin", "spiral", "return", "loop").alias("kind"), (k % 7 - 1).alias("chain"), F.when(k % 4 == 0, "next").when(k % 4 == 1, "blue").alias("color"))
+    docs = table(s, d, "part").select(
+        k.alias("doc"), (k % 2 + 2).alias("schema"), F.when(k % 5 == 0, "N").alias("no_stitch"), F.when(k % 3 > 0, boundary).alias("boundary"),
+        F.when(k % 2 == 0, F.struct((k % 40).alias("chain"), F.when(k % 8 == 0, 2).alias("first_stitch_in"))).alias("foundation"), F.col("p_size").alias("first_row"),
+        _pick(k % 7, "stitch", "block", "tile", "motif", "pair", None, "brick").alias("cell"), F.when(k % 9 > 0, F.array(F.lit("cells"), F.lit("stitches"), F.lit("yards_est"))).otherwise(F.array(F.lit("cells"))).alias("stats"),
+        F.when(k % 4 > 0, k % 6).alias("n_written"), (k % 5).alias("n_passes"), F.concat(F.lit("a"), k).alias("id"), F.concat(F.lit("a"), k - F.when(k % 10 == 0, 1).otherwise(0)).alias("content_id"),
+    )
+    return validate.document_problems(docs)
+
+
+def layer_rules(s, d):
+    """Two layers of rows for each customer's orders, against a legend and a size."""
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("doc"), F.concat(F.lit("l"), F.col("o_orderkey") % 2).alias("layer"), F.col("o_orderkey").alias("y"), F.when(F.col("o_orderkey") % 11 == 0, "A3").otherwise(F.concat(F.col("o_orderkey") % 4 + 1, F.lit("A2"), _pick(F.col("o_orderkey") % 3, "A", "B", "C"))).alias("runs"))
+    legend = o.select("doc", "layer").distinct().withColumn("code", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    size = o.select("doc").distinct().select("doc", F.lit(5).cast("long").alias("width"), (F.col("doc") % 9).alias("height"))
+    return validate.layer_problems(o, legend, size)
+
+
+def prose_rules(s, d):
+    """Transcriptions that parts' numbers give."""
+    k = F.col("p_partkey")
+    colour = lambda c, h: F.struct(c.alias("code"), h.alias("hex"))
+    palette = F.array(colour(F.lit("A"), F.lit("#000000")), colour(_pick(k % 5, "B", "A", "B1", "C", None), F.when(k % 4 == 0, "#12").when(k % 4 == 1, "#ffffff")))
+    run = lambda c, n: F.struct(c.alias("code"), n.cast("long").alias("count"))
+    runs_ = F.when(k % 6 == 0, F.array().cast("array<struct<code:string,count:bigint>>")).otherwise(F.array(run(F.lit("A"), k % 3), run(F.lit("B"), F.lit(2))))
+    rows = F.array(F.struct((k % 8 - 1).alias("row"), runs_.alias("runs"), F.repeat(F.lit("x"), F.when(k % 50 == 0, 20001).otherwise(3)).alias("text")))
+    done = F.struct((k % 5 - 1).alias("width"), F.lit(3).alias("height"), _pick(k % 3, "in", "cm", "mm").alias("unit"))
+    docs = table(s, d, "part").select(k.alias("doc"), palette.alias("palette"), _pick(k % 3, "bottom-right", "middle", None).alias("row1"), (k % 4).alias("width"), F.when(k % 7 > 0, k % 7 - 2).alias("height"), rows.alias("rows"), F.when(k % 2 == 0, done).alias("finished"))
+    return validate.prose_problems(docs)
+
+
+def published_rules(s, d):
+    e = table(s, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderpriority").alias("variant"), F.col("o_orderstatus").alias("gauge"))
+    variants = e.filter("variant <> '5-LOW' OR doc % 2 = 0").select("doc", "variant").distinct()
+    return validate.published_problems(e, variants, e.select("gauge").distinct().filter("gauge <> 'P'"))
+
+
 def strata_counts(s, d):
     """Labelled documents and good ones for each language, with the share of good ones."""
     x = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "lang"), "doc_id")
@@ -93,7 +137,7 @@ def running_headers(s, d):
 
 
 def headings(s, d):
-    return text.lines(table(s, d, "documents"), "doc_id").filter(F.col("line").rlike(r"^\s*[A-Z][a-z]*(?: [A-Z][a-z]*){0,3}\s*$")).select("doc_id", "line_no", "line")
+    return text.lines(table(s, d, "documents"), "doc_id").filter(text.is_heading(F.col("line"))).select("doc_id", "line_no", "line")
 
 
 def _row_lines(s, d):
@@ -143,7 +187,7 @@ def noise_figures(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.bround(F.median("value"), 6).alias("median"), F.bround(F.stddev_pop("value"), 6).alias("noise"))
 
 
-QUERIES = {f.__name__: f for f in (content_ids, duplicate_ids, drift_report, key_union, validate_codes, strata_counts, top_value_per_stratum, nearest_palette, palette_snap_refusals, lab_distance, code_names, ordinals, document_lines, running_headers, headings, row_heads, printed_totals, transcribed_runs, expanded_rows, text_blocks_fill_forward, html_texts, publish_order, noise_figures)}
+QUERIES = {f.__name__: f for f in (content_ids, duplicate_ids, drift_report, key_union, validate_codes, document_rules, layer_rules, prose_rules, published_rules, strata_counts, top_value_per_stratum, nearest_palette, palette_snap_refusals, lab_distance, code_names, ordinals, document_lines, running_headers, headings, row_heads, printed_totals, transcribed_runs, expanded_rows, text_blocks_fill_forward, html_texts, publish_order, noise_figures)}
 
 _CENTRES = "e AS (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT label, i, avg(v) AS v FROM e GROUP BY 1, 2), c AS (SELECT label, list(v ORDER BY i) AS centre FROM m GROUP BY 1), dd AS (SELECT vec_id, c.label, sqrt(list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - centre[i]) ** 2))) AS dist FROM embeddings, c), nn AS (SELECT vec_id, label, round_even(dist, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, label) AS k FROM dd) WHERE k = 1)"
 _ROWS = """li AS (SELECT l_orderkey, string_agg(l_quantity::INTEGER || ' ' || l_returnflag, ', ' ORDER BY l_linenumber, l_partkey, l_returnflag, l_quantity::INTEGER) AS body, sum(l_quantity)::INTEGER AS total, sum(l_quantity::INTEGER)::BIGINT AS summed, count(*)::BIGINT AS n_runs FROM lineitem GROUP BY 1),
@@ -173,6 +217,30 @@ SELECT doc, 'code' AS rule, code AS at, 'is not 1-3 letters' AS message FROM p W
 UNION ALL SELECT doc, 'hex', code, 'is not #RRGGBB' FROM p WHERE NOT regexp_full_match(hex, '#[0-9A-Fa-f]{6}')
 UNION ALL SELECT doc, 'duplicate', code, 'is a duplicate' FROM p GROUP BY doc, code HAVING count(*) > 1
 UNION ALL SELECT doc, 'no_stitch', '', 'more than one colour is no stitch' FROM p WHERE NOT stitch GROUP BY doc HAVING count(*) > 1""",
+    "document_rules": """WITH k AS (SELECT p_partkey AS k, p_size AS first_row, ['turn', 'join', 'rejoin', 'spiral', 'return', 'loop'][p_partkey % 6 + 1] AS kind, ['stitch', 'block', 'tile', 'motif', 'pair', NULL, 'brick'][p_partkey % 7 + 1] AS cell, p_size + CASE WHEN p_partkey % 8 = 0 THEN 2 ELSE 1 END - 1 AS needed FROM part)
+SELECT k AS doc, 'no_stitch_schema' AS rule, 'N' AS at, 'a no-stitch colour needs schema 3' AS message FROM k WHERE k % 5 = 0 AND k % 2 = 0
+UNION ALL SELECT k, 'boundary_kind', kind, 'is not a kind of boundary' FROM k WHERE k % 3 > 0 AND kind = 'loop'
+UNION ALL SELECT k, 'boundary_chain', '-1', 'is not 0 or more' FROM k WHERE k % 3 > 0 AND k % 7 = 0
+UNION ALL SELECT k, 'boundary_color', 'blue', 'is not next or current' FROM k WHERE k % 3 > 0 AND k % 4 = 1
+UNION ALL SELECT k, 'foundation', (k % 40)::VARCHAR, 'is shorter than the ' || needed || ' chains that row 1 needs' FROM k WHERE k % 2 = 0 AND k % 40 < needed
+UNION ALL SELECT k, 'cell_kind', cell, 'is not a kind of cell' FROM k WHERE cell = 'brick'
+UNION ALL SELECT k, 'withheld', 'stitches,yards_est', 'counts stitches, but cells are none' FROM k WHERE cell IN ('block', 'tile', 'motif', 'pair') AND k % 9 > 0
+UNION ALL SELECT k, 'written', (k % 6)::VARCHAR, 'is not one text for each of ' || k % 5 || ' passes' FROM k WHERE k % 4 > 0 AND k % 6 <> k % 5
+UNION ALL SELECT k, 'id', 'a' || k, 'does not match the content' FROM k WHERE k % 10 = 0""",
+    "layer_rules": """WITH o AS (SELECT o_custkey AS doc, 'l' || o_orderkey % 2 AS layer, o_orderkey AS y, o_orderkey % 11 = 0 AS bad, o_orderkey % 4 + 3 AS w, ['A', 'B', 'C'][o_orderkey % 3 + 1] AS code FROM orders)
+SELECT doc, 'layer_height' AS rule, layer AS at, count(*) || ' rows, the chart has ' || doc % 9 AS message FROM o GROUP BY doc, layer HAVING count(*) <> doc % 9
+UNION ALL SELECT doc, 'layer_run_string', layer || '/' || y, 'is not a run string' FROM o WHERE bad UNION ALL SELECT doc, 'layer_width', layer || '/' || y, 'does not sum to the width' FROM o WHERE NOT bad AND w <> 5
+UNION ALL SELECT doc, 'layer_code', layer || '/' || y, 'code C is not in the legend' FROM o WHERE NOT bad AND code = 'C'""",
+    "prose_rules": """WITH k AS (SELECT p_partkey AS k, ['B', 'A', 'B1', 'C', NULL][p_partkey % 5 + 1] AS code, p_partkey % 8 - 1 AS r FROM part)
+SELECT k AS doc, 'code' AS rule, coalesce(code, '?') AS at, 'is not 1-3 letters' AS message FROM k WHERE code IS NULL OR code = 'B1'
+UNION ALL SELECT k, 'duplicate', 'A', 'is a duplicate' FROM k WHERE code = 'A' UNION ALL SELECT k, 'hex', '#12', 'is not #RRGGBB' FROM k WHERE k % 4 = 0
+UNION ALL SELECT k, 'row1', 'middle', 'is not a corner' FROM k WHERE k % 3 = 1 UNION ALL SELECT k, 'width', '0', 'is not positive' FROM k WHERE k % 4 = 0 UNION ALL SELECT k, 'height', (k % 7 - 2)::VARCHAR, 'is not positive' FROM k WHERE k % 7 IN (1, 2)
+UNION ALL SELECT k, 'row', r::VARCHAR, 'is not a positive number' FROM k WHERE r < 1 UNION ALL SELECT k, 'runs', r::VARCHAR, 'has no runs' FROM k WHERE k % 6 = 0
+UNION ALL SELECT k, 'run', r::VARCHAR, 'has a run that is not a code and a count' FROM k WHERE k % 6 > 0 AND k % 3 = 0 UNION ALL SELECT k, 'text', r::VARCHAR, 'is too long' FROM k WHERE k % 50 = 0
+UNION ALL SELECT k, 'finished', ['in', 'cm', 'mm'][k % 3 + 1], 'is not width, height and unit' FROM k WHERE k % 2 = 0 AND (k % 3 = 2 OR k % 5 < 2)""",
+    "published_rules": """WITH e AS (SELECT o_custkey AS doc, o_orderpriority AS variant, o_orderstatus AS gauge, o_orderpriority || '/' || o_orderstatus AS told FROM orders)
+SELECT doc, 'variant' AS rule, told AS "at", 'the variant is unknown' AS message FROM e WHERE variant = '5-LOW' AND doc % 2 > 0
+UNION ALL SELECT doc, 'gauge', told, 'the gauge is unknown' FROM e WHERE gauge = 'P' UNION ALL SELECT doc, 'twice', told, 'is listed twice' FROM e GROUP BY doc, told HAVING count(*) > 1""",
     "strata_counts": "SELECT lang, count(*)::BIGINT AS n, count(*) FILTER (quality = 1)::BIGINT AS good, round_even(avg(quality) * 100, 1) AS percent FROM labels JOIN documents USING (doc_id) GROUP BY 1",
     "top_value_per_stratum": "SELECT source, lang, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS k FROM (SELECT source, lang, count(*)::BIGINT AS n FROM documents GROUP BY 1, 2)) WHERE k = 1",
     "nearest_palette": f"WITH {_CENTRES} SELECT * FROM nn",
@@ -182,7 +250,7 @@ UNION ALL SELECT doc, 'no_stitch', '', 'more than one colour is no stitch' FROM
     "ordinals": "SELECT p_partkey, p_partkey || CASE WHEN p_partkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN p_partkey % 10 = 1 THEN 'st' WHEN p_partkey % 10 = 2 THEN 'nd' WHEN p_partkey % 10 = 3 THEN 'rd' ELSE 'th' END AS told, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part",
     "document_lines": f"WITH {_LINES} SELECT doc_id, count(*)::BIGINT AS n_lines, count(DISTINCT line)::BIGINT AS n_distinct FROM ln GROUP BY 1",
     "running_headers": f"WITH {_LINES}, o AS (SELECT line FROM ln WHERE line <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) = 1) SELECT doc_id, count(*)::BIGINT AS n FROM ln JOIN o USING (line) GROUP BY 1",
-    "headings": f"WITH {_LINES} SELECT doc_id, line_no, line FROM ln WHERE regexp_matches(line, '^\\s*[A-Z][a-z]*(?: [A-Z][a-z]*){{0,3}}\\s*$')",
+    "headings": f"WITH {_LINES} SELECT doc_id, line_no, line FROM ln WHERE regexp_matches(line, '^[ \\t\\x0b\\f\\r]*\\p{{Lu}}\\p{{L}}*(?: \\p{{Lu}}\\p{{L}}*){{0,3}}[ \\t\\x0b\\f\\r]*$')",
     "row_heads": f"WITH {_ROWS} SELECT l_orderkey, first, last, side FROM hd",
     "printed_totals": f"WITH {_ROWS} SELECT l_orderkey, total FROM hd",
     "transcribed_runs": f"WITH {_ROWS} SELECT l_orderkey, summed, n_runs FROM hd",
