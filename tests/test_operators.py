@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from weftline.functions import color
 from weftline.operators import identity, islands, machine, match, prose, runs, sequence, text, validate
-from weftline.plans import folds
 
 
 def rows(df, *columns):
@@ -201,33 +200,37 @@ def test_lab(spark):
     assert np.allclose([d.l, d.a, d.b], [53.24, 80.09, 67.2], atol=0.02)
 
 
-def test_segments():
-    run = [("A", 1), ("B", 2)]
-    assert machine.segments_of(run * 3 + [("C", 25), ("D", 5)]) == [("repeat", 0, 6, 2, 3), ("fill", 6, 7, 0, 0), ("run", 7, 8, 0, 0)]
-    assert machine.segments_of(run * 4 + [("C", 9)] + run * 4)[0] == ("braid", 0, 8, 0, 0)
-    assert machine.segments_of(run * 4 + [("C", 9)] + run * 4)[-1] == ("braid", 9, 17, 0, 0)
-    assert machine.segments_of([]) == []
-
-
-def test_work_moves_there_and_back():
-    passes = [[("A", 3), ("B", 25)], [("A", 1), ("B", 6)] * 3 + [("C", 2)]]
-    for grouped in (True, False):
-        for boundary in (True, False):
-            w = machine.Work(passes, 10, grouped, boundary)
-            seen = [(w.row, w.run, w.stitch)]
-            while w.advance():
-                seen.append((w.row, w.run, w.stitch))
-            assert w.finished and (1, 1, 20) in seen and ((1, 2, 0) in seen) == boundary
-            for want in seen[-2::-1]:
-                assert w.back() and (w.row, w.run, w.stitch) == want
-            assert not w.back()
-    w = machine.Work(passes)
-    assert w.jump(1, 1, 17) and (w.row, w.run, w.stitch) == (1, 1, 10) and not w.jump(3) and not w.jump(1, 0, 3)
+def plain_segments(runs):
+    """Segments by their definition: braids, then at each run the longest band (of equal ones the shortest period), else one run."""
+    n = len(runs)
+    braid = lambda a: len(a) == 8 and all(c <= 4 for _, c in a)
+    low, high = 8 * braid(runs[:8]), n - 8 * (n >= 16 and braid(runs[-8:]))
+    out, i = [("braid", 0, 8, 0, 0)] * (low > 0), low
+    while i < high:
+        bands = [(r * p, -p, r) for p in (2, 3, 4) for r in range(3, n) if i + r * p <= high and runs[i : i + r * p] == runs[i : i + p] * r]
+        cells, p, r = max(bands, default=(1, 0, 0))
+        out.append(("repeat" if bands else "fill" if runs[i][1] >= 20 else "run", i, i + cells, -p, r))
+        i += cells
+    return out + [("braid", high, n, 0, 0)] * (high < n)
+
+
+def test_segments(spark):
+    rng, run = random.Random(4), [("A", 1), ("B", 2)]
+    cases = [run * 3 + [("C", 25), ("D", 5)], run * 4 + [("C", 9)] + run * 4, [("A", 30)], run]
+    cases += [[(rng.choice("AB"), rng.choice((1, 2, 30))) for _ in range(rng.randint(1, 30))] for _ in range(60)]
+    assert plain_segments(cases[0]) == [("repeat", 0, 6, 2, 3), ("fill", 6, 7, 0, 0), ("run", 7, 8, 0, 0)]
+    d = spark.createDataFrame([(1, p, k, *r) for p, c in enumerate(cases) for k, r in enumerate(c)], "grid_id long, pass_no long, run_no long, code string, n long")
+    got = {p: [] for p in range(len(cases))}
+    for r in machine.segments(d).orderBy("pass_no", "start").collect():
+        got[r.pass_no].append((r.kind, r.start, r.end, r.period, r.repetitions))
+    assert all(got[p] == plain_segments(c) for p, c in enumerate(cases))
 
 
 def test_replay_written(spark):
-    log_ = spark.createDataFrame([(1, i, a) for i, a in enumerate(["advance", "advance", "advance", "back", "back", "back", "back"])], "project long, seq long, action string")
-    assert rows(machine.replay_written(log_, 3), "seq", "row", "finished") == [(0, 2, False), (1, 3, False), (2, 3, True), (3, 3, False), (4, 2, False), (5, 1, False), (6, 1, False)]
+    log_ = spark.createDataFrame([(1, i, a, r) for i, (a, r) in enumerate([("advance", 0)] * 3 + [("back", 0)] * 4 + [("jump", 3), ("advance", 0), ("jump", 2), ("jump", 9), ("advance", 0), ("advance", 0), ("advance", 0), ("back", 0)])], "project long, seq long, action string, row long")
+    moves = [(2, False), (3, False), (3, True), (3, False), (2, False), (1, False), (1, False), (3, False), (3, True), (2, False), (2, False), (3, False), (3, True), (3, True), (3, False)]
+    assert rows(machine.replay_written(log_, 3), "seq", "row", "finished") == [(i, *m) for i, m in enumerate(moves)]
+    assert rows(machine.replay_written(log_, None), "seq", "row", "finished")[2] == (2, 4, False)
 
 
 def test_clusters():
@@ -304,11 +307,38 @@ def test_shapes(spark):
     assert shapes.lattice(spark, 9, 9).filter(shapes.diamond(4, 4, 2, 2)).count() == 13 and shapes.lattice(spark, 9, 9).filter(shapes.segment(4, 1, 4, 7, 0.5)).count() == 7
 
 
-def test_users_work_the_charts_of_all_suppliers(spark, monkeypatch):
-    tables = {"events": spark.range(1, 41).select(F.col("id").alias("user_id"), F.col("id").alias("event_id")), "supplier": spark.range(1, 26).select(F.col("id").alias("s_suppkey"))}
-    passes = spark.range(1, 26).select(F.col("id").alias("grid_id"), F.lit(1).alias("pass_no"), F.lit(1).alias("run_no"), F.concat(F.lit("c"), "id").alias("code"), F.lit(2).alias("n"))
-    monkeypatch.setattr(folds, "table", lambda s, d, name: tables[name])
-    monkeypatch.setattr(folds, "_passes", lambda s, d: passes)
-    monkeypatch.setattr(folds.machine, "replay", lambda log, charts, **k: charts)
-    got = {(r.project, r.runs[0].code) for r in folds.work_engine_replay(spark, "").collect()}
-    assert got == {(u, f"c{u % 25 + 1}") for u in range(1, 41)}
+def test_explicit_passes_win_and_unknown_techniques_are_refused(spark):
+    c = cells(spark, ["AB", "CD"])
+    derived = sequence.passes(runs.rle_encode(c.unionByName(c.withColumn("grid_id", F.lit(2).cast("long"))).unionByName(c.withColumn("grid_id", F.lit(3).cast("long")))))
+    given = derived.filter("grid_id = 2 AND pass_no = 1").withColumn("code", F.lit("Z"))
+    technique = spark.createDataFrame([(1, "rows"), (2, "brioche"), (3, "brioche"), (4, None)], "grid_id long, type string")
+    got = sequence.explicit_passes(derived, given, technique)
+    assert rows(got.groupBy("grid_id").agg(F.count("*").alias("n"), F.max("code").alias("c")), "grid_id", "n", "c") == [(1, 4, "D"), (2, 2, "Z")]
+    assert {r.grid_id for r in sequence.refused_techniques(technique, given).collect()} == {3, 4}
+
+
+def test_finish_by_the_last_days(spark):
+    from weftline.operators import project
+
+    now = dt.datetime(2026, 2, 1)
+    days = [(1, 1), (1, 3), (1, 20), (2, 1), (3, 30), (3, 31), (3, 32)]
+    s = spark.createDataFrame([(p, now - dt.timedelta(days=k), now - dt.timedelta(days=k) + dt.timedelta(hours=7)) for p, k in days], "project long, start timestamp_ntz, end timestamp_ntz")
+    r = spark.createDataFrame([(1, 100, 10.0), (2, 100, 10.0), (3, 100, 10.0), (4, 5, None)], "project long, remaining long, per_hour double")
+    got = {x.project: (x.window_seconds, x.days) for x in project.estimated_finish(s, r, F.lit(now).cast("timestamp_ntz")).collect()}
+    assert got == {1: (14 * 3600, 10.0), 2: (7 * 3600, None), 3: (0, None), 4: (0, None)}
+    done = r.withColumn("remaining", F.lit(0))
+    assert {x.project: x.days for x in project.estimated_finish(s, done, F.lit(now).cast("timestamp_ntz")).collect()} == {1: 0.0, 2: None, 3: 0.0, 4: None}
+
+
+def test_explicit_pass_rules_and_sizes(spark):
+    palette = spark.createDataFrame([("d", "A", True), ("d", "N", False)], "doc string, code string, stitch boolean")
+    given = spark.createDataFrame([("d", 1, i, y, c, n, x) for i, (y, c, n, x) in enumerate([(0, "A", 2, 0), (0, "Q", 1, 0), (0, "N", 1, 0), (0, "A", 0, 0), (0, "A", 2, 2), (7, "A", 1, 0), (0, "A", 1, -1), (None, "A", 9, 0)])], "doc string, pass_no long, run_no long, grid_row long, code string, n long, x0 long")
+    extent = spark.createDataFrame([("d", 0, 3)], "doc string, y long, width long")
+    assert rows(validate.explicit_pass_problems(given, palette, extent), "at", "rule") == [("1/1", "pass_code"), ("1/2", "pass_no_stitch"), ("1/3", "pass_count"), ("1/4", "pass_outside"), ("1/5", "pass_outside"), ("1/6", "pass_outside")]
+    d = spark.createDataFrame([("stitch", None), ("tile", "tiles"), ("tile", None), ("block", "stitches"), (None, "stitches"), ("x", "rounds")], "k string, u string")
+    assert [r[0] for r in d.select(validate.size_derives(F.col("k"), F.col("u"))).collect()] == [True, True, False, False, True, False]
+
+
+def test_one_to_one_pairing(spark):
+    d = spark.createDataFrame([(1, 1, 1, 3.0), (1, 2, 2, 30.0), (2, 1, 1, 3.0), (2, 2, 1, 4.0)], "g long, key long, idx long, distance double")
+    assert rows(match.one_to_one(d, ["g"], "key", "idx"), "g", "ok", "shared", "far") == [(1, True, "", "2"), (2, False, "1", "")]

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The most entries of a palette that samples are compared with.
+MOST_PALETTE = 10_000
+
+
 def majority(left: DataFrame, right: DataFrame, on: list[str], cluster: str, code: str, by: list[str]) -> DataFrame:
     """by, cluster, code, n, share of the code that most often stands where a cluster does (ties: the smaller code)."""
     pairs = left.join(right, on).groupBy(*by, cluster, code).agg(F.count("*").alias("n"))
@@ -22,11 +26,23 @@ def cross_check(a: DataFrame, b: DataFrame, by: list[str] = ["grid_id"]) -> Data
 
 
 def nearest(samples: DataFrame, palette: DataFrame, distance: Column, key: str, idx: str) -> DataFrame:
-    """key, idx, distance of the nearest palette entry (ties: the smaller idx). The palette is a small table by contract."""
+    """key, idx, distance of the nearest palette entry (ties: the smaller idx). The palette has at most MOST_PALETTE entries."""
+    if palette.limit(MOST_PALETTE + 1).count() > MOST_PALETTE:
+        raise ValueError(f"a palette of more than {MOST_PALETTE} entries")
     d = samples.crossJoin(F.broadcast(palette)).withColumn("_d", distance)
     return d.groupBy(key).agg(F.min(F.struct("_d", idx)).alias("_m")).select(key, F.col(f"_m.{idx}").alias(idx), F.col("_m._d").alias("distance"))
 
 
+def one_to_one(found: DataFrame, by: list[str], key: str, idx: str, far: float = 25.0) -> DataFrame:
+    """by, ok, shared, far: whether each key's nearest entry is its own; entries that several keys claim; keys beyond `far` of theirs.
+
+    found: by, key, idx, distance (of `nearest`).
+    """
+    claims = found.groupBy(*by, idx).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.when(F.col("distance") > far, F.col(key)))).alias("_far"))
+    d = claims.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(F.col("_n") > 1, F.col(idx)))).alias("shared"), F.array_sort(F.flatten(F.collect_list("_far"))).alias("far"))
+    return d.select(*by, (F.size("shared") == 0).alias("ok"), F.array_join("shared", ",").alias("shared"), F.array_join("far", ",").alias("far"))
+
+
 def kth_to_kth(left: DataFrame, right: DataFrame, key: list[str], left_order: list[str], right_order: list[str], how: str = "inner") -> DataFrame:
     """The k-th row of a key on the left joined to the k-th on the right; adds k."""
     rank = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long")
@@ -66,14 +82,18 @@ def landmarks(runs: DataFrame, reach: int = 10) -> DataFrame:
     return best.select("grid_id", "pass_no", "run_no", "m.code", F.col("m.offset").alias("offset"))
 
 
-def mirrors(cells: DataFrame, outer: int | None = None) -> DataFrame:
-    """grid_id, y, n_broken: cells that differ from their left-right reflection, among the outer columns if given."""
-    width = cells.groupBy("grid_id", "y").agg((F.max("x") + 1).alias("_w"))
-    d = cells.join(width, ["grid_id", "y"])
+def mirrors(cells: DataFrame, outer: int | None = None, *, top_bottom: bool = False) -> DataFrame:
+    """grid_id, line, n_broken: cells that differ from their reflection, among the outer lines if given.
+
+    Left-right by rows (line is y), or top-bottom by columns (x).
+    """
+    line, at = ("x", "y") if top_bottom else ("y", "x")
+    size = cells.groupBy("grid_id", line).agg((F.max(at) + 1).alias("_w"))
+    d = cells.join(size, ["grid_id", line])
     if outer is not None:
-        d = d.filter((F.col("x") < outer) | (F.col("x") >= F.col("_w") - outer))
-    other = d.select("grid_id", "y", (F.col("_w") - 1 - F.col("x")).alias("x"), F.col("code").alias("_o"))
-    return d.join(other, ["grid_id", "y", "x"]).groupBy("grid_id", "y").agg(F.count_if(F.col("code") != F.col("_o")).alias("n_broken"))
+        d = d.filter((F.col(at) < outer) | (F.col(at) >= F.col("_w") - outer))
+    other = d.select("grid_id", line, (F.col("_w") - 1 - F.col(at)).alias(at), F.col("code").alias("_o"))
+    return d.join(other, ["grid_id", line, at]).groupBy("grid_id", line).agg(F.count_if(F.col("code") != F.col("_o")).alias("n_broken"))
 
 
 def solid_edge(cells: DataFrame, edge: int = 1) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +16,18 @@ def written_totals(entries: DataFrame, key: list[str]) -> DataFrame:
 
 
 def stitches_before(entries: DataFrame, cursors: DataFrame, key: list[str]) -> DataFrame:
-    """cursors (key, row) with the stitches of the rows before: entries cut at the cursor."""
-    d = cursors.join(entries, key, "left")
-    inside = F.greatest(F.lit(0), F.least(F.coalesce("to_", F.col("row") - 1), F.col("row") - 1) - F.col("from_") + 1)
-    return d.groupBy(*key, "row").agg(F.coalesce(F.sum(inside * F.col("count")), F.lit(0)).cast("long").alias("stitches_before"))
+    """cursors (key, row) with the stitches of the rows before.
+
+    An entry adds its count a row from its start on and takes it away after its end, so one running sum over the starts,
+    ends and cursors of a key serves all cursors; no entry is paired with a cursor.
+    """
+    c = F.coalesce("count", F.lit(0)).cast("long")
+    edge = lambda at, n, kind: F.struct(at.cast("long").alias("at"), n.alias("slope"), (n * at).cast("long").alias("base"), F.lit(kind).alias("kind"))
+    edges = entries.select(*key, F.explode(F.array(edge(F.col("from_"), c, 1), edge(F.col("to_") + 1, -c, 1))).alias("e")).select(*key, "e.*").filter("at IS NOT NULL")
+    asked = cursors.select(*key, F.col("row").cast("long").alias("at"), F.lit(0).cast("long").alias("slope"), F.lit(0).cast("long").alias("base"), F.lit(0).alias("kind"))
+    w = Window.partitionBy(*key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)  # an edge at a cursor's row comes after it
+    told = edges.unionByName(asked).withColumn("stitches_before", F.col("at") * F.coalesce(F.sum("slope").over(w), F.lit(0)) - F.coalesce(F.sum("base").over(w), F.lit(0)))
+    return told.filter("kind = 0").select(*key, F.col("at").alias("row"), F.col("stitches_before").cast("long").alias("stitches_before"))
 
 
 def piece_progress(pieces: DataFrame) -> DataFrame:
@@ -57,10 +64,19 @@ def project_sessions(log: DataFrame, manifest: DataFrame, gap_seconds: int = GAP
     return per.groupBy("project", "_s").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("rows").cast("long").alias("rows")).drop("_s")
 
 
-def estimated_days(remaining: Column, per_hour: Column, active_seconds: Column, n_sessions: Column, days: int = 14, least: int = 3) -> Column:
-    """Days until the end at the window's mean active time; null before `least` sessions or without a rate, 0 if nothing remains."""
-    hours_a_day = active_seconds / 3600.0 / days
-    return F.when((n_sessions < least) | per_hour.isNull() | (per_hour <= 0), None).when(remaining <= 0, 0.0).otherwise(F.try_divide(remaining / per_hour, F.nullif(hours_a_day, F.lit(0.0))))
+def estimated_finish(sessions: DataFrame, remaining: DataFrame, now: Column, days: int = 14, least: int = 3) -> DataFrame:
+    """project, window_seconds, days: days from `now` until the end at the mean active time of the last `days` days.
+
+    sessions: project, start, end; remaining: project, remaining, per_hour. Null before `least` sessions, without a rate,
+    or without active time in the window; 0 if nothing remains.
+    """
+    begin = now - F.make_interval(days=F.lit(days))
+    inside = F.timestamp_diff("SECOND", F.greatest(F.col("start"), begin), F.least(F.col("end"), now))
+    seen = sessions.groupBy("project").agg(F.count("*").alias("_n"), F.sum(F.greatest(F.lit(0), inside)).cast("long").alias("window_seconds"))
+    d = remaining.join(seen, "project", "left")
+    hours_a_day = F.nullif(F.col("window_seconds") / 3600.0 / days, F.lit(0.0))
+    late = F.when((F.coalesce("_n", F.lit(0)) < least) | F.coalesce(F.col("per_hour") <= 0, F.lit(True)), None).when(F.col("remaining") <= 0, 0.0).otherwise(F.try_divide(F.col("remaining") / F.col("per_hour"), hours_a_day))
+    return d.select("project", F.coalesce("window_seconds", F.lit(0)).alias("window_seconds"), late.alias("days"))
 
 
 def manifest_charts(stats: DataFrame, palette: DataFrame) -> DataFrame:
@@ -77,19 +93,26 @@ def live_state(cursors: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def unique_slugs(rows: DataFrame, by: str, order: str, base: str) -> DataFrame:
-    """by, order, slug: taken slugs get -2, -3, ..., skipping those taken (a fold over one group's names)."""
+    """by, order, slug: taken slugs get -2, -3, ..., skipping those taken.
+
+    Only names of one root (without -numbers at the end) can meet. Where all names of a root are alike, their number in
+    order is the suffix; only the names of mixed roots are folded, in an array of that root alone.
+    """
+    d = rows.select(by, order, F.when(F.coalesce(base, F.lit("")) == "", "piece").otherwise(F.col(base)).alias("base"))
+    d = d.withColumn("_root", F.regexp_replace("base", r"(-[0-9]+)+$", ""))
+    w = Window.partitionBy(by, "_root")
+    d = d.withColumns({"_k": F.row_number().over(w.orderBy(order)), "_mixed": F.min("base").over(w) != F.max("base").over(w)})
+    alike = d.filter(~F.col("_mixed")).select(by, order, F.when(F.col("_k") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "_k")).alias("slug"))
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for name in pdf.sort_values(order)[base]:
-            slug, n = name or "piece", 2
-            while slug in taken:
-                slug, n = f"{name or 'piece'}-{n}", n + 1
-            taken.add(slug)
-            out.append(slug)
-        return pd.DataFrame({by: key[0], order: pdf.sort_values(order)[order], "slug": out})
+    def step(a, x):
+        tries = F.transform(F.sequence(F.lit(1), F.size(a) + 1), lambda k: F.when(k == 1, x["base"]).otherwise(F.concat_ws("-", x["base"], k)))
+        free = F.get(F.filter(tries, lambda t: ~F.exists(a, lambda y: y["slug"] == t)), 0)
+        return F.array_append(a, F.struct(x[order].alias(order), free.alias("slug")))
 
-    return rows.select(by, order, base).groupBy(by).applyInPandas(fold, f"{by} long, {order} long, slug string")
+    mixed = d.filter("_mixed").groupBy(by, "_root").agg(F.array_sort(F.collect_list(F.struct(order, "base"))).alias("_n"))
+    kind = f"array<struct<{order}:{dict(rows.dtypes)[order]},slug:string>>"
+    folded = mixed.select(by, F.explode(F.aggregate("_n", F.array().cast(kind), step)).alias("s")).select(by, "s.*")
+    return alike.unionByName(folded)
 
 
 def copied_rows(rows: DataFrame, key: list[str], n: str, same_as: str) -> DataFrame:
@@ -135,3 +158,44 @@ def paths_problems(files: DataFrame, key: str, path: str) -> DataFrame:
     parents = files.select(key, F.col(path).alias("path")).withColumn("up", F.explode(up)).filter("up <> path")
     nested = parents.join(files.select(key, F.col(path).alias("up")), [key, "up"], "left_semi").select(key, "path", F.lit("nested").alias("kind")).distinct()
     return bad.unionByName(twice).unionByName(nested)
+
+
+def default_first(charts: DataFrame, key: list[str], order: str, chosen: str = "is_default") -> DataFrame:
+    """charts with place (from 1): the chosen one of a key first, the others in order."""
+    return charts.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(chosen), order)))
+
+
+def section_fitting(sections: DataFrame, height: DataFrame, key: list[str]) -> DataFrame:
+    """key, section: the first colour section that ends at a chart's height, else the longest (ties: the first).
+
+    sections: key, section, last_row, n_rows, is_colour; height: key, height.
+    """
+    d = sections.filter("is_colour").join(height, key)
+    fits = F.coalesce(F.col("last_row") == F.col("height"), F.lit(False))
+    best = F.struct(fits.alias("fits"), F.when(fits, 0).otherwise(F.col("n_rows")).alias("n"), (-F.col("section")).alias("first"))
+    return d.groupBy(*key).agg(F.max_by("section", best).alias("section"))
+
+
+def chart_versions(stored: DataFrame, manifest: DataFrame, key: list[str]) -> DataFrame:
+    """stored (key, variant, gauge_key, id) with status: current, changed (the manifest's chart has another id), or gone."""
+    now = manifest.select(*key, "variant", "gauge_key", F.col("id").alias("_now"))
+    status = F.when(F.col("_now").isNull(), "gone").when(F.col("_now") == F.col("id"), "current").otherwise("changed")
+    return stored.join(now, [*key, "variant", "gauge_key"], "left").withColumn("status", status).drop("_now")
+
+
+def strided(rows: DataFrame, key: list[str], order: list[str], most: int) -> DataFrame:
+    """About `most` rows of each key, evenly by order: every (rows // most)-th."""
+    w = Window.partitionBy(*key)
+    step = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / most))
+    return rows.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_step": step}).filter("_i % _step = 0").drop("_i", "_step")
+
+
+def covered_part(pages: DataFrame) -> DataFrame:
+    """pages (r0, r1, c0, c1 as printed; width, height of the chart; row1 corner) with y0, y1, x0, x1: the part of the grid that a page shows (ends exclusive)."""
+    top, bottom = F.least("r0", "r1"), F.greatest("r0", "r1")
+    left, right = F.least("c0", "c1"), F.greatest("c0", "c1")
+    up, back = F.col("row1").startswith("bottom"), F.col("row1").endswith("right")
+    return pages.withColumns({
+        "y0": F.when(up, F.col("height") - bottom).otherwise(top - 1), "y1": F.when(up, F.col("height") - top + 1).otherwise(bottom),
+        "x0": F.when(back, F.col("width") - right).otherwise(left - 1), "x1": F.when(back, F.col("width") - left + 1).otherwise(right),
+    })

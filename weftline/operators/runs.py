@@ -77,6 +77,18 @@ def stats(runs: DataFrame, row: tuple[str, ...] = ROW, by: str = "grid_id") -> D
     )
 
 
+def yarn(counts: DataFrame, gauge: DataFrame, by: str = "grid_id") -> DataFrame:
+    """by, code, yards, skeins of each colour. counts: by, code, cells; gauge: by, stitches and rows an inch, cell (kind).
+
+    1.1 yards a square inch and a fifth more for tails; 364 yards a skein. Only cells that are stitches have yarn: for
+    other kinds both are null.
+    """
+    area = F.try_divide(F.lit(1.0), F.col("stitches") * F.col("rows"))
+    yards = F.when(F.coalesce("cell", F.lit("stitch")) == "stitch", F.col("cells") * area * 1.1 * 1.2)
+    d = counts.join(gauge, by).withColumn("_y", yards)
+    return d.select(by, "code", F.bround("_y", 0).cast("long").alias("yards"), F.bround(F.col("_y") / 364, 1).alias("skeins"))
+
+
 def work_hours(stitches: Column, changes_: Column, stitch: Column) -> Column:
     """Estimated hours: stitches over the rate of the stitch, and three seconds a change."""
     # Stitches an hour by stitch.

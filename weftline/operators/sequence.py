@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Techniques whose order can be derived, flat and in the round.
+TECHNIQUES = ("rows", "rounds")
+
 
 def passes(runs: DataFrame, *, start: str = "bottom", first_side: str = "RS", rs_direction: str = "rtl", rounds: bool = False, no_stitch: str | None = None) -> DataFrame:
     """Runs in working order: grid_id, pass_no, side, direction, grid_row (y), run_no, code, n, x0, cells_before.
@@ -14,9 +17,11 @@ def passes(runs: DataFrame, *, start: str = "bottom", first_side: str = "RS", rs
     """
     if no_stitch is not None:
         runs = runs.filter(F.col("code") != no_stitch)
-    rank = F.dense_rank().over(Window.partitionBy("grid_id").orderBy(F.desc("y") if start == "bottom" else F.asc("y")))
+    # Only distinct rows are ranked in a window over a whole grid; runs are ordered inside their pass.
+    rank = F.row_number().over(Window.partitionBy("grid_id").orderBy(F.desc("y") if start == "bottom" else F.asc("y")))
+    ranks = runs.select("grid_id", "y").distinct().withColumn("pass_no", rank.cast("long"))
     other = {"RS": "WS", "WS": "RS", "rtl": "ltr", "ltr": "rtl"}
-    d = runs.withColumn("pass_no", rank.cast("long"))
+    d = runs.join(ranks, ["grid_id", "y"])
     even = F.lit(rounds) | (F.col("pass_no") % 2 == 1)
     ws_direction = other[rs_direction]
     d = d.withColumn("side", F.when(even, first_side).otherwise(other[first_side]))
@@ -27,6 +32,22 @@ def passes(runs: DataFrame, *, start: str = "bottom", first_side: str = "RS", rs
     return with_before(d.select("grid_id", "pass_no", "side", "direction", F.col("y").alias("grid_row"), "run_no", "code", "n", "x0"))
 
 
+def explicit_passes(derived: DataFrame, given: DataFrame, technique: DataFrame) -> DataFrame:
+    """Passes of documents: those that a document gives win over derived ones; grids of unknown technique have none else.
+
+    derived and given: grid_id, pass_no, side, direction, grid_row, run_no, code, n, x0; technique: grid_id, type.
+    """
+    columns = ["grid_id", "pass_no", "side", "direction", "grid_row", "run_no", "code", "n", "x0"]
+    known = technique.filter(F.col("type").isin(*TECHNIQUES)).select("grid_id")
+    own = derived.join(known, "grid_id", "left_semi").join(given.select("grid_id").distinct(), "grid_id", "left_anti")
+    return given.select(*columns).unionByName(own.select(*columns))
+
+
+def refused_techniques(technique: DataFrame, given: DataFrame) -> DataFrame:
+    """grid_id, type of grids that cannot be put in order: of a technique that isn't known, without passes of their own."""
+    return technique.filter(~F.coalesce(F.col("type").isin(*TECHNIQUES), F.lit(False))).join(given.select("grid_id").distinct(), "grid_id", "left_anti").select("grid_id", "type")
+
+
 def with_before(runs: DataFrame) -> DataFrame:
     """runs with cells_before: cells of the grid before the run. Passes are summed first, so one window is over passes only."""
     per_pass = runs.groupBy("grid_id", "pass_no").agg(F.sum("n").alias("_n"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +11,12 @@ def lattice(spark: SparkSession, width: int, height: int) -> DataFrame:
     return spark.range(width * height).select((F.col("id") / width).cast("long").alias("y"), (F.col("id") % width).alias("x"))
 
 
+def drawn(pictures: DataFrame, width: int, height: int) -> DataFrame:
+    """pictures with a row for each place (y, x) of a grid of that size."""
+    y = pictures.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long"))))
+    return y.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
+
+
 def ring(cy: float, cx: float, inner: float, outer: float) -> Column:
     d = F.pow(F.col("y") - cy, F.lit(2)) + F.pow(F.col("x") - cx, F.lit(2))
     return (d >= inner * inner) & (d <= outer * outer)
@@ -83,24 +87,17 @@ def fitting_lines(lines: DataFrame, spans: DataFrame, key: list[str]) -> DataFra
 def suppress(boxes: DataFrame, by: str, most: float = 0.5) -> DataFrame:
     """by, box of boxes that no larger kept one overlaps by more than `most` of the smaller (greedy by area, ties by box).
 
-    boxes: by, box, x0, y0, x1, y1. The greedy order is a fold over one picture's boxes.
+    boxes: by, box, x0, y0, x1, y1. The greedy order is a fold over one picture's boxes, in one array.
     """
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    listed = boxes.groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-area).alias("order"), "box", "x0", "y0", "x1", "y1"))).alias("_b"))
+
+    def hidden(x, k):
+        over = lambda a, b: F.greatest(F.lit(0), F.least(x[b], k[b]) - F.greatest(x[a], k[a]))
+        return over("x0", "x1") * over("y0", "y1") > most * F.greatest(F.lit(1), -F.greatest(x["order"], k["order"]))
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        area = (pdf.x1 - pdf.x0) * (pdf.y1 - pdf.y0)
-        d = pdf.assign(area=area).sort_values(["area", "box"], ascending=[False, True])
-        kept = np.zeros((0, 5))
-        names = []
-        for r in d.itertuples(index=False):
-            w = np.minimum(kept[:, 2], r.x1) - np.maximum(kept[:, 0], r.x0)
-            h = np.minimum(kept[:, 3], r.y1) - np.maximum(kept[:, 1], r.y0)
-            shared = np.maximum(w, 0) * np.maximum(h, 0) / np.maximum(1, np.minimum(kept[:, 4], r.area))
-            if not (shared > most).any():
-                kept = np.vstack([kept, [r.x0, r.y0, r.x1, r.y1, r.area]])
-                names.append(r.box)
-        return pd.DataFrame({by: key[0], "box": names})
-
-    return boxes.select(by, "box", "x0", "y0", "x1", "y1").groupBy(by).applyInPandas(fold, f"{by} long, box long")
+    kept = F.aggregate("_b", F.slice("_b", 1, 0), lambda a, x: F.when(F.exists(a, lambda k: hidden(x, k)), a).otherwise(F.array_append(a, x)))
+    return listed.select(by, F.explode(kept).alias("k")).select(by, "k.box")
 
 
 def cell_medians(pixels: DataFrame, pitch: int, part: float = 0.4) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import islands, match, runs, sequence
+from ..operators import islands, match, runs, sequence, shapes
 from .adapters import CELLS_EVENTS, CELLS_LINEITEM, INTERVALS, PASSES, RUNS, cells_events, cells_lineitem, intervals_customers, palette_of, table
 
 LI_RUNS, EV_RUNS = f"{CELLS_LINEITEM}, {RUNS}", f"{CELLS_EVENTS}, {RUNS}"
@@ -128,6 +128,25 @@ def mirror_check(s, d):
     return match.mirrors(cells_lineitem(s, d), outer=3)
 
 
+def mirror_top_bottom(s, d):
+    return match.mirrors(cells_lineitem(s, d), top_bottom=True)
+
+
+def yarn_figures(s, d):
+    """Yards and skeins of each colour, by a gauge and a kind of cell that the supplier's number gives."""
+    counts = _li_runs(s, d).groupBy("grid_id", "code").agg(F.sum("n").alias("cells"))
+    g = table(s, d, "supplier").select(F.col("s_suppkey").alias("grid_id"), (F.col("s_suppkey") % 3 + 3.5).alias("stitches"), (F.col("s_suppkey") % 4 + 3.25).alias("rows"), F.when(F.col("s_suppkey") % 5 == 0, "block").alias("cell"))
+    return runs.yarn(counts, g)
+
+
+def explicit_or_derived(s, d):
+    """Passes that some documents give (their rows from the top) win over derived ones; others are of a technique that isn't known."""
+    derived = _li_passes(s, d)
+    given = sequence.passes(_li_runs(s, d).filter("grid_id % 4 = 1"), start="top")
+    technique = table(s, d, "supplier").select(F.col("s_suppkey").alias("grid_id"), F.when(F.col("s_suppkey") % 4 < 2, "brioche").otherwise("rows").alias("type"))
+    return sequence.explicit_passes(derived, given, technique).groupBy("grid_id", "pass_no").agg(F.max("grid_row").alias("grid_row"), F.sum("n").alias("n"))
+
+
 def solid_edge(s, d):
     return match.solid_edge(cells_lineitem(s, d))
 
@@ -157,7 +176,7 @@ def hours_estimate(s, d):
 
 def mask_ring(s, d):
     """Cells of a ring on a lattice of a supplier's rows and columns."""
-    return cells_lineitem(s, d).filter((F.pow(F.col("x") - 4, F.lit(2)) + F.pow(F.col("y") - 40, F.lit(2))).between(4, 36)).groupBy("grid_id").agg(F.count("*").alias("n"))
+    return cells_lineitem(s, d).filter(shapes.ring(40, 4, 2, 6)).groupBy("grid_id").agg(F.count("*").alias("n"))
 
 
 def overlay_blit(s, d):
@@ -166,7 +185,7 @@ def overlay_blit(s, d):
     return match.overlay(a.unionByName(b), "AF")
 
 
-QUERIES = {f.__name__: f for f in (rle_events, rle_blocked, rle_strings, rle_roundtrip_mismatch, parsed_runs, run_stats, single_runs, changes_per_row, palette_counts_zero_filled, boustrophedon_sequence, rounds_sequence, prefix_cells_before, cursor_lookup, shaping_deltas, written_rows_text, written_to_grid, cross_check_rows, majority_code_match, stretches, stretch_changes, nearest_landmark, mirror_check, solid_edge, tile_buckets, interval_lookup_k_of_n, copy_expansion, hours_estimate, mask_ring, overlay_blit)}
+QUERIES = {f.__name__: f for f in (rle_events, rle_blocked, rle_strings, rle_roundtrip_mismatch, parsed_runs, run_stats, single_runs, changes_per_row, palette_counts_zero_filled, boustrophedon_sequence, rounds_sequence, prefix_cells_before, cursor_lookup, shaping_deltas, written_rows_text, written_to_grid, cross_check_rows, majority_code_match, stretches, stretch_changes, nearest_landmark, mirror_check, mirror_top_bottom, yarn_figures, explicit_or_derived, solid_edge, tile_buckets, interval_lookup_k_of_n, copy_expansion, hours_estimate, mask_ring, overlay_blit)}
 
 _STRETCH = f"""{LI_PASSES}, rws AS (SELECT grid_id, pass_no, list_sort(list(DISTINCT code)) AS codes, count(*) AS runs FROM passes GROUP BY 1, 2),
 cut AS (SELECT *, CASE WHEN lag(pass_no) OVER w IS NULL OR lag(codes) OVER w <> codes OR greatest(runs, lag(runs) OVER w) >= 3 * least(runs, lag(runs) OVER w) THEN 1 ELSE 0 END AS new FROM rws WINDOW w AS (PARTITION BY grid_id ORDER BY pass_no)),
@@ -218,6 +237,12 @@ k AS (SELECT *, row_number() OVER (PARTITION BY grid_id, pass_no, run_no ORDER B
 SELECT grid_id, pass_no, run_no, code, (CASE WHEN direction = 'ltr' THEN e - st ELSE st - e END)::BIGINT AS "offset" FROM k WHERE q = 1""",
     "mirror_check": f"""WITH {CELLS_LINEITEM}, w AS (SELECT grid_id, y, max(x) + 1 AS w FROM cells GROUP BY 1, 2)
 SELECT c.grid_id, c.y, count(*) FILTER (c.code <> o.code)::BIGINT AS n_broken FROM cells c JOIN w USING (grid_id, y) JOIN cells o ON o.grid_id = c.grid_id AND o.y = c.y AND o.x = w.w - 1 - c.x WHERE c.x < 3 OR c.x >= w.w - 3 GROUP BY 1, 2""",
+    "mirror_top_bottom": f"""WITH {CELLS_LINEITEM}, w AS (SELECT grid_id, x, max(y) AS h FROM cells GROUP BY 1, 2)
+SELECT c.grid_id, c.x, count(*) FILTER (c.code <> o.code)::BIGINT AS n_broken FROM cells c JOIN w USING (grid_id, x) JOIN cells o ON o.grid_id = c.grid_id AND o.x = c.x AND o.y = w.h - c.y GROUP BY 1, 2""",
+    "yarn_figures": f"""WITH {CELLS_LINEITEM}, c AS (SELECT grid_id, code, count(*) AS n FROM cells GROUP BY 1, 2), y AS (SELECT grid_id, code, CASE WHEN s_suppkey % 5 > 0 THEN n * (1.0::DOUBLE / ((s_suppkey % 3 + 3.5::DOUBLE) * (s_suppkey % 4 + 3.25::DOUBLE))) * 1.1::DOUBLE * 1.2::DOUBLE END AS y FROM c JOIN supplier ON s_suppkey = grid_id)
+SELECT grid_id, code, round_even(y, 0)::BIGINT AS yards, round_even(y / 364, 1) AS skeins FROM y""",
+    "explicit_or_derived": f"""WITH {CELLS_LINEITEM}, r AS (SELECT grid_id, y, count(*)::BIGINT AS n FROM cells GROUP BY 1, 2)
+SELECT grid_id, row_number() OVER (PARTITION BY grid_id ORDER BY CASE WHEN grid_id % 4 = 1 THEN y ELSE -y END) AS pass_no, y AS grid_row, n FROM r WHERE grid_id % 4 > 0""",
     "solid_edge": f"""WITH {CELLS_LINEITEM}, w AS (SELECT grid_id, y, max(x) + 1 AS w FROM cells GROUP BY 1, 2)
 SELECT grid_id, count(DISTINCT code)::BIGINT AS n_codes, count(DISTINCT code) = 1 AS solid FROM cells JOIN w USING (grid_id, y) WHERE x < 1 OR x >= w - 1 GROUP BY 1""",
     "tile_buckets": f"""WITH {CELLS_LINEITEM}, z AS (SELECT grid_id, max(x) + 1 AS w, max(y) + 1 AS h FROM cells GROUP BY 1)
