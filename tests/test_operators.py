@@ -241,7 +241,10 @@ def test_clusters():
 
 def test_prose():
     assert prose.expand("2 A, (3 B, 1 C) 2 times, 1 A") == [("A", 2), ("B", 3), ("C", 1), ("B", 3), ("C", 1), ("A", 1)]
-    assert prose.expand("*2 A, 2 B; repeat from * 2 times, 1 A") == [("A", 2), ("B", 2)] * 3 + [("A", 1)]
+    assert prose.expand("*2 A, 2 B; repeat from * 2 times, 1 A") == [("A", 2), ("B", 2)] * 2 + [("A", 1)]
+    assert prose.expand("*2 A, 2 B; repeat from * 2 more times, 1 A") == [("A", 2), ("B", 2)] * 3 + [("A", 1)]
+    assert prose.expand("*2 A, 2 B; repeat from * across", 13) == [("A", 2), ("B", 2)]
+    assert prose.expand("(1 A, 1 B) 501 times") is None and prose.expand("((((1 A, 1 B) 100 times) 100 times) 100 times) 9 times") is None
     assert prose.expand("*2 A, 2 B; repeat from * across", 12) == [("A", 2), ("B", 2)] * 3
     assert prose.expand("") == []
 
@@ -342,3 +345,45 @@ def test_explicit_pass_rules_and_sizes(spark):
 def test_one_to_one_pairing(spark):
     d = spark.createDataFrame([(1, 1, 1, 3.0), (1, 2, 2, 30.0), (2, 1, 1, 3.0), (2, 2, 1, 4.0)], "g long, key long, idx long, distance double")
     assert rows(match.one_to_one(d, ["g"], "key", "idx"), "g", "ok", "shared", "far") == [(1, True, "", "2"), (2, False, "1", "")]
+
+
+def test_rows_on_a_shaped_grid(spark):
+    grid = cells(spark, ["NAAN", "AAAA", "NNAN"])
+    ground = spark.createDataFrame([(1, "N")], "grid_id long, code string")
+    written = [(1, 0, "X", 1), (2, 0, "P", 1), (2, 1, "Q", 3), (3, 0, "Y", 1), (3, 1, "Z", 1)]
+    written = spark.createDataFrame([(1, *r) for r in written], "grid_id long, row long, run_no long, code string, n long")
+    got, wrong = sequence.shaped_grid(written, grid, ground)
+    assert rows(got, "y", "x", "code") == [(0, 1, "Z"), (0, 2, "Y"), (1, 0, "P"), (1, 1, "Q"), (1, 2, "Q"), (1, 3, "Q"), (2, 2, "X")] and wrong.count() == 0
+    _, wrong = sequence.shaped_grid(written.withColumn("n", F.col("n") + F.when(F.col("row") == 1, 1).otherwise(0)), grid, ground)
+    assert rows(wrong, "row") == [(1,)]
+
+
+def test_tiles_of_pages(spark):
+    whole = cells(spark, ["ABC", "DEF"])
+    headers = spark.createDataFrame([(1, 1, 1, 2, 3, 1, 2, 2), (1, 2, 3, 3, 3, 1, 2, 2)], "grid_id long, page long, a long, b long, width long, c long, d long, height long")
+    pages = whole.filter("x >= 1").selectExpr("grid_id", "1L AS page", "y", "x - 1 AS x", "code").unionByName(whole.filter("x = 0").selectExpr("grid_id", "2L AS page", "y", "x", "code"))
+    assert rows(sequence.placed_tiles(headers, pages), "y", "x", "code") == rows(whole, "y", "x", "code") and sequence.tile_problems(headers, pages).count() == 0
+    assert rows(sequence.tile_problems(headers, pages.filter("NOT (page = 2 AND y = 0)")), "kind", "n") == [("size", 1), ("uncovered", 1)]
+
+
+def test_orientation(spark):
+    a = ["ABCD", "EFGH", "IJKL"]
+    for other, hint, n in ((a, None, 0), (a[::-1], "flipped_rows", 2), ([r[::-1] for r in a], "flipped_columns", 3), ([r[::-1] for r in a[::-1]], "rotated", 3), (["ABCX"] + a[1:], None, 1), (["XBCD", "XFGH", "IJKL"], None, 2)):
+        got = match.orientation(cells(spark, other), cells(spark, a)).first()
+        assert (got.height, got.n_rows, got.refused, got.hint) == (3, n, n > 1, hint)
+
+
+def test_normalized_bodies_and_clean_runs(spark):
+    told = {
+        "ch 1, turn, 2 inc, 3 dec (7 sts)": "4 sc, 3 sc", "8 sc in white, sc 4 in Pale Rose.": "8 white, 4 Pale Rose.", "(green) sc 10, c2, gh3": "10 green, 2 c, 3 gh",
+        "2 sc, 3 sc, 1 A": "5 sc, 1 A", "dc2tog, sl 1": "dc2tog, sl 1", "": "",
+    }
+    told["ch 1, turn, 2 inc, 3 dec (7 sts)"] = "7 sc"
+    d = spark.createDataFrame([*told.items()], "body string, want string").withColumn("got", text.normalized(F.col("body")))
+    assert [(r.want, r.got) for r in d.collect() if r.want != r.got] == []
+    names = spark.createDataFrame([(1, "White", "A"), (1, "A", "A"), (1, "B", "B")], "doc long, name string, code string")
+    read = [("white", 2), ("a", 3), ("sc", 4), ("B", 0), ("B", 1), ("zz", 5), ("A", 1)]
+    r = spark.createDataFrame([(1, 1, i, *x) for i, x in enumerate(read)], "doc long, row long, i long, code string, n long")
+    assert rows(text.clean_runs(r, ["doc", "row"], "i", names, "doc"), "run_no", "code", "n") == [(0, "A", 5), (1, "B", 1), (2, "A", 1)]
+    w = spark.createDataFrame([(1, 1, 10), (1, 2, None), (1, 3, 12), (1, 4, None)], "k long, row long, total int")
+    assert {r.row: r.width for r in prose.row_width(w, ["k"], "row", "total").collect()} == {1: None, 2: 10, 3: 10, 4: 12}

@@ -96,6 +96,26 @@ def mirrors(cells: DataFrame, outer: int | None = None, *, top_bottom: bool = Fa
     return d.join(other, ["grid_id", line, at]).groupBy("grid_id", line).agg(F.count_if(F.col("code") != F.col("_o")).alias("n_broken"))
 
 
+def orientation(written: DataFrame, grid: DataFrame, limit: float = 0.1) -> DataFrame:
+    """grid_id, height, n_rows (that differ), refused (more than max(1, limit of the rows), rounded up), hint.
+
+    Both: grid_id, y, x, code. The hint of a refused one: flipped_rows, flipped_columns or rotated, if the grid is then
+    the same. Each cell is compared in the four positions by one join; nothing is collected.
+    """
+    size = grid.groupBy("grid_id").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    d = grid.join(size, "grid_id")
+    up, back = F.col("_h") - 1 - F.col("y"), F.col("_w") - 1 - F.col("x")
+    turned = F.array(*[F.struct(F.lit(i).alias("i"), y.alias("y"), x.alias("x")) for i, (y, x) in enumerate(((F.col("y"), F.col("x")), (up, F.col("x")), (F.col("y"), back), (up, back)))])
+    four = d.select("grid_id", "_h", F.col("code").alias("_c"), F.explode(turned).alias("t")).select("grid_id", "_h", "_c", "t.*")
+    both = four.join(written.select("grid_id", "y", "x", "code"), ["grid_id", "y", "x"], "left")
+    rows = both.groupBy("grid_id", "_h", "i", "y").agg(F.bool_or(~F.col("_c").eqNullSafe(F.col("code"))).alias("_differs"))
+    per = rows.groupBy("grid_id", F.col("_h").alias("height"), "i").agg(F.count_if("_differs").alias("n"))
+    one = per.groupBy("grid_id", "height").agg(*[F.max(F.when(F.col("i") == i, F.col("n"))).alias(f"_n{i}") for i in range(4)])
+    refused = F.col("_n0") > F.greatest(F.lit(1), F.ceil(F.col("height") * limit))
+    hint = F.when(F.col("_n1") == 0, "flipped_rows").when(F.col("_n2") == 0, "flipped_columns").when(F.col("_n3") == 0, "rotated")
+    return one.select("grid_id", "height", F.col("_n0").alias("n_rows"), refused.alias("refused"), F.when(refused, hint).alias("hint"))
+
+
 def solid_edge(cells: DataFrame, edge: int = 1) -> DataFrame:
     """grid_id, n_codes, solid: whether the outer cells of all rows have one code."""
     width = cells.groupBy("grid_id", "y").agg((F.max("x") + 1).alias("_w"))

@@ -5,45 +5,64 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BRACKET = re.compile(r"[(\[]([^()\[\]]*)[)\]]\s*(?:x\s*([0-9]{1,3})|([0-9]{1,3})\s*(?:times|x))", re.IGNORECASE)
-_STAR = re.compile(r"\*([^*;]*?)[,;]?\s*;?\s*(?:rep(?:eat)?\s+from\s+\*)\s*(?:([0-9]{1,3})\s*(?:more\s+)?times|(across|to\s+end))", re.IGNORECASE)
+_STAR = re.compile(r"\*([^*;]*?)[,;]?\s*;?\s*(?:rep(?:eat)?\s+from\s+\*)\s*(?:([0-9]{1,3})\s*(more\s+)?times|across|to\s+(?:the\s+)?end)", re.IGNORECASE)
 _RUN = re.compile(r"(?<![A-Za-z0-9])([0-9]{1,4})\s*([A-Za-z]{1,3})(?![A-Za-z0-9])")
-_MOST = 5000
+#: The most repetitions of a group, rounds of nested groups, and runs of a row; a body beyond them is refused, never cut.
+MOST_TIMES, MOST_NESTED, MOST_RUNS = 500, 20, 5000
 
 
-def expand(body: str, width: int | None = None) -> list[tuple[str, int]]:
-    """Merged runs of a body. (..) 3 times and x3 repeat; "*..; repeat from * N times" repeats N times more; "across" fills the width."""
-    for _ in range(20):
-        done = _BRACKET.sub(lambda m: ", ".join([m[1]] * min(int(m[2] or m[3]), 500)), body)
+def expand(body: str, width: int | None = None) -> list[tuple[str, int]] | None:
+    """Merged runs of a body; None if it is refused.
+
+    (..) 3 times and x3 repeat; "*..; repeat from * N times" repeats N times, N more if it says so; "across" fills the
+    width (that of the row before, where none is given) if it is filled exactly, else the group stands once.
+    """
+    for _ in range(MOST_NESTED):
+        if any(int(m[2] or m[3]) > MOST_TIMES for m in _BRACKET.finditer(body)):
+            return None
+        done = _BRACKET.sub(lambda m: ", ".join([m[1]] * int(m[2] or m[3])), body)
+        if len(done) > 100 * MOST_RUNS:
+            return None
         if done == body:
             break
         body = done
-    m = _STAR.search(body)
-    if m:
+    else:
+        return None
+    while m := _STAR.search(body):
         cells = sum(int(n) for n, _ in _RUN.findall(m[1]))
         if m[2]:
-            times = min(int(m[2]) + 1, 500)
+            times = int(m[2]) + bool(m[3])
         else:
-            rest = sum(int(n) for n, _ in _RUN.findall(body[: m.start()] + body[m.end() :]))
-            times = max(1, (width - rest) // cells) if width and cells else 1
+            rest = (width or 0) - sum(int(n) for n, _ in _RUN.findall(body[: m.start()] + body[m.end() :]))
+            times = rest // cells if cells and rest > 0 and rest % cells == 0 else 1
+        if times > MOST_TIMES or len(m[1]) * times > 100 * MOST_RUNS:
+            return None
         body = body[: m.start()] + ", ".join([m[1]] * times) + " " + body[m.end() :]
     out: list[tuple[str, int]] = []
-    for n, code in _RUN.findall(body)[:_MOST]:
+    for n, code in _RUN.findall(body):
         if out and out[-1][0] == code.upper():
             out[-1] = (code.upper(), out[-1][1] + int(n))
         else:
             out.append((code.upper(), int(n)))
-    return out
+    return out if len(out) <= MOST_RUNS else None
+
+
+def row_width(rows: DataFrame, key: list[str], row: str, total: str) -> DataFrame:
+    """rows with width: the printed total of the nearest row before that has one (for "across")."""
+    w = Window.partitionBy(*key).orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("width", F.last(total, ignorenulls=True).over(w))
 
 
 def expanded_runs(body: Column, width: Column) -> Column:
-    """array<struct<code, n>> of bodies; width may be null. Built-ins cannot multiply text by a number found in it."""
+    """array<struct<code, n>> of bodies, null for one that is refused; width may be null. Built-ins cannot multiply text by a number found in it."""
 
     @F.pandas_udf("array<struct<code:string,n:int>>")
     def run(bodies: pd.Series, widths: pd.Series) -> pd.Series:
-        return pd.Series([[{"code": c, "n": n} for c, n in expand(b or "", None if pd.isna(w) else int(w))] for b, w in zip(bodies, widths, strict=True)])
+        found = (expand(b or "", None if pd.isna(w) else int(w)) for b, w in zip(bodies, widths, strict=True))
+        return pd.Series([None if x is None else [{"code": c, "n": n} for c, n in x] for x in found], dtype=object)
 
     return run(body, width)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import units
-from ..operators import project, runs, sequence, shapes
+from ..operators import match, project, runs, sequence, shapes, text
 from .adapters import CELLS_LINEITEM, INTERVALS, LOG_EVENTS, PASSES, RUNS, SESSIONS, cells_lineitem, intervals_customers, table
 
 
@@ -164,11 +164,52 @@ def covered_parts(s, d):
     return project.covered_part(p.select("p_partkey", (k % 9 + 1).alias("r0"), (k % 7 + 3).alias("r1"), (k % 5 + 2).alias("c0"), (k % 8 + 1).alias("c1"), F.lit(20).alias("width"), F.lit(30).alias("height"), row1.alias("row1")))
 
 
-QUERIES = {f.__name__: f for f in (default_first, section_fitting, chart_versions, strided_rows, covered_parts, written_totals, stitches_before, project_sessions, project_figures, estimated_finish, manifest_rollup, live_states, row_number_problems, unique_slugs, body_chunks, gap_clusters, longest_runs, dilated, filled_box, no_stitch_codes, suppressed_boxes, cell_medians, finished_sizes, stitch_names, label_thinning)}
+def _pictures(s, d):
+    """A grid of six by five for each part."""
+    p = shapes.drawn(table(s, d, "part").select(F.col("p_partkey").alias("grid_id"), "p_size"), 6, 5)
+    return p.select("grid_id", "y", "x", ((F.col("p_size") * F.col("y") + F.col("x") * F.col("x") + F.col("grid_id") % 7 * F.col("x")) % 5).cast("string").alias("code"))
+
+
+def orientations(s, d):
+    """Grids against the same ones turned, by the part's number, and with a wrong cell in some."""
+    g, k = _pictures(s, d), F.col("grid_id") % 5
+    y, x = F.when(k.isin(1, 3), 4 - F.col("y")).otherwise(F.col("y")), F.when(k.isin(2, 3), 5 - F.col("x")).otherwise(F.col("x"))
+    wrong = g.select("grid_id", y.alias("y"), x.alias("x"), F.when((k == 4) & (F.col("x") == 0) & (F.col("y") < F.col("grid_id") % 4), "Z").otherwise(F.col("code")).alias("code"))
+    return match.orientation(wrong, g)
+
+
+def page_tiles(s, d):
+    """Each picture cut in pages of four columns, of which some are lost, and put together again."""
+    g = _pictures(s, d).withColumn("page", F.when(F.col("x") >= 2, 1).otherwise(2))
+    first = F.col("page") == 1
+    cells = g.filter("NOT (page = 2 AND grid_id % 3 = 0 AND y = 0)").select("grid_id", "page", "y", F.when(first, F.col("x") - 2).otherwise(F.col("x")).alias("x"), "code")
+    pages = table(s, d, "part").select(F.col("p_partkey").alias("grid_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("page"))
+    headers = pages.select("grid_id", "page", F.when(first, 1).otherwise(5).alias("a"), F.when(first, 4).otherwise(6).alias("b"), F.lit(6).alias("width"), F.lit(1).alias("c"), F.lit(5).alias("d"), F.lit(5).alias("height"))
+    return sequence.tile_problems(headers, cells)
+
+
+def clean_runs(s, d):
+    """Read runs of orders' lines against the names of colours, in which one is missing."""
+    li = table(s, d, "lineitem").select(F.lit(1).alias("doc"), F.col("l_orderkey").alias("row"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("i"), F.concat(F.lit(" "), F.lower("l_returnflag")).alias("code"), (F.col("l_linenumber") % 4).cast("long").alias("n"))
+    names = s.range(1).select(F.lit(1).alias("doc"), F.explode(F.array(F.struct(F.lit("A").alias("name"), F.lit("X").alias("code")), F.struct(F.lit("N").alias("name"), F.lit("N").alias("code")))).alias("c")).select("doc", "c.*")
+    return text.clean_runs(li, ["doc", "row"], "i", names, "doc").drop("doc")
+
+
+QUERIES = {f.__name__: f for f in (orientations, page_tiles, clean_runs, default_first, section_fitting, chart_versions, strided_rows, covered_parts, written_totals, stitches_before, project_sessions, project_figures, estimated_finish, manifest_rollup, live_states, row_number_problems, unique_slugs, body_chunks, gap_clusters, longest_runs, dilated, filled_box, no_stitch_codes, suppressed_boxes, cell_medians, finished_sizes, stitch_names, label_thinning)}
 
 _ENTRIES = f"{INTERVALS}, ent AS (SELECT from_ % 60 AS key, from_, CASE WHEN from_ % 50 > 0 THEN coalesce(to_, from_ + 3) END AS to_, CASE WHEN from_ % 40 > 0 THEN from_ % 9 + 1 END AS cnt FROM intervals)"
 _PROJECT = """lg AS (SELECT user_id AS project, 'p' || event_id % 3 AS piece, ts AS t, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'back' ELSE 'advance' END AS kind, least(9, floor(row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts, event_id) / 3 + 1))::BIGINT AS "row" FROM events)"""
+_PICTURES = "pic AS (SELECT p_partkey AS g, y, x, ((p_size * y + x * x + p_partkey % 7 * x) % 5)::VARCHAR AS code FROM part, range(5) a(y), range(6) b(x))"
 ORACLE = {
+    "orientations": f"""WITH {_PICTURES}, w AS (SELECT g, CASE WHEN g % 5 IN (1, 3) THEN 4 - y ELSE y END AS y, CASE WHEN g % 5 IN (2, 3) THEN 5 - x ELSE x END AS x, CASE WHEN g % 5 = 4 AND x = 0 AND y < g % 4 THEN 'Z' ELSE code END AS code FROM pic),
+f AS (SELECT g, i, CASE WHEN i IN (1, 3) THEN 4 - y ELSE y END AS y, CASE WHEN i IN (2, 3) THEN 5 - x ELSE x END AS x, code FROM pic, range(4) r(i)),
+r AS (SELECT f.g, i, f.y, bool_or(f.code <> w.code) AS bad FROM f JOIN w ON w.g = f.g AND w.y = f.y AND w.x = f.x GROUP BY 1, 2, 3),
+n AS (SELECT g, count(*) FILTER (bad AND i = 0) AS n0, count(*) FILTER (bad AND i = 1) AS n1, count(*) FILTER (bad AND i = 2) AS n2, count(*) FILTER (bad AND i = 3) AS n3 FROM r GROUP BY 1)
+SELECT g AS grid_id, 5::BIGINT AS height, n0 AS n_rows, n0 > 1 AS refused, CASE WHEN n0 > 1 THEN CASE WHEN n1 = 0 THEN 'flipped_rows' WHEN n2 = 0 THEN 'flipped_columns' WHEN n3 = 0 THEN 'rotated' END END AS hint FROM n""",
+    "page_tiles": "SELECT p_partkey AS grid_id, unnest(['size', 'uncovered']) AS kind, unnest([1, 2])::BIGINT AS n FROM part WHERE p_partkey % 3 = 0",
+    "clean_runs": """WITH l AS (SELECT l_orderkey AS "row", CASE l_returnflag WHEN 'A' THEN 'X' ELSE 'N' END AS code, l_linenumber % 4 AS n, l_linenumber AS a, l_partkey AS b, l_suppkey AS c FROM lineitem WHERE l_returnflag IN ('A', 'N') AND l_linenumber % 4 > 0),
+k AS (SELECT *, CASE WHEN lag(code) OVER (PARTITION BY "row" ORDER BY a, b, c) = code THEN 0 ELSE 1 END AS new FROM l), i AS (SELECT *, sum(new) OVER (PARTITION BY "row" ORDER BY a, b, c ROWS UNBOUNDED PRECEDING) - 1 AS run_no FROM k)
+SELECT "row", run_no::BIGINT AS run_no, code, sum(n)::BIGINT AS n FROM i GROUP BY 1, 2, 3""",
     "default_first": "SELECT c_nationkey, c_custkey, c_custkey % 17 = 0 AS is_default, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_custkey % 17 = 0)::INTEGER DESC, c_custkey) AS place FROM customer",
     "section_fitting": f"""WITH {CELLS_LINEITEM}, s AS (SELECT grid_id, y // 12 AS section, max(y % 12 + 1) AS last_row, count(DISTINCT y) AS n_rows FROM cells GROUP BY 1, 2 HAVING max(x) % 2 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY CASE WHEN last_row = s_suppkey % 12 + 1 THEN 0 ELSE 1 END, CASE WHEN last_row = s_suppkey % 12 + 1 THEN 0 ELSE -n_rows END, section) AS k FROM s JOIN supplier ON s_suppkey = grid_id) SELECT grid_id, section FROM k WHERE k = 1""",

@@ -99,6 +99,11 @@ def read_bundles(spark: SparkSession, path: str, most_bytes: int = 200 * 1024 *
     return files.mapInPandas(unzip, "bundle string, name string, content binary")
 
 
+def refused_bundles(spark: SparkSession, path: str, most_bytes: int = 200 * 1024 * 1024) -> DataFrame:
+    """bundle (path), length of the files that `read_bundles` leaves out; their contents are not read."""
+    return spark.read.format("binaryFile").load(path).filter(F.col("length") > most_bytes).select(F.col("path").alias("bundle"), "length")
+
+
 def bundles(files: DataFrame) -> DataFrame:
     """bundle, content: a stored zip of each bundle's files (bundle, name, content), sorted and dated 1980, so equal files give equal bytes."""
 
