@@ -645,6 +645,16 @@ def test_fingerprints_odd(odd, none):
     assert simhash.fingerprints(none).count() == 0
 
 
+def test_next_documents_without_ids(spark, monkeypatch):
+    """Many rows without an id, in ranges of few rows: each row's next is that of the whole order."""
+    monkeypatch.setattr(simhash, "BUCKET_CHARS", 60)
+    rows = [(i if i % 3 else None, f"text {i} of some words") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text): r.next_text for r in simhash.edited_and_next(d).collect()}
+    order = [(r.doc_id, r.text) for r in d.orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text")).collect()]
+    assert got == {x: order[(i + 1) % len(order)][1] for i, x in enumerate(order)}
+
+
 # ---- 8 mixing
 
 
@@ -696,6 +706,41 @@ def test_grades_of_held_out_labels(spark):
     assert all(0 <= r.p_2 <= r.p_1 <= 1 and math.isclose(r.expected_grade, r.p_1 + r.p_2) for r in got)
 
 
+def plain_tails(model, index, value, begin):
+    """P(grade >= j) of each row, from the definition."""
+    z = [sum(model.w[i] * v for i, v in zip(index[a:b], value[a:b], strict=True)) for a, b in zip(begin, begin[1:], strict=False)]
+    return np.array([[1 / (1 + math.exp(t - x)) for t in model.theta] for x in z])
+
+
+def test_cumulative_link_against_plain_likelihood():
+    """Gradients are those of the likelihood, the fit raises it, and tails are what the definition gives."""
+    rng = np.random.default_rng(6)
+    n, wide = 60, 8
+    begin, index = np.arange(n + 1) * wide, np.sort(rng.integers(0, 40, (n, wide)), 1).reshape(-1)
+    value, grades = rng.random(n * wide), rng.integers(0, 3, n)
+    model = ordinal.CumulativeLink()
+    model.w[:40], model.theta = rng.standard_normal(40), np.array([-0.4, 0.9])
+
+    def loss(m):
+        p = plain_tails(m, index, value, begin)
+        full = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], 1)
+        return -sum(math.log(full[i, g] - full[i, g + 1]) for i, g in enumerate(grades)) / n
+
+    assert np.allclose(model.tails(index, value, begin), plain_tails(model, index, value, begin))
+    g, dt = model.gradient(index, value, np.repeat(np.arange(n), wide), grades, np.full(n, 1 / n))
+    for x, d in ((model.w, g), (model.theta, dt)):
+        for at in (0, 1, 17 % len(x)):
+            old = x[at]
+            x[at] = old + 1e-5
+            up = loss(model)
+            x[at] = old - 1e-5
+            down = loss(model)
+            x[at] = old
+            assert abs(d[at] - (up - down) / 2e-5) < 1e-6
+    begun = loss(ordinal.CumulativeLink())
+    assert loss(ordinal.CumulativeLink().fit(index, value, begin, grades)) < 0.9 * begun
+
+
 def test_grades_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (5, 0, 1), (99, 1, 1), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
     assert ordinal.grade(odd, labels).count() == odd.count()

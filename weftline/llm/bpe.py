@@ -3,6 +3,10 @@
 A byte pair that occurs inside no vocabulary token can never be merged, so a text may be cut between its two bytes
 wherever the pre-tokenizer ends a piece there as well. The fragments between such cuts are encoded on their own (each
 distinct fragment of a worker's stream once, by the tokenizers library) and the ids are concatenated.
+
+A null or empty text has no ids. Rows that repeat or tie give the same ids, one result each. A text of any length is
+encoded whole, in one row's memory. An empty table gives an empty result. Other columns, whatever their names, are not
+read. Ids have 16 bits: a vocabulary of more than 65,536 tokens raises.
 """
 
 from __future__ import annotations

@@ -8,6 +8,9 @@ Syntax: `{{ expression }}`, `{% for x in expression %}...{% endfor %}`, `{% if %
 `{% set x = expression %}`, `{% generation %}...{% endgeneration %}`, `{# comment #}`. Expressions: literals, names,
 `a.b`, `a['b']`, `not`, `and`, `or`, `== != < <= > >= in`, `+`, `~`, `%`, and filters `|trim |upper |lower |length
 |escape |name`. In a loop, `loop.index0`, `loop.index`, `loop.first` and `loop.last` are there.
+
+Null texts and roles count as empty; turns of one conversation that tie are ordered by role and text, and repeated turns
+stay. A very long text is one value in memory. An empty table gives no conversations. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -518,11 +518,12 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     direct = grouped.filter("kind = 0").select(F.col("a").alias("x"), F.col("b").alias("r")).distinct()
     # Each set leaves as many of its most crowded entries as its band has spare ones.
     crowded = grouped.filter("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("sig"))
-    crowd = crowded.groupBy("sig").agg(F.count("*").alias("crowd"))
+    crowd = materialise(crowded.groupBy("sig").agg(F.count("*").alias("crowd")), "crowds")
+    few = crowd.count() <= BROADCAST_ROWS  # so that the sets of one crowded entry need not meet
     band = F.col("sig").bitwiseAND(F.lit(63))
     allowed = F.array(*[F.lit(0 if band_plan(b, percent)[1] else spare(b)) for b in range(40)])
     own = Window.partitionBy("id", band)
-    ranked = crowded.join(crowd, "sig").withColumns({"rank": F.row_number().over(own.orderBy(F.desc("crowd"), "sig")), "weight": F.sum("crowd").over(own)})
+    ranked = crowded.join(F.broadcast(crowd) if few else crowd, "sig").withColumns({"rank": F.row_number().over(own.orderBy(F.desc("crowd"), "sig")), "weight": F.sum("crowd").over(own)})
     left = ranked.filter(F.col("rank") > F.get(allowed, band.cast("int")))
     parts = F.floor(F.col("crowd") / SPLIT_ROWS).cast("int")
     salt = F.when(parts > 0, F.pmod(F.xxhash64("id"), parts + 1)).otherwise(0).cast("int")

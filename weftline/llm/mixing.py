@@ -7,7 +7,8 @@ equal parts, each drawn at a uniform number of its own, and the draws are added:
 globally: dealt to partitions by a hash and put in the order of another one.
 
 Nulls and ties: a null source is a source of its own; a null id hashes as the text "null", and rows that repeat an id
-draw alike. Extra columns are carried along. An empty table gives an empty result.
+draw alike. Extra columns are carried along; those named mix_copy or mix_key are replaced. Texts are never read, so their
+length does not matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations

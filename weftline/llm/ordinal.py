@@ -2,11 +2,13 @@
 
 P(grade >= k) = sigmoid(w . x - theta_k) with one weight vector for all grades and ordered thresholds. Features are
 hashed: a text's distinct words, word beginnings and word ends (scaled by the root of their number), and bins of a few shares of the whole text.
-The model is fitted in numpy on a bounded, documented sample of labelled rows (TRAIN_ROWS, by a hash of their ids);
-every document is scored where it lies. The expected grade and the tail probabilities select documents.
+The model is fitted in numpy on a bounded, documented sample of labelled rows (TRAIN_ROWS, by a hash of their ids, of
+texts up to TRAIN_CHARS characters); every document, of any length, is scored where it lies. The expected grade and the tail probabilities select documents.
 
 A null or empty text has only its bins. Null ids are scored; they are never in the sample. If no labels are there, all
-documents get the middle of the grades. Rows that repeat an id stay; other columns are not read.
+documents get the middle of the grades. Rows that repeat an id stay; of labels that disagree for one id, the lowest grade
+counts. Equal texts have equal grades. An empty table gives an empty result. Other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -90,24 +92,28 @@ class CumulativeLink:
             for i in range(0, n, BATCH):
                 some = order[i : i + BATCH]
                 size = begin[some + 1] - begin[some]
-                own = np.repeat(np.arange(len(some)), size)
                 at = np.repeat(begin[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                z = np.bincount(own, self.w[index[at]] * value[at], len(some))
-                p = _sigmoid(z[:, None] - self.theta)  # P(grade > j)
-                full = np.concatenate([np.ones((len(some), 1)), p, np.zeros((len(some), 1))], 1)
-                y, r = grade[some], np.arange(len(some))
-                chance = np.maximum(full[r, y] - full[r, y + 1], 1e-9)
-                slope = full * (1 - full)
-                dz = -(slope[r, y] - slope[r, y + 1]) / chance * weight[some] / len(some)
-                dt = np.zeros(k)
-                np.add.at(dt, np.clip(y - 1, 0, k - 1), np.where(y > 0, slope[r, y] / chance, 0) * weight[some] / len(some))
-                np.add.at(dt, np.clip(y, 0, k - 1), np.where(y < k, -slope[r, y + 1] / chance, 0) * weight[some] / len(some))
-                g = np.bincount(index[at], dz[own] * value[at], len(self.w)) + DECAY * self.w
+                g, dt = self.gradient(index[at], value[at], np.repeat(np.arange(len(some)), size), grade[some], weight[some] / len(some))
+                g += DECAY * self.w
                 g2, t2 = g2 + g * g, t2 + dt * dt
                 self.w -= RATE * g / np.sqrt(g2)
                 self.theta = np.sort(self.theta - RATE * dt / np.sqrt(t2))
         return self
 
+    def gradient(self, index, value, owner, grade, weight) -> tuple[np.ndarray, np.ndarray]:
+        """Of the weighed negative log likelihood, by weights and thresholds; owner: the row of each feature."""
+        k, r = len(self.theta), np.arange(len(grade))
+        z = np.bincount(owner, self.w[index] * value, len(grade))
+        p = _sigmoid(z[:, None] - self.theta)  # P(grade > j)
+        full = np.concatenate([np.ones((len(grade), 1)), p, np.zeros((len(grade), 1))], 1)
+        chance = np.maximum(full[r, grade] - full[r, grade + 1], 1e-9)
+        slope = full * (1 - full)
+        dz = -(slope[r, grade] - slope[r, grade + 1]) / chance * weight
+        dt = np.zeros(k)
+        np.add.at(dt, np.clip(grade - 1, 0, k - 1), np.where(grade > 0, slope[r, grade] / chance, 0) * weight)
+        np.add.at(dt, np.clip(grade, 0, k - 1), np.where(grade < k, -slope[r, grade + 1] / chance, 0) * weight)
+        return np.bincount(index, dz[owner] * value, len(self.w)), dt
+
     def tails(self, index, value, begin) -> np.ndarray:
         """P(grade >= j) for j = 1, 2, ... of each row."""
         z = np.add.reduceat(self.w[index] * value, begin[:-1]) if len(index) else np.zeros(len(begin) - 1)
@@ -120,7 +126,7 @@ def fit_labels(docs: DataFrame, labels: DataFrame) -> CumulativeLink:
     graded = labels.select("doc_id", F.try_element_at(F.create_map(*pairs), (F.col("quality") * 2 + F.col("toxic")).cast("int")).alias("grade")).filter("grade IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     sample = hashed_sample(graded, "doc_id", TRAIN_ROWS)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter(F.length("text") <= TRAIN_CHARS)
-    table = texts.select("doc_id", "text", "grade").limit(2 * TRAIN_ROWS).orderBy("doc_id").toArrow().combine_chunks()
+    table = texts.select("doc_id", "text", "grade").orderBy("doc_id", "text").limit(2 * TRAIN_ROWS).toArrow().combine_chunks()
     model = CumulativeLink()
     if not table.num_rows:
         return model

@@ -7,7 +7,9 @@ from any of them, in parallel if wished; checksums cover the ids and the stored
 records of Parquet files by Spark's own committer, so a lost executor leaves no half-written file behind.
 
 Nulls: a null text counts as empty (its document is the end id alone); null ids come first in the order of documents.
-Documents with the same id keep their rows, ordered by their ids. Memory is bounded by a block and the longest text.
+Documents with the same id keep their rows, ordered by their ids; equal rows give equal ids, one document each. Memory is
+bounded by a block and the longest text, which is one block whole. An empty table gives files without documents. Other
+columns, whatever their names, are not read. Ids have 16 bits: a vocabulary of more than 65,536 raises.
 """
 
 from __future__ import annotations

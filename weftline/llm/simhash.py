@@ -8,7 +8,9 @@ DataFrame functions.
 To find all fingerprints within a Hamming radius r, the 64 bits are cut in b > r blocks. Two fingerprints within r agree
 in at least b - r blocks whole, so a table for each choice of b - r blocks, keyed by them, holds every such pair.
 
-A null or empty text (or one of white space) has the fingerprint 0. Rows that repeat an id, or have none, stay.
+A null or empty text (or one of white space) has the fingerprint 0. Rows that repeat an id, or have none, stay; of equal
+ids the order is that of their texts' hashes. A bit whose votes tie is 0. A text of any length is read whole, in one row's
+memory. An empty table gives an empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ PIECE = 2048
 RADIUS, BLOCKS = 3, 5
 _FIELDS = 0x0001000100010001
 _COARSE = 512
+#: Characters of text in a range of ids, and the most ranges (their first rows are sent to all tasks).
+BUCKET_CHARS, MOST_BUCKETS = 4_000_000, 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -89,19 +93,25 @@ def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = RAD
     return left.join(right, ["table", "key"]).select("query", "match", distance.alias("distance"), "n_rows").filter(F.col("distance") <= radius).distinct()
 
 
-def _range_buckets(docs: DataFrame, count: int) -> Column:
-    """A bucket of doc_id: quantiles of all ids, each cut evenly if more buckets are wanted. Null ids are in bucket -1."""
+def _range_buckets(docs: DataFrame, tie: Column) -> Column:
+    """A bucket of doc_id: quantiles of all ids, each cut evenly if more buckets are wanted. Null ids come after all others (below 0), by ranges of the tie's bits.
+
+    There are as many buckets as the texts need at BUCKET_CHARS each, up to MOST_BUCKETS.
+    """
+    chars, rows = docs.agg(F.sum(F.length("text")), F.count("*")).first()
+    count = min(MOST_BUCKETS, 1 + ((chars or 0) + 16 * rows) // BUCKET_CHARS)
+    nulls = -1 - F.shiftright((F.shiftright(tie, 44) + (1 << 19)) * count, 20)
     coarse = min(count, _COARSE)
     bounds = docs.agg(F.percentile_approx("doc_id", [i / coarse for i in range(coarse + 1)], 20 * coarse)).first()[0]
     if not bounds:
-        return F.lit(-1).cast("long")
+        return nulls.cast("long")
     bounds = sorted(set(bounds))
     fine = -(-count // coarse)
     known = F.array(*[F.lit(b).cast("long") for b in bounds])
     at = F.size(F.filter(known, lambda b: b <= F.col("doc_id")))
     low, high = F.coalesce(F.get(known, at - 1), F.col("doc_id")), F.coalesce(F.get(known, at), F.col("doc_id") + 1)
     inside = F.least(F.floor((F.col("doc_id") - low) * fine / (high - low)), F.lit(fine - 1)) if fine > 1 else F.lit(0)
-    return F.when(F.col("doc_id").isNull(), -1).otherwise(at * fine + inside).cast("long")
+    return F.when(F.col("doc_id").isNull(), nulls).otherwise(at * fine + inside).cast("long")
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
@@ -110,15 +120,13 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     The next document is that of the next smaller id (equal ids: by the text's hash), after the last the first one.
     Rows are dealt by ranges of ids; each range also gets the first row of the range after it.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bucket = _range_buckets(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = docs.withColumn("bucket", bucket)
+    tie = F.xxhash64("text")
+    placed = docs.withColumn("bucket", _range_buckets(docs, tie))
     tops = placed.groupBy("bucket").agg(F.max("doc_id").alias("top"))  # one row for each bucket
     order = Window.orderBy(F.desc("bucket"))
     follow = tops.select("bucket", "top", F.lead("bucket").over(order).alias("next"), F.max("bucket").over(order).alias("first"))
     follow = follow.select(F.col("bucket").alias("to"), F.coalesce("next", "first").alias("from"))
-    tie = F.xxhash64("text")
     heads = placed.join(F.broadcast(tops.withColumnRenamed("bucket", "from")), (F.col("bucket") == F.col("from")) & F.col("doc_id").eqNullSafe(F.col("top"))).select("from", "doc_id", "text")
     heads = heads.groupBy("from").agg(F.min_by("doc_id", tie).alias("doc_id"), F.min_by("text", tie).alias("text"))
     heads = heads.join(follow, "from").select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("guest"))
