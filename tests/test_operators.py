@@ -387,3 +387,25 @@ def test_normalized_bodies_and_clean_runs(spark):
     assert rows(text.clean_runs(r, ["doc", "row"], "i", names, "doc"), "run_no", "code", "n") == [(0, "A", 5), (1, "B", 1), (2, "A", 1)]
     w = spark.createDataFrame([(1, 1, 10), (1, 2, None), (1, 3, 12), (1, 4, None)], "k long, row long, total int")
     assert {r.row: r.width for r in prose.row_width(w, ["k"], "row", "total").collect()} == {1: None, 2: 10, 3: 10, 4: 12}
+
+
+def test_names_numbers_and_times(spark):
+    from weftline.functions import units
+
+    d = spark.createDataFrame([("#ff0000", "red"), ("#000000", "black"), ("#1a5032", "dark green"), ("#f5ebd3", "cream")], "hex string, want string")
+    assert [(r.want, r.n) for r in d.select("want", color.color_name(F.col("hex")).alias("n")).collect() if r.want != r.n] == []
+    one = spark.range(1).select(units.thousands(F.lit(1234567)).alias("a"), units.thousands(F.lit(999)).alias("b"), units.title_case(F.lit("dark green")).alias("c"), units.to_iso(units.from_iso(F.lit("2026-01-02T03:04:05+02:00"))).alias("d"), units.from_iso(F.lit("soon")).alias("e")).first()
+    assert tuple(one) == ("1,234,567", "999", "Dark Green", "2026-01-02T01:04:05Z", None)
+
+
+def test_stretch_kinds(spark):
+    grid = ["AAAAABBBBB" * 4] * 2 + ["A" * 40] * 2 + ["AAAAABBBBBBB" + "A" * 20 + "BBABBBAB"] * 2
+    p = sequence.passes(runs.rle_encode(cells(spark, grid)), start="top")
+    got = islands.stretch_kinds(islands.stretches(p), p, machine.segments(p))
+    assert rows(got, "start", "end", "kind") == [(1, 2, "repeat"), (3, 4, "plain"), (5, 6, "pattern")]
+
+
+def test_default_is_the_first_chart_piece(spark):
+    charts = spark.createDataFrame([("m", "c1", True), ("m", "c2", False)], "doc string, chart string, is_default boolean")
+    pieces = spark.createDataFrame([("m", "a", None, "r", 1), ("m", "b", "c2", None, 2), ("m", "c", "c1", None, 3)], "doc string, piece string, chart string, rows_id string, place long")
+    assert rows(validate.manifest_problems(charts, pieces), "rule", "at") == [("default_first", "c2")]

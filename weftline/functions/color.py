@@ -5,6 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Names of colours by RGB. Of names that are equally near, the first is taken.
+COLOR_NAMES = {
+    "white": (255, 255, 255),
+    "cream": (245, 235, 210),
+    "black": (0, 0, 0),
+    "charcoal": (50, 50, 55),
+    "grey": (140, 140, 140),
+    "silver": (200, 200, 200),
+    "red": (200, 30, 30),
+    "orange": (240, 130, 30),
+    "yellow": (240, 210, 40),
+    "gold": (215, 165, 30),
+    "green": (40, 140, 60),
+    "dark green": (25, 80, 50),
+    "teal": (30, 140, 140),
+    "blue": (40, 90, 200),
+    "navy": (25, 40, 90),
+    "purple": (110, 50, 140),
+    "pink": (240, 170, 200),
+    "brown": (120, 80, 50),
+    "tan": (200, 170, 130),
+    "sage": (120, 160, 140),
+    "olive": (110, 120, 50),
+    "mint": (170, 230, 200),
+    "aqua": (160, 220, 225),
+    "sky": (140, 190, 240),
+    "lavender": (190, 170, 220),
+    "maroon": (110, 30, 40),
+    "beige": (225, 210, 180),
+}
+
 
 def rgb(hex_: Column) -> Column:
     """struct<r, g, b> (0 to 255) of #RRGGBB."""
@@ -41,3 +72,10 @@ def lab(r: Column, g: Column, b: Column) -> Column:
 def delta_e(p: Column, q: Column) -> Column:
     """The 1976 distance of two Lab structs."""
     return _let(F.struct(p.alias("p"), q.alias("q")), lambda s: F.sqrt(sum((s["p"][c] - s["q"][c]) * (s["p"][c] - s["q"][c]) for c in ("l", "a", "b"))))
+
+
+def color_name(hex_: Column) -> Column:
+    """The name of COLOR_NAMES that is nearest in Lab."""
+    named = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(name).alias("name"), lab(*[F.lit(x) for x in color]).alias("lab")) for i, (name, color) in enumerate(COLOR_NAMES.items())])
+    own = _let(rgb(hex_), lambda c: lab(c["r"], c["g"], c["b"]))
+    return _let(own, lambda p: F.array_min(F.transform(named, lambda n: F.struct(delta_e(p, n["lab"]).alias("d"), n["i"].alias("i"), n["name"].alias("name"))))["name"])

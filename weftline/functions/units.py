@@ -41,3 +41,23 @@ def finished_size(cells: Column, per_inch: Column, unit: Column) -> Column:
 def plain_number(x: Column) -> Column:
     """14.0 as 14, others as they are."""
     return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
+def title_case(text: Column) -> Column:
+    """Words with a capital first letter."""
+    return F.initcap(text)
+
+
+def thousands(n: Column) -> Column:
+    """1234567 as 1,234,567."""
+    return F.regexp_replace(n.cast("long").cast("string"), r"(?<=[0-9])(?=(?:[0-9]{3})+$)", ",")
+
+
+def from_iso(text: Column) -> Column:
+    """The timestamp of ISO text with Z or an offset; null if it is none."""
+    return F.try_to_timestamp(text)
+
+
+def to_iso(t: Column) -> Column:
+    """yyyy-MM-ddTHH:mm:ssZ of a timestamp."""
+    return F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -80,6 +80,18 @@ def stretches(runs: DataFrame, ratio: float = 3.0, plain_runs: int = 3) -> DataF
     return spans.join(listed, ["grid_id", "stretch"])
 
 
+def stretch_kinds(found: DataFrame, runs: DataFrame, segments: DataFrame) -> DataFrame:
+    """stretches with kind: plain; repeat, if bands of repetitions hold half of the cells of each of its rows; else pattern.
+
+    segments: of machine.segments over the same runs (grid_id, pass_no, run_no, n).
+    """
+    bands = segments.filter("kind = 'repeat'").select("grid_id", "pass_no", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("run_no"), F.lit(True).alias("_in"))
+    rows = runs.join(bands, ["grid_id", "pass_no", "run_no"], "left").groupBy("grid_id", "pass_no").agg((2 * F.sum(F.when(F.col("_in"), F.col("n")).otherwise(0)) >= F.sum("n")).alias("_repeats"))
+    each = found.select("grid_id", "stretch", F.explode(F.sequence("start", "end")).alias("pass_no")).join(rows, ["grid_id", "pass_no"], "left")
+    whole = each.groupBy("grid_id", "stretch").agg(F.bool_and(F.coalesce("_repeats", F.lit(False))).alias("_repeats"))
+    return found.join(whole, ["grid_id", "stretch"]).withColumn("kind", F.when(F.col("plain"), "plain").when(F.col("_repeats"), "repeat").otherwise("pattern")).drop("_repeats")
+
+
 def look_ahead(found: DataFrame) -> DataFrame:
     """stretches with the next one's rows, the first code that joins and the first that leaves, and whether it is simpler."""
     w = Window.partitionBy("grid_id").orderBy("stretch")

@@ -84,14 +84,23 @@ def total_problems(rows: DataFrame, parts: DataFrame, key: list[str], printed: s
 
 
 def manifest_problems(charts: DataFrame, pieces: DataFrame) -> DataFrame:
-    """charts: doc, chart, is_default; pieces: doc, piece, chart, rows_id. One default; chart or rows; every chart in one piece."""
+    """charts: doc, chart, is_default; pieces: doc, piece, chart, rows_id, and place (their order) if it is to be checked.
+
+    One default; chart or rows; every chart in one piece; the first chart piece has the default.
+    """
     defaults = charts.groupBy("doc").agg(F.count_if("is_default").alias("n")).filter("n <> 1")
     both = pieces.filter(F.col("chart").isNull() == F.col("rows_id").isNull())
     twice = pieces.groupBy("doc", "piece").count().filter("count > 1")
     lost = charts.join(pieces.filter("chart IS NOT NULL"), ["doc", "chart"], "left_anti")
     unknown = pieces.filter("chart IS NOT NULL").join(charts, ["doc", "chart"], "left_anti")
     often = pieces.filter("chart IS NOT NULL").groupBy("doc", "chart").count().filter("count > 1")
+    parts = []
+    if "place" in pieces.columns:
+        first = pieces.filter("chart IS NOT NULL").groupBy("doc").agg(F.min_by("chart", "place").alias("chart"))
+        late = first.join(charts.filter("is_default").select("doc", "chart"), ["doc", "chart"], "left_anti")
+        parts = [problem(late, "default_first", "doc", F.col("chart"), F.lit("is the first chart piece, but not the default"))]
     return report(
+        *parts,
         problem(defaults, "default", "doc", F.lit(""), F.lit("there must be one default chart")),
         problem(both, "chart_or_rows", "doc", F.col("piece"), F.lit("a piece has either a chart or rows")),
         problem(twice, "duplicate", "doc", F.col("piece"), F.lit("is a duplicate")),
