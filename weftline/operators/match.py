@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: The most entries of a palette that samples are compared with.
-MOST_PALETTE = 10_000
+from .sizes import small
 
 
 def majority(left: DataFrame, right: DataFrame, on: list[str], cluster: str, code: str, by: list[str]) -> DataFrame:
@@ -27,9 +25,7 @@ def cross_check(a: DataFrame, b: DataFrame, by: list[str] = ["grid_id"]) -> Data
 
 def nearest(samples: DataFrame, palette: DataFrame, distance: Column, key: str, idx: str) -> DataFrame:
     """key, idx, distance of the nearest palette entry (ties: the smaller idx). The palette has at most MOST_PALETTE entries."""
-    if palette.limit(MOST_PALETTE + 1).count() > MOST_PALETTE:
-        raise ValueError(f"a palette of more than {MOST_PALETTE} entries")
-    d = samples.crossJoin(F.broadcast(palette)).withColumn("_d", distance)
+    d = samples.crossJoin(small(palette)).withColumn("_d", distance)
     return d.groupBy(key).agg(F.min(F.struct("_d", idx)).alias("_m")).select(key, F.col(f"_m.{idx}").alias(idx), F.col("_m._d").alias("distance"))
 
 

@@ -74,7 +74,7 @@ def first_printing_wins(s, d):
 
 def enrich_non_empty_wins(s, d):
     n = table(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.when(F.col("n_nationkey") % 3 == 0, "").otherwise(F.col("n_name")).alias("other"))
-    return match.enrich(table(s, d, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("name")), F.broadcast(n), "c_nationkey", "name", "other")
+    return match.enrich(table(s, d, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("name")), n, "c_nationkey", "name", "other")
 
 
 def k_to_k_pairing(s, d):
