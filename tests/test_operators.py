@@ -1,6 +1,7 @@
 """Small hand-made grids, logs and documents, with known answers."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -237,6 +238,25 @@ def test_clusters():
     d = pd.DataFrame({"key": [1, 2, 3, 4], "n": [1000, 50, 500, 1], "l": [0.0, 3.0, 50.0, 58.0], "a": 0.0, "b": 0.0})
     got = dict(zip(*machine.greedy_clusters(d)[["key", "cluster"]].to_numpy().T, strict=True))
     assert got == {1: 0, 2: 0, 3: 1, 4: 1}
+    rng = np.random.default_rng(5)
+    d = pd.DataFrame({"key": range(200), "n": rng.integers(1, 60, 200), "l": rng.random(200) * 60, "a": rng.random(200) * 40, "b": 0.0})
+    got = machine.greedy_clusters(d, 9.0).set_index("key")
+    leads, own = [], {}
+    for r in d.sort_values(["n", "key"], ascending=[False, True]).itertuples():  # by the definition, a point at a time
+        away = [(math.hypot(r.l - x.l, r.a - x.a), i) for i, x in enumerate(leads)]
+        if away and min(away)[0] <= 9.0:
+            own[r.key] = leads[min(away)[1]].key
+        else:
+            leads.append(r)
+            own[r.key] = r.key
+    total = {x.key: sum(d.n[d.key == k].item() for k in own if own[k] == x.key) for x in leads}
+    big = [x for x in leads if total[x.key] >= 0.005 * d.n.sum()]
+    for x in leads:
+        if x not in big:
+            away, y = min((math.hypot(x.l - y.l, x.a - y.a), i) for i, y in enumerate(big))
+            if away <= 18.0:
+                own = {k: big[y].key if v == x.key else v for k, v in own.items()}
+    assert got.lead.to_dict() == own and got.cluster.nunique() == len({*own.values()})
 
 
 def test_prose():

@@ -76,35 +76,35 @@ def replay_written(log: DataFrame, last_row: int | None) -> DataFrame:
 
 
 def greedy_clusters(colours: pd.DataFrame, radius: float = 6.0) -> pd.DataFrame:
-    """Clusters of distinct points: columns key, n, l, a, b in; key and cluster (by members, most first) out.
+    """Clusters of distinct points: columns key, n, l, a, b in; key, cluster (by members, most first) and lead out.
 
-    By frequency (ties by key), a point joins the nearest centre within radius, or is one; a cluster of under half a
-    percent of all joins the nearest larger one within twice the radius.
+    By frequency (ties by key), a point joins the nearest lead within radius that comes before it, or is a lead; a cluster
+    of under half a percent of all joins the nearest larger one whose lead is within twice the radius of its own.
     """
     d = colours.sort_values(["n", "key"], ascending=[False, True]).reset_index(drop=True)
-    points, centres, own = d[["l", "a", "b"]].to_numpy(float), np.zeros((0, 3)), np.zeros(len(d), int)
-    for i, p in enumerate(points):
-        far = np.linalg.norm(centres - p, axis=1) if len(centres) else np.array([np.inf])
-        if far.min() <= radius:
-            own[i] = far.argmin()
-        else:
-            own[i] = len(centres)
-            centres = np.vstack([centres, p])
-    sizes = np.bincount(own, d.n, len(centres)) if len(d) else np.zeros(0)
-    small = sizes < 0.005 * sizes.sum()
-    for j in np.lexsort((np.arange(len(sizes)), sizes)):
-        if small[j] and not small.all():
-            big = np.flatnonzero(~small)
-            far = np.linalg.norm(centres[big] - centres[j], axis=1)
-            if far.min() <= 2 * radius:
-                own[own == j] = big[far.argmin()]
-    sizes = np.bincount(own, d.n, len(centres)) if len(d) else sizes
-    rank = np.argsort(np.lexsort((np.arange(len(sizes)), -sizes)))
-    return pd.DataFrame({"key": d.key, "cluster": rank[own] if len(d) else own})
+    points, place = d[["l", "a", "b"]].to_numpy(float), np.arange(len(d))
+    of, nearest = place.copy(), np.full(len(d), np.inf)
+    while (free := np.flatnonzero(np.isinf(nearest))).size:  # the first point that no lead reaches is the next lead
+        lead = free[0]
+        away = np.linalg.norm(points - points[lead], axis=1)
+        closer = (place > lead) & (away <= radius) & (away < nearest)
+        of[closer], nearest[closer], nearest[lead] = lead, away[closer], 0.0
+    members = np.bincount(of, d.n, len(d))
+    leads = np.unique(of)
+    little = members[leads] < 0.005 * members.sum()
+    to = place.copy()
+    if little.any() and not little.all():
+        away = np.linalg.norm(points[leads[little], None] - points[None, leads[~little]], axis=2)
+        near = away.min(1) <= 2 * radius
+        to[leads[little][near]] = leads[~little][away.argmin(1)[near]]
+    of = to[of]
+    members = np.bincount(of, d.n, len(d))
+    order = sorted(np.unique(of), key=lambda i: (-members[i], i))
+    return pd.DataFrame({"key": d.key, "cluster": pd.Series(of).map({i: k for k, i in enumerate(order)}).astype("int64"), "lead": d.key.to_numpy()[of]})
 
 
 def cluster_palette(samples: DataFrame, by: str, key: str, lab: list[str], radius: float = 6.0) -> DataFrame:
-    """by, key, cluster: greedy clusters of each group's distinct points (counted in Spark first, so a group is its palette)."""
+    """by, key, cluster, lead (the key that stands for it): greedy clusters of each group's distinct points (counted in Spark first, so a group is its palette)."""
     distinct = samples.groupBy(by, F.col(key).alias("key"), *[F.col(c).alias(n) for c, n in zip(lab, "lab", strict=True)]).agg(F.count("*").alias("n"))
 
     def fold(k, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -112,4 +112,4 @@ def cluster_palette(samples: DataFrame, by: str, key: str, lab: list[str], radiu
         out.insert(0, by, k[0])
         return out
 
-    return distinct.groupBy(by).applyInPandas(fold, f"{by} long, key long, cluster long")
+    return distinct.groupBy(by).applyInPandas(fold, f"{by} long, key long, cluster long, lead long")
