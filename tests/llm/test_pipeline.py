@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 
 from pyspark.sql import functions as F
 from test_llm_operators import base_spans, brute_components
@@ -11,8 +12,12 @@ from weftline.llm import bpe, mixing, quality
 from weftline.llm.common import materialise
 
 
+SECRET = re.compile(r"""(?:token|secret|password|passwd|api_key|apikey|access_key)["']?\x20{0,2}[=:]\x20{0,2}["']([^\s"']{16,})""", re.IGNORECASE)
+
+
 def hide(t):
-    spans, out, at = sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in base_spans(t))), "", 0
+    secrets = [(*m.span(1), "secret") for m in SECRET.finditer(t)]
+    spans, out, at = sorted([(int(a), int(b), k) for k, a, b in (s.split(":") for s in base_spans(t))] + secrets), "", 0
     for a, b, k in spans:
         if a >= at:
             out += t[at:a] + f"[{k.upper()}]"
