@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .chat import OP10_SQL, op10_chat
+from .clusters import OP11_SQL, op11_delta_lloyd
 from .jaccard import op3_ngram_join
 from .lm import op5_attention_lm
 from .mixing import OP8_SQL, op8_poisson_mix
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_poisson_mix": op8_poisson_mix,
     "op9_ordinal": op9_ordinal,
     "op10_chat": op10_chat,
+    "op11_delta_lloyd": op11_delta_lloyd,
 }
 ORACLE: dict[str, str] = {
     "op8_poisson_mix": OP8_SQL,
     "op10_chat": OP10_SQL,
+    "op11_delta_lloyd": OP11_SQL,
 }
