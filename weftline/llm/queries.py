@@ -9,6 +9,7 @@ from .jaccard import op3_ngram_join
 from .lm import op5_attention_lm
 from .mixing import OP8_SQL, op8_poisson_mix
 from .ordinal import op9_ordinal
+from .phrases import OP13_SQL, op13_phrases
 from .pii import op4_pii
 from .quality import op1_quality_rules
 from .rans import op2_rans
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_ordinal": op9_ordinal,
     "op10_chat": op10_chat,
     "op11_delta_lloyd": op11_delta_lloyd,
+    "op13_phrases": op13_phrases,
 }
 ORACLE: dict[str, str] = {
     "op8_poisson_mix": OP8_SQL,
     "op10_chat": OP10_SQL,
     "op11_delta_lloyd": OP11_SQL,
+    "op13_phrases": OP13_SQL,
 }
