@@ -14,6 +14,7 @@ from .pii import op4_pii
 from .quality import op1_quality_rules
 from .rans import op2_rans
 from .simhash import op7_simhash
+from .toxicity import op12_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_ordinal": op9_ordinal,
     "op10_chat": op10_chat,
     "op11_delta_lloyd": op11_delta_lloyd,
+    "op12_toxicity": op12_toxicity,
     "op13_phrases": op13_phrases,
 }
 ORACLE: dict[str, str] = {
