@@ -34,10 +34,12 @@ TRAIN_ROWS, HELD_OUT, BUCKETS = 12_000, 5, 1 << 22
 #: Bytes of word beginnings and ends that are features, and how many distinct words with one are told apart.
 HEADS, TAILS, LEVELS = (4, 5, 6, 7, 8), (4, 5), 3
 #: Features the classifier may have, and how clear (z) a feature's difference between labels must be.
-MOST_FEATURES, CLEAR = 4096, 3.5
+MOST_FEATURES, CLEAR = 4096, 2.5
 #: Mined voters of either kind (words; beginnings and ends), features of each, and how alike two features' documents may be.
 MINED, EACH, ALIKE = 3, 6, 0.8
-STEPS, RATE, SHRINK, ROUNDS = 200, 0.5, 2e-4, 40
+STEPS, RATE, SHRINK, ROUNDS = 300, 0.05, 1e-4, 40
+#: How often a given label may be wrong, at most: P(1 | hidden 0), P(0 | hidden 1).
+WRONG = (0.02, 0.1)
 
 #: Insults, and forms of address that stand shortly before one.
 INSULTS = """idiot moron stupid loser trash scum worthless pathetic disgusting clown dumb fool imbecile jerk creep garbage filth
@@ -135,9 +137,9 @@ class LabelModel:
         """votes: distinct patterns by voters; counts: of each pattern without a label, with label 0, with label 1."""
         x, n = votes.astype(float), counts.astype(float)
         given = n[:, 1:].sum(0)
-        self.label = np.array([0.03, 0.9])  # P(given label is 1 | hidden label)
+        self.label = np.array([WRONG[0], 1 - WRONG[1]])  # P(given label is 1 | hidden label)
         share = np.clip((given[1] + 1) / (given.sum() + 2), 1e-3, 0.999)
-        q = np.tile([share, 0.03, 0.9], (len(x), 1))
+        q = np.tile([share, 0.02, 0.98], (len(x), 1))
         self._learn(x, n * [0, 1, 1] if given.sum() else n, q)
         for _ in range(rounds):
             q = np.stack([self.posterior(votes, np.full(len(x), y)) for y in (-1, 0, 1)], 1)
@@ -150,7 +152,7 @@ class LabelModel:
         self.prior = (size[1] + 1) / (size.sum() + 2)
         for y, part in enumerate((1 - q, q)):
             one, both = (n * part)[:, 2].sum(), (n * part)[:, 1:].sum()
-            self.label[y] = np.clip((one + (0.3, 9)[y]) / (both + 10), *((1e-4, 0.3), (0.5, 0.999))[y])
+            self.label[y] = np.clip((one + (0.1, 9.5)[y]) / (both + 10), *((1e-4, WRONG[0]), (1 - WRONG[1], 0.999))[y])
         v = x.shape[1]
         pair = np.zeros((2, v, v, 2, 2))
         for y in (0, 1):
@@ -204,7 +206,7 @@ class Model:
 
     def __init__(self):
         self.features, self.voter, self.level = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.weights, self.bias, self.labels = np.zeros((0, LEVELS)), 0.0, LabelModel()
+        self.weights, self.of_votes, self.bias, self.labels = np.zeros((0, LEVELS)), np.zeros(len(VOTERS)), 0.0, LabelModel()
 
     def wanted(self) -> np.ndarray:
         out = np.zeros(BUCKETS, bool)
@@ -221,8 +223,8 @@ class Model:
         out[:, -1] = ~out[:, len(PATTERNS) : -1].any(1)
         return out
 
-    def score(self, rows: int, row: np.ndarray, feature: np.ndarray, level: np.ndarray) -> np.ndarray:
-        z = np.bincount(row, self.weights[np.searchsorted(self.features, feature), level - 1], rows) + self.bias
+    def score(self, votes: np.ndarray, row: np.ndarray, feature: np.ndarray, level: np.ndarray) -> np.ndarray:
+        z = np.bincount(row, self.weights[np.searchsorted(self.features, feature), level - 1], len(votes)) + votes @ self.of_votes + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
     def mine(self, rows: int, row, feature, level, word, label) -> Model:
@@ -258,22 +260,24 @@ class Model:
                 taken[kind].append(mine)
         return self
 
-    def train(self, rows: int, row, feature, level, target: np.ndarray) -> Model:
-        """Logistic regression on soft targets: a weight for each feature and level that a text reaches."""
-        keep = np.isin(feature, self.features)
-        row, feature, level = row[keep], np.searchsorted(self.features, feature[keep]), level[keep]
-        row, column = np.concatenate([row[level >= k] for k in range(1, LEVELS + 1)]), np.concatenate([feature[level >= k] * LEVELS + k - 1 for k in range(1, LEVELS + 1)])
+    def train(self, votes: np.ndarray, row, feature, level, target: np.ndarray) -> Model:
+        """Logistic regression on soft targets: a weight for each voter, and for each feature and level that a text reaches."""
+        rows, wide = len(votes), len(self.features) * LEVELS
+        at = np.searchsorted(self.features, feature)
+        who, voter = np.nonzero(votes)
+        row = np.concatenate([*(row[level >= k] for k in range(1, LEVELS + 1)), who])
+        column = np.concatenate([*(at[level >= k] * LEVELS + k - 1 for k in range(1, LEVELS + 1)), wide + voter])
         share = np.clip(target.mean(), 1e-3, 0.999)
-        w, bias, size = np.zeros(len(self.features) * LEVELS), float(np.log(share / (1 - share))), max(rows, 1)
+        w, bias = np.zeros(wide + len(VOTERS)), float(np.log(share / (1 - share)))
         g2, b2 = np.full(len(w), 1e-8), 1e-8
         for _ in range(STEPS):
             p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], rows) + bias, -50, 50)))
-            d = (p - target) / size
+            d = (p - target) / rows
             g, b = np.bincount(column, d[row], len(w)) + SHRINK * w, d.sum()
             g2, b2 = 0.9 * g2 + 0.1 * g * g, 0.9 * b2 + 0.1 * b * b
-            w -= RATE * 0.1 * g / np.sqrt(g2 + 1e-12)
-            bias -= RATE * 0.1 * b / np.sqrt(b2 + 1e-12)
-        self.weights, self.bias = np.cumsum(w.reshape(-1, LEVELS), 1), float(bias)
+            w -= RATE * g / np.sqrt(g2 + 1e-12)
+            bias -= RATE * b / np.sqrt(b2 + 1e-12)
+        self.weights, self.of_votes, self.bias = np.cumsum(w[:wide].reshape(-1, LEVELS), 1), w[wide:], float(bias)
         return self
 
 
@@ -349,7 +353,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     row, feature, level = row[known], feature[known], level[known]
     model.labels.fit(*vote_counts(docs, labels, model))
     votes = model.votes(_bits(np.array(table.column("patterns").to_pylist(), np.int64), len(PATTERNS)), row, feature, level)
-    return model.train(rows, row, feature, level, model.labels.posterior(votes, toxic))
+    return model.train(votes, row, feature, level, model.labels.posterior(votes, toxic))
 
 
 def score(docs: DataFrame, model: Model, *, least: float = 0.5) -> DataFrame:
@@ -361,7 +365,9 @@ def score(docs: DataFrame, model: Model, *, least: float = 0.5) -> DataFrame:
         wanted = model.wanted()
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch):
-                p = model.score(j - i, *Chunk(data, offsets).found(wanted))
+                c = Chunk(data, offsets)
+                found = c.found(wanted)
+                p = model.score(model.votes(c.patterns(), *found), *found)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(p), pa.array((p >= least).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = dict(docs.dtypes)["doc_id"]
