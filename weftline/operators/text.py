@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prose import plain
+
 #: Fixed value: the head of a printed row: Row 3 (RS):, Rows 2-26:, R 2 - R 26:, 1st row:, 7.
 HEAD = r"(?i)^\s*(?:(?:rows?|r|rnds?|rounds?)\s*([0-9]{1,4})(?:\s*(?:-|–|to|&|and)\s*(?:r\s*)?([0-9]{1,4}))?|([0-9]{1,4})(?:st|nd|rd|th)\s+row|([0-9]{1,4})\.)\s*(?:\((rs|ws)\))?\s*:?"
 WIDEST_RANGE = 300
@@ -87,39 +90,31 @@ def code_name(i: Column) -> Column:
 NOT_COLOURS = ("sc", "dc", "hdc", "tr", "ch", "st", "sts", "sl", "row", "rows", "turn", "box", "boxes")
 
 
-def replaced(text: Column, pattern: str, by, group: int = 1) -> Column:
-    """text with each match of a pattern replaced by what `by` makes of the match's group."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
-    return F.when(F.size(found) > 0, F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(by(m), F.lit("")))), "")).otherwise(text)
+def normalized(body: Column) -> Column:
+    """A row's body in plain counts: see `prose.plain`. Repeats are expanded by `prose.expanded_runs`."""
 
+    @F.pandas_udf("string")
+    def run(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda b: None if b is None else plain(b))
 
-def normalized(body: Column) -> Column:
-    """A row's body in plain counts: no printed total, chains or turns; increases and decreases as the stitches they make;
-    "(name) sc 10", "sc 8 in name" and "8 sc in name" as a count and a name, "c3" as 3 c; neighbouring counts of sc added.
+    return run(body)
 
-    Repeats are expanded by `prose.expanded_runs`.
-    """
-    t = F.regexp_replace(body, r"[\[(]\s*[0-9]{1,5}(?:\s+[A-Za-z]+)?\s*[\])]\.?\s*$", "")
-    t = F.regexp_replace(t, r"(?i)\bch\s*[0-9]+,?\s*(?:turn,?\s*)?", "")
-    times = lambda f: lambda m: F.concat((m.cast("int") * f).cast("string"), F.lit(" sc"))
-    t = replaced(replaced(t, r"(?i)\b([0-9]{1,4})\s*inc\b", times(2)), r"(?i)\b([0-9]{1,4})\s*dec\b", times(1))
-    name = r"([A-Za-z][A-Za-z ]*?)(?=\s*(?:[,.]|$))"
-    t = F.regexp_replace(t, rf"\b([0-9]+)\s*sc\s+(?:in|with|of)\s+{name}", "$1 $2")
-    t = F.regexp_replace(t, rf"\bsc\s+([0-9]+)\s+(?:in|with|of)\s+{name}", "$1 $2")
-    t = F.regexp_replace(t, r"\(([^()]+)\)\s*sc\s*([0-9]+)", "$2 $1")
-    t = F.regexp_replace(t, r"\b(?!(?i:sc|dc|hdc|tr|ch|sts?|sl|row|r)[0-9])([A-Za-z]{1,3})([0-9]+)\b", "$2 $1")
-    merge = lambda m: F.concat(F.aggregate(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)), F.lit(0), lambda a, x: a + x.cast("int")).cast("string"), F.lit(" sc"))
-    return F.trim(replaced(t, r"\b([0-9]+ sc(?:, [0-9]+ sc\b)+)", merge))
-
-
-def clean_runs(runs: DataFrame, key: list[str], order: str, names: DataFrame, doc: str) -> DataFrame:
+
+def clean_runs(runs: DataFrame, key: list[str], order: str, names: DataFrame, doc: str, own: str | None = None) -> DataFrame:
     """key, run_no, code, n of read runs: those of known colours alone, by the document's codes, neighbours of one code merged.
 
     runs: key (with doc), order, code (as read), n; names: doc, name, code (codes are names of themselves). Runs without
-    cells, of words that are no colours, or of names that the document does not have are left out.
+    cells, of words that are no colours, or of names that the document does not have are left out; but where `own` names a
+    column with the row's own text, a code that stands in it as a word of its own is kept, in the row's first spelling.
     """
     known = names.select(doc, F.lower("name").alias("_name"), F.col("code").alias("_code")).groupBy(doc, "_name").agg(F.min("_code").alias("_code"))
-    d = runs.withColumn("_name", F.lower(F.trim("code"))).filter((F.col("n") > 0) & ~F.col("_name").isin(*NOT_COLOURS)).join(known, [doc, "_name"])
+    d = runs.withColumn("_name", F.lower(F.trim("code"))).filter((F.col("n") > 0) & ~F.col("_name").isin(*NOT_COLOURS))
+    if own is None:
+        d = d.join(known, [doc, "_name"])
+    else:
+        words = F.split(F.col(own), r"[^\p{L}]+")
+        first = F.get(F.filter(words, lambda w: F.lower(w) == F.col("_name")), 0)
+        d = d.join(known, [doc, "_name"], "left").withColumn("_code", F.coalesce("_code", first)).filter("_code IS NOT NULL")
     w = Window.partitionBy(*key).orderBy(order)
     d = d.withColumn("_new", F.when(F.lag("_code").over(w).eqNullSafe(F.col("_code")), 0).otherwise(1)).withColumn("run_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     return d.groupBy(*key, "run_no").agg(F.first("_code").alias("code"), F.sum("n").cast("long").alias("n"))
