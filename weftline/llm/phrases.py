@@ -9,8 +9,8 @@ pruning loses none, and what collides is counted exactly and then left out. With
 the exact counts stay whole. A task adds up buckets in BUCKETS bytes (counts end at `least`, as more do not matter) and
 hands on those in use, in segments that Spark deals out and adds up.
 
-Exact counts are keyed by language and the phrase itself. Inside one piece of a text batch (a megabyte), occurrences are
-first put together by 64-bit hashes. Long texts are cut between pieces, where no phrase goes across.
+Exact counts are keyed by language and the phrase itself. Inside a task, up to PENDING phrases are first
+put together by 64-bit hashes. Long texts are cut between pieces, where no phrase goes across.
 
 A null language is `und`, a null text is empty. Empty texts, an empty table and languages without frequent phrases give no
 rows. Rows that repeat count each; ids are not read. Ties in the report go by count, then by the bytes of the phrase.
@@ -35,6 +35,8 @@ LONGEST, LEAST, COVER, TOP = 3, 10, 50, 2000
 BUCKETS, SEGMENT = 1 << 24, 1 << 14
 #: Groups of phrases that are ranked on their own first, so that no task sorts a whole language.
 SALTS = 64
+#: Distinct phrases that a task holds before it hands them on.
+PENDING = 1_000_000
 
 #: What parts pieces, and what parts words in them.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -171,6 +173,31 @@ def _seeds(langs: pa.Array) -> np.ndarray:
 _SCHEMA = "lang string, phrase string, n long, segment int, counts binary"
 
 
+class Found:
+    """Phrases of several parts, put together by hash before they are handed on; PENDING of them at most."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.rows = 0
+
+    def add(self, h: np.ndarray, n: np.ndarray, langs: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        self.parts.append((h, n, langs, texts))
+        self.rows += len(h)
+        if self.rows >= PENDING:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            _, one, of = np.unique(np.concatenate([p[0] for p in self.parts]), return_index=True, return_inverse=True)
+            n = np.bincount(of, np.concatenate([p[1] for p in self.parts])).astype(np.int64)
+            langs, texts = (pa.concat_arrays([p[k] for p in self.parts]) for k in (2, 3))
+            self.parts, self.rows = [], 0
+            for a in range(0, len(one), 1 << 16):
+                at = pa.array(one[a : a + (1 << 16)])
+                none = pa.nulls(len(at))
+                yield pa.RecordBatch.from_arrays([langs.take(at), texts.take(at), pa.array(n[a : a + (1 << 16)]), none.cast(pa.int32()), none.cast(pa.binary())], ["lang", "phrase", "n", "segment", "counts"])
+
+
 def _tail(counted: Buckets | None) -> Iterator[pa.RecordBatch]:
     found = [*counted.segments()] if counted else []
     for i in range(0, len(found), 64):
@@ -185,7 +212,7 @@ def counting_pass(texts: DataFrame, size: int, least: int, *, last: bool, freque
     """
 
     def run(batches):
-        counted = None if last else Buckets(buckets, least)
+        counted, found = None if last else Buckets(buckets, least), Found()
         for batch in batches:
             langs = batch.column("lang")
             seeds = _seeds(langs)
@@ -196,12 +223,12 @@ def counting_pass(texts: DataFrame, size: int, least: int, *, last: bool, freque
                     inner = _has(frequent.value, grams[size - 2], buckets)
                     alive &= inner[: len(alive)] & inner[1 : len(alive) + 1] & _has(ahead.value, grams[size - 1], buckets)
                 at = np.flatnonzero(alive)
-                _, one, n = np.unique(grams[size - 1][at], return_index=True, return_counts=True)
+                h, one, n = np.unique(grams[size - 1][at], return_index=True, return_counts=True)
                 at = at[one]
-                none = pa.nulls(len(at))
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(i + w.row[at])), w.texts(at, size), pa.array(n.astype(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())], ["lang", "phrase", "n", "segment", "counts"])
+                yield from found.add(h, n, langs.take(pa.array(i + w.row[at])), w.texts(at, size))
                 if counted:
                     counted.add(grams[size][w.whole(size + 1) & alive[:-1] & alive[1:]] if len(alive) > 1 else grams[size][:0])
+        yield from found.rest()
         yield from _tail(counted)
 
     return texts.mapInArrow(run, _SCHEMA)

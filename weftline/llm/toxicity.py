@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, text_chunks, word_hashes
+from .common import LOWER, discard, materialise, mix, text_chunks, word_hashes
 
 #: The most labelled rows of the sample, the part of ids that is held out, and the buckets of features.
 TRAIN_ROWS, HELD_OUT, BUCKETS = 12_000, 5, 1 << 22
@@ -227,36 +227,22 @@ class Model:
         z = np.bincount(row, self.weights[np.searchsorted(self.features, feature), level - 1], len(votes)) + votes @ self.of_votes + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
-    def mine(self, rows: int, row, feature, level, word, label) -> Model:
-        """Features that differ between labels, and of those for toxic texts the mined voters.
+    def mine(self, clear: list, row, feature, level) -> Model:
+        """The features that differ between labels, and of those for toxic texts the mined voters.
 
-        word: whether a feature is a whole word; features are known by their numbers alone.
+        clear: feature, level, z, word of `clear_features`, the clearest first; row, feature, level: those of the sample.
         """
-        n1 = max(int(label.sum()), 1)
-        n0 = max(rows - n1, 1)
-        best_z, best_level = np.zeros(BUCKETS), np.ones(BUCKETS, np.int64)
-        for k in range(1, LEVELS + 1):
-            has = level >= k
-            one, zero = (np.bincount(feature[has & (label[row] == y)], minlength=BUCKETS) for y in (1, 0))
-            p, r = (one + 0.5) / (n1 + 1), (zero + 0.5) / (n0 + 1)
-            z = (np.log(p / (1 - p)) - np.log(r / (1 - r))) / np.sqrt(1 / (one + 0.5) + 1 / (zero + 0.5))
-            z[one + zero < 5] = 0
-            better = np.abs(z) > np.abs(best_z)
-            best_z, best_level = np.where(better, z, best_z), np.where(better, k, best_level)
-        clear = np.flatnonzero(np.abs(best_z) >= CLEAR)
-        clear = clear[np.argsort(-np.abs(best_z[clear]), kind="stable")][:MOST_FEATURES]
-        self.features = np.sort(clear)
-        self.voter, self.level, self.weights = np.full(len(clear), -1), best_level[self.features], np.zeros((len(clear), LEVELS))
+        order = sorted(clear, key=lambda r: r["feature"])
+        self.features, self.level = np.array([r["feature"] for r in order], np.int64), np.array([r["level"] for r in order], np.int64)
+        self.voter, self.weights = np.full(len(order), -1), np.zeros((len(order), LEVELS))
         taken: dict[bool, list[set]] = {True: [], False: []}
-        is_word = np.zeros(BUCKETS, bool)
-        is_word[feature[word]] = True
-        for f in clear[best_z[clear] > 0].tolist():  # the clearest first; nested ones speak for the same documents
-            kind, at = bool(is_word[f]), int(np.searchsorted(self.features, f))
-            if len(taken[kind]) == MINED * EACH:
+        for r in clear:  # nested ones speak for the same documents
+            f, kind = r["feature"], bool(r["word"])
+            if r["z"] <= 0 or len(taken[kind]) == MINED * EACH:
                 continue
-            mine = set(row[(feature == f) & (level >= self.level[at])].tolist())
+            mine = set(row[(feature == f) & (level >= r["level"])].tolist())
             if all(len(mine & s) < ALIKE * len(mine | s) for s in taken[kind]):
-                self.voter[at] = (0 if kind else MINED) + len(taken[kind]) % MINED
+                self.voter[np.searchsorted(self.features, f)] = (0 if kind else MINED) + len(taken[kind]) % MINED
                 taken[kind].append(mine)
         return self
 
@@ -286,8 +272,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % HELD_OUT == 0, F.lit(False))
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> pa.Table:
-    """doc_id, toxic, patterns, and the features (feature * LEVELS + level - 1) of the sample's rows."""
+def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic, patterns, and found: the features of the sample's rows, as (feature * LEVELS + level - 1) * 2 + whether it is a word."""
     usable = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
@@ -305,7 +291,48 @@ def _sample(docs: DataFrame, labels: DataFrame) -> pa.Table:
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = texts.mapInArrow(run, f"doc_id {kind}, toxic int, patterns int, found array<int>")
-    return rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("patterns", "found")).alias("x")).select("doc_id", "toxic", "x.patterns", "x.found").orderBy("doc_id").toArrow()
+    return materialise(rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("patterns", "found")).alias("x")).select("doc_id", "toxic", "x.patterns", "x.found"), "sample")
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each list's items, and the items."""
+    code = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), code
+
+
+def clear_features(sample: DataFrame, n0: int, n1: int) -> list:
+    """feature, level (the clearest), z, word of at most MOST_FEATURES features, the clearest first: log odds ratios by their error."""
+
+    def run(batches):
+        for batch in batches:
+            row, code = _codes(batch.column("found"))
+            toxic = batch.column("toxic").to_numpy()[row]
+            key = np.concatenate([((code // 2 // LEVELS * LEVELS + k) * 2 + code % 2)[code // 2 % LEVELS >= k] * 2 + toxic[code // 2 % LEVELS >= k] for k in range(LEVELS)])
+            key, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key // 2), pa.array(np.where(key % 2 == 1, n, 0)), pa.array(np.where(key % 2 == 0, n, 0))], ["key", "one", "zero"])
+
+    part = sample.select("found", "toxic").mapInArrow(run, "key long, one long, zero long").groupBy("key").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")).filter("one + zero >= 5")
+    odds = lambda c, n: F.log((F.col(c) + 0.5) / (n + 0.5 - F.col(c)))
+    z = (odds("one", n1) - odds("zero", n0)) / F.sqrt(1 / (F.col("one") + 0.5) + 1 / (F.col("zero") + 0.5))
+    d = part.withColumn("z", z).filter(F.abs("z") >= CLEAR)
+    code = F.floor(F.col("key") / 2)
+    d = d.select(F.floor(code / LEVELS).alias("feature"), (code % LEVELS + 1).alias("level"), "z", (F.col("key") % 2).alias("word"))
+    best = d.groupBy("feature").agg(F.max_by(F.struct("level", "z", "word"), F.struct(F.abs("z"), -F.col("level"))).alias("b")).select("feature", "b.*")
+    return best.orderBy(F.desc(F.abs("z")), "feature").limit(MOST_FEATURES).collect()
+
+
+def known_features(sample: DataFrame, model: Model) -> pa.Table:
+    """doc_id, toxic, patterns, found of the sample, with the model's features alone."""
+    features = model.features
+
+    def run(batches):
+        for batch in batches:
+            row, code = _codes(batch.column("found"))
+            keep = np.isin(code // (2 * LEVELS), features)
+            at = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=batch.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(at), pa.array(code[keep].astype(np.int32)))], ["doc_id", "toxic", "patterns", "found"])
+
+    return sample.mapInArrow(run, sample.schema).orderBy("doc_id").toArrow()
 
 
 def _bits(mask: np.ndarray, n: int) -> np.ndarray:
@@ -338,19 +365,21 @@ def vote_counts(docs: DataFrame, labels: DataFrame, model: Model) -> tuple[np.nd
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Voters, their label model, and the classifier trained on the labels that the model infers."""
-    table, model = _sample(docs, labels), Model()
-    toxic = np.array(table.column("toxic").to_pylist(), np.int64)
-    if len(set(toxic.tolist())) < 2:
-        share = (toxic.sum() + 1) / (len(toxic) + 2)
+    sample, model = _sample(docs, labels), Model()
+    n = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not all(n.values()):
+        share = (n[1] + 1) / (n[0] + n[1] + 2)
         model.bias = float(np.log(share / (1 - share)))
         return model
-    rows, found = table.num_rows, table.column("found").combine_chunks()
-    size = np.diff(found.offsets.to_numpy())
-    row, code = np.repeat(np.arange(rows), size), found.flatten().to_numpy().astype(np.int64)
-    feature, level, word = code // (2 * LEVELS), code // 2 % LEVELS + 1, code % 2 == 1
-    model.mine(rows, row, feature, level, word, toxic)
-    known = np.isin(feature, model.features)
-    row, feature, level = row[known], feature[known], level[known]
+    clear = clear_features(sample, n[0], n[1])
+    model.features = np.array([r["feature"] for r in clear], np.int64)
+    table = known_features(sample, model)
+    discard(sample)
+    found = table.column("found").combine_chunks()
+    row, code = _codes(found if isinstance(found, pa.Array) else found.chunk(0))
+    feature, level = code // (2 * LEVELS), code // 2 % LEVELS + 1
+    toxic = np.array(table.column("toxic").to_pylist(), np.int64)
+    model.mine(clear, row, feature, level)
     model.labels.fit(*vote_counts(docs, labels, model))
     votes = model.votes(_bits(np.array(table.column("patterns").to_pylist(), np.int64), len(PATTERNS)), row, feature, level)
     return model.train(votes, row, feature, level, model.labels.posterior(votes, toxic))
