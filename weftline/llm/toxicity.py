@@ -37,9 +37,11 @@ HEADS, TAILS, LEVELS = (4, 5, 6, 7, 8), (4, 5), 3
 MOST_FEATURES, CLEAR = 4096, 2.5
 #: Mined voters of either kind (words; beginnings and ends), features of each, and how alike two features' documents may be.
 MINED, EACH, ALIKE = 3, 6, 0.8
-STEPS, RATE, SHRINK, ROUNDS = 300, 0.05, 1e-4, 40
+STEPS, RATE, SHRINK, ROUNDS = 300, 0.05, 1.0, 40
+#: The least share of toxic texts among those that have a mined voter's feature.
+PRECISE = 0.6
 #: How often a given label may be wrong, at most: P(1 | hidden 0), P(0 | hidden 1).
-WRONG = (0.02, 0.1)
+WRONG = (0.02, 0.02)
 
 #: Insults, and forms of address that stand shortly before one.
 INSULTS = """idiot moron stupid loser trash scum worthless pathetic disgusting clown dumb fool imbecile jerk creep garbage filth
@@ -230,7 +232,7 @@ class Model:
     def mine(self, clear: list, row, feature, level) -> Model:
         """The features that differ between labels, and of those for toxic texts the mined voters.
 
-        clear: feature, level, z, word of `clear_features`, the clearest first; row, feature, level: those of the sample.
+        clear: feature, level, z, word, share of `clear_features`, the clearest first; row, feature, level: those of the sample.
         """
         order = sorted(clear, key=lambda r: r["feature"])
         self.features, self.level = np.array([r["feature"] for r in order], np.int64), np.array([r["level"] for r in order], np.int64)
@@ -238,7 +240,7 @@ class Model:
         taken: dict[bool, list[set]] = {True: [], False: []}
         for r in clear:  # nested ones speak for the same documents
             f, kind = r["feature"], bool(r["word"])
-            if r["z"] <= 0 or len(taken[kind]) == MINED * EACH:
+            if r["z"] <= 0 or r["share"] < PRECISE or len(taken[kind]) == MINED * EACH:
                 continue
             mine = set(row[(feature == f) & (level >= r["level"])].tolist())
             if all(len(mine & s) < ALIKE * len(mine | s) for s in taken[kind]):
@@ -259,7 +261,7 @@ class Model:
         for _ in range(STEPS):
             p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], rows) + bias, -50, 50)))
             d = (p - target) / rows
-            g, b = np.bincount(column, d[row], len(w)) + SHRINK * w, d.sum()
+            g, b = np.bincount(column, d[row], len(w)) + SHRINK / rows * w, d.sum()
             g2, b2 = 0.9 * g2 + 0.1 * g * g, 0.9 * b2 + 0.1 * b * b
             w -= RATE * g / np.sqrt(g2 + 1e-12)
             bias -= RATE * b / np.sqrt(b2 + 1e-12)
@@ -301,7 +303,7 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def clear_features(sample: DataFrame, n0: int, n1: int) -> list:
-    """feature, level (the clearest), z, word of at most MOST_FEATURES features, the clearest first: log odds ratios by their error."""
+    """feature, level (the clearest), z, word, share (of toxic texts) of at most MOST_FEATURES features, the clearest first: log odds ratios by their error."""
 
     def run(batches):
         for batch in batches:
@@ -316,8 +318,8 @@ def clear_features(sample: DataFrame, n0: int, n1: int) -> list:
     z = (odds("one", n1) - odds("zero", n0)) / F.sqrt(1 / (F.col("one") + 0.5) + 1 / (F.col("zero") + 0.5))
     d = part.withColumn("z", z).filter(F.abs("z") >= CLEAR)
     code = F.floor(F.col("key") / 2)
-    d = d.select(F.floor(code / LEVELS).alias("feature"), (code % LEVELS + 1).alias("level"), "z", (F.col("key") % 2).alias("word"))
-    best = d.groupBy("feature").agg(F.max_by(F.struct("level", "z", "word"), F.struct(F.abs("z"), -F.col("level"))).alias("b")).select("feature", "b.*")
+    d = d.select(F.floor(code / LEVELS).alias("feature"), (code % LEVELS + 1).alias("level"), "z", (F.col("key") % 2).alias("word"), (F.col("one") / (F.col("one") + F.col("zero"))).alias("share"))
+    best = d.groupBy("feature").agg(F.max_by(F.struct("level", "z", "word", "share"), F.struct(F.abs("z"), -F.col("level"))).alias("b")).select("feature", "b.*")
     return best.orderBy(F.desc(F.abs("z")), "feature").limit(MOST_FEATURES).collect()
 
 
