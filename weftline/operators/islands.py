@@ -62,10 +62,10 @@ def overlap_seconds(found: DataFrame, start, end, key: str = "project") -> DataF
     return found.groupBy(key).agg(F.sum(F.greatest(F.lit(0), inside)).cast("long").alias("seconds"))
 
 
-def stretches(runs: DataFrame, ratio: float = 3.0, plain_runs: int = 3) -> DataFrame:
+def stretches(runs: DataFrame, ratio: float = 3.0, plain_runs: int = 3, palette: DataFrame | None = None) -> DataFrame:
     """grid_id, start, end (passes), n_rows, plain, codes: neighbours of other codes, or of `ratio` times the runs, part; single rows join the stretch before.
 
-    codes are by cells, most first, ties by code.
+    codes are by cells, most first; ties by their place in palette (grid_id, code, place), those without one last, then by code.
     """
     rows = runs.groupBy("grid_id", "pass_no").agg(F.array_sort(F.collect_set("code")).alias("codes"), F.count("*").alias("runs"))
     w = Window.partitionBy("grid_id").orderBy("pass_no")
@@ -76,20 +76,32 @@ def stretches(runs: DataFrame, ratio: float = 3.0, plain_runs: int = 3) -> DataF
     d = d.withColumn("stretch", F.sum("_own").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     spans = d.groupBy("grid_id", "stretch").agg(F.min("pass_no").alias("start"), F.max("pass_no").alias("end"), F.count("*").alias("n_rows"), (F.max("runs") <= plain_runs).alias("plain"))
     colours = runs.join(d.select("grid_id", "pass_no", "stretch"), ["grid_id", "pass_no"]).groupBy("grid_id", "stretch", "code").agg(F.sum("n").alias("cells"))
-    listed = colours.groupBy("grid_id", "stretch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("cells")).alias("c"), "code"))), lambda x: x["code"]), ",").alias("codes"))
+    if palette is not None:
+        colours = colours.join(palette.select("grid_id", "code", "place"), ["grid_id", "code"], "left")
+    place = F.lit(0) if palette is None else F.coalesce(F.col("place").cast("long"), F.lit((1 << 63) - 1))
+    listed = colours.groupBy("grid_id", "stretch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("cells")).alias("c"), place.alias("p"), "code"))), lambda x: x["code"]), ",").alias("codes"))
     return spans.join(listed, ["grid_id", "stretch"])
 
 
 def stretch_kinds(found: DataFrame, runs: DataFrame, segments: DataFrame) -> DataFrame:
-    """stretches with kind: plain; repeat, if bands of repetitions hold half of the cells of each of its rows; else pattern.
+    """stretches with kind: plain; repeat, if one band of repetitions holds half of the cells of each of its rows; else pattern.
 
-    segments: of machine.segments over the same runs (grid_id, pass_no, run_no, n).
+    segments: of machine.segments over the same runs (grid_id, pass_no, run_no, n). Bands are run numbers, so their cells
+    are a difference of running sums; rows are put to stretches by a window over both, and no range is made long.
     """
-    bands = segments.filter("kind = 'repeat'").select("grid_id", "pass_no", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("run_no"), F.lit(True).alias("_in"))
-    rows = runs.join(bands, ["grid_id", "pass_no", "run_no"], "left").groupBy("grid_id", "pass_no").agg((2 * F.sum(F.when(F.col("_in"), F.col("n")).otherwise(0)) >= F.sum("n")).alias("_repeats"))
-    each = found.select("grid_id", "stretch", F.explode(F.sequence("start", "end")).alias("pass_no")).join(rows, ["grid_id", "pass_no"], "left")
-    whole = each.groupBy("grid_id", "stretch").agg(F.bool_and(F.coalesce("_repeats", F.lit(False))).alias("_repeats"))
-    return found.join(whole, ["grid_id", "stretch"]).withColumn("kind", F.when(F.col("plain"), "plain").when(F.col("_repeats"), "repeat").otherwise("pattern")).drop("_repeats")
+    upto = Window.partitionBy("grid_id", "pass_no").orderBy("run_no").rowsBetween(Window.unboundedPreceding, 0)
+    sums = runs.select("grid_id", "pass_no", "run_no", "n", F.sum("n").over(upto).alias("_to"))
+    bands = segments.filter("kind = 'repeat'").select("grid_id", "pass_no", F.col("start").alias("_first"), (F.col("end") - 1).alias("_last"))
+    left = bands.join(sums.select("grid_id", "pass_no", F.col("run_no").alias("_first"), (F.col("_to") - F.col("n")).alias("_from")), ["grid_id", "pass_no", "_first"])
+    band = left.join(sums.select("grid_id", "pass_no", F.col("run_no").alias("_last"), "_to"), ["grid_id", "pass_no", "_last"])
+    widest = band.groupBy("grid_id", "pass_no").agg(F.max(F.col("_to") - F.col("_from")).alias("_band"))
+    rows = runs.groupBy("grid_id", "pass_no").agg(F.sum("n").alias("_n")).join(widest, ["grid_id", "pass_no"], "left").select("grid_id", F.col("pass_no").alias("_at"), F.coalesce(2 * F.col("_band") >= F.col("_n"), F.lit(False)).alias("_repeats"), F.lit(None).cast("bigint").alias("_stretch"))
+    starts = found.select("grid_id", F.col("start").alias("_at"), F.lit(None).cast("boolean").alias("_repeats"), F.col("stretch").cast("bigint").alias("_stretch"))
+    w = Window.partitionBy("grid_id").orderBy("_at", F.col("_stretch").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    each = starts.unionByName(rows).withColumn("stretch", F.last("_stretch", ignorenulls=True).over(w)).filter("_repeats IS NOT NULL")
+    whole = each.groupBy("grid_id", "stretch").agg(F.bool_and("_repeats").alias("_repeats"))
+    kind = F.when(F.col("plain"), "plain").when(F.coalesce("_repeats", F.lit(False)), "repeat").otherwise("pattern")
+    return found.join(whole, ["grid_id", "stretch"], "left").withColumn("kind", kind).drop("_repeats")
 
 
 def look_ahead(found: DataFrame) -> DataFrame:

@@ -16,6 +16,31 @@ def majority(left: DataFrame, right: DataFrame, on: list[str], cluster: str, cod
     return best.select(*by, cluster, code, "n", F.bround(F.col("n") / F.col("_all"), 4).alias("share"))
 
 
+def match_report(best: DataFrame, clusters: DataFrame, by: list[str], cluster: str, code: str, least: float = 0.9) -> DataFrame:
+    """by, kind, at: what stands against the matches of `majority` (by, cluster, code, n, share); clusters: by, cluster.
+
+    `doubtful` (a warning): a cluster whose code holds less than `least` of its cells. `shared`: a code that several
+    clusters have; `unmatched`: a cluster that no row reaches. A group with either of these is refused.
+    """
+    said = lambda d, kind, at: d.select(*by, F.lit(kind).alias("kind"), F.col(at).cast("string").alias("at"))
+    twice = best.groupBy(*by, code).agg(F.count("*").alias("_n")).filter("_n > 1")
+    lost = clusters.select(*by, cluster).distinct().join(best, [*by, cluster], "left_anti")
+    return said(best.filter(F.col("share") < least), "doubtful", cluster).unionByName(said(twice, "shared", code)).unionByName(said(lost, "unmatched", cluster))
+
+
+def matched_palette(best: DataFrame, report_: DataFrame, key: DataFrame, clusters: DataFrame, by: list[str], cluster: str, code: str) -> DataFrame:
+    """by, code, hex, status (new, same, differs, unseen) of the key's codes in groups that are not refused.
+
+    key: by, code, hex (may be null); clusters: by, cluster, hex. A code without a hex takes its cluster's; one that the
+    picture shows otherwise keeps its own; one that it does not show stays as it is.
+    """
+    refused = report_.filter("kind <> 'doubtful'").select(*by).distinct()
+    seen = best.join(clusters.select(*by, cluster, F.col("hex").alias("_seen")), [*by, cluster]).select(*by, code, "_seen")
+    d = key.join(refused, by, "left_anti").join(seen, [*by, code], "left")
+    status = F.when(F.col("_seen").isNull(), "unseen").when(F.col("hex").isNull(), "new").when(F.lower("hex") == F.lower("_seen"), "same").otherwise("differs")
+    return d.select(*by, code, F.coalesce("hex", "_seen").alias("hex"), status.alias("status"))
+
+
 def cross_check(a: DataFrame, b: DataFrame, by: list[str] = ["grid_id"]) -> DataFrame:  # noqa: B006
     """by, y, n_differ, first_x of rows where two readings' cells differ (cells that only one has count)."""
     key = [*by, "y", "x"]

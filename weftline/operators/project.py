@@ -85,6 +85,27 @@ def manifest_charts(stats: DataFrame, palette: DataFrame) -> DataFrame:
     return stats.join(colours, "grid_id", "left").select("grid_id", F.coalesce("colours", F.lit(0)).cast("long").alias("colours"), F.col("cells").alias("stitches"), "changes_mean")
 
 
+def manifests(charts: DataFrame, stats: DataFrame, yards: DataFrame, palette: DataFrame) -> DataFrame:
+    """pattern, n_charts, charts: array<struct> of each pattern's charts in order, the first the default.
+
+    charts: pattern, place, grid_id, variant, path, unit (of sizes: in or cm); stats: of runs.chart_stats; yards: grid_id,
+    code, yards (null where cells are no stitches); palette: grid_id, code. A chart is as long as its pattern's list, so one
+    struct a chart is collected, not its rows.
+    """
+    colours = palette.groupBy("grid_id").agg(F.count_distinct("code").alias("colours"))
+    yarn_ = yards.groupBy("grid_id").agg(F.sum("yards").cast("long").alias("yards_est"))
+    d = charts.join(stats, "grid_id").join(colours, "grid_id", "left").join(yarn_, "grid_id", "left")
+    per = lambda c: F.when(F.col("unit") == "cm", F.bround(F.col(c) * 2.54, 1)).otherwise(F.col(c))
+    size = F.when(F.col("width_in").isNotNull() & F.col("height_in").isNotNull(), F.concat(per("width_in").cast("string"), F.lit(" x "), per("height_in").cast("string"), F.lit(" "), F.coalesce("unit", F.lit("in"))))
+    is_first = F.col("place") == F.min("place").over(Window.partitionBy("pattern"))
+    preview = F.concat(F.regexp_replace("path", r"[^/]*$", ""), F.lit("preview.png"))
+    entry = F.struct(
+        "place", "grid_id", "variant", is_first.alias("default"), "path", preview.alias("preview"), "width", "height", size.alias("size"), F.coalesce("colours", F.lit(0)).cast("long").alias("colours"),
+        (F.col("width") * F.col("height")).alias("stitches"), "changes_mean", "changes_max", "yards_est",
+    )
+    return d.select("pattern", entry.alias("e")).groupBy("pattern").agg(F.count("*").alias("n_charts"), F.array_sort(F.collect_list("e")).alias("charts"))
+
+
 def live_state(cursors: DataFrame, runs: DataFrame) -> DataFrame:
     """cursors (project, grid_id, row, run) with the run there, and the codes of the runs before and after it in the pass."""
     w = Window.partitionBy("grid_id", "pass_no").orderBy("run_no")

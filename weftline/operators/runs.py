@@ -79,6 +79,40 @@ def stats(runs: DataFrame, row: tuple[str, ...] = ROW, by: str = "grid_id") -> D
     )
 
 
+def code_stats(runs: DataFrame, palette: DataFrame, ground: DataFrame | None = None) -> DataFrame:
+    """grid_id, code, cells, singles (runs of one cell) of every palette code of a grid, zero where it has none.
+
+    palette: grid_id, code; ground: grid_id, code of grids on a ground, whose cells are no stitches and are left out.
+    """
+    d, own = runs, palette.select("grid_id", "code").distinct()
+    if ground is not None:
+        d, own = (x.join(ground.select("grid_id", "code"), ["grid_id", "code"], "left_anti") for x in (d, own))
+    have = d.groupBy("grid_id", "code").agg(F.sum("n").alias("cells"), F.count_if(F.col("n") == 1).alias("singles"))
+    return own.join(have, ["grid_id", "code"], "left").select("grid_id", "code", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("cells", "singles")])
+
+
+def chart_stats(runs: DataFrame, gauge: DataFrame, ground: DataFrame | None = None) -> DataFrame:
+    """grid_id, cells, width, height, width_in, height_in, changes_mean, changes_max, changes (array by row), stitches.
+
+    runs: grid_id, y, code, n, x0; gauge: grid_id, stitches and rows an inch, cell (kind), unit (what the gauge counts).
+    Cells of the ground are in the size, but are neither counted nor change the colour. A size needs a gauge that counts
+    the grid's cells; stitches are given where cells are stitches. Means are half-even, to one place.
+    """
+    d = runs.withColumn("_ground", F.lit(False))
+    if ground is not None:
+        d = runs.join(ground.select("grid_id", F.col("code").alias("_g")), "grid_id", "left").withColumn("_ground", F.col("code").eqNullSafe(F.col("_g")) & F.col("_g").isNotNull())
+    own = ~F.col("_ground")
+    rows = d.groupBy("grid_id", "y").agg(F.sum(F.when(own, F.col("n")).otherwise(0)).alias("_n"), F.greatest(F.count_if(own) - 1, F.lit(0)).alias("_c"), F.max(F.col("x0") + F.col("n")).alias("_w"))
+    g = rows.groupBy("grid_id").agg(
+        F.sum("_n").alias("cells"), F.max("_w").alias("width"), (F.max("y") + 1).alias("height"), F.bround(F.avg("_c"), 1).alias("changes_mean"), F.max("_c").alias("changes_max"),
+        F.transform(F.array_sort(F.collect_list(F.struct("y", "_c"))), lambda x: x["_c"]).alias("changes"),
+    ).join(gauge, "grid_id")
+    kind, unit = F.coalesce("cell", F.lit("stitch")), F.coalesce("unit", F.lit("stitches"))
+    sized = ((kind == "stitch") & (unit == "stitches")) | ((kind == "tile") & (unit == "tiles"))
+    length = lambda n, per: F.when(sized, F.bround(F.try_divide(F.col(n).cast("double"), F.col(per)), 1))
+    return g.select("grid_id", "cells", "width", "height", length("width", "stitches").alias("width_in"), length("height", "rows").alias("height_in"), "changes_mean", "changes_max", "changes", F.when(kind == "stitch", F.col("cells")).alias("stitches"))
+
+
 def yarn(counts: DataFrame, gauge: DataFrame, by: str = "grid_id") -> DataFrame:
     """by, code, yards, skeins of each colour. counts: by, code, cells; gauge: by, stitches and rows an inch, cell (kind).
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .intervals import overlapping
+
 
 def lattice(spark: SparkSession, width: int, height: int) -> DataFrame:
     """All places (y, x) of a grid, made where they are used."""
@@ -37,6 +39,70 @@ def segment(y0: float, x0: float, y1: float, x1: float, half: float) -> Column:
     return F.sqrt(F.pow(F.col("y") - y0 - t * dy, F.lit(2)) + F.pow(F.col("x") - x0 - t * dx, F.lit(2))) <= half
 
 
+def stadium(cy: float, cx: float, half: float, inner: float, outer: float, *, vertical: bool = False) -> Column:
+    """From inner to outer (exclusive) around a segment of twice `half`."""
+    along, across = (F.col("y") - cy, F.col("x") - cx) if vertical else (F.col("x") - cx, F.col("y") - cy)
+    d = F.sqrt(F.pow(F.greatest(F.abs(along) - half, F.lit(0.0)), F.lit(2)) + F.pow(across, F.lit(2)))
+    return (d >= inner) & (d < outer)
+
+
+def sector(cy: float, cx: float, n: int, start: float = 0.0) -> Column:
+    """Which of n equal sectors around a centre a place is in, from 0, by the angle from the x axis towards y."""
+    turn = F.pmod(F.degrees(F.atan2(F.col("y") - cy, F.col("x") - cx)) - start, F.lit(360.0))
+    return F.floor(turn / (360.0 / n)).cast("long")
+
+
+def polyline_cells(cells: DataFrame, points: DataFrame, by: list[str], line: str, reach: float) -> DataFrame:
+    """by, line, y, x, d, arc: cells within reach of a polyline, their distance, and how far along it the nearest point lies.
+
+    cells: by, y, x; points: by, line, i (order), py, px. Segments are cut into parts no longer than a block, and cells and
+    parts meet by blocks that a part's surroundings touch, so no cell is compared with a whole line.
+    """
+    block = float(max(reach, 8.0))
+    w = Window.partitionBy(*by, line).orderBy("i")
+    seg = points.select(*by, line, "i", F.lag("py").over(w).alias("y0"), F.lag("px").over(w).alias("x0"), F.col("py").alias("y1"), F.col("px").alias("x1"))
+    long = F.sqrt(F.pow(F.col("y1") - F.col("y0"), F.lit(2)) + F.pow(F.col("x1") - F.col("x0"), F.lit(2)))
+    seg = seg.withColumn("_l", F.coalesce(long, F.lit(0.0))).withColumn("_base", F.sum("_l").over(w) - F.col("_l")).filter("y0 IS NOT NULL")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_l") / block)).cast("int")
+    cut = seg.withColumn("_p", F.explode(F.sequence(F.lit(0), parts - 1))).withColumns({"_t0": F.col("_p") / parts, "_t1": (F.col("_p") + 1) / parts})
+    on = lambda c, t: F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * F.col(t)
+    span = lambda c: F.sequence(F.floor((F.least(on(c, "_t0"), on(c, "_t1")) - reach) / block), F.floor((F.greatest(on(c, "_t0"), on(c, "_t1")) + reach) / block))
+    near = cut.withColumn("_by", F.explode(span("y"))).withColumn("_bx", F.explode(span("x")))
+    d = cells.select(*by, "y", "x", F.floor(F.col("y") / block).alias("_by"), F.floor(F.col("x") / block).alias("_bx")).join(near, [*by, "_by", "_bx"])
+    dy, dx = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
+    t = F.when(F.col("_l") > 0, ((F.col("y") - F.col("y0")) * dy + (F.col("x") - F.col("x0")) * dx) / (F.col("_l") * F.col("_l"))).otherwise(0.0)
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+    d = d.withColumn("_t", t).withColumn("_d", F.sqrt(F.pow(F.col("y") - F.col("y0") - F.col("_t") * dy, F.lit(2)) + F.pow(F.col("x") - F.col("x0") - F.col("_t") * dx, F.lit(2))))
+    best = d.filter(F.col("_d") <= reach).groupBy(*by, line, "y", "x").agg(F.min(F.struct("_d", (F.col("_base") + F.col("_t") * F.col("_l")).alias("arc"))).alias("m"))
+    return best.select(*by, line, "y", "x", F.col("m._d").alias("d"), "m.arc")
+
+
+def crossings(near: DataFrame, by: list[str], line: str, gap: float) -> DataFrame:
+    """by, y, x, under, over, k: cells that two polylines share, by crossings counted along the smaller line (from 1).
+
+    near: of `polyline_cells`. A gap of more than `gap` along that line begins a new crossing; at odd ones it lies over.
+    """
+    one = near.select(*by, "y", "x", F.col(line).alias("_a"), "arc")
+    two = near.select(*by, "y", "x", F.col(line).alias("_b"))
+    d = one.join(two, [*by, "y", "x"]).filter("_a < _b")
+    w = Window.partitionBy(*by, "_a", "_b").orderBy("arc", "y", "x")
+    d = d.withColumn("_new", F.when(F.col("arc") - F.lag("arc").over(w) <= gap, 0).otherwise(1)).withColumn("k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    odd = F.col("k") % 2 == 1
+    return d.select(*by, "y", "x", F.when(odd, F.col("_b")).otherwise(F.col("_a")).alias("under"), F.when(odd, F.col("_a")).otherwise(F.col("_b")).alias("over"), "k")
+
+
+def woven(strands: DataFrame, windows: DataFrame, by: list[str], line: str) -> DataFrame:
+    """strands (by, line, y, x) without the cells that another one, over them in a window, touches but does not cover.
+
+    windows: by, y, x, over (the line that lies over there). The gap beside the upper strand shows which one it is.
+    """
+    upper = strands.join(windows.withColumnRenamed("over", line), [*by, line, "y", "x"], "left_semi")
+    halo = dilate(upper, [*by, line]).join(windows.withColumnRenamed("over", line), [*by, line, "y", "x"], "left_semi").join(strands, [*by, line, "y", "x"], "left_anti")
+    gone = halo.select(*by, F.col(line).alias("_over"), "y", "x")
+    lost = strands.join(gone, [*by, "y", "x"]).filter(F.col(line) != F.col("_over")).select(*by, line, "y", "x").distinct()
+    return strands.join(lost, [*by, line, "y", "x"], "left_anti")
+
+
 def rect(cells: DataFrame, y0: int, x0: int, y1: int, x1: int, code: str) -> DataFrame:
     """cells with a filled box (ends exclusive)."""
     inside = F.col("y").between(y0, y1 - 1) & F.col("x").between(x0, x1 - 1)
@@ -77,11 +143,14 @@ def longest_runs(cells: DataFrame, code: str, bridge: int = 0) -> DataFrame:
     return d.groupBy("grid_id", "x", "_i").agg((F.max("y") - F.min("y") + 1).alias("n")).groupBy("grid_id", "x").agg(F.max("n").alias("longest"))
 
 
-def fitting_lines(lines: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
-    """lines (line, s, e) that belong to a span (span, lo, hi) of the same key: half of the span is covered, or half of a segment inside."""
+def fitting_lines(lines: DataFrame, spans: DataFrame, key: list[str], unit: float = 1.0) -> DataFrame:
+    """key, line, span: lines (a row of line, s, e for each of their segments) that belong to a span (span, lo, hi) of the same key.
+
+    One segment covers half of the span, or lies half inside it. Pairs are found by `intervals.overlapping`.
+    """
+    met = overlapping(lines.select(*key, "line", "s", "e"), spans.select(*key, "span", "lo", "hi"), key, ("s", "e"), ("lo", "hi"), unit)
     overlap = F.least("e", "hi") - F.greatest("s", "lo")
-    fits = (overlap >= 0.5 * (F.col("hi") - F.col("lo"))) | (overlap >= 0.5 * (F.col("e") - F.col("s")))
-    return lines.join(spans, key).filter(fits).select(*key, "line", "span").distinct()
+    return met.filter((2 * overlap >= F.col("hi") - F.col("lo")) | (2 * overlap >= F.col("e") - F.col("s"))).select(*key, "line", "span").distinct()
 
 
 def suppress(boxes: DataFrame, by: str, most: float = 0.5) -> DataFrame:

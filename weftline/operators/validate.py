@@ -7,7 +7,8 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runs import RUN_STRING, rows_to_runs
+from .intervals import covered
+from .runs import RUN_STRING, rle_encode, rows_to_runs
 
 #: A palette code and a colour.
 CODE, HEX = r"\A[A-Za-z]{1,3}\z", r"\A#[0-9A-Fa-f]{6}\z"
@@ -62,11 +63,14 @@ def row_problems(rows: DataFrame, palette: DataFrame, size: DataFrame, doc: str
 
 
 def pass_problems(given: DataFrame, cells: DataFrame, doc: str = "doc") -> DataFrame:
-    """given: doc, pass_no, grid_row, code, n, x0 of explicit passes; cells: doc, y, x, code. Runs that the cells don't bear out."""
-    want = given.filter("n > 0").select(doc, "pass_no", F.col("grid_row").alias("y"), "code", F.explode(F.sequence("x0", F.col("x0") + F.col("n") - 1)).alias("x"))
-    found = want.join(cells.select(doc, "y", "x", F.col("code").alias("_c")), [doc, "y", "x"], "left").filter("_c IS NULL OR _c <> code")
-    bad = found.groupBy(doc, "pass_no").agg(F.count("*").alias("n"))
-    return report(problem(bad, "pass_cells", doc, F.col("pass_no"), F.concat("n", F.lit(" cell(s) do not match"))), problem(given.filter("n IS NULL OR n < 1"), "pass_count", doc, F.col("pass_no"), F.lit("the count is not positive")))
+    """given: doc, pass_no, grid_row, code, n, x0 of explicit passes; cells: doc, y, x, code. Runs that the cells don't bear out.
+
+    Runs are compared with the rows' own runs by an overlap join, so what is moved grows with runs, not with cells.
+    """
+    own = rle_encode(cells, (doc, "y"))
+    asked = given.filter("n > 0").select(doc, "pass_no", F.col("grid_row").alias("y"), "code", "n", "x0", F.monotonically_increasing_id().alias("_run"))
+    lost = covered(asked, own, [doc, "y"]).groupBy(doc, "pass_no").agg(F.sum(F.col("n") - F.col("matched")).alias("n")).filter("n > 0")
+    return report(problem(lost, "pass_cells", doc, F.col("pass_no"), F.concat("n", F.lit(" cell(s) do not match"))), problem(given.filter("n IS NULL OR n < 1"), "pass_count", doc, F.col("pass_no"), F.lit("the count is not positive")))
 
 
 def tiling_problems(entries: DataFrame, key: list[str]) -> DataFrame:
@@ -220,3 +224,49 @@ def published_problems(entries: DataFrame, variants: DataFrame, gauges: DataFram
         problem(entries.join(gauges, "gauge", "left_anti"), "gauge", doc, at, F.lit("the gauge is unknown")),
         problem(entries.groupBy(doc, "variant", "gauge").agg(F.count("*").alias("n")).filter("n > 1"), "twice", doc, at, F.lit("is listed twice")),
     )
+
+
+def checks(cells: DataFrame, runs: DataFrame, palette: DataFrame, opted: DataFrame) -> DataFrame:
+    """grid_id, check, ok, detail of every grid: one report of all checks.
+
+    cells: grid_id, y, x, code; runs: of rle_encode; palette: grid_id, code; opted: grid_id, solid_edge, mirror_lr,
+    mirror_tb (numbers of outer lines, 0 or null: not asked), first_row_solid, edge_code. Row totals, codes and closure are
+    asked of all grids, edges, first row and mirrors of those that opted in; changes and the shortest run only report.
+    """
+    size = cells.groupBy("grid_id").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    rows = runs.groupBy("grid_id", "y").agg(F.sum("n").alias("_n"), F.count("*").alias("_r"), F.min("n").alias("_min"), F.count_if(F.col("n") < 1).alias("_none"))
+    whole = rows.join(size, "grid_id").groupBy("grid_id", "_h", "_w").agg(
+        F.bool_and((F.col("_n") == F.col("_w")) & (F.col("_none") == 0)).alias("_totals"), F.count("*").alias("_rows"), F.bround(F.avg(F.col("_r") - 1), 1).alias("_mean"), F.max(F.col("_r") - 1).alias("_max"), F.min("_min").alias("_min")
+    )
+    codes = palette.groupBy("grid_id").agg(F.bool_and(F.coalesce(F.col("code").rlike(CODE), F.lit(False))).alias("_well"), (F.count("*") == F.count_distinct("code")).alias("_once"), F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("_codes"))
+    used = runs.select("grid_id", "code").distinct()
+    unknown = used.join(palette, ["grid_id", "code"], "left_anti").groupBy("grid_id").agg(F.count("*").alias("_unknown"))
+    listed = used.groupBy("grid_id").agg(F.array_join(F.array_sort(F.collect_list("code")), ", ").alias("_used"))
+    at = cells.join(size, "grid_id").join(opted, "grid_id")
+    edge = F.coalesce("solid_edge", F.lit(0))
+    outer = (F.col("x") < edge) | (F.col("x") >= F.col("_w") - edge) | (F.col("y") < edge) | (F.col("y") >= F.col("_h") - edge)
+    other = F.col("code") != F.coalesce("edge_code", F.lit(""))
+    edges = at.groupBy("grid_id").agg(F.count_if(outer & other).alias("_edge"), F.count_if((F.col("y") == F.col("_h") - 1) & other).alias("_first"))
+    # A cell and its reflection have one key, the smaller of the two places: one aggregate for each direction, no join.
+    flipped = lambda line, end: F.least(F.col(line), F.col(end) - 1 - F.col(line))
+    broken = None
+    for name, line, keep, end in (("mirror_lr", "x", "y", "_w"), ("mirror_tb", "y", "x", "_h")):
+        near = at.filter(flipped(line, end) < F.coalesce(name, F.lit(0))).groupBy("grid_id", keep, flipped(line, end).alias("_k")).agg(F.count_distinct("code").alias("_c"))
+        one = near.groupBy("grid_id").agg(F.count_if(F.col("_c") > 1).alias(f"_{name}"))
+        broken = one if broken is None else broken.join(one, "grid_id", "full")
+    d = whole.join(codes, "grid_id", "left").join(unknown, "grid_id", "left").join(listed, "grid_id", "left").join(opted, "grid_id", "left").join(edges, "grid_id", "left").join(broken, "grid_id", "left")
+    no = lambda c: F.coalesce(c, F.lit(0)) == 0
+    line = lambda name, ok, detail, asked=F.lit(True): F.when(asked, F.struct(F.lit(name).alias("check"), F.coalesce(ok, F.lit(False)).alias("ok"), detail.alias("detail")))
+    text = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else F.col(p).cast("string") for i, p in enumerate(parts)])
+    wants = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    return d.select("grid_id", F.explode(F.array_compact(F.array(
+        line("row totals", F.col("_totals") & (F.col("_rows") == F.col("_h")), text("", "_h", " rows of ", "_w")),
+        line("palette codes", F.col("_well") & F.col("_once"), F.concat(F.lit("codes: "), F.coalesce("_codes", F.lit("")))),
+        line("palette closure", no("_unknown"), text("used: ", "_used")),
+        line("solid edge", no("_edge"), text("outer ", "solid_edge", " cell(s)"), wants("solid_edge")),
+        line("first row solid", no("_first"), F.lit(""), F.coalesce("first_row_solid", F.lit(False))),
+        line("mirror left/right", no("_mirror_lr"), text("outer ", "mirror_lr", " columns"), wants("mirror_lr")),
+        line("mirror top/bottom", no("_mirror_tb"), text("outer ", "mirror_tb", " rows"), wants("mirror_tb")),
+        line("changes per row", F.lit(True), text("mean ", "_mean", ", max ", "_max")),
+        line("min run", F.lit(True), text("", "_min", " cell(s)")),
+    ))).alias("c")).select("grid_id", "c.*")

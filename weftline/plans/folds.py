@@ -54,16 +54,17 @@ def csv_grids(s, d):
 
 
 QUERIES = {f.__name__: f for f in (segments_fold, written_engine_replay, greedy_clusters, prose_repeats, chart_documents, csv_grids)}
-ORACLE = {
-    "segments_fold": f"""WITH RECURSIVE {CELLS_LINEITEM}, {RUNS}, {PASSES},
-rs AS (SELECT grid_id, pass_no, list({{'code': code, 'n': n}} ORDER BY run_no) AS r, count(*)::BIGINT AS k FROM passes GROUP BY 1, 2),
+#: Segments of a table of passes.
+SEGMENTS = """rs AS (SELECT grid_id, pass_no, list({'code': code, 'n': n} ORDER BY run_no) AS r, count(*)::BIGINT AS k FROM passes GROUP BY 1, 2),
 e AS (SELECT *, CASE WHEN k >= 8 AND len(list_filter(r[1:8], lambda x: x.n > 4)) = 0 THEN 8 ELSE 0 END AS low, CASE WHEN k >= 16 AND len(list_filter(r[k - 7:k], lambda x: x.n > 4)) = 0 THEN k - 8 ELSE k END AS high FROM rs),
 m AS (SELECT grid_id, pass_no, i, max(CASE WHEN reps >= 3 THEN reps * p * 10 + 5 - p END) AS best FROM (
   SELECT grid_id, pass_no, i, p, 1 + (coalesce(list_filter(range(i, high), lambda j: NOT (j + p < high AND r[j + 1] = r[j + p + 1]))[1], high) - i) // p AS reps FROM (SELECT *, unnest(range(low, high)) AS i FROM e), (VALUES (2), (3), (4)) v(p)) GROUP BY 1, 2, 3),
 w AS (SELECT grid_id, pass_no, i, r[i + 1].n AS n, coalesce(best // 10, 1) AS size, CASE WHEN best IS NOT NULL THEN 5 - best % 10 END AS p FROM m JOIN e USING (grid_id, pass_no)),
-g AS (SELECT grid_id, pass_no, low::BIGINT AS i FROM e UNION ALL SELECT g.grid_id, g.pass_no, (g.i + size)::BIGINT FROM g JOIN w USING (grid_id, pass_no, i))
-SELECT grid_id, pass_no, CASE WHEN p IS NOT NULL THEN 'repeat' WHEN n >= 20 THEN 'fill' ELSE 'run' END AS kind, i AS "start", (i + size)::BIGINT AS "end", coalesce(p, 0)::BIGINT AS period, coalesce(size // p, 0)::BIGINT AS repetitions FROM g JOIN w USING (grid_id, pass_no, i)
-UNION ALL SELECT grid_id, pass_no, 'braid', 0, 8, 0, 0 FROM e WHERE low > 0 UNION ALL SELECT grid_id, pass_no, 'braid', high, k, 0, 0 FROM e WHERE high < k""",
+g AS (SELECT grid_id, pass_no, low::BIGINT AS i FROM e UNION ALL SELECT g.grid_id, g.pass_no, (g.i + size)::BIGINT FROM g JOIN w USING (grid_id, pass_no, i)),
+seg AS (SELECT grid_id, pass_no, CASE WHEN p IS NOT NULL THEN 'repeat' WHEN n >= 20 THEN 'fill' ELSE 'run' END AS kind, i AS "start", (i + size)::BIGINT AS "end", coalesce(p, 0)::BIGINT AS period, coalesce(size // p, 0)::BIGINT AS repetitions FROM g JOIN w USING (grid_id, pass_no, i)
+UNION ALL SELECT grid_id, pass_no, 'braid', 0, 8, 0, 0 FROM e WHERE low > 0 UNION ALL SELECT grid_id, pass_no, 'braid', high, k, 0, 0 FROM e WHERE high < k)"""
+ORACLE = {
+    "segments_fold": f"WITH RECURSIVE {CELLS_LINEITEM}, {RUNS}, {PASSES}, {SEGMENTS} SELECT * FROM seg",
     "written_engine_replay": """WITH RECURSIVE l AS (SELECT user_id AS project, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_id % 11 = 0 THEN 'jump' WHEN event_id % 5 = 0 THEN 'back' ELSE 'advance' END AS action, event_id % 7 + 1 AS target FROM events),
 s AS (SELECT DISTINCT project, 0::BIGINT AS seq, 0::BIGINT AS i, 1::BIGINT AS pos FROM l UNION ALL
   SELECT l.project, l.seq, l.i, (CASE action WHEN 'advance' THEN least(s.pos + 1, 41) WHEN 'back' THEN greatest(s.pos - 1, 1) ELSE target END)::BIGINT FROM s JOIN l ON l.project = s.project AND l.i = s.i + 1)

@@ -187,7 +187,8 @@ def overlay_blit(s, d):
 
 QUERIES = {f.__name__: f for f in (rle_events, rle_blocked, rle_strings, rle_roundtrip_mismatch, parsed_runs, run_stats, single_runs, changes_per_row, palette_counts_zero_filled, boustrophedon_sequence, rounds_sequence, prefix_cells_before, cursor_lookup, shaping_deltas, written_rows_text, written_to_grid, cross_check_rows, majority_code_match, stretches, stretch_changes, nearest_landmark, mirror_check, mirror_top_bottom, yarn_figures, explicit_or_derived, solid_edge, tile_buckets, interval_lookup_k_of_n, copy_expansion, hours_estimate, mask_ring, overlay_blit)}
 
-_STRETCH = f"""{LI_PASSES}, rws AS (SELECT grid_id, pass_no, list_sort(list(DISTINCT code)) AS codes, count(*) AS runs FROM passes GROUP BY 1, 2),
+#: Stretches of a table of passes.
+STRETCHES = """rws AS (SELECT grid_id, pass_no, list_sort(list(DISTINCT code)) AS codes, count(*) AS runs FROM passes GROUP BY 1, 2),
 cut AS (SELECT *, CASE WHEN lag(pass_no) OVER w IS NULL OR lag(codes) OVER w <> codes OR greatest(runs, lag(runs) OVER w) >= 3 * least(runs, lag(runs) OVER w) THEN 1 ELSE 0 END AS new FROM rws WINDOW w AS (PARTITION BY grid_id ORDER BY pass_no)),
 isl AS (SELECT *, sum(new) OVER (PARTITION BY grid_id ORDER BY pass_no ROWS UNBOUNDED PRECEDING) AS i FROM cut),
 own AS (SELECT *, CASE WHEN new = 1 AND (i = 1 OR count(*) OVER (PARTITION BY grid_id, i) >= 2) THEN 1 ELSE 0 END AS o FROM isl),
@@ -195,6 +196,7 @@ st AS (SELECT *, sum(o) OVER (PARTITION BY grid_id ORDER BY pass_no ROWS UNBOUND
 spans AS (SELECT grid_id, stretch, min(pass_no) AS "start", max(pass_no) AS "end", count(*)::BIGINT AS n_rows, max(runs) <= 3 AS plain FROM st GROUP BY 1, 2),
 col AS (SELECT p.grid_id, stretch, code, sum(n) AS cells FROM passes p JOIN st USING (grid_id, pass_no) GROUP BY 1, 2, 3),
 stretches AS (SELECT s.*, c.codes FROM spans s JOIN (SELECT grid_id, stretch, string_agg(code, ',' ORDER BY cells DESC, code) AS codes FROM col GROUP BY 1, 2) c USING (grid_id, stretch))"""
+_STRETCH = f"{LI_PASSES}, {STRETCHES}"
 
 _WRITTEN = """wr AS (SELECT grid_id, pass_no AS "row", run_no, code, n, coalesce(sum(n) OVER (PARTITION BY grid_id, pass_no ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a0, sum(n) OVER (PARTITION BY grid_id, pass_no) AS width FROM passes),
 hh AS (SELECT grid_id, max(pass_no) AS h FROM passes GROUP BY 1),
