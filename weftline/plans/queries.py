@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compare, folds, grids, logs, projects, records
+from . import compare, folds, grids, logs, projects, readings, records
 
-QUERIES = {**grids.QUERIES, **logs.QUERIES, **records.QUERIES, **folds.QUERIES, **projects.QUERIES, **compare.QUERIES}
-ORACLE = {**grids.ORACLE, **logs.ORACLE, **records.ORACLE, **folds.ORACLE, **projects.ORACLE, **compare.ORACLE}
+QUERIES = {**grids.QUERIES, **logs.QUERIES, **records.QUERIES, **folds.QUERIES, **projects.QUERIES, **compare.QUERIES, **readings.QUERIES}
+ORACLE = {**grids.ORACLE, **logs.ORACLE, **records.ORACLE, **folds.ORACLE, **projects.ORACLE, **compare.ORACLE, **readings.ORACLE}
