@@ -113,6 +113,41 @@ def live_state(cursors: DataFrame, runs: DataFrame) -> DataFrame:
     return cursors.join(at, ["grid_id", "row", "run"], "left").select("project", "row", "run", "code", "n", "previous", "next")
 
 
+def live_activity(cursors: DataFrame, runs: DataFrame, segments: DataFrame) -> DataFrame:
+    """cursors (project, grid_id, row, run, stitch) with code, n, next, cells_done, percent, at_boundary, last_in_row, finished, repetition, repetitions.
+
+    runs: of sequence.passes (with cells_before); segments: of machine.segments. A cursor one beyond a row's last run stands
+    between rows: next is then the next row's first run; at the last row's end the work is finished. repetition counts from
+    1 within a band of repetitions. Grids are joined by cursor, row and run; a band is found by the run it begins at.
+    """
+    w = Window.partitionBy("grid_id", "pass_no").orderBy("run_no")
+    at = runs.select("grid_id", F.col("pass_no").alias("row"), F.col("run_no").alias("run"), "code", "n", F.lead("code").over(w).alias("_next"), F.col("cells_before").alias("_before"))
+    rows = runs.groupBy("grid_id", F.col("pass_no").alias("row")).agg(F.max("run_no").alias("_last"), F.min_by("code", "run_no").alias("_first"), F.max(F.col("cells_before") + F.col("n")).alias("_end"))
+    ahead = rows.select("grid_id", (F.col("row") - 1).alias("row"), F.col("_first").alias("_ahead"))
+    whole = runs.groupBy("grid_id").agg(F.max("pass_no").alias("_rows"), F.sum("n").alias("_total"))
+    bands = segments.filter("kind = 'repeat'").select("grid_id", F.col("pass_no").alias("row"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("period").alias("_p"), F.col("repetitions").alias("_r"))
+    d = cursors.join(rows, ["grid_id", "row"]).join(whole, "grid_id").join(ahead, ["grid_id", "row"], "left").join(at, ["grid_id", "row", "run"], "left")
+    band = d.select("project", "grid_id", "row", "run").join(bands, ["grid_id", "row"]).filter((F.col("run") >= F.col("_s")) & (F.col("run") < F.col("_e")))
+    d = d.join(band.select("project", "grid_id", "row", "run", (F.floor((F.col("run") - F.col("_s")) / F.col("_p")) + 1).alias("repetition"), F.col("_r").alias("repetitions")), ["project", "grid_id", "row", "run"], "left")
+    end = F.col("run") > F.col("_last")
+    done = F.when(end, F.col("_end")).otherwise(F.col("_before") + F.col("stitch"))
+    finished = end & (F.col("row") == F.col("_rows"))
+    return d.select(
+        "project", "row", "run", "code", "n", F.when(end, F.col("_ahead")).otherwise(F.col("_next")).alias("next"), done.cast("long").alias("cells_done"), F.bround(100.0 * done / F.col("_total"), 1).alias("percent"),
+        (end & ~finished).alias("at_boundary"), (F.col("run") >= F.col("_last")).alias("last_in_row"), finished.alias("finished"), "repetition", "repetitions",
+    )
+
+
+def project_report(progress: DataFrame, manifest: DataFrame, assembly: DataFrame) -> DataFrame:
+    """project, pieces_done, pieces_total, assembly_done, assembly_total: `project_figures` with the steps of putting together.
+
+    assembly: project, step, done. Steps that are named twice count once, done if either is.
+    """
+    steps = assembly.groupBy("project", "step").agg(F.bool_or(F.coalesce("done", F.lit(False))).alias("_d")).groupBy("project").agg(F.count_if("_d").alias("assembly_done"), F.count("*").alias("assembly_total"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return project_figures(progress, manifest).join(steps, "project", "left").select("project", "pieces_done", "pieces_total", zero("assembly_done"), zero("assembly_total"))
+
+
 def unique_slugs(rows: DataFrame, by: str, order: str, base: str) -> DataFrame:
     """by, order, slug: taken slugs get -2, -3, ..., skipping those taken.
 

@@ -43,6 +43,17 @@ def palette_problems(palette: DataFrame, doc: str = "doc") -> DataFrame:
     )
 
 
+def size_problems(palette: DataFrame, size: DataFrame, doc: str = "doc", most: int = 255) -> DataFrame:
+    """palette: doc, code; size: doc, width, height. At least one colour and `most` at most; a width and a height of 1 or more."""
+    n = palette.groupBy(doc).agg(F.count("*").alias("n"))
+    d = size.join(n, doc, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return _listed(d, doc, [
+        ("palette_size", (F.col("n") < 1) | (F.col("n") > most), F.col("n"), F.lit(f"colours are not 1 to {most}")),
+        ("width", ~F.coalesce(F.col("width") >= 1, F.lit(False)), F.coalesce(F.col("width").cast("string"), F.lit("")), F.lit("is not 1 or more")),
+        ("height", ~F.coalesce(F.col("height") >= 1, F.lit(False)), F.coalesce(F.col("height").cast("string"), F.lit("")), F.lit("is not 1 or more")),
+    ])
+
+
 def row_problems(rows: DataFrame, palette: DataFrame, size: DataFrame, doc: str = "doc", no_stitch: DataFrame | None = None) -> DataFrame:
     """rows: doc, y, runs (run strings); palette: doc, code; size: doc, width, height; no_stitch: doc, code."""
     well = F.coalesce(F.col("runs").rlike(RUN_STRING), F.lit(False))

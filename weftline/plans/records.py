@@ -189,7 +189,8 @@ def noise_figures(s, d):
 
 QUERIES = {f.__name__: f for f in (content_ids, duplicate_ids, drift_report, key_union, validate_codes, document_rules, layer_rules, prose_rules, published_rules, strata_counts, top_value_per_stratum, nearest_palette, palette_snap_refusals, lab_distance, code_names, ordinals, document_lines, running_headers, headings, row_heads, printed_totals, transcribed_runs, expanded_rows, text_blocks_fill_forward, html_texts, publish_order, noise_figures)}
 
-_CENTRES = "e AS (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT label, i, avg(v) AS v FROM e GROUP BY 1, 2), c AS (SELECT label, list(v ORDER BY i) AS centre FROM m GROUP BY 1), dd AS (SELECT vec_id, c.label, sqrt(list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - centre[i]) ** 2))) AS dist FROM embeddings, c), nn AS (SELECT vec_id, label, round_even(dist, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, label) AS k FROM dd) WHERE k = 1)"
+#: Mean vectors of labels, and each vector's nearest (nn).
+CENTRES = "e AS (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT label, i, avg(v) AS v FROM e GROUP BY 1, 2), c AS (SELECT label, list(v ORDER BY i) AS centre FROM m GROUP BY 1), dd AS (SELECT vec_id, c.label, sqrt(list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - centre[i]) ** 2))) AS dist FROM embeddings, c), nn AS (SELECT vec_id, label, round_even(dist, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, label) AS k FROM dd) WHERE k = 1)"
 _ROWS = """li AS (SELECT l_orderkey, string_agg(l_quantity::INTEGER || ' ' || l_returnflag, ', ' ORDER BY l_linenumber, l_partkey, l_returnflag, l_quantity::INTEGER) AS body, sum(l_quantity)::INTEGER AS total, sum(l_quantity::INTEGER)::BIGINT AS summed, count(*)::BIGINT AS n_runs FROM lineitem GROUP BY 1),
 hd AS (SELECT *, (l_orderkey % 500 + 1)::INTEGER AS first, (l_orderkey % 500 + CASE WHEN l_orderkey % 3 = 2 THEN 3 ELSE 1 END)::INTEGER AS last, CASE WHEN l_orderkey % 3 = 0 THEN 'RS' ELSE '' END AS side FROM li)"""
 _LINES = "ln AS (SELECT doc_id, (unnest(range(len(l))))::INTEGER AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"
@@ -243,8 +244,8 @@ SELECT doc, 'variant' AS rule, told AS "at", 'the variant is unknown' AS message
 UNION ALL SELECT doc, 'gauge', told, 'the gauge is unknown' FROM e WHERE gauge = 'P' UNION ALL SELECT doc, 'twice', told, 'is listed twice' FROM e GROUP BY doc, told HAVING count(*) > 1""",
     "strata_counts": "SELECT lang, count(*)::BIGINT AS n, count(*) FILTER (quality = 1)::BIGINT AS good, round_even(avg(quality) * 100, 1) AS percent FROM labels JOIN documents USING (doc_id) GROUP BY 1",
     "top_value_per_stratum": "SELECT source, lang, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS k FROM (SELECT source, lang, count(*)::BIGINT AS n FROM documents GROUP BY 1, 2)) WHERE k = 1",
-    "nearest_palette": f"WITH {_CENTRES} SELECT * FROM nn",
-    "palette_snap_refusals": f"WITH {_CENTRES} SELECT label, max(distance) AS worst, arg_max(vec_id, (distance, vec_id)) AS vec_id FROM nn GROUP BY 1 HAVING max(distance) > 0.5",
+    "nearest_palette": f"WITH {CENTRES} SELECT * FROM nn",
+    "palette_snap_refusals": f"WITH {CENTRES} SELECT label, max(distance) AS worst, arg_max(vec_id, (distance, vec_id)) AS vec_id FROM nn GROUP BY 1 HAVING max(distance) > 0.5",
     "lab_distance": _lab_sql(),
     "code_names": "WITH i AS (SELECT p_partkey, (p_partkey - 1) % 18278 AS i FROM part) SELECT p_partkey, CASE WHEN i < 26 THEN chr((65 + i)::INTEGER) WHEN i < 702 THEN chr((65 + (i - 26) // 26)::INTEGER) || chr((65 + (i - 26) % 26)::INTEGER) ELSE chr((65 + (i - 702) // 676)::INTEGER) || chr((65 + (i - 702) // 26 % 26)::INTEGER) || chr((65 + (i - 702) % 26)::INTEGER) END AS code FROM i",
     "ordinals": "SELECT p_partkey, p_partkey || CASE WHEN p_partkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN p_partkey % 10 = 1 THEN 'st' WHEN p_partkey % 10 = 2 THEN 'nd' WHEN p_partkey % 10 = 3 THEN 'rd' ELSE 'th' END AS told, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part",

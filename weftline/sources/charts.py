@@ -85,19 +85,37 @@ def oxs_documents(cells: DataFrame, palette: DataFrame) -> DataFrame:
     return body.crossJoin(F.broadcast(items)).select("grid_id", F.concat(F.format_string('<?xml version="1.0"?><chart><properties chartwidth="%s" chartheight="%s"/><palette><palette_item index="0" name="cloth" color="FFFFFF"/>', "w", "h"), "items", F.lit("</palette><fullstitches>"), "body", F.lit("</fullstitches></chart>")).alias("value"))
 
 
-def read_bundles(spark: SparkSession, path: str, most_bytes: int = 200 * 1024 * 1024) -> DataFrame:
-    """bundle (path), name, content of the files in zip bundles of up to most_bytes; larger ones are left out before they are read."""
+def unbundled(zips: DataFrame) -> DataFrame:
+    """bundle, name, content of the files in zips (bundle, content); names that lead out of the bundle are left out."""
 
     def unzip(batches):
         for pdf in batches:
             out = []
-            for p, content in zip(pdf.path, pdf.content, strict=True):
+            for p, content in zip(pdf.bundle, pdf.content, strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     out += [(p, i.filename, z.read(i)) for i in z.infolist() if not i.is_dir() and ".." not in i.filename.split("/")]
             yield pd.DataFrame(out, columns=["bundle", "name", "content"])
 
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= most_bytes).select("path", "content")
-    return files.mapInPandas(unzip, "bundle string, name string, content binary")
+    return zips.select("bundle", "content").mapInPandas(unzip, f"bundle {dict(zips.dtypes)['bundle']}, name string, content binary")
+
+
+def read_bundles(spark: SparkSession, path: str, most_bytes: int = 200 * 1024 * 1024) -> DataFrame:
+    """bundle (path), name, content of the files in zip bundles of up to most_bytes; larger ones are left out before they are read."""
+    return unbundled(spark.read.format("binaryFile").load(path).filter(F.col("length") <= most_bytes).select(F.col("path").alias("bundle"), "content"))
+
+
+def bundle_problems(files: DataFrame, manifest: str = "manifest.json") -> DataFrame:
+    """bundle, name, kind (no_manifest, lost, unlisted, id) of bundles whose files (bundle, name, content) are not their manifest's.
+
+    The manifest lists charts by path and id; a chart's file holds its id in chart.id.
+    """
+    text = F.expr("try_validate_utf8(CAST(content AS STRING))")
+    listed = files.filter(F.col("name") == manifest).select("bundle", F.explode_outer(F.from_json(text, "charts array<struct<path:string,id:string>>")["charts"]).alias("c")).select("bundle", F.col("c.path").alias("name"), F.col("c.id").alias("want"))
+    charts = files.filter(F.col("name") != manifest).select("bundle", "name", F.from_json(text, "chart struct<id:string>")["chart"]["id"].alias("have"), F.lit(True).alias("there"))
+    none = files.groupBy("bundle").agg(F.bool_or(F.col("name") == manifest).alias("m")).filter("NOT m").select("bundle", F.lit(manifest).alias("name"), F.lit("no_manifest").alias("kind"))
+    d = listed.filter("name IS NOT NULL").withColumn("listed", F.lit(True)).join(charts, ["bundle", "name"], "full").join(none.select("bundle"), "bundle", "left_anti")
+    kind = F.when(F.col("there").isNull(), "lost").when(F.col("listed").isNull(), "unlisted").when(~F.col("want").eqNullSafe(F.col("have")), "id")
+    return none.unionByName(d.select("bundle", "name", kind.alias("kind")).filter("kind IS NOT NULL"))
 
 
 def refused_bundles(spark: SparkSession, path: str, most_bytes: int = 200 * 1024 * 1024) -> DataFrame:
@@ -115,7 +133,7 @@ def bundles(files: DataFrame) -> DataFrame:
                 z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content)
         return pd.DataFrame({"bundle": [key[0]], "content": [out.getvalue()]})
 
-    return files.select("bundle", "name", "content").groupBy("bundle").applyInPandas(pack, "bundle string, content binary")
+    return files.select("bundle", "name", "content").groupBy("bundle").applyInPandas(pack, f"bundle {dict(files.dtypes)['bundle']}, content binary")
 
 
 def _png_chunk(kind: bytes, data: bytes) -> bytes:
@@ -143,8 +161,8 @@ def png_grids(cells: DataFrame, palette: DataFrame) -> DataFrame:
     return grids.select("grid_id", draw("rows").alias("content"))
 
 
-def read_png_grids(files: DataFrame, palette: DataFrame) -> DataFrame:
-    """grid_id, y, x, code of what png_grids has drawn (grid_id, content); a colour that the palette lacks gives a null code."""
+def png_pixels(files: DataFrame) -> DataFrame:
+    """grid_id, y, x, hex of what png_grids has drawn (grid_id, content)."""
 
     def read(batches):
         for pdf in batches:
@@ -161,11 +179,38 @@ def read_png_grids(files: DataFrame, palette: DataFrame) -> DataFrame:
                     out += [(g, y, x, "#" + line[3 * x : 3 * x + 3].hex()) for x in range(width)]
             yield pd.DataFrame(out, columns=["grid_id", "y", "x", "hex"])
 
-    found = files.select("grid_id", "content").mapInPandas(read, "grid_id long, y long, x long, hex string")
-    return found.join(small(palette.select("code", F.lower("hex").alias("hex"))), "hex", "left").select("grid_id", "y", "x", "code")
+    return files.select("grid_id", "content").mapInPandas(read, "grid_id long, y long, x long, hex string")
+
+
+def read_png_grids(files: DataFrame, palette: DataFrame) -> DataFrame:
+    """grid_id, y, x, code of what png_grids has drawn; a colour that the palette (code, hex) lacks gives a null code."""
+    return png_pixels(files).join(palette.select("code", F.lower("hex").alias("hex")), "hex", "left").select("grid_id", "y", "x", "code")
+
+
+def png_refusals(files: DataFrame, palette: DataFrame) -> DataFrame:
+    """grid_id, y, x, hex, n of pictures with pixels of no colour of the palette: the first one by rows, and how many there are."""
+    lost = png_pixels(files).join(palette.select(F.lower("hex").alias("hex")), "hex", "left_anti")
+    g = lost.groupBy("grid_id").agg(F.min(F.struct("y", "x", "hex")).alias("f"), F.count("*").alias("n"))
+    return g.select("grid_id", "f.y", "f.x", "f.hex", "n")
+
+
+#: Fixed value: a slug that may become a path.
+SLUG = r"\A[a-z0-9]+(?:-[a-z0-9]+)*\z"
 
 
 def feed(charts: DataFrame, slug: Column, title: Column) -> DataFrame:
     """One index row for each pattern: slug, title, n_charts, first chart's id; slugs must be lower-case words with hyphens."""
-    d = charts.select(slug.alias("slug"), title.alias("title"), F.col("chart.id").alias("id")).filter(F.col("slug").rlike(r"\A[a-z0-9]+(?:-[a-z0-9]+)*\z"))
+    d = charts.select(slug.alias("slug"), title.alias("title"), F.col("chart.id").alias("id")).filter(F.col("slug").rlike(SLUG))
     return d.groupBy("slug").agg(F.min("title").alias("title"), F.count("*").alias("n_charts"), F.min("id").alias("first_id"))
+
+
+def refused_slugs(charts: DataFrame, slug: Column) -> DataFrame:
+    """slug, n of charts that `feed` leaves out: a slug becomes a path, so one that is none is refused, not mended."""
+    return charts.select(slug.alias("slug")).filter(~F.coalesce(F.col("slug").rlike(SLUG), F.lit(False))).groupBy("slug").agg(F.count("*").alias("n"))
+
+
+def committed_charts(spark: SparkSession, root: str) -> DataFrame:
+    """pattern, chart, path and the document of all charts under root/<pattern>/dist/charts/<chart>/chart.json, to be read in order of path."""
+    d = read_charts(spark, f"{root.rstrip('/')}/*/dist/charts/*/chart.json")
+    part = lambda i: F.regexp_extract("path", r"([^/]+)/dist/charts/([^/]+)/chart\.json$", i)
+    return d.withColumns({"folder": part(1), "file": part(2)})
