@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import small
-
 
 def majority(left: DataFrame, right: DataFrame, on: list[str], cluster: str, code: str, by: list[str]) -> DataFrame:
     """by, cluster, code, n, share of the code that most often stands where a cluster does (ties: the smaller code)."""
@@ -48,9 +46,15 @@ def cross_check(a: DataFrame, b: DataFrame, by: list[str] = ["grid_id"]) -> Data
     return d.groupBy(*by, "y").agg(F.count("*").alias("n_differ"), F.min("x").alias("first_x"))
 
 
-def nearest(samples: DataFrame, palette: DataFrame, distance: Column, key: str, idx: str) -> DataFrame:
-    """key, idx, distance of the nearest palette entry (ties: the smaller idx). The palette has at most MOST_PALETTE entries."""
-    d = samples.crossJoin(small(palette)).withColumn("_d", distance)
+def nearest(samples: DataFrame, palette: DataFrame, distance: Column, key: str, idx: str, blocks: int = 4, salts: int = 16) -> DataFrame:
+    """key, idx, distance of the nearest palette entry (ties: the smaller idx). distance: over columns of both, whose names differ.
+
+    Both tables are dealt out to a lattice of `salts` by `blocks` groups, so a palette of any size is compared in parts;
+    a small one goes to all tasks by Spark's own choice. Only the nearest of each part is shuffled.
+    """
+    s = samples.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    p = palette.withColumn("_block", F.pmod(F.xxhash64(idx), F.lit(blocks)).cast("int")).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    d = s.join(p, ["_salt", "_block"]).withColumn("_d", distance)
     return d.groupBy(key).agg(F.min(F.struct("_d", idx)).alias("_m")).select(key, F.col(f"_m.{idx}").alias(idx), F.col("_m._d").alias("distance"))
 
 

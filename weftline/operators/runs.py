@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import small
-
 ROW = ("grid_id", "y")
 #: Fixed value: one run in a run string, a count and a code of one to three letters.
 RUN = r"([0-9]+)([A-Za-z]{1,3})"
@@ -59,9 +57,13 @@ def rows_to_runs(rows: DataFrame, column: str = "runs", row: tuple[str, ...] = R
 
 
 def counts_by_code(runs: DataFrame, palette: DataFrame, by: tuple[str, ...] = ("grid_id",)) -> DataFrame:
-    """Cells of every palette code (column code) in every grid, zero where it has none."""
+    """Cells of every palette code (column code) in every grid, zero where it has none.
+
+    The codes go to all tasks as one row, an array of distinct codes of a few letters.
+    """
     have = runs.groupBy(*by, "code").agg(F.sum("n").alias("cells"))
-    every = runs.select(*by).distinct().crossJoin(small(palette.select("code").distinct()))
+    codes = palette.agg(F.collect_set("code").alias("_codes"))
+    every = runs.select(*by).distinct().crossJoin(F.broadcast(codes)).withColumn("code", F.explode("_codes")).drop("_codes")
     return every.join(have, [*by, "code"], "left").select(*by, "code", F.coalesce("cells", F.lit(0)).cast("long").alias("cells"))
 
 

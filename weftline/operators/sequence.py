@@ -17,19 +17,20 @@ def passes(runs: DataFrame, *, start: str = "bottom", first_side: str = "RS", rs
     """
     if no_stitch is not None:
         runs = runs.filter(F.col("code") != no_stitch)
-    # Only distinct rows are ranked in a window over a whole grid; runs are ordered inside their pass.
-    rank = F.row_number().over(Window.partitionBy("grid_id").orderBy(F.desc("y") if start == "bottom" else F.asc("y")))
-    ranks = runs.select("grid_id", "y").distinct().withColumn("pass_no", rank.cast("long"))
+    # Rows are summed where their runs are; a window over a whole grid sees one line a row. All else is inside a row.
+    order = Window.partitionBy("grid_id").orderBy(F.desc("y") if start == "bottom" else F.asc("y"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = runs.groupBy("grid_id", "y").agg(F.sum("n").alias("_n"))
+    ranks = rows.select("grid_id", "y", F.row_number().over(order).cast("long").alias("pass_no"), before("_n", order).alias("_base"))
     other = {"RS": "WS", "WS": "RS", "rtl": "ltr", "ltr": "rtl"}
     d = runs.join(ranks, ["grid_id", "y"])
     even = F.lit(rounds) | (F.col("pass_no") % 2 == 1)
     ws_direction = other[rs_direction]
     d = d.withColumn("side", F.when(even, first_side).otherwise(other[first_side]))
     d = d.withColumn("direction", F.when(F.col("side") == "RS", rs_direction).otherwise(rs_direction if rounds else ws_direction))
-    key = F.when(F.col("direction") == "rtl", -F.col("x0")).otherwise(F.col("x0"))
-    order = F.row_number().over(Window.partitionBy("grid_id", "pass_no").orderBy(key)) - 1
-    d = d.withColumn("run_no", order.cast("long"))
-    return with_before(d.select("grid_id", "pass_no", "side", "direction", F.col("y").alias("grid_row"), "run_no", "code", "n", "x0"))
+    inside = Window.partitionBy("grid_id", "y").orderBy(F.when(F.col("direction") == "rtl", -F.col("x0")).otherwise(F.col("x0")))
+    d = d.withColumns({"run_no": (F.row_number().over(inside) - 1).cast("long"), "cells_before": F.col("_base") + before("n", inside)})
+    return d.select("grid_id", "pass_no", "side", "direction", F.col("y").alias("grid_row"), "run_no", "code", "n", "x0", "cells_before")
 
 
 def explicit_passes(derived: DataFrame, given: DataFrame, technique: DataFrame) -> DataFrame:

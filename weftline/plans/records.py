@@ -260,4 +260,8 @@ UNION ALL SELECT doc, 'gauge', told, 'the gauge is unknown' FROM e WHERE gauge =
 SELECT doc_id, head_no, length(string_agg(line, ' ' ORDER BY line_no))::BIGINT AS n_chars FROM h WHERE head_no > 0 GROUP BY 1, 2""",
     "publish_order": "SELECT n_nationkey, n_name, row_number() OVER (ORDER BY coalesce(list_position([7, 3, 11], n_nationkey), 99), n_name, n_nationkey) AS place FROM nation",
     "noise_figures": "SELECT event_type, round_even(median(value), 6) AS median, round_even(stddev_pop(value), 6) AS noise FROM events GROUP BY 1",
+    "html_texts": r"""WITH a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(t, '(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|aside|title|head|body|html)\b[^>]*>', chr(10), 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM b)
+SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t\r]+', ' ', 'g'), '(?: ?\n ?)+', chr(10), 'g'), ' ' || chr(10)) AS text FROM c""",
 }

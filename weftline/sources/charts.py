@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.identity import content_id
-from ..operators.sizes import small
 from ..operators.runs import run_strings
 
 _TEXT, _INT = T.StringType(), T.LongType()
@@ -79,7 +78,7 @@ def oxs_documents(cells: DataFrame, palette: DataFrame) -> DataFrame:
     """grid_id, value: OXS text. cells: grid_id, y, x, code; palette: code, name, hex. Index 0 is the cloth, colours follow by code."""
     index = palette.withColumn("palindex", F.row_number().over(Window.orderBy("code")))  # a palette has at most a few hundred codes
     items = index.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("palindex", "name", F.regexp_replace("hex", "#", "").alias("hex")))), lambda p: F.format_string('<palette_item index="%s" name="%s" color="%s"/>', p["palindex"], p["name"], p["hex"])), "").alias("items"))
-    told = cells.join(small(index.select("code", "palindex")), "code")
+    told = cells.join(index.select("code", "palindex"), "code")
     one = F.struct("y", "x", F.format_string('<stitch x="%s" y="%s" palindex="%s"/>', "x", "y", "palindex").alias("s"))
     body = told.groupBy("grid_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda c: c["s"]), "").alias("body"), (F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     return body.crossJoin(F.broadcast(items)).select("grid_id", F.concat(F.format_string('<?xml version="1.0"?><chart><properties chartwidth="%s" chartheight="%s"/><palette><palette_item index="0" name="cloth" color="FFFFFF"/>', "w", "h"), "items", F.lit("</palette><fullstitches>"), "body", F.lit("</fullstitches></chart>")).alias("value"))
@@ -145,7 +144,7 @@ def png_grids(cells: DataFrame, palette: DataFrame) -> DataFrame:
     twice = palette.groupBy("hex").count().filter("count > 1")
     if not twice.isEmpty():
         raise ValueError("two codes have one colour, so the picture could not be read back")
-    told = cells.join(small(palette.select("code", "hex")), "code")
+    told = cells.join(palette.select("code", "hex"), "code")
     rows = told.groupBy("grid_id", "y").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", F.regexp_replace("hex", "#", "").alias("h")))), lambda c: c["h"]), "").alias("h"))
     grids = rows.groupBy("grid_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "h"))), lambda r: r["h"]).alias("rows"))
 
