@@ -309,6 +309,65 @@ def test_near_duplicates_with_few_true_pairs_in_the_forest(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == brute_components(out)
 
 
+def crowd(n, copies):
+    """Texts that share seven tenths and are not similar, and near copies without a central one, all with one passage."""
+    rng = random.Random(n)
+    passage = [f"p{i}" for i in range(140)]
+    out = {i: " ".join(passage + [f"o{i}-{j}" for j in range(60)]) for i in range(n)}
+    base = passage + [f"b{i}" for i in range(60)]
+    for i in range(copies):
+        w, at = list(base), rng.randrange(190)
+        w[at : at + 4] = [f"e{i}-{j}" for j in range(4)]
+        out[n + i] = " ".join(w)
+    return out
+
+
+def test_near_duplicates_that_share_a_passage(spark, monkeypatch):
+    """What is compared and moved grows with the sets that share a passage, not with their pairs."""
+    moved = {}
+    entries, placed, verified = jaccard._front_entries, jaccard._placed, jaccard._alike
+
+    def counting(name, f):
+        def run(*args):
+            out = f(*args).cache()
+            moved[name] = moved.get(name, 0) + out.count()
+            return out
+
+        return run
+
+    for name, f in (("_front_entries", entries), ("_placed", placed)):
+        monkeypatch.setattr(jaccard, name, counting(name, f))
+    monkeypatch.setattr(jaccard, "_alike", lambda pairs, *args: moved.__setitem__("pairs", moved.get("pairs", 0) + pairs.count()) or verified(pairs, *args))
+    seen = []
+    for n, copies in ((150, 60), (600, 240)):
+        texts = crowd(n, copies)
+        moved.clear()
+        df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
+        assert got == brute_components(texts)
+        assert {c for k, (_, c) in got.items() if k >= n} == {n} and len({c for _, c in got.values()}) == n + 1
+        seen.append(dict(moved))
+    small, large = seen
+    assert small["_front_entries"] > 0 and all(large[k] <= 6 * small[k] + 50 for k in small), seen
+
+
+def test_fronts_of_similar_sets_meet():
+    """For sets of all sizes that are just similar enough, whatever the order of shingles."""
+    rng = np.random.default_rng(9)
+    level = rng.integers(0, 20, jaccard.SHINGLE_BUCKETS).astype(np.uint8)
+    for _ in range(300):
+        a = rng.integers(1, 300)
+        b = rng.integers(a, a * 100 // 75 + 1)
+        same = -(-75 * (a + b) // 175)
+        if same > a:
+            continue
+        pool = np.unique(rng.integers(0, 1 << 63, a + b).astype(np.uint64))
+        rng.shuffle(pool)
+        x, y = np.sort(pool[:a]), np.sort(pool[a - same : a - same + b])
+        row, key = jaccard.fronts([x, y], level, 75)
+        assert {*key[row == 0].tolist()} & {*key[row == 1].tolist()}
+
+
 def test_near_duplicates_pool_an_ids_texts(spark):
     words = [f"v{i}" for i in range(40)]
     a, b = " ".join(words[:20]), " ".join(words[20:])

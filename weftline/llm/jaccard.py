@@ -11,12 +11,22 @@ cost model chooses. A set is also indexed in the band below its own where a part
 Each set is indexed by some spare segments more than it must. Once the entries' true sizes
 are known, a set may leave that many of its most crowded entries, by the same argument; so passages that many documents
 share make no crowded entries. An entry of at most FEW sets gives their pairs. In a larger one, each set is paired with
-the entry's most central set, which is the one whose own entries are the most crowded. Where an entry then still holds
-several components, its sets outside the largest component are compared by sketches with all others, block against
-block, each pair of blocks as a group of its own, which gives only as many pairs as join what may belong together. Once
-these are verified, entries that still hold several components are compared again: now the sets of all pairs that the
-sketches leave open are verified inside the group, which gives only links that join two components it has not joined
-yet. So no link between components is lost, and what is put out grows with sets, not with pairs.
+the entry's most central set, which is the one whose own entries are the most crowded.
+
+Where entries then still hold several components, their sets are indexed again, by single shingles. Two sets of a and b
+shingles must share ceil(75 (a + b) / 175); so the rarest shingle that they share is among the first a + 1 less that
+many of the one's shingles by rarity, and among the other's as well. Sets are put to classes of size (CLASS), and a set
+is indexed by the shingles at its front, as many as a partner in that class can ask for. A passage that is not enough to
+make two texts similar is therefore not at their fronts, however many documents hold it, and where it is enough they are
+linked already. Only the fronts of sets outside their entry's largest component, and what meets these, make entries, so
+what is moved grows with sets. Small groups give their pairs; in larger ones, sets outside the largest component are
+taken as centres in turn, each joining what it can, as long as that joins components (STARS times at most).
+
+What is left after that, groups in which many sets of different components share rare shingles, is compared by sketches,
+block against block, each pair of blocks as a group of its own, which gives only as many pairs as join what may belong
+together. Once these are verified, groups that still hold several components are compared again: now the sets of all
+pairs that the sketches leave open are verified inside the group, which gives only links that join two components it has
+not joined yet. So no link between components is lost, and what is put out grows with sets, not with pairs.
 
 Pairs are first compared by parity sketches (each shingle flips one bit, so sketches never differ in more bits than the
 sets in shingles), then verified exactly on whole texts. Sets that are equal are joined at the start, and only one of
@@ -40,6 +50,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, discard, forget_caches, materialise, mix, most_frequent, text_chunks, word_hashes, word_spans
 from .graph import components
+from .phrases import Buckets, bitmap, bucket_rows, has, levels
 
 WORDS, PERCENT = 5, 75
 #: Contents whose counts the cost order knows (the most frequent ones; others count as rare), and the least count that a worker reports.
@@ -50,6 +61,8 @@ FEW = 8
 SPLIT_ROWS = 100_000
 #: Sets of a block, and shingles in it, when the sets of an entry are compared block against block.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 21
+#: Sizes of a class differ by less than this factor; buckets of shingles' counts and of entries; rounds of centres in large groups.
+CLASS, SHINGLE_BUCKETS, STARS = 1.1, 1 << 22, 8
 _SALT = np.uint64(0x5851F42D4C957F2D)
 _STEP = [np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) for j in range(64)]
 
@@ -453,6 +466,101 @@ def _across(placed: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return _by_group(rows.join(sets, "id").select(*rows.columns, "shingles"), compare, "x long, r long").distinct()
 
 
+@functools.cache
+def class_sizes() -> np.ndarray:
+    """The least size of each class of sets."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, math.ceil(out[-1] * CLASS)))
+    return np.array(out)
+
+
+def fronts(sets: list[np.ndarray], level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position of the set, entry): the rarest shingles of each set, by classes of its partners' sizes.
+
+    level: how frequent the shingles of each bucket are. A set stands in its own class, for partners of its class or above,
+    and in those below in which a partner can lie; there its front has n + 1 less the shingles that it must share with the
+    smallest partner there. The last six bits of an entry are a band of size, as those of other entries.
+    """
+    low, rows, keys = class_sizes(), [], []
+    for i, h in enumerate(sets):
+        n = len(h)
+        if not n:
+            continue
+        rare = h[np.lexsort((h, level[(h & np.uint64(SHINGLE_BUCKETS - 1)).astype(np.int64)]))]
+        least = -(-n * percent // 100)
+        for c in range(int(np.searchsorted(low, least, "right")) - 1, int(np.searchsorted(low, n, "right"))):
+            partner = max(int(low[c]), least)
+            shared = -(-percent * (n + partner) // (100 + percent))
+            front = rare[: n - shared + 1]
+            rows.append(np.full(len(front), i))
+            band = np.uint64(int(low[c]).bit_length() - 1)
+            keys.append((mix(front + np.uint64(c * int(_STEP[0]) % (1 << 64))) & ~np.uint64(63)) | band)
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _involved(left: DataFrame, reach: DataFrame) -> DataFrame:
+    """id, outside, of the sets of entries (sig, id) that hold several components; outside: not in the largest one of some entry."""
+    d = left.select("sig", "id").join(reach.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = d.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"))
+    sizes = materialise(sizes.filter("parts > 1").select("sig", "largest"), "mixed")
+    d = d.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "sig")
+    return d.groupBy("id").agg(F.bool_or(F.col("component") != F.col("largest")).alias("outside"))
+
+
+def _front_entries(docs: DataFrame, involved: DataFrame, words: int, percent: int) -> DataFrame:
+    """(sig, salt, id) entries of the fronts of involved sets that are outside, and of those of the others that meet one of these."""
+    spark = docs.sparkSession
+    some = docs.join(F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved, "id").select("id", "text", "outside")
+
+    def counted(batches):
+        forget_caches()
+        seen = Buckets(SHINGLE_BUCKETS, (1 << 31) - 1)
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch):
+                seen.add(np.concatenate(shingle_sets(data, offsets, words)))
+        yield from bucket_rows(seen)
+
+    def entries(level, keys):
+        def run(batches):
+            forget_caches()
+            for batch in batches:
+                ids = batch.column("id").to_numpy(zero_copy_only=False)
+                for i, j, data, offsets in text_chunks(batch):
+                    row, sig = fronts(shingle_sets(data, offsets, words), level.value, percent)
+                    if keys is not None:
+                        meets = has(keys.value, mix(sig), SHINGLE_BUCKETS)
+                        row, sig = row[meets], sig[meets]
+                    yield _rows([_long(sig), pa.array(np.zeros(len(sig), np.int32)), pa.array(ids[i:j][row].astype(np.int64))], ["sig", "salt", "id"])
+
+        return run
+
+    def keyed(batches):
+        seen = Buckets(SHINGLE_BUCKETS, 1)
+        for batch in batches:
+            seen.add(mix(batch.column("sig").to_numpy().view(np.uint64)))
+        yield from bucket_rows(seen)
+
+    schema, segments = "sig long, salt int, id long", "segment int, counts binary"
+    level = spark.sparkContext.broadcast(levels(some.select("text").mapInArrow(counted, segments), SHINGLE_BUCKETS))
+    outside = materialise(some.filter("outside").mapInArrow(entries(level, None), schema), "fronts")
+    keys = spark.sparkContext.broadcast(bitmap(outside.select("sig").mapInArrow(keyed, segments), 1, SHINGLE_BUCKETS))
+    return outside.unionByName(some.filter("NOT outside").mapInArrow(entries(level, keys), schema))
+
+
+def _centres(groups: DataFrame, reach: DataFrame, round_: int) -> DataFrame:
+    """(x, r): sets of groups (sig, id) that hold several components with one of those outside the largest one, another each round."""
+    d = groups.join(reach.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = d.groupBy("sig", "component").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(round_))).alias("one"))
+    largest = parts.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    second = parts.join(largest, "sig").filter(F.struct("n", "component") < F.col("m")).groupBy("sig").agg(F.max(F.struct("n", "component", "one")).alias("c"))
+    centre = materialise(second.select("sig", F.col("c.one").alias("centre"), F.col("c.component").alias("own")), "centres")
+    both = d.join(F.broadcast(centre) if centre.count() <= BROADCAST_ROWS else centre, "sig").filter("component <> own")
+    return both.select(F.greatest("id", "centre").alias("x"), F.least("id", "centre").alias("r")).distinct()
+
+
 def _only(docs: DataFrame, ids: DataFrame, n: int, how: str = "left_semi") -> DataFrame:
     """docs whose id is (or is not) in ids, of which there are n: by broadcast if they are few."""
     return docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "id", how)
@@ -536,7 +644,24 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     reach = materialise(components(links, "x", "r"), "components")
     of = lambda c, n: reach.select(F.col("node").alias(c), F.col("component").alias(n))
     apart = star_pairs.join(of("x", "cx"), "x", "left").join(of("r", "cr"), "r", "left").filter(F.coalesce("cx", "x") != F.coalesce("cr", "r"))
-    mixed = None if apart.isEmpty() else left
+    def joined(more: DataFrame) -> bool:  # the components so far stand for their links
+        nonlocal reach
+        if new := not more.isEmpty():
+            reach = materialise(components(of("x", "r").unionByName(more), "x", "r"), "components")
+        return new
+
+    mixed = None
+    if not apart.isEmpty():
+        fronted = materialise(_front_entries(firsts, materialise(_involved(left, reach), "involved"), words, percent), "front_entries")
+        again = materialise(_grouped(fronted, FEW), "grouped")
+        pairs = again.filter("kind = 0").select(F.col("a").alias("x"), F.col("b").alias("r")).distinct()
+        pairs = pairs.join(of("x", "cx"), "x", "left").join(of("r", "cr"), "r", "left").filter(F.coalesce("cx", "x") != F.coalesce("cr", "r")).select("x", "r")
+        joined(materialise(_verified(pairs, docs, sketched, words, percent), "near"))
+        mixed = again.filter("kind = 1").select(F.col("b").alias("sig"), F.col("a").alias("id"))
+        for k in range(STARS):
+            if not joined(materialise(_verified(_centres(mixed, reach, k), docs, sketched, words, percent), "near")):
+                break
+    groups = mixed
     for last in (False, True):
         if mixed is None:
             break
@@ -547,10 +672,9 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
         else:
             forest = materialise(_forest(placed, percent), "forest")
             more = materialise(_verified(forest.select("x", "r").distinct().join(star_pairs, ["x", "r"], "left_anti"), docs, sketched, words, percent), "near")
-            sigs = forest.select("sig").distinct()  # in other entries, nothing is open
-            mixed = None if forest.isEmpty() else left.join(sigs, "sig", "left_semi")
-        if not more.isEmpty():  # the components so far stand for their links
-            reach = materialise(components(of("x", "r").unionByName(more), "x", "r"), "components")
+            sigs = forest.select("sig").distinct()  # in other groups, nothing is open
+            mixed = None if forest.isEmpty() else groups.join(sigs, "sig", "left_semi")
+        joined(more)
     discard(found, left, star_pairs, links)
     out = member.join(of("class_id", "component"), "class_id", "left")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))

@@ -129,8 +129,8 @@ class Buckets:
                 yield s, b"\1" + self.counts[s * SEGMENT : (s + 1) * SEGMENT].tobytes()
 
 
-def _sums(least: int):
-    """Adds up segments of tasks and keeps one bit a bucket: whether it holds `least` occurrences."""
+def _sums(least: int, what=lambda counts, least: np.packbits(counts >= least)):
+    """Adds up segments of tasks and keeps `what` of the sums: by default one bit a bucket, whether it holds `least` occurrences."""
     kind = np.dtype(np.uint8 if least < 256 else np.int32)
 
     def run(batches):
@@ -138,7 +138,7 @@ def _sums(least: int):
         for batch in batches:
             for s, raw in zip(batch.column("segment").to_pylist(), batch.column("counts")):
                 raw = raw.as_buffer()
-                body, now = memoryview(raw)[1:], total.setdefault(s, np.zeros(SEGMENT, np.int32))
+                body, now = memoryview(raw)[1:], total.setdefault(s, np.zeros(SEGMENT, np.int64))
                 if memoryview(raw)[0]:
                     c = np.frombuffer(body, kind)
                     now[: len(c)] += c
@@ -146,7 +146,7 @@ def _sums(least: int):
                     n = len(body) // (2 + kind.itemsize)
                     now[np.frombuffer(body, "<u2", n)] += np.frombuffer(body, kind, offset=2 * n)
                 np.minimum(now, least, out=now)
-        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([np.packbits(c >= least).tobytes() for c in total.values()], pa.binary())], ["segment", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([what(c, least).tobytes() for c in total.values()], pa.binary())], ["segment", "counts"])
 
     return run
 
@@ -159,7 +159,16 @@ def bitmap(segments: DataFrame, least: int, buckets: int = BUCKETS) -> np.ndarra
     return out.reshape(-1)
 
 
-def _has(bits: np.ndarray, hashes: np.ndarray, buckets: int) -> np.ndarray:
+def levels(segments: DataFrame, buckets: int = BUCKETS, most: int = (1 << 31) - 1) -> np.ndarray:
+    """For each bucket the binary logarithm of its count, rounded up, plus one (0: not in use), of rows of segment and counts."""
+    log = lambda counts, _: np.where(counts > 0, np.ceil(np.log2(np.maximum(counts, 1))) + 1, 0).astype(np.uint8)
+    out = np.zeros((max(buckets // SEGMENT, 1), SEGMENT), np.uint8)
+    for r in segments.filter("segment IS NOT NULL").select("segment", "counts").repartition("segment").mapInArrow(_sums(most, log), "segment int, counts binary").collect():  # a byte a bucket
+        out[r["segment"]] = np.frombuffer(r["counts"], np.uint8)
+    return out.reshape(-1)
+
+
+def has(bits: np.ndarray, hashes: np.ndarray, buckets: int) -> np.ndarray:
     at = (hashes & np.uint64(buckets - 1)).astype(np.int64)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
@@ -173,6 +182,13 @@ def _seeds(langs: pa.Array) -> np.ndarray:
 _SCHEMA = "lang string, phrase string, n long, segment int, counts binary"
 
 
+def bucket_rows(counted: Buckets) -> Iterator[pa.RecordBatch]:
+    """Rows of segment and counts, of one task's buckets."""
+    found = [*counted.segments()]
+    for i in range(0, len(found), 64):
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found[i : i + 64]], pa.int32()), pa.array([c for _, c in found[i : i + 64]], pa.binary())], ["segment", "counts"])
+
+
 class Found:
     """Phrases of several parts, put together by hash before they are handed on; PENDING of them at most."""
 
@@ -220,8 +236,8 @@ def counting_pass(texts: DataFrame, size: int, least: int, *, last: bool, freque
                 w = Words(data, offsets, seeds[i : i + len(offsets) - 1])
                 grams, alive = w.grams(size if last else size + 1), w.whole(size)
                 if frequent is not None:
-                    inner = _has(frequent.value, grams[size - 2], buckets)
-                    alive &= inner[: len(alive)] & inner[1 : len(alive) + 1] & _has(ahead.value, grams[size - 1], buckets)
+                    inner = has(frequent.value, grams[size - 2], buckets)
+                    alive &= inner[: len(alive)] & inner[1 : len(alive) + 1] & has(ahead.value, grams[size - 1], buckets)
                 at = np.flatnonzero(alive)
                 h, one, n = np.unique(grams[size - 1][at], return_index=True, return_counts=True)
                 at = at[one]
