@@ -472,7 +472,48 @@ def test_hidden_seeds_are_recovered(spark):
     assert len(want) > 60 and right >= 0.8 * len(want) and right >= 0.8 * len(got)
     by_kind = {k: [got.get(x) == k for x, y in want.items() if y == k] for k in pii.ALL_KINDS}
     assert all(sum(x) >= 0.6 * len(x) for x in by_kind.values() if len(x) >= 5), {k: (sum(x), len(x)) for k, x in by_kind.items()}
-    assert pii.discovered(m).count() > 0  # with all seeds told: numbers like those that pass the test of cards, but for an error
+    added = pii.discovered(m).withColumnRenamed("kind", "found").join(m, ["_key", "start", "end"]).select("found", "what").collect()
+    assert not any(r.found == "card" and len(re.sub("[^0-9]", "", r.what)) in range(13, 20) for r in added)  # no number without its check digit
+
+
+def test_contexts_find_other_formats(spark):
+    """Contexts planted in prose: seeds in the plain formats teach them, other formats in the same contexts are found, numbers elsewhere are not."""
+    rng = random.Random(21)
+    prose = "the river and hill of green stones under old trees where small birds sing near quiet houses every long summer day".split()
+    some = lambda a, b: " ".join(rng.choice(prose) for _ in range(rng.randint(a, b)))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(good=True):
+        body = "4" + digits(14)
+        check = next(c for c in "0123456789" if sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(int(x) for x in reversed(body + c))) % 10 == 0)
+        return body + (check if good else str((int(check) + 3) % 10))
+
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    contexts = {"email": ("write to", "mailbox:"), "phone": ("call us on", "phone:"), "card": ("charged to card", "card no:"), "ip": ("login from host", "address =")}
+    plain = {"email": lambda: f"{name()}@{name()}.com", "phone": lambda: f"+1 {digits(3)} {digits(3)}-{digits(4)}", "card": card, "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4))}
+    other = {"email": lambda: f"{name()} at {name()} dot com", "phone": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", "card": lambda: (lambda c: f"{c[:5]}/{c[5:10]}/{c[10:]}")(card()), "ip": lambda: f"{digits(2)}-{digits(2)}-{digits(2)}-{digits(2)}"}
+    rows, want, bad = [], set(), []
+    for i in range(1600):
+        kind = rng.choice([*contexts])
+        said = rng.choice(contexts[kind])
+        held = i % 10 == 0
+        entity = (other if held else plain)[kind]()
+        wrong = kind == "card" and i % 20 == 1
+        if wrong:
+            entity, held = card(good=False), False
+        head = f"{some(3, 9)} {said} "
+        rows.append((i, f"{head}{entity} {some(2, 9)} room {rng.randrange(900)} {some(1, 5)} since {rng.randrange(1900, 2020)}"))
+        if held:
+            want.add((i, kind, len(head), len(head) + len(entity)))
+        if wrong:
+            bad.append(i)
+    got = {(r.doc.doc_id, x.kind, x.start, x.end) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect() for x in r.added}
+    right = len(got & want)
+    assert len(want) > 100 and len(bad) > 10 and right >= 0.9 * len(want) and right >= 0.9 * len(got), (right, len(want), len(got), sorted(got - want)[:5], sorted(want - got)[:5])
+    assert not any(k == "card" and i in bad for i, k, *_ in got)
+    for kind in contexts:
+        mine = {x for x in want if x[1] == kind}
+        assert len(got & mine) >= 0.9 * len(mine), kind
 
 
 def test_rounds_go_on_while_they_find(spark):

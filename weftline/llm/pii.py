@@ -2,15 +2,21 @@
 
 Patterns of four kinds (email, ip, card, phone) give the seed entities, and assignments of long quoted values to names
 such as token or password give seeds of a fifth, secret. Words that look like identifiers (they hold a digit or an @;
-numeric words that follow one another are one) are mentions. Each mention induces lexical patterns: the one and the two
-words before it, the word after it, both sides together, its shape (character classes with the lengths of digit runs), its
-form (the same without lengths), its kind of characters with its length, the same with its first character, and its shape with the word on either side.
+numeric words that follow one another are one, and so are words joined by a written "at" and "dot") are mentions. Each
+mention induces lexical patterns. Contexts are the words before it (the last, the last two, each of the last three),
+the label that it is assigned to (text before a colon or an equals sign), the word after it, both sides together, and its
+shape with the word on either side; words stand in lower case, without marks, their digits as one class. Forms are its own:
+its shape (character classes with the lengths of digit runs), the same without lengths, its kind of characters with its
+length, and the same with its first character.
 
 Patterns and mentions form a graph, which Spark scores in rounds: a pattern's confidence for a kind is the smoothed
 share of its mentions that are known to be of that kind, and a pattern counts only with enough distinct seed entities
 and high confidence; a mention's belief is one minus the product of its patterns' doubts, and a mention that is believed
-is known in the next round. Rounds end when none finds a new mention. All of it is DataFrame functions; what is grouped
-by pattern is aggregated partially first, so a frequent word or shape is no hot key.
+is known in the next round. Forms support a mention but do not carry it alone: without a context that is confident of the
+kind, only what passes that kind's own test is believed, however alike it looks. What a kind's own test rejects (a number of a card's length without its check
+digit, an address with a part over 255, too many or too few digits after a plus sign) counts against that kind's patterns
+and is never found as that kind. Rounds end when none finds a new mention. All of it is DataFrame functions; what is
+grouped by pattern is aggregated partially first, so a frequent word or shape is no hot key.
 
 Offsets are code points, ends exclusive. A null or empty text has no spans; rows that repeat an id, or have none, stay.
 Where texts of one id are equal, they get the same spans. Of kinds with equal beliefs the later name is taken. A text of
@@ -37,8 +43,10 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"(?=(?:[0-9][\x20-]?){12}[0-9])[0-9][0-9\x20-]*"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _SECRET = r"(?i)(?<=(?:token|secret|password|passwd|api_key|apikey|access_key)[\"']?\x20{0,2}[=:]\x20{0,2}[\"'])[^\s\"']{16,}+"
-_NUMERIC = r"[0-9().+-]*+"
-_MENTION = rf"(?<!\S)(?:[+(]?+[0-9]{_NUMERIC}(?:\x20(?=[(+]?[0-9]){_NUMERIC}(?!\S))++(?!\S)|[^\s0-9@]*+[0-9@]\S*+)"
+_NUMERIC = r"[0-9()./+-]*+"
+# A written address: name at place dot com.
+_WRITTEN = r"[^\s@]++\s++(?:at|\(at\)|\[at\])\s++[^\s@]++(?:\s++(?:dot|\(dot\)|\[dot\])\s++[\p{L}0-9-]++)++"
+_MENTION = rf"(?<!\S)(?:{_WRITTEN}|[+(]?+[0-9]{_NUMERIC}(?:\x20(?=[(+]?[0-9]){_NUMERIC}(?!\S))++(?!\S)|[^\s0-9@]*+[0-9@]\S*+)"
 
 _SPANS = "array<struct<start:int,end:int,what:string>>"
 
@@ -102,13 +110,16 @@ def seeds(docs: DataFrame, text: str = "text") -> DataFrame:
     d = _matches(d, "phone", _PHONE, F.col("t").contains("+"))
     d = _matches(d, "secret", _SECRET, F.col("t").rlike("(?i)token|secret|passw|api_?key|access_key"))
     # A mention's context: the pieces of text before and after it.
-    d = d.withColumn("_m", F.when(digit | F.col("t").contains("@"), F.regexp_extract_all("t", F.lit(_MENTION), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    written = F.col("t").rlike(r"\s[(\[]?at[)\]]?\s") & F.col("t").rlike(r"\s[(\[]?dot[)\]]?\s")
+    d = d.withColumn("_m", F.when(digit | F.col("t").contains("@") | written, F.regexp_extract_all("t", F.lit(_MENTION), F.lit(0))).otherwise(F.array().cast("array<string>")))
     d = d.withColumn("_g", F.when(F.size("_m") > 0, F.split("t", _MENTION, -1)))
     d = d.withColumn("_p", _placed(F.col("_m"), F.col("_g")))
     around = F.transform("_g", lambda g: F.struct(F.reverse(g).alias("back"), g.alias("on")))
     d = d.withColumn("_a", around)
-    back = lambda i, n: F.lower(F.reverse(F.regexp_extract(F.get("_a", i)["back"], r"^\s+(\S+)(?:\s+(\S+))?", n)))
-    made = lambda p, i: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["what"].alias("what"), back(i, 1).alias("one"), back(i, 2).alias("two"), F.lower(F.regexp_extract(F.get("_a", i + 1)["on"], r"^\s+(\S+)", 1)).alias("after"))
+    plain = lambda w: F.regexp_replace(F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""), "[0-9]+", "9")
+    back = lambda i, n: plain(F.reverse(F.regexp_extract(F.get("_a", i)["back"], r"^\s+(\S+)(?:\s+(\S+))?(?:\s+(\S+))?", n)))
+    label = lambda i: F.lower(F.trim(F.reverse(F.regexp_extract(F.get("_a", i)["back"], r"^[\"'(\x20]*+[:=]\x20*+([\p{L}_-]{1,30})", 1))))
+    made = lambda p, i: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["what"].alias("what"), back(i, 1).alias("one"), back(i, 2).alias("two"), back(i, 3).alias("three"), label(i).alias("label"), plain(F.regexp_extract(F.get("_a", i + 1)["on"], r"^\s+(\S+)", 1)).alias("after"))
     d = d.withColumn("mention", F.transform("_p", made))
     part = lambda x: F.forall(F.split(x["what"], r"\."), lambda y: F.coalesce(y.try_cast("decimal(38,0)") <= 255, F.lit(False)))
     return d.withColumns({
@@ -118,24 +129,37 @@ def seeds(docs: DataFrame, text: str = "text") -> DataFrame:
     }).drop("t", "_m", "_g", "_p", "_a")
 
 
-def _patterns(core: Column, one: Column, two: Column, after: Column) -> Column:
-    """The lexical patterns that a mention induces; core: the mention without what surrounds it."""
+def _patterns(core: Column, m: Column) -> Column:
+    """The lexical patterns that a mention induces, contexts marked by a @; core: the mention without what surrounds it, m: its struct."""
     shape = core
     for these, by in (("[0-9]", "9"), (r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"\p{L}+", "a")):
         shape = F.regexp_replace(shape, these, by)
     of = F.when(core.rlike("^[0-9]+$"), "number").when(core.rlike("(?i)^[0-9a-f]+$"), "hex").when(core.rlike(r"^[\p{L}\p{N}_-]+$"), "name").otherwise("mixed")
     classed = F.concat_ws(" ", of, F.length(core))
-    left, right = F.col("one") != "", F.col("after") != ""
+    one, two, three, after, label = (m[c] for c in ("one", "two", "three", "after", "label"))
+    said = lambda name, *parts: F.concat(F.lit(f"{name} "), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    left, right = one != "", after != ""
     every = [
-        F.when(left, F.concat(F.lit("left "), one)), F.when(two != "", F.concat(F.lit("left2 "), two, F.lit(" "), one)), F.when(right, F.concat(F.lit("right "), after)),
-        F.when(left & right, F.concat(F.lit("both "), one, F.lit(" _ "), after)), F.concat(F.lit("shape "), shape), F.concat(F.lit("form "), F.regexp_replace(shape, "9+", "9")), F.concat(F.lit("class "), classed), F.concat(F.lit("first "), F.left(core, F.lit(1)), F.lit(" "), classed),
-        F.when(left, F.concat(F.lit("left+shape "), one, F.lit(" "), shape)), F.when(right, F.concat(F.lit("shape+right "), shape, F.lit(" "), after)),
+        F.when(left, said("@left", one)), F.when(two != "", said("@left2", two, " ", one)), F.when(right, said("@right", after)), F.when(left & right, said("@both", one, " _ ", after)), F.when(label != "", said("@label", label)),
+        *[F.when(w != "", said("@near", w)) for w in (one, two, three)], F.when(left, said("@left+shape", one, " ", shape)), F.when(right, said("@shape+right", shape, " ", after)),
+        said("shape", shape), said("form", F.regexp_replace(shape, "9+", "9")), said("class", classed), said("first", F.left(core, F.lit(1)), " ", classed),
     ]
-    return F.array_compact(F.array(*every))
+    return F.array_distinct(F.array_compact(F.array(*every)))
+
+
+def _tested(core: Column) -> tuple[Column, Column]:
+    """The kind whose pattern a mention has and whose test it passes, and the one whose test it fails."""
+    n = F.length(_digits(core))
+    part = F.forall(F.split(core, r"\."), lambda y: F.coalesce(y.try_cast("decimal(38,0)") <= 255, F.lit(False)))
+    is_card = core.rlike(r"^[0-9](?:[\x20-]?[0-9])+$") & n.between(13, 19)
+    is_ip, is_phone = core.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), core.rlike(r"^\+[0-9][\x20().0-9-]+[0-9]$")
+    is_email = core.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$")
+    passes = F.when(is_card & _luhn(_digits(core)), "card").when(is_ip & part, "ip").when(is_phone & n.between(9, 15), "phone").when(is_email, "email")
+    return passes, F.when(is_card & ~_luhn(_digits(core)), "card").when(is_ip & ~part, "ip").when(is_phone & ~n.between(9, 15), "phone")
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """_key, start, end (without what surrounds the mention), what, kind (null: not a seed), patterns. found: _key, kinds' spans, mention."""
+    """_key, start, end (without what surrounds the mention), what, kind (null: not a seed), passes and rejected (kinds by whose tests it passes or fails), patterns. found: _key, kinds' spans, mention."""
     known = F.flatten(F.array(*[_tagged(k) for k in ALL_KINDS]))
     m = found.filter(F.size("mention") > 0).select("_key", known.alias("known"), F.explode("mention").alias("m"))
     over = F.filter("known", lambda k: (k["start"] < F.col("m.end")) & (k["end"] > F.col("m.start")))
@@ -143,11 +167,13 @@ def mentions(found: DataFrame) -> DataFrame:
     first = F.get("over", 0)
     # A mention inside an entity that began before it is a part of it, not a mention of its own.
     m = m.filter((F.size("over") == 0) | (first["start"] >= F.col("start")))
-    lead = F.length(F.regexp_extract("what", r"^[^\p{L}\p{N}+]*+", 0))
+    lead = F.length(F.regexp_extract("what", r"^(?:(?!\([0-9]+\))[^\p{L}\p{N}+])*+", 0))
     tail = F.length(F.regexp_extract(F.reverse("what"), r"^[^\p{L}\p{N}]*+", 0))
     core = F.substring(F.col("what"), lead + 1, F.greatest(F.length("what") - lead - tail, F.lit(0)))
-    m = m.select("_key", (F.col("start") + lead).alias("start"), (F.col("end") - tail).alias("end"), core.alias("core"), first["what"].alias("seed"), first["kind"].alias("kind"), "one", "two", "after").filter("start < end")
-    return m.select("_key", "start", "end", F.coalesce("seed", "core").alias("what"), "kind", _patterns(F.col("core"), F.col("one"), F.col("two"), F.col("after")).alias("patterns")).distinct()
+    around = F.struct("one", "two", "three", "after", "label").alias("around")
+    m = m.select("_key", (F.col("start") + lead).alias("start"), (F.col("end") - tail).alias("end"), core.alias("core"), first["what"].alias("seed"), first["kind"].alias("kind"), around).filter("start < end")
+    passes, rejected = _tested(F.col("core"))
+    return m.select("_key", "start", "end", F.coalesce("seed", "core").alias("what"), "kind", passes.alias("passes"), rejected.alias("rejected"), _patterns(F.col("core"), F.col("around")).alias("patterns")).distinct()
 
 
 def discovered(m: DataFrame) -> DataFrame:
@@ -162,9 +188,10 @@ def discovered(m: DataFrame) -> DataFrame:
         scored = counts.withColumn("confidence", F.col("n") / (totals + 1)).filter(F.col("kind").isNotNull() & (F.col("n_seeds") >= LEAST_SEEDS) & (F.col("confidence") >= CONFIDENT))
         scored = materialise(scored.select("pattern", F.col("kind").alias("found"), "confidence"), "patterns")
         few = scored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        open_rows = state.filter("kind IS NULL").select("_key", "start", "end", F.explode("patterns").alias("pattern"))
-        # Independent patterns: one minus the product of their doubts.
-        won = open_rows.join(F.broadcast(scored) if few else scored, "pattern").groupBy("_key", "start", "end", "found").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence") * 0.999)))).alias("p"))
+        open_rows = state.filter("kind IS NULL").select("_key", "start", "end", "passes", "rejected", F.explode("patterns").alias("pattern"))
+        # Independent patterns: one minus the product of their doubts; one of them must be a context, or the kind's own test passed.
+        met = open_rows.join(F.broadcast(scored) if few else scored, "pattern").filter("rejected IS NULL OR rejected <> found")
+        won = met.groupBy("_key", "start", "end", "found").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence") * 0.999)))).alias("p"), F.bool_or(F.col("pattern").startswith("@") | F.coalesce(F.col("passes") == F.col("found"), F.lit(False))).alias("carried")).filter("carried")
         won = materialise(won.groupBy("_key", "start", "end").agg(F.max_by("found", F.struct("p", "found")).alias("found")), "believed")
         discard(scored)
         if won.isEmpty():
