@@ -806,6 +806,63 @@ def test_grades_of_held_out_labels(spark):
     assert all(0 <= r.p_2 <= r.p_1 <= 1 and math.isclose(r.expected_grade, r.p_1 + r.p_2) for r in got)
 
 
+def plain_features(text):
+    """{feature: value} of a text, word by word in Python's whole numbers."""
+    full, low = (1 << 64) - 1, lambda b: b + 32 if 65 <= b <= 90 else b
+
+    def spread(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & full
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & full
+        return h ^ h >> 31
+
+    table = [spread((i + 1) * 0x9E3779B97F4A7C15 & full) | 1 for i in range(256)]
+    base = 0x9E3779B97F4A7C15 | 1
+    word_hash = lambda w: spread((sum(table[low(b)] * pow(base, i, 1 << 64) for i, b in enumerate(w)) + len(w)) & full)
+    data = (text or "").encode()
+    words = [(m.start(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    mask, keys, distinct = (1 << ordinal.BITS) - 1, set(), set()
+    for start, w in words:
+        inner = w
+        for _ in range(ordinal.MARKS):
+            if len(inner) > 1 and ordinal.MARK[inner[-1]]:
+                inner = inner[:-1]
+        h = word_hash(inner)
+        distinct.add(h >> 24)
+        end = start + len(w)
+        before = b"\0\0" + data
+        tail = before[end + 1] | before[end] << 8 | before[end - 1] << 16
+        keys |= {spread(h) & mask, spread((tail + (1 << 40)) & full) & mask, spread((word_hash(inner[: ordinal.PREFIX]) + (1 << 41)) & full) & mask}
+    chars, n = max(len(data), 1), len(words)
+    shares = [sum(65 <= b <= 90 for b in data) / chars, sum(b in b"#*$%&|<>!{}=_~^" for b in data) / chars, len(distinct) / max(n, 1), min(math.log2(n + 1) / 16, 1), data.count(10) * 8 / chars, min(chars / max(n, 1) / 24, 1)]
+    out = {k: 1 / math.sqrt(max(len(keys), 1)) for k in keys}
+    for i, x in enumerate(shares):
+        out[(1 << ordinal.BITS) + ordinal.BINS * i + min(int(math.sqrt(min(max(x, 0), 1)) * ordinal.BINS), ordinal.BINS - 1)] = 0.5
+    return out
+
+
+def test_grades_equal_a_plain_version(spark, sf, docs, texts):
+    """The whole query against features and chances that are computed word by word, with the same weights."""
+    model = ordinal.fit_labels(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: (r.expected_grade, r.p_1, r.p_2, r.kept) for r in queries.QUERIES["op9_ordinal"](spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    weights = model.w.astype(np.float32)
+    for k, t in texts.items():
+        if len(t or "") < 3000:
+            z = sum(float(weights[f]) * v for f, v in plain_features(t).items())
+            p = [1 / (1 + math.exp(-(z - float(x)))) for x in model.theta]
+            assert got[k][:3] == pytest.approx((sum(p), *p), abs=1e-5) and got[k][3] == (got[k][2] >= 0.5)
+
+
+def test_long_texts_are_learnt_from(spark):
+    """A labelled text of millions of characters is in the fit as others are."""
+    d = spark.createDataFrame([(i, ("good " if i % 2 else "bad ") * (400_000 if i < 2 else 30)) for i in range(60)], "doc_id long, text string")
+    y = d.selectExpr("doc_id", "int(doc_id % 2) AS quality", "0 AS toxic")
+    got = {r.doc_id: r.expected_grade for r in ordinal.grade(d, y).collect()}
+    assert min(got[i] for i in got if i % 2) > max(got[i] for i in got if i % 2 == 0)
+
+
 def plain_tails(model, index, value, begin):
     """P(grade >= j) of each row, from the definition."""
     z = [sum(model.w[i] * v for i, v in zip(index[a:b], value[a:b], strict=True)) for a, b in zip(begin, begin[1:], strict=False)]

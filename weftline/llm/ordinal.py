@@ -2,8 +2,9 @@
 
 P(grade >= k) = sigmoid(w . x - theta_k) with one weight vector for all grades and ordered thresholds. Features are
 hashed: a text's distinct words, word beginnings and word ends (scaled by the root of their number), and bins of a few shares of the whole text.
-The model is fitted in numpy on a bounded, documented sample of labelled rows (TRAIN_ROWS, by a hash of their ids, of
-texts up to TRAIN_CHARS characters); every document, of any length, is scored where it lies. The expected grade and the tail probabilities select documents.
+The model is fitted in numpy on a bounded, documented sample of labelled rows (TRAIN_ROWS, those with the smallest hashes of
+their ids); their features are computed in tasks and hashed, so a row's size is bounded whatever the length of its text.
+Every document, of any length, is scored where it lies. The expected grade and the tail probabilities select documents.
 
 A null or empty text has only its bins. Null ids are scored; they are never in the sample. If no labels are there, all
 documents get the middle of the grades. Rows that repeat an id stay; of labels that disagree for one id, the lowest grade
@@ -25,8 +26,8 @@ BITS, BINS = 20, 16
 MARK = np.zeros(256, bool)
 MARK[[*b".,;:!?\"')]*#&$%|"]] = True
 MARKS, PREFIX = 3, 6
-#: The most labelled rows that the model is fitted on, and the longest text (characters) among them.
-TRAIN_ROWS, TRAIN_CHARS = 8000, 200_000
+#: The most labelled rows that the model is fitted on.
+TRAIN_ROWS = 8000
 EPOCHS, RATE, DECAY, BATCH = 60, 3.0, 1e-6, 256
 #: Features that fewer labelled texts have keep no weight.
 MIN_DF = 10
@@ -125,15 +126,25 @@ def fit_labels(docs: DataFrame, labels: DataFrame) -> CumulativeLink:
     pairs = [x for (q, t), g in GRADES.items() for x in (F.lit(q * 2 + t), F.lit(g))]
     graded = labels.select("doc_id", F.try_element_at(F.create_map(*pairs), (F.col("quality") * 2 + F.col("toxic")).cast("int")).alias("grade")).filter("grade IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     sample = hashed_sample(graded, "doc_id", TRAIN_ROWS)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter(F.length("text") <= TRAIN_CHARS)
-    table = texts.select("doc_id", "text", "grade").orderBy("doc_id", "text").limit(2 * TRAIN_ROWS).toArrow().combine_chunks()
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+
+    def run(batches):
+        for batch in batches:
+            for i, j, data, offsets in text_chunks(batch):
+                index, value, begin = features(data, offsets)
+                lists = [pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(x)) for x in (index.astype(np.int32), value)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("grade").slice(i, j - i), *lists], ["doc_id", "grade", "index", "value"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = texts.select("doc_id", "text", F.col("grade").cast("int").alias("grade")).mapInArrow(run, f"doc_id {kind}, grade int, index array<int>, value array<double>")
+    # Of texts that disagree for one id, one is taken by the order of its features.
+    table = rows.groupBy("doc_id", "grade").agg(F.min(F.struct("index", "value")).alias("f")).select("doc_id", "grade", "f.index", "f.value").orderBy("doc_id").toArrow()
     model = CumulativeLink()
     if not table.num_rows:
         return model
-    batch = table.to_batches()[0]
-    parts = [features(data, offsets) for _, _, data, offsets in text_chunks(batch)]
-    size = np.concatenate([np.diff(b) for _, _, b in parts])
-    return model.fit(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([[0], np.cumsum(size)]), np.array(batch.column("grade").to_pylist()))
+    index, value = (table.column(c).combine_chunks() for c in ("index", "value"))
+    size = np.diff(index.offsets.to_numpy())
+    return model.fit(index.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)]), np.array(table.column("grade").to_pylist()))
 
 
 def grade(docs: DataFrame, labels: DataFrame, *, least_tail: float = 0.5) -> DataFrame:
