@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: Bytes of an Arrow batch between Spark and its Python workers while a table is written.
 BATCH_BYTES, _BATCH_BYTES = str(4 << 20), "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Tables that `materialise` has written, by application.
+#: Tables that operators have written, by application; and its JVM and Hadoop settings, which outlive a stopped session.
 _WRITTEN: dict[str, set[str]] = {}
+_STORES: dict[str, tuple] = {}
 #: What this worker process remembers between tasks, by operator: dicts that may be emptied.
 CACHES: list[dict] = []
 #: Rows below which a key list may be broadcast; beyond it, the same join is made by shuffling.
@@ -61,12 +62,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_BATCH_BYTES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    written(spark, path)
     return out
 
 
-def _delete(spark: SparkSession, paths) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+def written(spark: SparkSession, path: str) -> None:
+    """Note a folder that is to be deleted at the end of the driver."""
+    app = spark.sparkContext.applicationId
+    _WRITTEN.setdefault(app, set()).add(path)
+    _STORES[app] = (spark._jvm, spark._jsc.hadoopConfiguration())
+
+
+def _delete(app: str, paths) -> None:
+    jvm, conf = _STORES[app]
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
@@ -75,17 +83,17 @@ def _delete(spark: SparkSession, paths) -> None:
 def discard(*tables: DataFrame) -> None:
     """Delete tables that `materialise` has written; nothing may read them any more."""
     for t in tables:
-        _delete(t.sparkSession, [t._weftline_path])
-        _WRITTEN[t.sparkSession.sparkContext.applicationId].discard(t._weftline_path)
+        app = t.sparkSession.sparkContext.applicationId
+        _delete(app, [t._weftline_path])
+        _WRITTEN[app].discard(t._weftline_path)
 
 
 @atexit.register
 def discard_all() -> None:
-    """Delete what is left of this application's tables, at the end of the driver, while its session is still there."""
-    with contextlib.suppress(Exception):  # the JVM may be gone already
-        spark = SparkSession.getActiveSession() if _WRITTEN else None
-        if spark is not None:
-            _delete(spark, _WRITTEN.pop(spark.sparkContext.applicationId, ()))
+    """Delete what is left of the tables of this driver's applications, also of those whose session has been stopped."""
+    for app in [*_WRITTEN]:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            _delete(app, _WRITTEN.pop(app))
 
 
 def forget_caches() -> None:
@@ -115,11 +123,8 @@ def most_frequent(counts: DataFrame, n: str, rows: int) -> DataFrame:
 
 
 def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About `rows` rows of df (all, if it has no more), chosen by a hash of a key; never more than twice as many."""
-    n = df.select(key).count()
-    if n <= rows:
-        return df
-    return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * rows / n)).limit(2 * rows)
+    """The `rows` rows of df with the smallest hashes of a key (all, if it has no more; ties by the key)."""
+    return df.orderBy(F.xxhash64(key), key).limit(rows)
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

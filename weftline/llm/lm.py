@@ -376,7 +376,7 @@ def train_model(train: DataFrame, classes: Classes, path: str, tokens: int) -> A
     seen = pieces.filter("kind = 1").groupBy("order").agg(F.sum("n").alias("n")).toArrow()  # at most one row for each pair of classes
     pairs[seen.column("order").to_numpy()] = seen.column("n").to_numpy()
     model = Attention(classes.prior, pairs.reshape(classes.n + 1, classes.n))
-    started(hashed_sample(train, "doc_id", SAMPLE_DOCS).filter(F.length("text") <= SAMPLE_CHARS), model, classes, path)
+    started(hashed_sample(train.filter(F.length("text") <= SAMPLE_CHARS), "doc_id", SAMPLE_DOCS), model, classes, path)
     start, begun = classes.n, sc_broadcast(train, (model, model.pack()))
 
     def local(batches):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encode_column, vocabulary_path
-from .common import materialise, shared_dir
+from .common import materialise, shared_dir, written
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
@@ -225,5 +225,6 @@ def read_ids(spark: SparkSession, out: str, digest: bool = False) -> DataFrame:
 def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as blocks, and read back."""
     out = f"{shared_dir(spark).rstrip('/')}/weftline/rans-{uuid.uuid4().hex}"
+    written(spark, out)  # the result reads these files, so they go at the end of the driver
     write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), out)
     return read_ids(spark, out, digest=True)
