@@ -20,7 +20,7 @@ is indexed by the shingles at its front, as many as a partner in that class can
 make two texts similar is therefore not at their fronts, however many documents hold it, and where it is enough they are
 linked already. Only the fronts of sets outside their entry's largest component, and what meets these, make entries, so
 what is moved grows with sets. Small groups give their pairs; in larger ones, sets outside the largest component are
-taken as centres in turn, each joining what it can, as long as that joins components (STARS times at most).
+taken as centres in turn, each joining what it can, as long as that joins a good part of them (STARS times at most).
 
 What is left after that, groups in which many sets of different components share rare shingles, is compared by sketches,
 block against block, each pair of blocks as a group of its own, which gives only as many pairs as join what may belong
@@ -652,14 +652,17 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
 
     mixed = None
     if not apart.isEmpty():
-        fronted = materialise(_front_entries(firsts, materialise(_involved(left, reach), "involved"), words, percent), "front_entries")
+        involved = materialise(_involved(left, reach), "involved")
+        n_outside = involved.filter("outside").count()
+        fronted = materialise(_front_entries(firsts, involved, words, percent), "front_entries")
         again = materialise(_grouped(fronted, FEW), "grouped")
         pairs = again.filter("kind = 0").select(F.col("a").alias("x"), F.col("b").alias("r")).distinct()
         pairs = pairs.join(of("x", "cx"), "x", "left").join(of("r", "cr"), "r", "left").filter(F.coalesce("cx", "x") != F.coalesce("cr", "r")).select("x", "r")
         joined(materialise(_verified(pairs, docs, sketched, words, percent), "near"))
         mixed = again.filter("kind = 1").select(F.col("b").alias("sig"), F.col("a").alias("id"))
         for k in range(STARS):
-            if not joined(materialise(_verified(_centres(mixed, reach, k), docs, sketched, words, percent), "near")):
+            more = materialise(_verified(_centres(mixed, reach, k), docs, sketched, words, percent), "near")
+            if not joined(more) or more.count() < n_outside / 16:
                 break
     groups = mixed
     for last in (False, True):
