@@ -29,3 +29,9 @@ def drift(old: DataFrame, new: DataFrame, key: list[str], ignore: tuple[str, ...
     changed = F.filter(F.array(*[F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), F.lit(c)) for c in columns]), lambda x: x.isNotNull())
     status = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "stale").when(F.size(changed) > 0, "differs")
     return d.withColumn("status", status).filter("status IS NOT NULL").select(*key, "status", F.when(F.col("status") == "differs", F.array_join(changed, ",")).otherwise("").alias("columns"))
+
+
+def case_collisions(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, spellings: values that differ in case alone, by the first of their spellings. A warning, not a duplicate."""
+    d = rows.select(*by, F.col(value).alias("_v")).filter("_v IS NOT NULL").distinct()
+    return d.groupBy(*by, F.lower("_v").alias("_l")).agg(F.min("_v").alias(value), F.count("*").alias("spellings")).filter("spellings > 1").drop("_l")

@@ -113,3 +113,9 @@ def cluster_palette(samples: DataFrame, by: str, key: str, lab: list[str], radiu
         return out
 
     return distinct.groupBy(by).applyInPandas(fold, f"{by} long, key long, cluster long, lead long")
+
+
+def rare_clusters(samples: DataFrame, clusters: DataFrame, by: str, key: str, least: float = 0.001) -> DataFrame:
+    """by, cluster, n, of: clusters (of cluster_palette: by, key, cluster) that hold less than `least` of a group's samples."""
+    n = samples.groupBy(by, F.col(key).alias("key")).agg(F.count("*").alias("_n")).join(clusters, [by, "key"]).groupBy(by, "cluster").agg(F.sum("_n").alias("n"))
+    return n.join(n.groupBy(by).agg(F.sum("n").alias("of")), by).filter(F.col("n") < least * F.col("of")).select(by, "cluster", "n", "of")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compare, folds, grids, logs, projects, readings, records, staging
+from . import compare, documents, folds, grids, logs, projects, readings, records, staging
 
-QUERIES = {**grids.QUERIES, **logs.QUERIES, **records.QUERIES, **folds.QUERIES, **projects.QUERIES, **compare.QUERIES, **readings.QUERIES, **staging.QUERIES}
-ORACLE = {**grids.ORACLE, **logs.ORACLE, **records.ORACLE, **folds.ORACLE, **projects.ORACLE, **compare.ORACLE, **readings.ORACLE, **staging.ORACLE}
+QUERIES = {**grids.QUERIES, **logs.QUERIES, **records.QUERIES, **folds.QUERIES, **projects.QUERIES, **compare.QUERIES, **readings.QUERIES, **staging.QUERIES, **documents.QUERIES}
+ORACLE = {**grids.ORACLE, **logs.ORACLE, **records.ORACLE, **folds.ORACLE, **projects.ORACLE, **compare.ORACLE, **readings.ORACLE, **staging.ORACLE, **documents.ORACLE}

@@ -348,6 +348,24 @@ def lab_sql(source: str, name: str) -> str:
 
 
 _NAMES = ", ".join(f"({i}, '{n}', {r}, {g}, {b})" for i, (n, (r, g, b)) in enumerate(color.COLOR_NAMES.items()))
+
+def greedy_sql(radius: float) -> str:
+    """A chain of tables from src (size, key, n, r, g, b) to j2 (size, i, n, lead) and rk (size, lead, cluster): greedy clusters in order of n, one lead at a time."""
+    return f"""{lab_sql("src", "cl")},
+pt AS (SELECT size, key, n, lab_l, lab_a, lab_b, row_number() OVER (PARTITION BY size ORDER BY n DESC, key) AS i FROM cl),
+ds AS (SELECT a.size, a.i, b.i AS j, sqrt((a.lab_l - b.lab_l) ** 2 + (a.lab_a - b.lab_a) ** 2 + (a.lab_b - b.lab_b) ** 2) AS d FROM pt a JOIN pt b ON a.size = b.size AND b.i < a.i),
+nr AS (SELECT pt.size, pt.i, coalesce(list(j) FILTER (d <= {radius}), []) AS close FROM pt LEFT JOIN ds ON ds.size = pt.size AND ds.i = pt.i GROUP BY 1, 2),
+ld AS (SELECT DISTINCT size, 0::BIGINT AS i, []::BIGINT[] AS leads FROM pt UNION ALL SELECT ld.size, nr.i, CASE WHEN list_has_any(close, leads) THEN leads ELSE list_append(leads, nr.i) END FROM ld JOIN nr ON nr.size = ld.size AND nr.i = ld.i + 1),
+fl AS (SELECT size, arg_max(leads, i) AS leads FROM ld GROUP BY 1),
+lk AS (SELECT ds.size, ds.i, arg_min(j, (d, j)) AS lead FROM ds JOIN fl USING (size) WHERE d <= {radius} AND list_contains(leads, j) GROUP BY 1, 2),
+j1 AS (SELECT pt.size, pt.i, pt.n, CASE WHEN list_contains(leads, pt.i) THEN pt.i ELSE lk.lead END AS lead FROM pt JOIN fl USING (size) LEFT JOIN lk ON lk.size = pt.size AND lk.i = pt.i),
+m0 AS (SELECT size, lead, sum(n) AS m FROM j1 GROUP BY 1, 2), mb AS (SELECT *, m < 0.005 * sum(m) OVER (PARTITION BY size) AS few FROM m0),
+td AS (SELECT a.size, a.lead, b.lead AS near, sqrt((p.lab_l - q.lab_l) ** 2 + (p.lab_a - q.lab_a) ** 2 + (p.lab_b - q.lab_b) ** 2) AS d FROM mb a JOIN mb b ON a.size = b.size AND a.few AND NOT b.few JOIN pt p ON p.size = a.size AND p.i = a.lead JOIN pt q ON q.size = b.size AND q.i = b.lead),
+tw AS (SELECT size, lead, arg_min(near, (d, near)) AS near, min(d) AS d FROM td GROUP BY 1, 2),
+j2 AS (SELECT j1.size, j1.i, j1.n, CASE WHEN tw.d <= {2 * radius} THEN near ELSE j1.lead END AS lead FROM j1 LEFT JOIN tw ON tw.size = j1.size AND tw.lead = j1.lead),
+s2 AS (SELECT size, lead, sum(n) AS m FROM j2 GROUP BY 1, 2), rk AS (SELECT size, lead, row_number() OVER (PARTITION BY size ORDER BY m DESC, lead) - 1 AS cluster FROM s2)"""
+
+
 _KEY_LINE = "CASE o_orderkey % 6 {} END"
 ORACLE = {
     "routed_files": """WITH f AS (SELECT 'in/' || p_partkey || ['.oxs', '.CSV', '.pdf', '.Png', '.jpeg', '.txt', '', '.tar.webp'][p_partkey % 8 + 1] AS path, p_partkey || ['.oxs', '.CSV', '.pdf', '.Png', '.jpeg', '.txt', '', '.tar.webp'][p_partkey % 8 + 1] AS name, ['oxs', 'csv', 'pdf', 'picture', 'picture', NULL, NULL, 'picture'][p_partkey % 8 + 1] AS kind, p_size::BIGINT * 4700001 AS length FROM part),
@@ -430,18 +448,6 @@ CASE WHEN end_delta <> 0 THEN CASE WHEN end_delta > 0 THEN 'add ' ELSE 'leave '
     "look_ahead_sentences": f"""WITH q AS ({_GRIDS["stretch_changes"]}), t AS (SELECT *, concat_ws(', ', joins || ' joins', leaves || ' leaves', CASE WHEN simpler THEN 'plain rows' END) AS p FROM q) SELECT grid_id, stretch, CASE WHEN next_start IS NOT NULL AND p <> '' THEN 'From row ' || next_start || ': ' || p END AS said FROM t""",
     "claimed_entries": f"""WITH {CENTRES}, cl AS (SELECT vec_id % 20 AS by_, label, count(*) AS n, list(vec_id ORDER BY vec_id) FILTER (distance > 0.45) AS far FROM nn GROUP BY 1, 2)
 SELECT by_ AS "by", count(*) FILTER (n > 1) = 0 AS ok, coalesce(string_agg(label::VARCHAR, ',' ORDER BY label) FILTER (n > 1), '') AS shared, array_to_string(list_sort(flatten(list(coalesce(far, [])))), ',') AS far FROM cl GROUP BY 1""",
-    "greedy_clusters": f"""WITH RECURSIVE src AS (SELECT p_size::BIGINT AS size, p_partkey % 97 AS key, count(*) AS n, p_partkey % 97 * 37 % 256 AS r, p_partkey % 97 * 91 % 256 AS g, p_partkey % 97 * 53 % 256 AS b FROM part GROUP BY ALL), {lab_sql("src", "cl")},
-pt AS (SELECT size, key, n, lab_l, lab_a, lab_b, row_number() OVER (PARTITION BY size ORDER BY n DESC, key) AS i FROM cl),
-ds AS (SELECT a.size, a.i, b.i AS j, sqrt((a.lab_l - b.lab_l) ** 2 + (a.lab_a - b.lab_a) ** 2 + (a.lab_b - b.lab_b) ** 2) AS d FROM pt a JOIN pt b ON a.size = b.size AND b.i < a.i),
-nr AS (SELECT pt.size, pt.i, coalesce(list(j) FILTER (d <= 12.0), []) AS close FROM pt LEFT JOIN ds ON ds.size = pt.size AND ds.i = pt.i GROUP BY 1, 2),
-ld AS (SELECT DISTINCT size, 0::BIGINT AS i, []::BIGINT[] AS leads FROM pt UNION ALL SELECT ld.size, nr.i, CASE WHEN list_has_any(close, leads) THEN leads ELSE list_append(leads, nr.i) END FROM ld JOIN nr ON nr.size = ld.size AND nr.i = ld.i + 1),
-fl AS (SELECT size, arg_max(leads, i) AS leads FROM ld GROUP BY 1),
-lk AS (SELECT ds.size, ds.i, arg_min(j, (d, j)) AS lead FROM ds JOIN fl USING (size) WHERE d <= 12.0 AND list_contains(leads, j) GROUP BY 1, 2),
-j1 AS (SELECT pt.size, pt.i, pt.n, CASE WHEN list_contains(leads, pt.i) THEN pt.i ELSE lk.lead END AS lead FROM pt JOIN fl USING (size) LEFT JOIN lk ON lk.size = pt.size AND lk.i = pt.i),
-m0 AS (SELECT size, lead, sum(n) AS m FROM j1 GROUP BY 1, 2), mb AS (SELECT *, m < 0.005 * sum(m) OVER (PARTITION BY size) AS few FROM m0),
-td AS (SELECT a.size, a.lead, b.lead AS near, sqrt((p.lab_l - q.lab_l) ** 2 + (p.lab_a - q.lab_a) ** 2 + (p.lab_b - q.lab_b) ** 2) AS d FROM mb a JOIN mb b ON a.size = b.size AND a.few AND NOT b.few JOIN pt p ON p.size = a.size AND p.i = a.lead JOIN pt q ON q.size = b.size AND q.i = b.lead),
-tw AS (SELECT size, lead, arg_min(near, (d, near)) AS near, min(d) AS d FROM td GROUP BY 1, 2),
-j2 AS (SELECT j1.size, j1.i, j1.n, CASE WHEN tw.d <= 24.0 THEN near ELSE j1.lead END AS lead FROM j1 LEFT JOIN tw ON tw.size = j1.size AND tw.lead = j1.lead),
-s2 AS (SELECT size, lead, sum(n) AS m FROM j2 GROUP BY 1, 2), rk AS (SELECT size, lead, row_number() OVER (PARTITION BY size ORDER BY m DESC, lead) - 1 AS cluster FROM s2)
+    "greedy_clusters": f"""WITH RECURSIVE src AS (SELECT p_size::BIGINT AS size, p_partkey % 97 AS key, count(*) AS n, p_partkey % 97 * 37 % 256 AS r, p_partkey % 97 * 91 % 256 AS g, p_partkey % 97 * 53 % 256 AS b FROM part GROUP BY ALL), {greedy_sql(12.0)}
 SELECT j2.size, p.key, rk.cluster, q.key AS lead FROM j2 JOIN pt p ON p.size = j2.size AND p.i = j2.i JOIN pt q ON q.size = j2.size AND q.i = j2.lead JOIN rk ON rk.size = j2.size AND rk.lead = j2.lead""",
 }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.identity import content_id
-from ..operators.runs import run_strings
+from ..operators.runs import chart_stats, code_stats, run_strings, yarn
 
 _TEXT, _INT = T.StringType(), T.LongType()
 _RUNS = T.ArrayType(T.StructType([T.StructField("code", _TEXT), T.StructField("count", _INT), T.StructField("x0", _INT)]))
@@ -56,6 +56,88 @@ def chart_documents(runs: DataFrame, palette: DataFrame, title: Column) -> DataF
     return d.select("grid_id", "id", F.to_json(doc).alias("json"))
 
 
+def gauge_refusals(meta: DataFrame) -> DataFrame:
+    """grid_id, message of charts whose active gauge is not the one that is asked for (meta: grid_id, gauge_key, active_key)."""
+    message = F.concat(F.lit("the active gauge is "), F.coalesce("active_key", F.lit("none")), F.lit(", not "), F.col("gauge_key"))
+    return meta.filter(~F.col("active_key").eqNullSafe(F.col("gauge_key"))).select("grid_id", message.alias("message"))
+
+
+def full_documents(runs: DataFrame, palette: DataFrame, meta: DataFrame, ground: DataFrame | None = None) -> DataFrame:
+    """grid_id, id, json of whole chart documents: pattern, chart, palette, rows, gauge, technique, stats, and a foundation where one is asked for.
+
+    runs: grid_id, y, run_no, code, n, x0; palette: grid_id, place, code, name, hex; meta: grid_id, slug, title, version,
+    craft, variant, gauge_key, active_key, stitches and rows (an inch), unit, cell, boundary (struct kind, chain, color),
+    first_stitch_in, technique (struct type, start, first_side, rs_direction); ground: grid_id, code. Absent fields are
+    left out. What a document's numbers count follows its cells: stats of stitches are given for stitches alone, a size
+    only where gauge and grid count the same thing. Charts of another gauge than the active one are refused.
+    """
+    kept = meta.join(gauge_refusals(meta).select("grid_id"), "grid_id", "left_anti")
+    told = run_strings(runs).groupBy("grid_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "runs"))), lambda x: x["runs"]).alias("_rows"))
+    no_stitch = F.lit(None).cast("boolean")
+    if ground is not None:
+        palette = palette.join(ground.select("grid_id", "code", F.lit(False).alias("stitch")), ["grid_id", "code"], "left")
+        no_stitch = F.col("stitch")
+    entry = F.struct("place", F.struct("code", "name", "hex", no_stitch.alias("stitch")).alias("e"))
+    colours = palette.groupBy("grid_id").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["e"]).alias("_palette"))
+    gauge = kept.select("grid_id", "stitches", "rows", "cell", "unit")
+    stats = chart_stats(runs, gauge, ground).withColumnRenamed("stitches", "_stitches")
+    codes = code_stats(runs, palette.select("grid_id", "code"), ground)
+    yards = yarn(codes.select("grid_id", "code", "cells"), gauge)
+    as_map = lambda value: F.map_from_entries(F.sort_array(F.collect_list(F.struct("code", value))))
+    counted = codes.join(yards, ["grid_id", "code"], "left").groupBy("grid_id").agg(as_map("cells").alias("_counts"), as_map("singles").alias("_singles"), as_map("yards").alias("_yards"), as_map("skeins").alias("_skeins"))
+    d = kept.join(told, "grid_id").join(colours, "grid_id").join(stats, "grid_id").join(counted, "grid_id")
+    codes_ = F.transform("_palette", lambda p: p["code"])
+    d = d.withColumn("id", content_id(codes=codes_, rows=F.col("_rows"), technique=F.col("technique")))
+    are_stitches = F.coalesce("cell", F.lit("stitch")) == "stitch"
+    numbers = F.struct(
+        "cells", F.when(F.col("width_in").isNotNull(), F.array("width_in", "height_in")).alias("size_in"), F.col("_counts").alias("counts"), F.col("_singles").alias("single_stitch_runs"),
+        F.struct(F.col("changes_mean").alias("mean"), F.col("changes_max").alias("max"), F.col("changes").alias("per_row")).alias("color_changes_per_row"), F.col("_stitches").alias("stitches"),
+        F.when(are_stitches, F.col("_yards")).alias("yards_est"), F.when(are_stitches, F.col("_skeins")).alias("skeins_364yd"),
+    )
+    over = F.struct(F.lit(4).alias("value"), F.lit("in").alias("unit"))
+    doc = F.struct(
+        F.when(F.exists("_palette", lambda p: F.coalesce(~p["stitch"], F.lit(False))), 3).otherwise(2).alias("schema"), F.struct(F.col("slug").alias("id"), "title", "version", "craft").alias("pattern"),
+        F.struct("id", "variant", "gauge_key", "width", "height", F.when(F.col("cell").isNotNull(), F.struct(F.col("cell").alias("kind"))).alias("cell")).alias("chart"), F.col("_palette").alias("palette"), F.col("_rows").alias("rows"),
+        F.struct((F.col("stitches") * 4).alias("stitches"), (F.col("rows") * 4).alias("rows"), over.alias("over"), F.col("gauge_key").alias("stitch"), "unit", "boundary").alias("gauge"), "technique", numbers.alias("stats"),
+        F.when(F.col("first_stitch_in").isNotNull(), F.struct((F.col("width") + F.col("first_stitch_in") - 1).alias("chain"), "first_stitch_in")).alias("foundation"),
+    )
+    return d.select("grid_id", "id", F.to_json(doc).alias("json"))
+
+
+#: The fields of a manifest (unknown ones are ignored; an absent one is null).
+MANIFEST = (
+    "schema int, id string, title string, version string, preview string, charts array<struct<id:string,variant:string,gauge_key:string,`default`:boolean,path:string,preview:string,width:bigint,height:bigint>>, "
+    "pieces array<struct<id:string,title:string,make:int,chart:string,rows:string,rows_id:string,pages:array<int>>>, assembly array<struct<title:string,text:string,pages:array<int>>>"
+)
+
+
+def manifest_texts(patterns: DataFrame) -> DataFrame:
+    """pattern, value: JSON of manifests (columns of MANIFEST but schema, and pattern); schema 2 where there are pieces or assembly, else 1."""
+    pieced = F.coalesce(F.size("pieces") > 0, F.lit(False)) | F.coalesce(F.size("assembly") > 0, F.lit(False))
+    doc = F.struct(F.when(pieced, 2).otherwise(1).alias("schema"), "id", "title", "version", "preview", "charts", *[F.when(pieced, F.col(c)).alias(c) for c in ("pieces", "assembly")])
+    return patterns.select("pattern", F.to_json(doc).alias("value"))
+
+
+def parsed_manifests(texts: DataFrame) -> DataFrame:
+    """texts (value) with manifest: a struct of MANIFEST, null where the text is none. In schema 1 the charts are the pieces, one each, by their order."""
+    m = F.from_json("value", MANIFEST)
+    d = texts.withColumn("_m", m).withColumn("_ok", F.col("_m.id").isNotNull() & F.col("_m.schema").isin(1, 2))
+    kind = "array<struct<id:string,title:string,make:int,chart:string,rows:string,rows_id:string,pages:array<int>>>"
+    own = F.transform("_m.charts", lambda c, i: F.struct(F.concat(F.lit("chart-"), (i + 1).cast("string")).alias("id"), c["variant"].alias("title"), F.lit(1).alias("make"), c["id"].alias("chart"), F.lit(None).cast("string").alias("rows"), F.lit(None).cast("string").alias("rows_id"), F.lit(None).cast("array<int>").alias("pages"))).cast(kind)
+    pieces = F.when(F.col("_m.schema") == 1, own).otherwise(F.col("_m.pieces"))
+    return d.withColumn("manifest", F.when(F.col("_ok"), F.col("_m").withField("pieces", pieces))).drop("_m", "_ok")
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """path, manifest of manifest files."""
+    return parsed_manifests(spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))).drop("value")
+
+
+def manifest_parts(manifests: DataFrame, part: str, by: str) -> DataFrame:
+    """by, place (from 1) and the fields of a manifest's charts, pieces or assembly."""
+    return manifests.filter("manifest IS NOT NULL").select(by, F.posexplode(f"manifest.{part}").alias("_i", "_p")).select(by, (F.col("_i") + 1).alias("place"), "_p.*")
+
+
 def read_csv_grid(spark: SparkSession, path: str) -> DataFrame:
     """grid_id (the file's path), y, x, code of CSV grids, a line of codes for each row."""
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("grid_id"), F.posexplode(F.split(F.regexp_replace("value", r"\s+\z", ""), r"\r?\n")).alias("y", "line"))
@@ -75,13 +157,26 @@ def read_oxs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def oxs_documents(cells: DataFrame, palette: DataFrame) -> DataFrame:
-    """grid_id, value: OXS text. cells: grid_id, y, x, code; palette: code, name, hex. Index 0 is the cloth, colours follow by code."""
-    index = palette.withColumn("palindex", F.row_number().over(Window.orderBy("code")))  # a palette has at most a few hundred codes
-    items = index.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("palindex", "name", F.regexp_replace("hex", "#", "").alias("hex")))), lambda p: F.format_string('<palette_item index="%s" name="%s" color="%s"/>', p["palindex"], p["name"], p["hex"])), "").alias("items"))
-    told = cells.join(index.select("code", "palindex"), "code")
+    """grid_id, value: OXS text. cells: grid_id, y, x, code; palette: code, name, hex, and grid_id if grids have palettes of their own.
+
+    Index 0 is the cloth, colours follow by code. Cells of codes that the palette lacks are left out (`unknown_cells` tells of them).
+    """
+    by = ["grid_id"] if "grid_id" in palette.columns else []
+    index = palette.withColumn("palindex", F.row_number().over(Window.partitionBy(*by).orderBy("code")))  # a palette has at most a few hundred codes
+    hexed = F.struct("palindex", "name", F.regexp_replace("hex", "#", "").alias("hex"))
+    items = index.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(hexed)), lambda p: F.format_string('<palette_item index="%s" name="%s" color="%s"/>', p["palindex"], p["name"], p["hex"])), "").alias("items"))
+    told = cells.join(index.select(*by, "code", "palindex"), [*by, "code"])
     one = F.struct("y", "x", F.format_string('<stitch x="%s" y="%s" palindex="%s"/>', "x", "y", "palindex").alias("s"))
     body = told.groupBy("grid_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda c: c["s"]), "").alias("body"), (F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    return body.crossJoin(F.broadcast(items)).select("grid_id", F.concat(F.format_string('<?xml version="1.0"?><chart><properties chartwidth="%s" chartheight="%s"/><palette><palette_item index="0" name="cloth" color="FFFFFF"/>', "w", "h"), "items", F.lit("</palette><fullstitches>"), "body", F.lit("</fullstitches></chart>")).alias("value"))
+    both = body.join(items, "grid_id") if by else body.crossJoin(F.broadcast(items))
+    return both.select("grid_id", F.concat(F.format_string('<?xml version="1.0"?><chart><properties chartwidth="%s" chartheight="%s"/><palette><palette_item index="0" name="cloth" color="FFFFFF"/>', "w", "h"), "items", F.lit("</palette><fullstitches>"), "body", F.lit("</fullstitches></chart>")).alias("value"))
+
+
+def unknown_cells(cells: DataFrame, palette: DataFrame) -> DataFrame:
+    """grid_id, code, n, y, x: codes of cells that the palette (code, and grid_id if it is of each grid) lacks, and the first place of each."""
+    by = ["grid_id"] if "grid_id" in palette.columns else []
+    lost = cells.join(palette.select(*by, "code"), [*by, "code"], "left_anti")
+    return lost.groupBy("grid_id", "code").agg(F.count("*").alias("n"), F.min(F.struct("y", "x")).alias("f")).select("grid_id", "code", "n", "f.y", "f.x")
 
 
 def unbundled(zips: DataFrame) -> DataFrame:
