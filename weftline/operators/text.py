@@ -102,9 +102,9 @@ SIDES = ("rs", "ws", "lr", "rl")
 def names_colour(body: Column) -> Column:
     """Whether a row's body names a colour: a count beside a word, on either side, or a name in brackets, that is no plain word.
 
-    The body is scanned to numbers, words and commas; brackets and an x between word and count are passed over.
+    The body is scanned to numbers, words and marks; opening brackets and an x between word and count are passed over.
     """
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(body, F.lit(""))), F.lit("[0-9]+|[a-z]+|[,;.]"), F.lit(0))
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(body, F.lit(""))), F.lit("[0-9]+|[a-z]+|[,;.)]"), F.lit(0))
     told = F.filter(tokens, lambda t: t != "x")
     number, word = (lambda t: t.rlike("^[0-9]")), (lambda t: t.rlike("^[a-z]") & ~t.isin(*PLAIN_WORDS))
     pairs = F.zip_with(told, F.slice(told, 2, 1 << 30), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
