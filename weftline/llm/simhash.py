@@ -24,7 +24,7 @@ from .common import materialise
 
 PIECE = 2048
 RADIUS, BLOCKS = 3, 5
-_FIELDS = 0x0001000100010001
+_FIELDS, _HALVES = 0x0001000100010001, 0x0000FFFF0000FFFF
 _COARSE = 512
 #: Characters of text in a range of ids, and the most ranges (their first rows are sent to all tasks).
 BUCKET_CHARS, MOST_BUCKETS = 4_000_000, 100_000
@@ -52,13 +52,18 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     last = F.greatest(F.ceil(F.size(w) / PIECE) - 1, F.lit(0)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice(f"_{name}_hashed", i * PIECE + 1, PIECE), zero, vote))
     df = df.withColumn(f"_{name}_hashed", hashed).withColumn(f"_{name}_votes", pieces)
-    total = F.aggregate(f"_{name}_votes", F.lit(0).cast("long"), lambda a, p: a + p["w"])
-    df = df.withColumn(f"_{name}_total", total)
+    # The pieces of a text together, in counters of 32 bits: a text of 2^31 bytes has less weight than they hold.
+    half = lambda c, k: (F.shiftrightunsigned(c, 16) if k else c).bitwiseAND(F.lit(_HALVES))
+    names = [(j, k) for j in range(16) for k in (0, 1)]
+    none = F.struct(*[F.lit(0).cast("long").alias(f"c{j}_{k}") for j, k in names], F.lit(0).cast("long").alias("w"))
+    joined = F.aggregate(f"_{name}_votes", none, lambda a, p: F.struct(*[(a[f"c{j}_{k}"] + half(p[f"c{j}"], k)).alias(f"c{j}_{k}") for j, k in names], (a["w"] + p["w"]).alias("w")))
+    df = df.withColumn(f"_{name}_total", joined)
+    total = F.col(f"_{name}_total")
     bits = F.lit(0).cast("long")
-    adder = lambda b: lambda a, p: a + F.shiftrightunsigned(p[f"c{b % 16}"], 16 * (b // 16)).bitwiseAND(F.lit(0xFFFF))
     for b in range(64):
-        votes = F.aggregate(f"_{name}_votes", F.lit(0).cast("long"), adder(b))
-        bits = bits.bitwiseOR(F.when(2 * votes > F.col(f"_{name}_total"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+        field = b // 16  # of the long for b % 16; its counters are 0, 1, 2, 3 from the lowest bits
+        votes = F.shiftrightunsigned(total[f"c{b % 16}_{field % 2}"], 32 * (field // 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+        bits = bits.bitwiseOR(F.when(2 * votes > total["w"], F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
     return df.withColumn(name, bits).drop(w, f"_{name}_hashed", f"_{name}_votes", f"_{name}_total")
 
 
@@ -93,8 +98,8 @@ def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = RAD
     return left.join(right, ["table", "key"]).select("query", "match", distance.alias("distance"), "n_rows").filter(F.col("distance") <= radius).distinct()
 
 
-def _range_buckets(docs: DataFrame, tie: Column) -> Column:
-    """A bucket of doc_id: quantiles of all ids, each cut evenly if more buckets are wanted. Null ids come after all others (below 0), by ranges of the tie's bits.
+def _range_buckets(docs: DataFrame, tie: Column) -> tuple[Column, int]:
+    """A bucket of doc_id, and how many there are: quantiles of all ids, each cut evenly if more buckets are wanted. Null ids come after all others (below 0), by ranges of the tie's bits.
 
     There are as many buckets as the texts need at BUCKET_CHARS each, up to MOST_BUCKETS.
     """
@@ -104,14 +109,14 @@ def _range_buckets(docs: DataFrame, tie: Column) -> Column:
     coarse = min(count, _COARSE)
     bounds = docs.agg(F.percentile_approx("doc_id", [i / coarse for i in range(coarse + 1)], 20 * coarse)).first()[0]
     if not bounds:
-        return nulls.cast("long")
+        return nulls.cast("long"), count
     bounds = sorted(set(bounds))
     fine = -(-count // coarse)
     known = F.array(*[F.lit(b).cast("long") for b in bounds])
     at = F.size(F.filter(known, lambda b: b <= F.col("doc_id")))
     low, high = F.coalesce(F.get(known, at - 1), F.col("doc_id")), F.coalesce(F.get(known, at), F.col("doc_id") + 1)
     inside = F.least(F.floor((F.col("doc_id") - low) * fine / (high - low)), F.lit(fine - 1)) if fine > 1 else F.lit(0)
-    return F.when(F.col("doc_id").isNull(), nulls).otherwise(at * fine + inside).cast("long")
+    return F.when(F.col("doc_id").isNull(), nulls).otherwise(at * fine + inside).cast("long"), count
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
@@ -122,7 +127,8 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tie = F.xxhash64("text")
-    placed = docs.withColumn("bucket", _range_buckets(docs, tie))
+    bucket, count = _range_buckets(docs, tie)
+    placed = docs.withColumn("bucket", bucket)
     tops = placed.groupBy("bucket").agg(F.max("doc_id").alias("top"))  # one row for each bucket
     order = Window.orderBy(F.desc("bucket"))
     follow = tops.select("bucket", "top", F.lead("bucket").over(order).alias("next"), F.max("bucket").over(order).alias("first"))
@@ -131,6 +137,7 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     heads = heads.groupBy("from").agg(F.min_by("doc_id", tie).alias("doc_id"), F.min_by("text", tie).alias("text"))
     heads = heads.join(follow, "from").select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("guest"))
     both = with_fingerprint(placed.withColumn("guest", F.lit(False)).unionByName(heads), F.col("text"), "fingerprint")
+    both = both.repartition(max(2 * count, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bucket")  # tasks of the ranges' size
     w = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), tie)
     led = both.select("*", F.lead("text").over(w).alias("next_text"), F.lead("fingerprint").over(w).alias("next_fingerprint"))
     return led.filter("NOT guest").drop("guest", "bucket")
