@@ -119,6 +119,11 @@ def band_plan(band: int, percent: int) -> tuple[int, bool]:
     return min(plans)[1:]
 
 
+def named(sig: np.ndarray, band: int) -> np.ndarray:
+    """Entries of contents: 40 bits of a hash, then six bits for the band. Contents that collide only make more candidates."""
+    return ((sig >> np.uint64(18)) & ~np.uint64(63)) | np.uint64(band)
+
+
 class Index:
     """Makes index entries of sets. hot: sorted contents and their counts."""
 
@@ -146,8 +151,7 @@ class Index:
                 bands.append(b)
         if not outs:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        # The last six bits of an entry are its band.
-        return np.concatenate([r for r, _ in outs]), np.concatenate([(s & ~np.uint64(63)) | np.uint64(b) for (_, s), b in zip(outs, bands, strict=True)])
+        return np.concatenate([r for r, _ in outs]), np.concatenate([named(s, b) for (_, s), b in zip(outs, bands, strict=True)])
 
     def _band(self, sets: list[np.ndarray], need: np.ndarray, band: int, all_segments: bool) -> tuple[np.ndarray, np.ndarray]:
         m, deletions = band_plan(band, self.percent)
@@ -172,7 +176,7 @@ class Index:
         sig = mix(content + name(seg_of))
         if all_segments:
             return row_of, sig
-        known = self.counts((sig & ~np.uint64(63)) | np.uint64(band))
+        known = self.counts(named(sig, band))
         hot = np.minimum(np.ceil(np.log2(known + 1)), 255).astype(np.uint64)
         cost = (hot << np.uint64(56)) | ((np.uint64(255) - np.minimum(size, 255).astype(np.uint64)) << np.uint64(48)) | (sig >> np.uint64(16))
         keep = np.ones(len(sig), bool)
@@ -494,8 +498,7 @@ def fronts(sets: list[np.ndarray], level: np.ndarray, percent: int) -> tuple[np.
             shared = -(-percent * (n + partner) // (100 + percent))
             front = rare[: n - shared + 1]
             rows.append(np.full(len(front), i))
-            band = np.uint64(int(low[c]).bit_length() - 1)
-            keys.append((mix(front + np.uint64(c * int(_STEP[0]) % (1 << 64))) & ~np.uint64(63)) | band)
+            keys.append(named(mix(front + np.uint64(c * int(_STEP[0]) % (1 << 64))), int(low[c]).bit_length() - 1))
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(rows), np.concatenate(keys)
