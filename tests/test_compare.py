@@ -208,3 +208,19 @@ def test_appending_stream_with_late_and_repeated_events(spark, tmp_path):
         run()
     got = rows(append.read_log(spark.createDataFrame([], KIND), log), "project", "seq")
     assert got == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 1)]
+
+
+@pytest.mark.parametrize(("block", "last"), [(1, 5), (7, 5), (512, None), (4, 1)])
+def test_replays_in_blocks(spark, block, last):
+    """Moves that are put together by blocks give what a walk event by event gives."""
+    rng = random.Random(block)
+    log = [(p, i, rng.choice(["advance", "advance", "back", "jump"]), rng.choice([None, 0, 1, 3, 5, 6, -2])) for p in range(4) for i in range(rng.randint(1, 60))]
+    want, at = {}, {}
+    for p, i, action, target in log:
+        x, top = at.get(p, 1), last or 10**12
+        x = min(x + 1, top + 1) if action == "advance" else max(x - 1, 1) if action == "back" else target if target is not None and 1 <= target <= top else x
+        at[p] = x
+        want[p, i] = (min(x, top), x > top)
+    rng.shuffle(log)
+    got = {(r.project, r.seq): (r.row, r.finished) for r in machine.replay_written(spark.createDataFrame(log, "project long, seq long, action string, row long"), last, block).collect()}
+    assert got == want

@@ -1,14 +1,14 @@
 """Folds whose order matters: segments of a pass, replay of logs over written rows, greedy colour clusters.
 
-Segments are array expressions over a pass's runs. The others are a small function for each group (a project's log, a
-table of distinct colours), applied by Spark to groups that are partitioned by key.
+Segments are array expressions over a pass's runs, replays compositions of moves over blocks of a log. Clusters are a small
+function for each group's table of distinct colours, applied by Spark to groups that are partitioned by key.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Thresholds of segments.
@@ -54,25 +54,41 @@ def segments(runs: DataFrame) -> DataFrame:
     return d.select("grid_id", "pass_no", F.explode(F.concat(first, walked, last)).alias("s")).select("grid_id", "pass_no", "s.*")
 
 
-def replay_written(log: DataFrame, last_row: int | None) -> DataFrame:
+def replay_written(log: DataFrame, last_row: int | None, block: int = 512) -> DataFrame:
     """project, seq, row, finished of a log over written rows: whole rows; the last row finishes in place, an open piece never.
 
     log: project, seq, action (advance, back, jump), row (of jumps). A jump to a row that isn't there changes nothing.
+    Every event moves the position by a step and holds it between two bounds, and two such moves are one again. So the
+    events of a block become one move, the moves before a block give the position it begins at, and each block is then
+    walked on its own: no log of a project has to be in one place.
     """
-
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        at, top, out = 1, np.inf if last_row is None else last_row, []  # a finished piece stands one beyond its last row
-        for seq, action, target in pdf.sort_values("seq")[["seq", "action", "row"]].itertuples(index=False):
-            if action == "advance":
-                at = min(at + 1, top + 1)
-            elif action == "back":
-                at = max(at - 1, 1)
-            elif 1 <= target <= top:
-                at = int(target)
-            out.append((key[0], seq, int(min(at, top)), bool(at > top)))
-        return pd.DataFrame(out, columns=["project", "seq", "row", "finished"])
-
-    return log.select("project", "seq", "action", "row").groupBy("project").applyInPandas(fold, "project long, seq long, row long, finished boolean")
+    far = 1 << 60
+    top = far if last_row is None else last_row  # a finished piece stands one beyond its last row
+    move = lambda step, low, high: F.struct(step.alias("step"), low.alias("low"), high.alias("high"))
+    n = lambda x: F.lit(x).cast("long")
+    target = F.col("row").cast("long")
+    there = F.coalesce((target >= 1) & (target <= top), F.lit(False))
+    made = F.when(F.col("action") == "advance", move(n(1), n(-far), n(top + 1))).when(F.col("action") == "back", move(n(-1), n(1), n(far + 1))).when(there, move(n(0), target, target)).otherwise(move(n(0), n(-far), n(far + 1)))
+    held = lambda x, m: F.least(F.greatest(x + m["step"], m["low"]), m["high"])
+    within = lambda x, m: F.least(F.greatest(x, m["low"]), m["high"])
+    both = lambda f, g: move(f["step"] + g["step"], within(f["low"] + g["step"], g), within(f["high"] + g["step"], g))
+    at = F.floor((F.row_number().over(Window.partitionBy("project").orderBy("seq")) - 1) / block)
+    d = log.select("project", "seq", made.alias("m"), at.alias("block"))
+    blocks = d.groupBy("project", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "m"))), lambda e: F.struct(e["seq"].alias("seq"), e["m"].alias("m"))).alias("events"))
+    whole = F.aggregate("events", move(n(0), n(-far), n(far + 1)), lambda a, e: both(a, e["m"]))
+    moves = blocks.select("project", "block", whole.alias("m")).groupBy("project").agg(F.array_sort(F.collect_list(F.struct("block", "m"))).alias("moves"))
+    none = F.array().cast("array<struct<block:bigint,start:bigint>>")
+    begun = F.aggregate("moves", F.struct(n(1).alias("x"), none.alias("out")), lambda a, b: F.struct(held(a["x"], b["m"]).alias("x"), F.array_append(a["out"], F.struct(b["block"].alias("block"), a["x"].alias("start"))).alias("out")))["out"]
+    starts = moves.select("project", F.explode(begun).alias("b")).select("project", "b.*")
+    seq = dict(log.dtypes)["seq"]
+
+    def walk(a, e):
+        x = held(a["x"], e["m"])
+        return F.struct(x.alias("x"), F.array_append(a["out"], F.struct(e["seq"].alias("seq"), x.alias("x"))).alias("out"))
+
+    walked = F.aggregate("events", F.struct(F.col("start").alias("x"), F.array().cast(f"array<struct<seq:{seq},x:bigint>>").alias("out")), walk)["out"]
+    out = blocks.join(starts, ["project", "block"]).select("project", F.explode(walked).alias("e"))
+    return out.select("project", "e.seq", F.least(F.col("e.x"), n(top)).alias("row"), (F.col("e.x") > top).alias("finished"))
 
 
 def greedy_clusters(colours: pd.DataFrame, radius: float = 6.0) -> pd.DataFrame:
