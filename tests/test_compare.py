@@ -224,3 +224,21 @@ def test_replays_in_blocks(spark, block, last):
     rng.shuffle(log)
     got = {(r.project, r.seq): (r.row, r.finished) for r in machine.replay_written(spark.createDataFrame(log, "project long, seq long, action string, row long"), last, block).collect()}
     assert got == want
+
+
+def test_growing_arrays(spark):
+    from weftline.operators import arrays
+
+    built = F.aggregate(F.sequence(F.lit(1), F.col("n")), arrays.growing("int"), lambda a, x: arrays.grown(a, x))
+    got = {r.n: r.x for r in spark.createDataFrame([(1,), (255,), (256,), (257,), (1500,)], "n int").select("n", arrays.whole(built).alias("x")).collect()}
+    assert all(x == [*range(1, n + 1)] for n, x in got.items())
+
+
+def test_segments_of_a_long_row(spark):
+    """Thirty thousand runs in one row: bands of three repetitions and single runs, as many as were laid."""
+    unit = [("A", 5), ("B", 7)] * 3 + [("C", 9)]
+    p = spark.range(30000).selectExpr("1 AS grid_id", "1 AS pass_no", "id AS run_no").withColumns({
+        "code": F.element_at(F.array(*[F.lit(c) for c, _ in unit]), (F.col("run_no") % 7 + 1).cast("int")), "n": F.element_at(F.array(*[F.lit(n) for _, n in unit]), (F.col("run_no") % 7 + 1).cast("int")),
+    })
+    got = {r.kind: r.n for r in machine.segments(p).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert got == {"repeat": 4285, "run": 4285 + 30000 % 7}

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import growing, grown, whole
+
 #: Thresholds of segments.
 BRAID_RUNS, BRAID_MOST, LEAST_REPEATS, FILL_CELLS = 8, 4, 3, 20
 PERIODS = (2, 3, 4)
@@ -20,8 +22,9 @@ def _same_ahead(runs: Column, high: Column, period: int) -> Column:
     """For each run, how many runs from it on equal the run `period` further, before `high`."""
     same = lambda k: (k + period < high) & (F.get(runs, k)["code"] == F.get(runs, k + period)["code"]) & (F.get(runs, k)["n"] == F.get(runs, k + period)["n"])
     back = F.reverse(F.sequence(F.lit(0), F.size(runs) - 1))
-    counted = F.aggregate(back, F.array().cast("array<int>"), lambda a, k: F.array_append(a, F.when(same(k), F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + 1).otherwise(F.lit(0))))
-    return F.reverse(counted)
+    n = lambda a, k: F.when(same(k), a["n"] + 1).otherwise(F.lit(0))
+    counted = F.aggregate(back, F.struct(F.lit(0).alias("n"), growing("int").alias("out")), lambda a, k: F.struct(n(a, k).alias("n"), grown(a["out"], n(a, k)).alias("out")))
+    return F.reverse(whole(counted["out"]))
 
 
 def segments(runs: DataFrame) -> DataFrame:
@@ -38,7 +41,8 @@ def segments(runs: DataFrame) -> DataFrame:
     }
     d = d.withColumns(ends).withColumns({f"same{p}": _same_ahead(F.col("runs"), F.col("high"), p) for p in PERIODS})
     segment = lambda kind, start, end, period, reps: F.struct(kind.alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), period.cast("long").alias("period"), reps.cast("long").alias("repetitions"))
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,period:bigint,repetitions:bigint>>")
+    kind_ = "struct<kind:string,start:bigint,end:bigint,period:bigint,repetitions:bigint>"
+    none = F.array().cast(f"array<{kind_}>")
 
     def step(a, i):
         reps = {p: F.lit(1) + F.floor(F.get(F.col(f"same{p}"), i) / p).cast("int") for p in PERIODS}
@@ -46,9 +50,9 @@ def segments(runs: DataFrame) -> DataFrame:
         best = F.array_max(bands)
         one = segment(F.when(F.get("runs", i)["n"] >= FILL_CELLS, "fill").otherwise("run"), i, i + 1, F.lit(0), F.lit(0))
         here = F.when(best.isNotNull(), segment(F.lit("repeat"), i, i + best["cells"], -best["period"], best["reps"])).otherwise(one)
-        return F.when((i < a["next"]) | (i >= F.col("high")), a).otherwise(F.struct(here["end"].cast("int").alias("next"), F.array_append(a["out"], here).alias("out")))
+        return F.when((i < a["next"]) | (i >= F.col("high")), a).otherwise(F.struct(here["end"].cast("int").alias("next"), grown(a["out"], here).alias("out")))
 
-    walked = F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(F.col("low").alias("next"), none.alias("out")), step)["out"]
+    walked = whole(F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(F.col("low").alias("next"), growing(kind_).alias("out")), step)["out"])
     first = F.when(F.col("low") > 0, F.array(segment(F.lit("braid"), F.lit(0), F.col("low"), F.lit(0), F.lit(0)))).otherwise(none)
     last = F.when(F.col("high") < n, F.array(segment(F.lit("braid"), F.col("high"), n, F.lit(0), F.lit(0)))).otherwise(none)
     return d.select("grid_id", "pass_no", F.explode(F.concat(first, walked, last)).alias("s")).select("grid_id", "pass_no", "s.*")

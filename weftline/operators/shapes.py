@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .arrays import growing, grown, whole
 from .intervals import overlapping
 
 
@@ -180,6 +181,8 @@ def cell_medians(pixels: DataFrame, pitch: int, part: float = 0.4) -> DataFrame:
 
 def thinned(ticks: DataFrame, by: list[str], at: str, least: float, most: int) -> DataFrame:
     """The ticks that are kept: each at least `least` after the last kept one, up to `most` of a group (a fold in one array)."""
-    sorted_ = ticks.groupBy(*by).agg(F.sort_array(F.collect_set(at)).alias("_t"))
-    kept = F.aggregate("_t", F.array().cast("array<double>"), lambda a, x: F.when((F.size(a) == 0) | ((x - F.element_at(a, -1) >= least) & (F.size(a) < most)), F.array_append(a, x.cast("double"))).otherwise(a))
-    return sorted_.select(*by, F.explode(kept).alias(at))
+    sorted_ = ticks.groupBy(*by).agg(F.sort_array(F.collect_set(F.col(at).cast("double"))).alias("_t"))
+    none = F.struct(F.lit(float("-inf")).alias("at"), F.lit(0).alias("n"), growing("double").alias("out"))
+    keeps = lambda a, x: (x - a["at"] >= least) & (a["n"] < most)
+    kept = F.aggregate("_t", none, lambda a, x: F.when(keeps(a, x), F.struct(x.alias("at"), (a["n"] + 1).alias("n"), grown(a["out"], x).alias("out"))).otherwise(a))["out"]
+    return sorted_.select(*by, F.explode(whole(kept)).alias(at))
