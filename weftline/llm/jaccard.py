@@ -550,7 +550,9 @@ def _front_entries(docs: DataFrame, involved: DataFrame, words: int, percent: in
     level = spark.sparkContext.broadcast(levels(some.select("text").mapInArrow(counted, segments), SHINGLE_BUCKETS))
     outside = materialise(some.filter("outside").mapInArrow(entries(level, None), schema), "fronts")
     keys = spark.sparkContext.broadcast(bitmap(outside.select("sig").mapInArrow(keyed, segments), 1, SHINGLE_BUCKETS))
-    return outside.unionByName(some.filter("NOT outside").mapInArrow(entries(level, keys), schema))
+    out = materialise(outside.unionByName(some.filter("NOT outside").mapInArrow(entries(level, keys), schema)), "front_entries")
+    discard(outside)
+    return out
 
 
 def _centres(groups: DataFrame, reach: DataFrame, round_: int) -> DataFrame:
@@ -653,12 +655,14 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
             reach = materialise(components(of("x", "r").unionByName(more), "x", "r"), "components")
         return new
 
-    mixed = None
+    mixed, unread = None, []
     if not apart.isEmpty():
         involved = materialise(_involved(left, reach), "involved")
         n_outside = involved.filter("outside").count()
-        fronted = materialise(_front_entries(firsts, involved, words, percent), "front_entries")
+        fronted = _front_entries(firsts, involved, words, percent)
         again = materialise(_grouped(fronted, FEW), "grouped")
+        discard(fronted, involved)
+        unread.append(again)
         pairs = again.filter("kind = 0").select(F.col("a").alias("x"), F.col("b").alias("r")).distinct()
         pairs = pairs.join(of("x", "cx"), "x", "left").join(of("r", "cr"), "r", "left").filter(F.coalesce("cx", "x") != F.coalesce("cr", "r")).select("x", "r")
         joined(materialise(_verified(pairs, docs, sketched, words, percent), "near"))
@@ -672,7 +676,8 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
         if mixed is None:
             break
         labelled = mixed.join(of("id", "component"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-        placed = _placed(materialise(labelled, "labelled"), sketched)
+        labelled = materialise(labelled, "labelled")
+        placed = _placed(labelled, sketched)
         if last:
             more = materialise(_across(placed, docs, words, percent), "near")
         else:
@@ -680,8 +685,10 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
             more = materialise(_verified(forest.select("x", "r").distinct().join(star_pairs, ["x", "r"], "left_anti"), docs, sketched, words, percent), "near")
             sigs = forest.select("sig").distinct()  # in other groups, nothing is open
             mixed = None if forest.isEmpty() else groups.join(sigs, "sig", "left_semi")
+            unread.append(forest)
         joined(more)
-    discard(found, left, star_pairs, links)
+        discard(labelled)
+    discard(found, left, star_pairs, links, *unread)
     out = member.join(of("class_id", "component"), "class_id", "left")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
