@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import facets, grammar, noise, outline, prose, runs, shapes, text
-from .adapters import CELLS_LINEITEM, PASSES, RUNS, cells_lineitem, table
+from ..operators import facets, grammar, noise, outline, prose, shapes, text
+from .adapters import table
 
 _NAMES = {"AF": "Alice Blue", "NO": "Navy", "RF": "Red", "AO": "Amber", "RO": "Rose"}
 
