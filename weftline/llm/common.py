@@ -50,14 +50,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and lost executors cost nothing that is done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_BATCH_BYTES)
     spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(_BATCH_BYTES, before)
     out = spark.read.schema(df.schema).parquet(path)

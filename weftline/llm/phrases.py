@@ -271,7 +271,7 @@ def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str =
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     tables, totals, ahead, frequent = [], None, None, None
     for size in range(1, longest + 1):
-        part = materialise(counting_pass(texts, size, least, last=size == longest, frequent=frequent, ahead=ahead, buckets=buckets), "phrases")
+        part = materialise(counting_pass(texts, size, least, last=size == longest, frequent=frequent, ahead=ahead, buckets=buckets), "phrases", "zstd")
         found = part.filter("phrase IS NOT NULL")
         if size == 1:
             totals = materialise(found.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
