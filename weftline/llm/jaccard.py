@@ -572,7 +572,10 @@ def _only(docs: DataFrame, ids: DataFrame, n: int, how: str = "left_semi") -> Da
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, r) whose sizes and sketches leave it open that they are similar."""
+    """The pairs (x, r) whose sizes and sketches leave it open that they are similar. Only the sketches of sets in pairs are moved."""
+    pairs = materialise(pairs, "open_pairs")
+    ids = materialise(pairs.select(F.explode(F.array("x", "r")).alias("id")).distinct(), "in_pairs")
+    sets = _only(sets, ids, ids.count())
     side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     both = pairs.join(side("x"), "x").join(side("r"), "r").filter(f"100 * least(nx, nr) >= {percent} * greatest(nx, nr)")
 
