@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GAP_SECONDS = 1200
@@ -33,6 +33,11 @@ def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def within(before: Column, t: Column, gap_seconds: int) -> Column:
+    """Whether t is at most so many seconds after `before`, to the microsecond; timestamp_diff would drop the part of a second."""
+    return t <= before + F.make_dt_interval(secs=F.lit(gap_seconds))
+
+
 def sessions(log: DataFrame, key: str = "project", t: str = "t", gap_seconds: int = GAP_SECONDS) -> DataFrame:
     """key, start, end, n_events, active_seconds: a gap of more than gap_seconds starts a new session."""
     d = log.groupBy(key, F.session_window(F.col(t), f"{gap_seconds} seconds").alias("_w")).agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count("*").alias("n_events"))
@@ -42,7 +47,7 @@ def sessions(log: DataFrame, key: str = "project", t: str = "t", gap_seconds: in
 def session_deltas(log: DataFrame, key: str = "project", t: str = "t", tie: str = "seq", pos: str = "pos", gap_seconds: int = GAP_SECONDS) -> DataFrame:
     """sessions with cells: how far the position (cells done) moved from before a session to its end, not below 0."""
     w = Window.partitionBy(key).orderBy(t, tie)
-    new = F.when(F.timestamp_diff("SECOND", F.lag(t).over(w), F.col(t)) <= gap_seconds, 0).otherwise(1)
+    new = F.when(within(F.lag(t).over(w), F.col(t), gap_seconds), 0).otherwise(1)
     d = log.select(key, t, tie, pos, F.coalesce(F.lag(pos).over(w), F.lit(0)).alias("_from"), new.alias("_new"))
     d = d.withColumn("_s", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     order = F.struct(t, tie)

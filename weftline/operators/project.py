@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .islands import GAP_SECONDS
+from .islands import GAP_SECONDS, within
 
 
 def written_totals(entries: DataFrame, key: list[str]) -> DataFrame:
@@ -57,7 +57,7 @@ def project_sessions(log: DataFrame, manifest: DataFrame, gap_seconds: int = GAP
     d = d.withColumn("_after", done(F.col("row"), F.col("_fin")))
     d = d.withColumn("_before", F.coalesce(F.lag("_after").over(own), F.lit(0)))
     w = Window.partitionBy("project").orderBy("t", "seq")
-    new = F.when(F.timestamp_diff("SECOND", F.lag("t").over(w), F.col("t")) <= gap_seconds, 0).otherwise(1)
+    new = F.when(within(F.lag("t").over(w), F.col("t"), gap_seconds), 0).otherwise(1)
     d = d.withColumn("_new", new).withColumn("_s", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     order = F.struct("t", "seq")
     per = d.groupBy("project", "_s", "piece", "copy").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.greatest(F.lit(0), F.max_by("_after", order) - F.min_by("_before", order)).alias("rows"))
