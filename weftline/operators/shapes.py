@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .arrays import growing, grown, whole
 from .intervals import overlapping
+from .sizes import dealt, unsized
 
 
 def lattice(spark: SparkSession, width: int, height: int) -> DataFrame:
@@ -15,8 +16,8 @@ def lattice(spark: SparkSession, width: int, height: int) -> DataFrame:
 
 
 def drawn(pictures: DataFrame, width: int, height: int) -> DataFrame:
-    """pictures with a row for each place (y, x) of a grid of that size."""
-    y = pictures.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long"))))
+    """pictures with a row for each place (y, x) of a grid of that size; they are dealt by their first column."""
+    y = dealt(pictures, pictures.columns[0]).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long"))))
     return y.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
 
 
@@ -69,7 +70,7 @@ def polyline_cells(cells: DataFrame, points: DataFrame, by: list[str], line: str
     on = lambda c, t: F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * F.col(t)
     span = lambda c: F.sequence(F.floor((F.least(on(c, "_t0"), on(c, "_t1")) - reach) / block), F.floor((F.greatest(on(c, "_t0"), on(c, "_t1")) + reach) / block))
     near = cut.withColumn("_by", F.explode(span("y"))).withColumn("_bx", F.explode(span("x")))
-    d = cells.select(*by, "y", "x", F.floor(F.col("y") / block).alias("_by"), F.floor(F.col("x") / block).alias("_bx")).join(near, [*by, "_by", "_bx"])
+    d = cells.select(*by, "y", "x", F.floor(F.col("y") / block).alias("_by"), F.floor(F.col("x") / block).alias("_bx")).join(unsized(near), [*by, "_by", "_bx"])
     dy, dx = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
     t = F.when(F.col("_l") > 0, ((F.col("y") - F.col("y0")) * dy + (F.col("x") - F.col("x0")) * dx) / (F.col("_l") * F.col("_l"))).otherwise(0.0)
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
@@ -83,9 +84,9 @@ def crossings(near: DataFrame, by: list[str], line: str, gap: float) -> DataFram
 
     near: of `polyline_cells`. A gap of more than `gap` along that line begins a new crossing; at odd ones it lies over.
     """
-    one = near.select(*by, "y", "x", F.col(line).alias("_a"), "arc")
-    two = near.select(*by, "y", "x", F.col(line).alias("_b"))
-    d = one.join(two, [*by, "y", "x"]).filter("_a < _b")
+    # A cell's lines are listed, so that near is made once; the list is no longer than what comes out of the cell.
+    listed = near.groupBy(*by, "y", "x").agg(F.collect_list(F.struct(F.col(line).alias("l"), "arc")).alias("_l")).filter(F.size("_l") > 1)
+    d = listed.select(*by, "y", "x", "_l", F.explode("_l").alias("_1")).select(*by, "y", "x", F.col("_1.l").alias("_a"), "_1.arc", F.explode("_l.l").alias("_b")).filter("_a < _b")
     w = Window.partitionBy(*by, "_a", "_b").orderBy("arc", "y", "x")
     d = d.withColumn("_new", F.when(F.col("arc") - F.lag("arc").over(w) <= gap, 0).otherwise(1)).withColumn("k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
     odd = F.col("k") % 2 == 1
@@ -97,11 +98,12 @@ def woven(strands: DataFrame, windows: DataFrame, by: list[str], line: str) -> D
 
     windows: by, y, x, over (the line that lies over there). The gap beside the upper strand shows which one it is.
     """
-    upper = strands.join(windows.withColumnRenamed("over", line), [*by, line, "y", "x"], "left_semi")
-    halo = dilate(upper, [*by, line]).join(windows.withColumnRenamed("over", line), [*by, line, "y", "x"], "left_semi").join(strands, [*by, line, "y", "x"], "left_anti")
+    strands, windows = unsized(strands), unsized(windows.withColumnRenamed("over", line))
+    upper = strands.join(windows, [*by, line, "y", "x"], "left_semi")
+    halo = dilate(upper, [*by, line]).join(windows, [*by, line, "y", "x"], "left_semi").join(strands, [*by, line, "y", "x"], "left_anti")
     gone = halo.select(*by, F.col(line).alias("_over"), "y", "x")
-    lost = strands.join(gone, [*by, "y", "x"]).filter(F.col(line) != F.col("_over")).select(*by, line, "y", "x").distinct()
-    return strands.join(lost, [*by, line, "y", "x"], "left_anti")
+    lost = strands.join(unsized(gone), [*by, "y", "x"]).filter(F.col(line) != F.col("_over")).select(*by, line, "y", "x").distinct()
+    return strands.join(unsized(lost), [*by, line, "y", "x"], "left_anti")
 
 
 def rect(cells: DataFrame, y0: int, x0: int, y1: int, x1: int, code: str) -> DataFrame:
@@ -119,10 +121,10 @@ def dilate(places: DataFrame, by: list[str]) -> DataFrame:
 def no_stitch_code(cells: DataFrame) -> DataFrame:
     """grid_id, code of grids drawn on a ground: the code of three corners, if every row's other cells are one unbroken run."""
     size = cells.groupBy("grid_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))
-    at = cells.join(size, "grid_id")
+    at = cells.join(unsized(size), "grid_id")
     corner = at.filter(F.col("y").isin(0) | (F.col("y") == F.col("h"))).filter(F.col("x").isin(0) | (F.col("x") == F.col("w")))
     ground = corner.groupBy("grid_id", "code").agg(F.count("*").alias("n")).filter("n >= 3").select("grid_id", F.col("code").alias("ground"))
-    own = at.join(ground, "grid_id").groupBy("grid_id", "ground", "h", "y").agg(F.count_if(F.col("code") != F.col("ground")).alias("n"), F.min(F.when(F.col("code") != F.col("ground"), F.col("x"))).alias("lo"), F.max(F.when(F.col("code") != F.col("ground"), F.col("x"))).alias("hi"))
+    own = at.join(unsized(ground), "grid_id").groupBy("grid_id", "ground", "h", "y").agg(F.count_if(F.col("code") != F.col("ground")).alias("n"), F.min(F.when(F.col("code") != F.col("ground"), F.col("x"))).alias("lo"), F.max(F.when(F.col("code") != F.col("ground"), F.col("x"))).alias("hi"))
     whole = own.groupBy("grid_id", "ground", "h").agg(F.bool_and((F.col("n") > 0) & (F.col("hi") - F.col("lo") + 1 == F.col("n"))).alias("ok"), F.count("*").alias("rows"))
     return whole.filter("ok AND rows = h + 1").select("grid_id", F.col("ground").alias("code"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import facets, grammar, noise, outline, prose, shapes, text
+from ..operators import facets, grammar, noise, outline, prose, shapes, sizes, text
 from .adapters import table
 
 _NAMES = {"AF": "Alice Blue", "NO": "Navy", "RF": "Red", "AO": "Amber", "RO": "Rose"}
@@ -206,7 +206,7 @@ def outlines(s, d):
 
 def _strands(s, d):
     """Two strands through a grid for each part: points, and cells near them."""
-    p = table(s, d, "part").select(F.col("p_partkey").alias("grid_id"), "p_size")
+    p = sizes.dealt(table(s, d, "part").select(F.col("p_partkey").alias("grid_id"), "p_size"), "grid_id")
     k = F.col("grid_id")
     a = F.array(*[F.struct(F.lit(i).alias("i"), y.cast("double").alias("py"), x.cast("double").alias("px")) for i, (y, x) in enumerate(((k % 5, F.lit(0)), (9 - k % 4, F.lit(9)), (k % 3, F.lit(18)), (8 + k % 2, F.lit(27))))])
     b = F.array(*[F.struct(F.lit(i).alias("i"), y.cast("double").alias("py"), x.cast("double").alias("px")) for i, (y, x) in enumerate(((4 + k % 3, F.lit(0)), (4 + k % 2, F.lit(14)), (5 - k % 3, F.lit(27))))])
