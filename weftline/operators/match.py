@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import unsized
+
 
 def majority(left: DataFrame, right: DataFrame, on: list[str], cluster: str, code: str, by: list[str]) -> DataFrame:
     """by, cluster, code, n, share of the code that most often stands where a cluster does (ties: the smaller code)."""
@@ -128,11 +130,11 @@ def orientation(written: DataFrame, grid: DataFrame, limit: float = 0.1) -> Data
     the same. Each cell is compared in the four positions by one join; nothing is collected.
     """
     size = grid.groupBy("grid_id").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
-    d = grid.join(size, "grid_id")
+    d = grid.join(unsized(size), "grid_id")
     up, back = F.col("_h") - 1 - F.col("y"), F.col("_w") - 1 - F.col("x")
     turned = F.array(*[F.struct(F.lit(i).alias("i"), y.alias("y"), x.alias("x")) for i, (y, x) in enumerate(((F.col("y"), F.col("x")), (up, F.col("x")), (F.col("y"), back), (up, back)))])
     four = d.select("grid_id", "_h", F.col("code").alias("_c"), F.explode(turned).alias("t")).select("grid_id", "_h", "_c", "t.*")
-    both = four.join(written.select("grid_id", "y", "x", "code"), ["grid_id", "y", "x"], "left")
+    both = four.join(unsized(written.select("grid_id", "y", "x", "code")), ["grid_id", "y", "x"], "left")
     rows = both.groupBy("grid_id", "_h", "i", "y").agg(F.bool_or(~F.col("_c").eqNullSafe(F.col("code"))).alias("_differs"))
     per = rows.groupBy("grid_id", F.col("_h").alias("height"), "i").agg(F.count_if("_differs").alias("n"))
     one = per.groupBy("grid_id", "height").agg(*[F.max(F.when(F.col("i") == i, F.col("n"))).alias(f"_n{i}") for i in range(4)])
