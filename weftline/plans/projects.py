@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import units
-from ..operators import match, project, runs, sequence, shapes, text
+from ..operators import match, project, runs, sequence, shapes, sizes, text
 from .adapters import CELLS_LINEITEM, INTERVALS, LOG_EVENTS, PASSES, RUNS, SESSIONS, cells_lineitem, intervals_customers, table
 
 
@@ -183,7 +183,7 @@ def page_tiles(s, d):
     g = _pictures(s, d).withColumn("page", F.when(F.col("x") >= 2, 1).otherwise(2))
     first = F.col("page") == 1
     cells = g.filter("NOT (page = 2 AND grid_id % 3 = 0 AND y = 0)").select("grid_id", "page", "y", F.when(first, F.col("x") - 2).otherwise(F.col("x")).alias("x"), "code")
-    pages = table(s, d, "part").select(F.col("p_partkey").alias("grid_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("page"))
+    pages = sizes.dealt(table(s, d, "part").select(F.col("p_partkey").alias("grid_id")), "grid_id").select("grid_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("page"))
     headers = pages.select("grid_id", "page", F.when(first, 1).otherwise(5).alias("a"), F.when(first, 4).otherwise(6).alias("b"), F.lit(6).alias("width"), F.lit(1).alias("c"), F.lit(5).alias("d"), F.lit(5).alias("height"))
     return sequence.tile_problems(headers, cells)
 
