@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import unsized
+
 GAP_SECONDS = 1200
 
 
@@ -83,10 +85,10 @@ def stretches(runs: DataFrame, ratio: float = 3.0, plain_runs: int = 3, palette:
     spans = d.groupBy("grid_id", "stretch").agg(F.min("pass_no").alias("start"), F.max("pass_no").alias("end"), F.count("*").alias("n_rows"), (F.max("runs") <= plain_runs).alias("plain"))
     colours = d.select("grid_id", "stretch", F.explode("_own_runs").alias("r")).groupBy("grid_id", "stretch", F.col("r.code").alias("code")).agg(F.sum("r.n").alias("cells"))
     if palette is not None:
-        colours = colours.join(palette.select("grid_id", "code", "place"), ["grid_id", "code"], "left")
+        colours = colours.join(unsized(palette.select("grid_id", "code", "place")), ["grid_id", "code"], "left")
     place = F.lit(0) if palette is None else F.coalesce(F.col("place").cast("long"), F.lit((1 << 63) - 1))
     listed = colours.groupBy("grid_id", "stretch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("cells")).alias("c"), place.alias("p"), "code"))), lambda x: x["code"]), ",").alias("codes"))
-    return spans.join(listed, ["grid_id", "stretch"])
+    return spans.join(unsized(listed), ["grid_id", "stretch"])
 
 
 def stretch_kinds(found: DataFrame, runs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -98,16 +100,16 @@ def stretch_kinds(found: DataFrame, runs: DataFrame, segments: DataFrame) -> Dat
     upto = Window.partitionBy("grid_id", "pass_no").orderBy("run_no").rowsBetween(Window.unboundedPreceding, 0)
     sums = runs.select("grid_id", "pass_no", "run_no", "n", F.sum("n").over(upto).alias("_to"))
     bands = segments.filter("kind = 'repeat'").select("grid_id", "pass_no", F.col("start").alias("_first"), (F.col("end") - 1).alias("_last"))
-    left = bands.join(sums.select("grid_id", "pass_no", F.col("run_no").alias("_first"), (F.col("_to") - F.col("n")).alias("_from")), ["grid_id", "pass_no", "_first"])
-    band = left.join(sums.select("grid_id", "pass_no", F.col("run_no").alias("_last"), "_to"), ["grid_id", "pass_no", "_last"])
+    left = bands.join(unsized(sums.select("grid_id", "pass_no", F.col("run_no").alias("_first"), (F.col("_to") - F.col("n")).alias("_from"))), ["grid_id", "pass_no", "_first"])
+    band = left.join(unsized(sums.select("grid_id", "pass_no", F.col("run_no").alias("_last"), "_to")), ["grid_id", "pass_no", "_last"])
     widest = band.groupBy("grid_id", "pass_no").agg(F.max(F.col("_to") - F.col("_from")).alias("_band"))
-    rows = runs.groupBy("grid_id", "pass_no").agg(F.sum("n").alias("_n")).join(widest, ["grid_id", "pass_no"], "left").select("grid_id", F.col("pass_no").alias("_at"), F.coalesce(2 * F.col("_band") >= F.col("_n"), F.lit(False)).alias("_repeats"), F.lit(None).cast("bigint").alias("_stretch"))
+    rows = runs.groupBy("grid_id", "pass_no").agg(F.sum("n").alias("_n")).join(unsized(widest), ["grid_id", "pass_no"], "left").select("grid_id", F.col("pass_no").alias("_at"), F.coalesce(2 * F.col("_band") >= F.col("_n"), F.lit(False)).alias("_repeats"), F.lit(None).cast("bigint").alias("_stretch"))
     starts = found.select("grid_id", F.col("start").alias("_at"), F.lit(None).cast("boolean").alias("_repeats"), F.col("stretch").cast("bigint").alias("_stretch"))
     w = Window.partitionBy("grid_id").orderBy("_at", F.col("_stretch").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     each = starts.unionByName(rows).withColumn("stretch", F.last("_stretch", ignorenulls=True).over(w)).filter("_repeats IS NOT NULL")
     whole = each.groupBy("grid_id", "stretch").agg(F.bool_and("_repeats").alias("_repeats"))
     kind = F.when(F.col("plain"), "plain").when(F.coalesce("_repeats", F.lit(False)), "repeat").otherwise("pattern")
-    return found.join(whole, ["grid_id", "stretch"], "left").withColumn("kind", kind).drop("_repeats")
+    return found.join(unsized(whole), ["grid_id", "stretch"], "left").withColumn("kind", kind).drop("_repeats")
 
 
 def look_ahead(found: DataFrame) -> DataFrame:

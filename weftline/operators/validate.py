@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .intervals import covered
 from .runs import RUN_STRING, rle_encode, rows_to_runs
+from .sizes import unsized
 
 #: A palette code and a colour.
 CODE, HEX = r"\A[A-Za-z]{1,3}\z", r"\A#[0-9A-Fa-f]{6}\z"
@@ -246,14 +247,14 @@ def checks(cells: DataFrame, runs: DataFrame, palette: DataFrame, opted: DataFra
     """
     size = cells.groupBy("grid_id").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
     rows = runs.groupBy("grid_id", "y").agg(F.sum("n").alias("_n"), F.count("*").alias("_r"), F.min("n").alias("_min"), F.count_if(F.col("n") < 1).alias("_none"))
-    whole = rows.join(size, "grid_id").groupBy("grid_id", "_h", "_w").agg(
+    whole = rows.join(unsized(size), "grid_id").groupBy("grid_id", "_h", "_w").agg(
         F.bool_and((F.col("_n") == F.col("_w")) & (F.col("_none") == 0)).alias("_totals"), F.count("*").alias("_rows"), F.bround(F.avg(F.col("_r") - 1), 1).alias("_mean"), F.max(F.col("_r") - 1).alias("_max"), F.min("_min").alias("_min")
     )
     codes = palette.groupBy("grid_id").agg(F.bool_and(F.coalesce(F.col("code").rlike(CODE), F.lit(False))).alias("_well"), (F.count("*") == F.count_distinct("code")).alias("_once"), F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("_codes"))
     used = runs.select("grid_id", "code").distinct()
-    unknown = used.join(palette, ["grid_id", "code"], "left_anti").groupBy("grid_id").agg(F.count("*").alias("_unknown"))
+    unknown = used.join(unsized(palette), ["grid_id", "code"], "left_anti").groupBy("grid_id").agg(F.count("*").alias("_unknown"))
     listed = used.groupBy("grid_id").agg(F.array_join(F.array_sort(F.collect_list("code")), ", ").alias("_used"))
-    at = cells.join(size, "grid_id").join(opted, "grid_id")
+    at = cells.join(unsized(size), "grid_id").join(unsized(opted), "grid_id")
     edge = F.coalesce("solid_edge", F.lit(0))
     outer = (F.col("x") < edge) | (F.col("x") >= F.col("_w") - edge) | (F.col("y") < edge) | (F.col("y") >= F.col("_h") - edge)
     other = F.col("code") != F.coalesce("edge_code", F.lit(""))
@@ -264,8 +265,10 @@ def checks(cells: DataFrame, runs: DataFrame, palette: DataFrame, opted: DataFra
     for name, line, keep, end in (("mirror_lr", "x", "y", "_w"), ("mirror_tb", "y", "x", "_h")):
         near = at.filter(flipped(line, end) < F.coalesce(name, F.lit(0))).groupBy("grid_id", keep, flipped(line, end).alias("_k")).agg(F.count_distinct("code").alias("_c"))
         one = near.groupBy("grid_id").agg(F.count_if(F.col("_c") > 1).alias(f"_{name}"))
-        broken = one if broken is None else broken.join(one, "grid_id", "full")
-    d = whole.join(codes, "grid_id", "left").join(unknown, "grid_id", "left").join(listed, "grid_id", "left").join(opted, "grid_id", "left").join(edges, "grid_id", "left").join(broken, "grid_id", "left")
+        broken = one if broken is None else broken.join(unsized(one), "grid_id", "full")
+    d = whole
+    for other_ in (codes, unknown, listed, opted, edges, broken):
+        d = d.join(unsized(other_), "grid_id", "left")
     no = lambda c: F.coalesce(c, F.lit(0)) == 0
     line = lambda name, ok, detail, asked=F.lit(True): F.when(asked, F.struct(F.lit(name).alias("check"), F.coalesce(ok, F.lit(False)).alias("ok"), detail.alias("detail")))
     text = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else F.col(p).cast("string") for i, p in enumerate(parts)])

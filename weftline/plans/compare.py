@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import intervals, islands, machine, match, project, runs, sequence, shapes, validate
+from ..operators import intervals, islands, machine, match, project, runs, sequence, shapes, sizes, validate
 from ..streaming import append
 from .adapters import CELLS_LINEITEM, PASSES, RUNS, cells_lineitem, table
 from .folds import SEGMENTS
@@ -123,7 +123,7 @@ def matched_palettes(s, d):
 
 def chart_checks(s, d):
     """One report of all checks over all grids, cut to their first cells so that rows have one width."""
-    c = table(s, d, "part").select(F.col("p_partkey").alias("grid_id"), "p_size")
+    c = sizes.dealt(table(s, d, "part").select(F.col("p_partkey").alias("grid_id"), "p_size"), "grid_id")
     g = shapes.drawn(c, 7, 6)
     code = F.when((F.col("y") == 5) & (F.col("p_size") % 3 == 0), "A").when((F.col("x") == 0) | (F.col("x") == 6), "A").when(F.col("p_size") % 4 == 0, F.char(65 + (F.abs(F.col("x") - 3) + F.col("y")) % 3)).otherwise(F.char(65 + (F.col("x") * F.col("p_size") + F.col("y")) % 4))
     cells = g.select("grid_id", "y", "x", code.alias("code")).filter("NOT (grid_id % 10 = 3 AND y = 2 AND x = 6)")
@@ -168,7 +168,7 @@ def stretch_kinds(s, d):
     g, r, i = F.col("grid_id"), F.col("pass_no"), F.col("run_no")
     block = F.floor((r - 1) / 3)
     period = 2 + (g + block) % 3
-    p = table(s, d, "part").select(F.col("p_partkey").alias("grid_id")).withColumn("pass_no", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(10).cast("long"))))
+    p = sizes.dealt(table(s, d, "part").select(F.col("p_partkey").alias("grid_id")), "grid_id").withColumn("pass_no", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(10).cast("long"))))
     many = F.element_at(F.array(*[F.lit(x) for x in (2, 12, 14, 9)]), ((g + block) % 4 + 1).cast("int"))
     p = p.withColumn("run_no", F.explode(F.sequence(F.lit(0).cast("long"), many.cast("long") - 1)))
     extra = F.when(((i + g) % 11 == 0) & (block % 2 == 1), r * 4).otherwise(0)
