@@ -239,7 +239,7 @@ def png_grids(cells: DataFrame, palette: DataFrame) -> DataFrame:
     twice = palette.groupBy("hex").count().filter("count > 1")
     if not twice.isEmpty():
         raise ValueError("two codes have one colour, so the picture could not be read back")
-    told = cells.join(palette.select("code", "hex"), "code")
+    told = cells.join(F.broadcast(palette.select("code", "hex")), "code")  # a palette has at most a few hundred codes
     rows = told.groupBy("grid_id", "y").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", F.regexp_replace("hex", "#", "").alias("h")))), lambda c: c["h"]), "").alias("h"))
     grids = rows.groupBy("grid_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "h"))), lambda r: r["h"]).alias("rows"))
 
@@ -278,12 +278,12 @@ def png_pixels(files: DataFrame) -> DataFrame:
 
 def read_png_grids(files: DataFrame, palette: DataFrame) -> DataFrame:
     """grid_id, y, x, code of what png_grids has drawn; a colour that the palette (code, hex) lacks gives a null code."""
-    return png_pixels(files).join(palette.select("code", F.lower("hex").alias("hex")), "hex", "left").select("grid_id", "y", "x", "code")
+    return png_pixels(files).join(F.broadcast(palette.select("code", F.lower("hex").alias("hex"))), "hex", "left").select("grid_id", "y", "x", "code")
 
 
 def png_refusals(files: DataFrame, palette: DataFrame) -> DataFrame:
     """grid_id, y, x, hex, n of pictures with pixels of no colour of the palette: the first one by rows, and how many there are."""
-    lost = png_pixels(files).join(palette.select(F.lower("hex").alias("hex")), "hex", "left_anti")
+    lost = png_pixels(files).join(F.broadcast(palette.select(F.lower("hex").alias("hex"))), "hex", "left_anti")
     g = lost.groupBy("grid_id").agg(F.min(F.struct("y", "x", "hex")).alias("f"), F.count("*").alias("n"))
     return g.select("grid_id", "f.y", "f.x", "f.hex", "n")
 
