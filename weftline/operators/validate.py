@@ -74,14 +74,15 @@ def row_problems(rows: DataFrame, palette: DataFrame, size: DataFrame, doc: str
     return report(*parts)
 
 
-def pass_problems(given: DataFrame, cells: DataFrame, doc: str = "doc") -> DataFrame:
+def pass_problems(given: DataFrame, cells: DataFrame, doc: str = "doc", parts: int | None = None) -> DataFrame:
     """given: doc, pass_no, grid_row, code, n, x0 of explicit passes; cells: doc, y, x, code. Runs that the cells don't bear out.
 
-    Runs are compared with the rows' own runs by an overlap join, so what is moved grows with runs, not with cells.
+    Runs are compared with the rows' own runs by running sums (over `parts` tasks, if given), so what is moved grows with runs,
+    not with cells.
     """
     own = rle_encode(cells, (doc, "y"))
     asked = given.filter("n > 0").select(doc, "pass_no", F.col("grid_row").alias("y"), "code", "n", "x0", F.monotonically_increasing_id().alias("_run"))
-    lost = covered(asked, own, [doc, "y"]).groupBy(doc, "pass_no").agg(F.sum(F.col("n") - F.col("matched")).alias("n")).filter("n > 0")
+    lost = covered(asked, own, [doc, "y"], parts).groupBy(doc, "pass_no").agg(F.sum(F.col("n") - F.col("matched")).alias("n")).filter("n > 0")
     return report(problem(lost, "pass_cells", doc, F.col("pass_no"), F.concat("n", F.lit(" cell(s) do not match"))), problem(given.filter("n IS NULL OR n < 1"), "pass_count", doc, F.col("pass_no"), F.lit("the count is not positive")))
 
 

@@ -18,13 +18,18 @@ def _two_readings(s, d):
     return a, lost.withColumn("code", F.when((F.col("x0") + 2 * F.col("y")) % 7 == 0, "XX").otherwise(F.col("code")))
 
 
+def _edge_parts(s, d):
+    """Two readings of a line's run have four edges at most."""
+    return sizes.parts(table(s, d, "lineitem"), 4)
+
+
 def run_overlay(s, d):
     """The stretches on which two readings differ."""
-    return intervals.differing_runs(*_two_readings(s, d))
+    return intervals.differing_runs(*_two_readings(s, d), parts=_edge_parts(s, d))
 
 
 def run_cross_check(s, d):
-    return intervals.cross_check_runs(*_two_readings(s, d))
+    return intervals.cross_check_runs(*_two_readings(s, d), parts=_edge_parts(s, d))
 
 
 def _given(s, d):
@@ -37,7 +42,7 @@ def _given(s, d):
 
 def pass_rules(s, d):
     """Runs of given passes that the grids' cells do not bear out."""
-    return validate.pass_problems(_given(s, d), cells_lineitem(s, d).withColumnRenamed("grid_id", "doc"))
+    return validate.pass_problems(_given(s, d), cells_lineitem(s, d).withColumnRenamed("grid_id", "doc"), parts=sizes.parts(table(s, d, "lineitem"), 3))
 
 
 def explicit_pass_rules(s, d):
