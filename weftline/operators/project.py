@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .islands import GAP_SECONDS, within
+from .sizes import spread
 
 
 def written_totals(entries: DataFrame, key: list[str]) -> DataFrame:
@@ -106,19 +107,20 @@ def manifests(charts: DataFrame, stats: DataFrame, yards: DataFrame, palette: Da
     return d.select("pattern", entry.alias("e")).groupBy("pattern").agg(F.count("*").alias("n_charts"), F.array_sort(F.collect_list("e")).alias("charts"))
 
 
-def live_state(cursors: DataFrame, runs: DataFrame) -> DataFrame:
-    """cursors (project, grid_id, row, run) with the run there, and the codes of the runs before and after it in the pass."""
+def live_state(cursors: DataFrame, runs: DataFrame, parts: int | None = None) -> DataFrame:
+    """cursors (project, grid_id, row, run) with the run there, and the codes of the runs before and after it in the pass; joined over `parts` tasks, if given."""
     w = Window.partitionBy("grid_id", "pass_no").orderBy("run_no")
     at = runs.select("grid_id", F.col("pass_no").alias("row"), F.col("run_no").alias("run"), "code", "n", F.lag("code").over(w).alias("previous"), F.lead("code").over(w).alias("next"))
-    return cursors.join(at, ["grid_id", "row", "run"], "left").select("project", "row", "run", "code", "n", "previous", "next")
+    return cursors.join(spread(at, parts, "grid_id", "row", "run"), ["grid_id", "row", "run"], "left").select("project", "row", "run", "code", "n", "previous", "next")
 
 
-def live_activity(cursors: DataFrame, runs: DataFrame, segments: DataFrame) -> DataFrame:
+def live_activity(cursors: DataFrame, runs: DataFrame, segments: DataFrame, parts: int | None = None) -> DataFrame:
     """cursors (project, grid_id, row, run, stitch) with code, n, next, cells_done, percent, at_boundary, last_in_row, finished, repetition, repetitions.
 
     runs: of sequence.passes (with cells_before); segments: of machine.segments. A cursor one beyond a row's last run stands
     between rows: next is then the next row's first run; at the last row's end the work is finished. repetition counts from
-    1 within a band of repetitions. Grids are joined by cursor, row and run; a band is found by the run it begins at.
+    1 within a band of repetitions. Grids are joined by cursor, row and run, over `parts` tasks, if given; a band is found by
+    the run it begins at.
     """
     w = Window.partitionBy("grid_id", "pass_no").orderBy("run_no")
     at = runs.select("grid_id", F.col("pass_no").alias("row"), F.col("run_no").alias("run"), "code", "n", F.lead("code").over(w).alias("_next"), F.col("cells_before").alias("_before"))
@@ -126,7 +128,7 @@ def live_activity(cursors: DataFrame, runs: DataFrame, segments: DataFrame) -> D
     ahead = rows.select("grid_id", (F.col("row") - 1).alias("row"), F.col("_first").alias("_ahead"))
     whole = runs.groupBy("grid_id").agg(F.max("pass_no").alias("_rows"), F.sum("n").alias("_total"))
     bands = segments.filter("kind = 'repeat'").select("grid_id", F.col("pass_no").alias("row"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("period").alias("_p"), F.col("repetitions").alias("_r"))
-    d = cursors.join(rows, ["grid_id", "row"]).join(whole, "grid_id").join(ahead, ["grid_id", "row"], "left").join(at, ["grid_id", "row", "run"], "left")
+    d = cursors.join(rows, ["grid_id", "row"]).join(whole, "grid_id").join(ahead, ["grid_id", "row"], "left").join(spread(at, parts, "grid_id", "row", "run"), ["grid_id", "row", "run"], "left")
     band = d.select("project", "grid_id", "row", "run").join(bands, ["grid_id", "row"]).filter((F.col("run") >= F.col("_s")) & (F.col("run") < F.col("_e")))
     d = d.join(band.select("project", "grid_id", "row", "run", (F.floor((F.col("run") - F.col("_s")) / F.col("_p")) + 1).alias("repetition"), F.col("_r").alias("repetitions")), ["project", "grid_id", "row", "run"], "left")
     end = F.col("run") > F.col("_last")
@@ -177,14 +179,18 @@ def copied_rows(rows: DataFrame, key: list[str], n: str, same_as: str) -> DataFr
     return rows.join(other, [*key, same_as], "left").withColumn("runs", F.coalesce("_runs", "runs")).drop("_runs")
 
 
-def row_number_problems(rows: DataFrame, height: DataFrame, key: list[str], n: str) -> DataFrame:
-    """key, kind (duplicate, missing, beyond), at: numbers of rows against 1 to height (missing ones as ranges' ends)."""
-    d = rows.select(*key, F.col(n).alias("at")).join(height, key)
-    twice = d.groupBy(*key, "at").agg(F.count("*").alias("c")).filter("c > 1").select(*key, F.lit("duplicate").alias("kind"), "at")
-    beyond = d.filter((F.col("at") > F.col("height")) | (F.col("at") < 1)).select(*key, F.lit("beyond").alias("kind"), "at").distinct()
-    want = height.filter("height >= 1").select(*key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("height").cast("long"))).alias("at"))
-    gone = want.join(d.select(*key, "at").distinct(), [*key, "at"], "left_anti").select(*key, F.lit("missing").alias("kind"), "at")
-    return twice.unionByName(beyond).unionByName(gone)
+def row_number_problems(rows: DataFrame, height: DataFrame, key: list[str], n: str, parts: int | None = None) -> DataFrame:
+    """key, kind (duplicate, missing, beyond), at: numbers of rows against 1 to height (missing ones one by one); height: a row for each key.
+
+    Numbers that are told and numbers that should be are counted together, dealt by key over `parts` tasks, if given.
+    """
+    numbers = rows.select(*key, F.col(n).cast("long").alias("at"))
+    d = spread(numbers, parts, *key).join(spread(height, parts, *key), key)
+    told = d.select(*key, "at", F.lit(1).alias("_told"), ((F.col("at") > F.col("height")) | (F.col("at") < 1)).alias("_beyond"))
+    want = height.filter("height >= 1").select(*key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("height").cast("long"))).alias("at"), F.lit(0).alias("_told"), F.lit(False).alias("_beyond"))
+    each = spread(told.unionByName(want), parts, *key).groupBy(*key, "at").agg(F.sum("_told").alias("_n"), F.bool_or("_beyond").alias("_beyond"))
+    kinds = F.array_compact(F.array(F.when(F.col("_n") > 1, "duplicate"), F.when(F.col("_beyond"), "beyond"), F.when(F.col("_n") == 0, "missing")))
+    return each.select(*key, F.explode(kinds).alias("kind"), "at")
 
 
 def reading_scores(truth: DataFrame, read: DataFrame, key: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import units
 from ..operators import match, project, runs, sequence, shapes, sizes, text
+from ..operators.sizes import parts, spread
 from .adapters import CELLS_LINEITEM, INTERVALS, LOG_EVENTS, PASSES, RUNS, SESSIONS, cells_lineitem, intervals_customers, table
 
 
@@ -62,13 +63,14 @@ def manifest_rollup(s, d):
 
 def live_states(s, d):
     c = table(s, d, "customer").select(F.col("c_custkey").alias("project"), F.col("c_custkey").alias("grid_id"), (F.col("c_custkey") % 30 + 1).alias("row"), (F.col("c_custkey") % 6).alias("run"))
-    return project.live_state(c, sequence.passes(runs.rle_encode(cells_lineitem(s, d))))
+    n = parts(table(s, d, "lineitem"))
+    return project.live_state(c, spread(sequence.passes(runs.rle_encode(cells_lineitem(s, d))), n, "grid_id", "pass_no"), n)
 
 
 def row_number_problems(s, d):
     li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").cast("long").alias("n"))
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 6).alias("height"))
-    return project.row_number_problems(li, o, ["key"], "n")
+    return project.row_number_problems(li, o, ["key"], "n", parts(table(s, d, "lineitem")))
 
 
 def unique_slugs(s, d):
