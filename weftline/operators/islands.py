@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import unsized
+from .sizes import spread, unsized
 
 GAP_SECONDS = 1200
 
@@ -69,13 +69,16 @@ def overlap_seconds(found: DataFrame, start, end, key: str = "project") -> DataF
     return found.groupBy(key).agg(F.sum(F.greatest(F.lit(0), inside)).cast("long").alias("seconds"))
 
 
-def stretches(runs: DataFrame, ratio: float = 3.0, plain_runs: int = 3, palette: DataFrame | None = None) -> DataFrame:
+def stretches(runs: DataFrame, ratio: float = 3.0, plain_runs: int = 3, palette: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """grid_id, start, end (passes), n_rows, plain, codes: neighbours of other codes, or of `ratio` times the runs, part; single rows join the stretch before.
 
     codes are by cells, most first; ties by their place in palette (grid_id, code, place), those without one last, then by code.
+    Rows of a grid are dealt over `parts` tasks, if given.
     """
-    # A row keeps its own runs, so that they are read once.
-    rows = runs.groupBy("grid_id", "pass_no").agg(F.array_sort(F.collect_set("code")).alias("codes"), F.count("*").alias("runs"), F.collect_list(F.struct("code", "n")).alias("_own_runs"))
+    # A row keeps the cells of its own codes, so that its runs are read once.
+    per_code = runs.groupBy("grid_id", "pass_no", "code").agg(F.sum("n").alias("n"), F.count("*").alias("_k"))
+    rows = per_code.groupBy("grid_id", "pass_no").agg(F.array_sort(F.collect_list("code")).alias("codes"), F.sum("_k").alias("runs"), F.collect_list(F.struct("code", "n")).alias("_own_codes"))
+    rows = spread(rows, parts, "grid_id")
     w = Window.partitionBy("grid_id").orderBy("pass_no")
     cut = (F.lag("codes").over(w) != F.col("codes")) | (F.greatest("runs", F.lag("runs").over(w)) >= ratio * F.least("runs", F.lag("runs").over(w)))
     d = rows.withColumn("_new", F.when(F.lag("pass_no").over(w).isNull() | cut, 1).otherwise(0)).withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -83,7 +86,7 @@ def stretches(runs: DataFrame, ratio: float = 3.0, plain_runs: int = 3, palette:
     d = d.withColumn("_own", F.when((F.col("_new") == 1) & ((F.col("_i") == 1) | (size >= 2)), 1).otherwise(0))
     d = d.withColumn("stretch", F.sum("_own").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     spans = d.groupBy("grid_id", "stretch").agg(F.min("pass_no").alias("start"), F.max("pass_no").alias("end"), F.count("*").alias("n_rows"), (F.max("runs") <= plain_runs).alias("plain"))
-    colours = d.select("grid_id", "stretch", F.explode("_own_runs").alias("r")).groupBy("grid_id", "stretch", F.col("r.code").alias("code")).agg(F.sum("r.n").alias("cells"))
+    colours = d.select("grid_id", "stretch", F.explode("_own_codes").alias("r")).groupBy("grid_id", "stretch", F.col("r.code").alias("code")).agg(F.sum("r.n").alias("cells"))
     if palette is not None:
         colours = colours.join(unsized(palette.select("grid_id", "code", "place")), ["grid_id", "code"], "left")
     place = F.lit(0) if palette is None else F.coalesce(F.col("place").cast("long"), F.lit((1 << 63) - 1))

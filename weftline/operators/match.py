@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import unsized
+from .sizes import spread, unsized
 
 
 def majority(left: DataFrame, right: DataFrame, on: list[str], cluster: str, code: str, by: list[str]) -> DataFrame:
@@ -41,10 +41,11 @@ def matched_palette(best: DataFrame, report_: DataFrame, key: DataFrame, cluster
     return d.select(*by, code, F.coalesce("hex", "_seen").alias("hex"), status.alias("status"))
 
 
-def cross_check(a: DataFrame, b: DataFrame, by: list[str] = ["grid_id"]) -> DataFrame:  # noqa: B006
-    """by, y, n_differ, first_x of rows where two readings' cells differ (cells that only one has count)."""
+def cross_check(a: DataFrame, b: DataFrame, by: list[str] = ["grid_id"], parts: int | None = None) -> DataFrame:  # noqa: B006
+    """by, y, n_differ, first_x of rows where two readings' cells differ (cells that only one has count); joined over `parts` tasks, if given."""
     key = [*by, "y", "x"]
-    d = a.select(*key, F.col("code").alias("_a")).join(b.select(*key, F.col("code").alias("_b")), key, "full").filter(~F.col("_a").eqNullSafe(F.col("_b")))
+    told = lambda d, name: spread(d.select(*key, F.col("code").alias(name)), parts, *key)
+    d = told(a, "_a").join(told(b, "_b"), key, "full").filter(~F.col("_a").eqNullSafe(F.col("_b")))
     return d.groupBy(*by, "y").agg(F.count("*").alias("n_differ"), F.min("x").alias("first_x"))
 
 
