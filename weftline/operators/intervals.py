@@ -26,13 +26,14 @@ def _blocks(at: Column, level: Column, unit: float) -> Column:
     return F.floor(at / (F.lit(float(unit)) * F.pow(F.lit(float(WIDER)), level)))
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: list[str], left_at: tuple[str, str], right_at: tuple[str, str], unit: float = 1.0) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, key: list[str], left_at: tuple[str, str], right_at: tuple[str, str], unit: float = 1.0, parts: int | None = None) -> DataFrame:
     """Pairs of rows of one key whose intervals meet, all columns of both (names must differ but for the key).
 
     Every interval has a level by its length. A pair is looked for in the blocks of the longer one's level alone, where
     neither has more than two blocks, by an equality join on key, level and block; it comes out of its home block, the one
     where the later start lies, so it comes once. Nothing is paired that does not share a block as wide as the longer of
-    the two. `unit`: the width of the first level, about the length of short intervals.
+    the two. `unit`: the width of the first level, about the length of short intervals; `parts`: over how many tasks blocks are
+    dealt, where pairs are many more than rows.
     """
 
     def listed(df: DataFrame, at: tuple[str, str], own: bool, above: bool, side: str) -> DataFrame:
@@ -43,7 +44,7 @@ def overlapping(left: DataFrame, right: DataFrame, key: list[str], left_at: tupl
             d = d.filter(F.col("_own") < LEVELS - 1)
         d = d.withColumn("_level", F.explode(levels))
         d = d.withColumn("_block", F.explode(F.sequence(_blocks(start, F.col("_level"), unit), _blocks(end, F.col("_level"), unit))))
-        return d.drop("_own").withColumn(f"_s{side}", start)
+        return spread(d.drop("_own").withColumn(f"_s{side}", start), parts, *key, "_level", "_block")
 
     a, b = (left_at, "a"), (right_at, "b")
     on = [*key, "_level", "_block"]

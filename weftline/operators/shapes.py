@@ -146,14 +146,26 @@ def longest_runs(cells: DataFrame, code: str, bridge: int = 0) -> DataFrame:
     return d.groupBy("grid_id", "x", "_i").agg((F.max("y") - F.min("y") + 1).alias("n")).groupBy("grid_id", "x").agg(F.max("n").alias("longest"))
 
 
-def fitting_lines(lines: DataFrame, spans: DataFrame, key: list[str], unit: float = 1.0) -> DataFrame:
+def fitting_lines(lines: DataFrame, spans: DataFrame, key: list[str], unit: float = 1.0, parts: int | None = None) -> DataFrame:
     """key, line, span: lines (a row of line, s, e for each of their segments) that belong to a span (span, lo, hi) of the same key.
 
-    One segment covers half of the span, or lies half inside it. Pairs are found by `intervals.overlapping`.
+    One segment covers half of the span, or lies half inside it. Pairs are found by `intervals.overlapping`. Those of a line
+    and a span of one row each come once and go out as they are found; only those of lines of several segments, or of spans
+    of several rows, are moved to be compared. `parts`: over how many tasks blocks are dealt.
     """
-    met = overlapping(lines.select(*key, "line", "s", "e"), spans.select(*key, "span", "lo", "hi"), key, ("s", "e"), ("lo", "hi"), unit)
     overlap = F.least("e", "hi") - F.greatest("s", "lo")
-    return met.filter((2 * overlap >= F.col("hi") - F.col("lo")) | (2 * overlap >= F.col("e") - F.col("s"))).select(*key, "line", "span").distinct()
+    fits = (2 * overlap >= F.col("hi") - F.col("lo")) | (2 * overlap >= F.col("e") - F.col("s"))
+
+    def found(a: DataFrame, b: DataFrame) -> DataFrame:
+        return overlapping(a, b, key, ("s", "e"), ("lo", "hi"), unit, parts).filter(fits).select(*key, "line", "span")
+
+    def parted(df: DataFrame, name: str, *at: str) -> tuple[DataFrame, DataFrame]:
+        d = df.select(*key, name, *at).withColumn("_rows", F.count("*").over(Window.partitionBy(*key, name)))
+        return d.filter("_rows = 1").drop("_rows"), d.filter("_rows > 1").drop("_rows")
+
+    (line, more_lines), (span, more_spans) = parted(lines, "line", "s", "e"), parted(spans, "span", "lo", "hi")
+    again = found(more_lines, span.unionByName(more_spans)).unionByName(found(line, more_spans))
+    return found(line, span).unionByName(again.distinct())
 
 
 def suppress(boxes: DataFrame, by: str, most: float = 0.5) -> DataFrame:

@@ -73,7 +73,7 @@ def lines_in_spans(s, d):
     lines = o.select(F.col("c_nationkey").alias("key"), F.col("o_orderkey").alias("line"), at.alias("s"), (at + long).alias("e"))
     lo = F.col("c_custkey") * 13 % 9973
     spans = c.select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("span"), lo.alias("lo"), (lo + F.col("c_custkey") % 30 + F.when(F.col("c_custkey") % 40 == 0, 900).otherwise(0)).alias("hi"))
-    return shapes.fitting_lines(lines, spans, ["key"], 16.0)
+    return shapes.fitting_lines(lines, spans, ["key"], 16.0, sizes.parts(table(s, d, "orders"), 8))
 
 
 def overlapping_orders(s, d):
