@@ -13,7 +13,8 @@ _NAMES = {"AF": "Alice Blue", "NO": "Navy", "RF": "Red", "AO": "Amber", "RO": "R
 
 def _orders_runs(s, d):
     """The lines of orders as runs: order, run_no, code, n, with eight ways of writing by the order's number."""
-    li = table(s, d, "lineitem")
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    li = sizes.spread(li, sizes.parts(li), "l_orderkey")
     at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long") - 1
     return li.select(F.col("l_orderkey").alias("row"), at.alias("run_no"), F.col("l_returnflag").alias("code"), (F.col("l_linenumber") * 3 % 17 + 1).cast("long").alias("n"))
 
