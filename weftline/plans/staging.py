@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import color, units
-from ..operators import imports, islands, machine, match, project, prose, runs, sequence, shapes, text, validate
+from ..operators import imports, islands, machine, match, project, prose, runs, sequence, shapes, sizes, text, validate
 from ..sources import charts
 from .adapters import CELLS_LINEITEM, PASSES, RUNS, cells_lineitem, table
 from .folds import SEGMENTS
@@ -107,17 +107,19 @@ def shaping_sentences(s, d):
 
 
 def look_ahead_sentences(s, d):
-    a = islands.look_ahead(islands.stretches(_passes(s, d)))
+    n = sizes.parts(table(s, d, "lineitem"))
+    a = islands.look_ahead(islands.stretches(sizes.spread(_passes(s, d), n, "grid_id", "pass_no"), parts=n))
     return a.select("grid_id", "stretch", text.look_ahead_sentence(F.col("next_start"), F.col("joins"), F.col("leaves"), F.col("simpler")).alias("said"))
 
 
 def live_activities(s, d):
     """What a lock screen shows of customers' cursors."""
-    p = _passes(s, d)
+    n = sizes.parts(table(s, d, "lineitem"))
+    p = sizes.spread(_passes(s, d), n, "grid_id", "pass_no")
     c = table(s, d, "customer").select(F.col("c_custkey").alias("project"), (F.col("c_custkey") % 10 + 1).alias("grid_id"), (F.col("c_custkey") % 85 + 1).alias("row"), (F.col("c_custkey") % 12).alias("run"), F.lit(0).cast("long").alias("stitch"))
     last = p.groupBy("grid_id", F.col("pass_no").alias("row")).agg(F.max("run_no").alias("_l"))
     c = c.join(last, ["grid_id", "row"]).filter("run <= _l + 1").drop("_l")
-    return project.live_activity(c, p, machine.segments(p))
+    return project.live_activity(c, p, machine.segments(p), n)
 
 
 def project_reports(s, d):
