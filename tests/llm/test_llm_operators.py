@@ -621,6 +621,36 @@ def test_all_training_tokens_are_learnt():
         assert tokens == sum(sizes) and not np.array_equal(p, begun)
 
 
+def test_texts_are_cut_many_at_once(monkeypatch):
+    """A shard's texts are put into windows together, in their order; batches are those of one text after another."""
+    calls, learnt, rng = [], [], np.random.default_rng(4)
+    cut = lm.windows
+    monkeypatch.setattr(lm, "windows", lambda *x: calls.append(1) or cut(*x))
+    trainer = lm.Trainer(lm.Attention(np.ones(64) / 64), lm.Attention(np.ones(64) / 64).pack(), 64)
+    monkeypatch.setattr(trainer, "learn", lambda some: learnt.append(some))
+    texts = [rng.integers(0, 64, n).astype(np.uint16) for n in rng.integers(1, 200, 900)]
+    for t in texts:
+        trainer.add(t)
+    trainer.finish()
+    assert len(calls) < 9 and all(len(x[0]) == lm.BATCH for x in learnt[:-1])
+    one = [cut(t.astype(np.int64), np.array([0, len(t)]), 64, 0)[:3] for t in texts]
+    for k in range(3):
+        assert np.array_equal(np.concatenate([x[k] for x in learnt]), np.concatenate([x[k] for x in one]))
+
+
+def test_steps_are_adams():
+    model, rng = lm.Attention(np.ones(64) / 64), np.random.default_rng(5)
+    adam, p = lm.Adam(model, 0.01), {k: x.astype(np.float64) for k, x in model.p.items()}
+    m, v = ({k: 0 * x for k, x in p.items()} for _ in range(2))
+    for t in range(1, 6):
+        g = {k: rng.standard_normal(x.shape).astype(np.float32) for k, x in p.items()}
+        adam.step({k: x.copy() for k, x in g.items()})
+        for k, x in g.items():
+            m[k], v[k] = 0.9 * m[k] + 0.1 * x, 0.99 * v[k] + 0.01 * x.astype(np.float64) ** 2
+            p[k] = p[k] - 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)
+    assert all(np.allclose(model.p[k], p[k], atol=1e-5) for k in p)
+
+
 def test_scores_do_not_depend_on_partitions(docs, monkeypatch):
     monkeypatch.setattr(lm, "SHARD_TOKENS", 20_000)  # several shards
     a, b = ({r.doc_id: r.score for r in lm.score(docs.repartition(n)).collect()} for n in (2, 5))
@@ -663,6 +693,27 @@ def test_scores_odd(odd, none):
 # ---- 6 byte-pair encoding
 
 
+def test_words_are_encoded_together(monkeypatch):
+    """Plain words go to the library many as one text, and have the ids that each has on its own."""
+    enc, asked = bpe.FragmentEncoder(bpe.vocabulary_path()), []
+
+    class Told:
+        model = enc.model
+
+        def encode_batch_fast(self, texts, **k):
+            asked.extend(texts)
+            return self.model.encode_batch_fast(texts, **k)
+
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice([*"abcdeéüßÀØost"], n)) for n in rng.integers(1, 30, 5000)] + ["don't", "a1", "!!", "</w>"]
+    single = [enc.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    monkeypatch.setattr(enc, "model", Told())
+    assert enc.fresh([w.encode() for w in words]) == single
+    assert len(asked) == 5
+    enc.last[:] = False  # a vocabulary without ends of words
+    assert enc.fresh([w.encode() for w in words]) == single
+
+
 def test_encoding_equals_the_library(spark, sf, texts):
     tokenizer = bpe.encoder(bpe.vocabulary_path()).tokenizer
     for r in queries.QUERIES["op6_bpe"](spark, sf).collect():

@@ -27,6 +27,9 @@ from .common import CACHES, SPACE, mix, text_chunks
 SLOTS, MEMO = 1 << 20, 2_000_000
 
 
+#: Words of plain letters that are encoded as one text (this affects speed alone).
+JOINED = 1000
+
 #: Words of Latin letters that are whole in Unicode's composed form.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
@@ -96,7 +99,8 @@ class FragmentEncoder:
         self.tokens = [t for t, _ in sorted(vocab.items(), key=lambda x: x[1])]
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         spec = json.loads(self.tokenizer.to_str())
-        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        self.last = np.array([t.endswith("</w>") for t in self.tokens])
         self.shown = {b: c for c, b in byte_alphabet().items()}
         self.cut = cut_table([*vocab], "</w>", specials).reshape(-1)
         self.forget()
@@ -123,9 +127,21 @@ class FragmentEncoder:
         texts = [f.decode() for f in fragments]
         plain = [*map(_PLAIN, texts)]
         letters = [t.lower().encode().decode("latin-1").translate(self.shown) for t, p in zip(texts, plain, strict=True) if p]
-        quick = iter(self.model.encode_batch_fast(letters, add_special_tokens=False))
+        quick = iter(self.of_letters(letters))
         whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [next(quick if p else whole).ids for p in plain]
+        return [next(quick) if p else next(whole).ids for p in plain]
+
+    def of_letters(self, words: list[str]) -> list[list[int]]:
+        """The ids of words of plain letters, many as one text: each ends with its only token that ends a word."""
+        out, groups = [], [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        for group, e in zip(groups, self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = e.ids
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) == len(group):
+                out += [ids[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+            else:  # a vocabulary that lacks the end of some word
+                out += [x.ids for x in self.model.encode_batch_fast(group, add_special_tokens=False)]
+        return out
 
     def remember(self, fragments: list[bytes]) -> np.ndarray:
         """The numbers under which the ids of new fragments are kept."""

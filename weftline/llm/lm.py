@@ -44,6 +44,8 @@ WIDTH, WINDOW, CONTEXT = 24, 48, 16
 #: Inputs whose embeddings a place adds: its own and those just before.
 BACK = 3
 BATCH = 128
+#: Batches of windows that a shard's texts are cut into at once.
+HELD = 8
 #: Windows scored at once, and those whose attention is computed at once.
 SCORED, PART = 512, 48
 #: Documents of the starting sample, of texts to so many characters; then shards train on all training documents.
@@ -129,7 +131,7 @@ class Attention:
             qkv = (x.reshape(-1, d) @ weights).reshape(n, WINDOW, 3 * d)
             q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
         a = q @ k.transpose(0, 2, 1)
-        if np.einsum("ijk,ijk->ij", q, q).max(initial=0) * np.einsum("ijk,ijk->ij", k, k).max(initial=0) > 400:  # else no product is beyond 20
+        if not (a.max(initial=0) < 20 and a.min(initial=0) > -20):
             a[:, self.mask[first:] == 0] = -np.inf
             a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
@@ -157,17 +159,18 @@ class Attention:
         """Log probabilities of targets t after hidden states h and classes before; with grads, those of the summed loss are put there."""
         p, n = self.p, len(t)
         order = np.argsort(t.astype(np.int16), kind="stable")  # so that a cluster's rows are together
-        h, previous, t = h[order], previous[order], t[order]
+        states = np.ones((n, WIDTH + 1), h.dtype)  # the ones stand before the biases
+        states[:, :-1] = h[order]
+        previous, t = previous[order], t[order]
         group, rows = t // CLUSTER, np.arange(n)
         bounds = np.searchsorted(group, np.arange(len(p["out"]) + 1)).tolist()
         some = [(c, slice(i, j)) for c, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)) if i < j]
-        z = self.before[previous]
-        z += h @ p["pick"]
-        z += p["pick_bias"]
+        pick, out = np.concatenate([p["pick"], p["pick_bias"][None]]), np.concatenate([p["out"], p["bias"][:, None]], 1)
+        z = states @ pick
+        z += self.before[previous]
         y = self.inside[group * len(self.before) + previous]
-        y += p["bias"][group]
         for c, at in some:
-            y[at] += h[at] @ p["out"][c]
+            y[at] += states[at] @ out[c]
         chance, dh = np.empty(n), None
         for x, own in ((z, group), (y, t % CLUSTER)):
             told = x[rows, own].astype(np.float64)
@@ -179,11 +182,12 @@ class Attention:
                 x *= (1 / total)[:, None]
                 x[rows, own] -= 1
         if grads is not None:
-            grads |= {"pick": h.T @ z, "pick_bias": z.sum(0), "out": np.zeros_like(p["out"]), "bias": np.zeros_like(p["bias"])}
+            g_pick, g_out = states.T @ z, np.zeros_like(out)
             part = z @ p["pick"].T
             for c, at in some:
-                grads["out"][c], grads["bias"][c] = h[at].T @ y[at], y[at].sum(0)
+                g_out[c] = states[at].T @ y[at]
                 part[at] += y[at] @ p["out"][c].T
+            grads |= {"pick": g_pick[:-1], "pick_bias": g_pick[-1], "out": g_out[:, :-1], "bias": g_out[:, -1]}
             dh = np.empty_like(part)
             dh[order] = part
         return chance, dh
@@ -203,15 +207,18 @@ class Attention:
         ds *= a
         dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], -1)
         dqkv[..., :d] /= h.dtype.type(math.sqrt(d))
-        dx = (flat(dqkv) @ p["qkv"].T).reshape(dh.shape)
-        dx += dh
-        g |= {"qkv": flat(x).T @ flat(dqkv), "place": dx.sum(0), "embed": np.zeros_like(p["embed"])}
-        order = np.argsort(inputs.reshape(-1).astype(np.int16), kind="stable")
-        own, first = np.unique(inputs.reshape(-1)[order], return_index=True)
+        dx = np.zeros((dh.size // d + 1, d), h.dtype)  # a row of zeros at its end
+        np.matmul(flat(dqkv), p["qkv"].T, out=dx[:-1])
+        dx[:-1] += flat(dh)
+        g |= {"qkv": flat(x).T @ flat(dqkv), "place": dx[:-1].reshape(len(dh), -1).sum(0).reshape(WINDOW, d), "embed": np.zeros_like(p["embed"])}
+        seen = inputs.reshape(-1).astype(np.int16)
+        order = np.argsort(seen, kind="stable")
+        seen, place = seen[order], order % WINDOW
+        first = np.concatenate([[0], np.flatnonzero(seen[1:] != seen[:-1]) + 1])
+        moved = np.empty((len(order), BACK * d), h.dtype)
         for back in range(BACK):  # the place `back` further on sees this input
-            moved = np.zeros_like(dx)
-            moved[:, : WINDOW - back] = dx[:, back:]
-            g["embed"][back][own] = np.add.reduceat(flat(moved)[order], first)
+            moved[:, back * d : (back + 1) * d] = dx[np.where(place + back < WINDOW, order + back, len(order))]
+        g["embed"][:, seen[first]] = np.add.reduceat(moved, first).reshape(-1, BACK, d).transpose(1, 0, 2)
         return g, loss
 
 
@@ -222,10 +229,21 @@ class Adam:
 
     def step(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
+        rate, wide = self.rate / (1 - 0.9**self.t), 1 / math.sqrt(1 - 0.99**self.t)
         for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            self.model.p[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)).astype(np.float32)
+            m, v, y = self.m[k], self.v[k], x * np.float32(0.1)  # y: room for what is computed
+            m *= np.float32(0.9)
+            m += y
+            np.multiply(x, x, out=y)
+            y *= np.float32(0.01)
+            v *= np.float32(0.99)
+            v += y
+            np.sqrt(v, out=y)
+            y *= np.float32(wide)
+            y += np.float32(1e-7)
+            np.divide(m, y, out=y)
+            y *= np.float32(rate)
+            self.model.p[k] -= y
 
 
 def windows(classes: np.ndarray, where: np.ndarray, start: int, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -322,7 +340,9 @@ class Trainer:
     def __init__(self, model: Attention, begun: np.ndarray, start: int):
         model.unpack(begun)
         self.model, self.adam, self.start = model, Adam(model, LOCAL_RATE), start
-        self.held: list[tuple] = []
+        #: Texts that are held, and the windows of those before them that made no whole batch.
+        self.held: list[np.ndarray] = []
+        self.rest = [np.zeros((0, WINDOW), kind) for kind in (np.int64, np.int64, bool)]
         self.n_held, self.tokens = 0, 0
 
     def learn(self, some) -> None:
@@ -330,19 +350,27 @@ class Trainer:
         self.tokens += int(some[2].sum())
 
     def add(self, classes: np.ndarray) -> None:
-        w = windows(classes.astype(np.int64), np.array([0, len(classes)]), self.start, 0)[:3]
-        self.held.append(w)
-        self.n_held += len(w[0])
-        if self.n_held >= BATCH:
-            whole = [np.concatenate(x) for x in zip(*self.held, strict=True)]
-            k = self.n_held // BATCH * BATCH
-            for i in range(0, k, BATCH):
-                self.learn([x[i : i + BATCH] for x in whole])
-            self.held, self.n_held = [tuple(x[k:].copy() for x in whole)], self.n_held - k
+        self.held.append(classes)
+        self.n_held += -(-len(classes) // WINDOW)
+        if self.n_held >= HELD * BATCH:
+            self.learn_held(BATCH)
+
+    def learn_held(self, least: int) -> None:
+        """Learn the windows held, in batches, as long as there are `least` of them."""
+        where = np.cumsum([0, *map(len, self.held)])
+        some = self.rest
+        if self.held:
+            own = windows(np.concatenate(self.held).astype(np.int64), where, self.start, 0)
+            some = [np.concatenate(x) for x in zip(some, own[:3], strict=True)]
+        at, n = 0, len(some[0])
+        while n - at >= least:
+            self.learn([x[at : at + BATCH] for x in some])
+            at = min(n, at + BATCH)
+        self.rest, self.held, self.n_held = [x[at:].copy() for x in some], [], n - at
 
     def finish(self) -> tuple[np.ndarray, int]:
         if self.n_held:
-            self.learn([np.concatenate(x) for x in zip(*self.held, strict=True)])
+            self.learn_held(1)
         return self.model.pack(), self.tokens
 
 
