@@ -54,31 +54,63 @@ def sector(cy: float, cx: float, n: int, start: float = 0.0) -> Column:
     return F.floor(turn / (360.0 / n)).cast("long")
 
 
-def polyline_cells(cells: DataFrame, points: DataFrame, by: list[str], line: str, reach: float) -> DataFrame:
-    """by, line, y, x, d, arc: cells within reach of a polyline, their distance, and how far along it the nearest point lies.
+def _on(c: str, t: str) -> Column:
+    """The y or x of a segment at a share of its length."""
+    return F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * F.col(t)
 
-    cells: by, y, x; points: by, line, i (order), py, px. Segments are cut into parts no longer than a block, and cells and
-    parts meet by blocks that a part's surroundings touch, so no cell is compared with a whole line.
-    """
-    block = float(max(reach, 8.0))
+
+def _cut(points: DataFrame, by: list[str], line: str, block: float) -> DataFrame:
+    """Segments of lines in parts no longer than a block, from _t0 to _t1 of their segment."""
     w = Window.partitionBy(*by, line).orderBy("i")
     seg = points.select(*by, line, "i", F.lag("py").over(w).alias("y0"), F.lag("px").over(w).alias("x0"), F.col("py").alias("y1"), F.col("px").alias("x1"))
     long = F.sqrt(F.pow(F.col("y1") - F.col("y0"), F.lit(2)) + F.pow(F.col("x1") - F.col("x0"), F.lit(2)))
     seg = seg.withColumn("_l", F.coalesce(long, F.lit(0.0))).withColumn("_base", F.sum("_l").over(w) - F.col("_l")).filter("y0 IS NOT NULL")
     parts = F.greatest(F.lit(1), F.ceil(F.col("_l") / block)).cast("int")
-    cut = seg.withColumn("_p", F.explode(F.sequence(F.lit(0), parts - 1))).withColumns({"_t0": F.col("_p") / parts, "_t1": (F.col("_p") + 1) / parts})
-    on = lambda c, t: F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * F.col(t)
-    span = lambda c: F.sequence(F.floor((F.least(on(c, "_t0"), on(c, "_t1")) - reach) / block), F.floor((F.greatest(on(c, "_t0"), on(c, "_t1")) + reach) / block))
-    near = cut.withColumn("_by", F.explode(span("y"))).withColumn("_bx", F.explode(span("x")))
-    d = cells.select(*by, "y", "x", F.floor(F.col("y") / block).alias("_by"), F.floor(F.col("x") / block).alias("_bx")).join(unsized(near), [*by, "_by", "_bx"])
+    return seg.withColumn("_p", F.explode(F.sequence(F.lit(0), parts - 1))).withColumns({"_t0": F.col("_p") / parts, "_t1": (F.col("_p") + 1) / parts})
+
+
+def _placed(d: DataFrame) -> DataFrame:
+    """Pairs of a place and a part of a segment, with _t (where on the segment the nearest point lies) and _d (how far away)."""
     dy, dx = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
     t = F.when(F.col("_l") > 0, ((F.col("y") - F.col("y0")) * dy + (F.col("x") - F.col("x0")) * dx) / (F.col("_l") * F.col("_l"))).otherwise(0.0)
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
-    d = d.withColumn("_t", t).withColumn("_d", F.sqrt(F.pow(F.col("y") - F.col("y0") - F.col("_t") * dy, F.lit(2)) + F.pow(F.col("x") - F.col("x0") - F.col("_t") * dx, F.lit(2))))
+    return d.withColumn("_t", t).withColumn("_d", F.sqrt(F.pow(F.col("y") - F.col("y0") - F.col("_t") * dy, F.lit(2)) + F.pow(F.col("x") - F.col("x0") - F.col("_t") * dx, F.lit(2))))
+
+
+def _nearest(d: DataFrame, by: list[str], line: str, reach: float) -> DataFrame:
+    """by, line, y, x, d, arc of the nearest point of a line (ties: the smaller arc); d: of `_placed`."""
     best = d.filter(F.col("_d") <= reach).groupBy(*by, line, "y", "x").agg(F.min(F.struct("_d", (F.col("_base") + F.col("_t") * F.col("_l")).alias("arc"))).alias("m"))
     return best.select(*by, line, "y", "x", F.col("m._d").alias("d"), "m.arc")
 
 
+def polyline_cells(cells: DataFrame, points: DataFrame, by: list[str], line: str, reach: float) -> DataFrame:
+    """by, line, y, x, d, arc: cells within reach of a polyline, their distance, and how far along it the nearest point lies.
+
+    cells: by, y, x; points: by, line, i (order), py, px. Segments are cut into parts no longer than a block, and cells and
+    parts meet by blocks that a part's surroundings touch, so no cell is compared with a whole line.
+    """
+    block = float(max(reach, 8.0))
+    span = lambda c: F.sequence(F.floor((F.least(_on(c, "_t0"), _on(c, "_t1")) - reach) / block), F.floor((F.greatest(_on(c, "_t0"), _on(c, "_t1")) + reach) / block))
+    near = _cut(points, by, line, block).withColumn("_by", F.explode(span("y"))).withColumn("_bx", F.explode(span("x")))
+    d = cells.select(*by, "y", "x", F.floor(F.col("y") / block).alias("_by"), F.floor(F.col("x") / block).alias("_bx")).join(unsized(near), [*by, "_by", "_bx"])
+    return _nearest(_placed(d), by, line, reach)
+
+
+def traced(points: DataFrame, width: int, height: int, by: list[str], line: str, reach: float) -> DataFrame:
+    """`polyline_cells` of all places of grids of that size: each part's surroundings are drawn where its points are.
+
+    No grid is drawn whole, joined or moved; what is made of points that are dealt by `by` stays with them.
+    """
+    d, wide = _cut(points, by, line, float(max(reach, 8.0))), reach + 1e-6
+    for c, size in (("y", height), ("x", width)):
+        first = F.greatest(F.lit(0), F.ceil(F.least(_on(c, "_t0"), _on(c, "_t1")) - wide)).cast("long")
+        last = F.least(F.lit(size - 1), F.floor(F.greatest(_on(c, "_t0"), _on(c, "_t1")) + wide)).cast("long")
+        d = d.withColumns({"_first": first, "_last": last}).filter("_first <= _last").withColumn(c, F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
+    # A place is told by that part of a segment alone on which its nearest point lies.
+    own = (F.col("_t") >= F.col("_t0")) & ((F.col("_t") < F.col("_t1")) | (F.col("_t1") == 1))
+    return _nearest(_placed(d).filter(own), by, line, reach)
+
+
 def crossings(near: DataFrame, by: list[str], line: str, gap: float) -> DataFrame:
     """by, y, x, under, over, k: cells that two polylines share, by crossings counted along the smaller line (from 1).
 
@@ -93,17 +125,29 @@ def crossings(near: DataFrame, by: list[str], line: str, gap: float) -> DataFram
     return d.select(*by, "y", "x", F.when(odd, F.col("_b")).otherwise(F.col("_a")).alias("under"), F.when(odd, F.col("_a")).otherwise(F.col("_b")).alias("over"), "k")
 
 
-def woven(strands: DataFrame, windows: DataFrame, by: list[str], line: str) -> DataFrame:
-    """strands (by, line, y, x) without the cells that another one, over them in a window, touches but does not cover.
+def woven(strands: DataFrame, windows: DataFrame | Column, by: list[str], line: str) -> DataFrame:
+    """strands (by, line, y, x; each cell once) without the cells that another one, over them in a window, touches but does not cover.
 
-    windows: by, y, x, over (the line that lies over there). The gap beside the upper strand shows which one it is.
+    windows: by, y, x, over (the line that lies over there), or that line as a column over y and x, which moves nothing. The
+    gap beside the upper strand shows which one it is. Cells send their neighbours on and meet them by place, so what is
+    dealt by `by` stays there.
     """
-    strands, windows = unsized(strands), unsized(windows.withColumnRenamed("over", line))
-    upper = strands.join(windows, [*by, line, "y", "x"], "left_semi")
-    halo = dilate(upper, [*by, line]).join(windows, [*by, line, "y", "x"], "left_semi").join(strands, [*by, line, "y", "x"], "left_anti")
-    gone = halo.select(*by, F.col(line).alias("_over"), "y", "x")
-    lost = strands.join(unsized(gone), [*by, "y", "x"]).filter(F.col(line) != F.col("_over")).select(*by, line, "y", "x").distinct()
-    return strands.join(unsized(lost), [*by, line, "y", "x"], "left_anti")
+    key = [*by, line, "y", "x"]
+
+    def told(d: DataFrame) -> DataFrame:
+        if isinstance(windows, Column):
+            return d.withColumn("_over", F.coalesce(windows == F.col(line), F.lit(False)))
+        over = windows.select(*by, F.col("over").alias(line), "y", "x").distinct().withColumn("_over", F.lit(True))
+        return d.join(unsized(over), key, "left").withColumn("_over", F.coalesce("_over", F.lit(False)))
+
+    place = lambda i, j: F.struct((F.col("y") + i).alias("y"), (F.col("x") + j).alias("x"), F.lit(i == j == 0).alias("_own"))
+    near = F.array(*[place(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    d = told(strands.select(*key)).select(*by, line, F.explode(F.when(F.col("_over"), near).otherwise(F.array(place(0, 0)))).alias("p")).select(*by, line, "p.*")
+    d = told(d.groupBy(*key).agg(F.bool_or("_own").alias("_own"))).filter("_own OR _over")
+    w, beside = Window.partitionBy(*by, "y", "x"), F.when(~F.col("_own"), F.col(line))
+    d = d.withColumns({"_lo": F.min(beside).over(w), "_hi": F.max(beside).over(w)})
+    lost = F.coalesce(F.col("_lo") != F.col(line), F.lit(False)) | F.coalesce(F.col("_hi") != F.col(line), F.lit(False))
+    return d.filter(F.col("_own") & ~lost).select(*key)
 
 
 def rect(cells: DataFrame, y0: int, x0: int, y1: int, x1: int, code: str) -> DataFrame:

@@ -206,31 +206,30 @@ def outlines(s, d):
 
 
 def _strands(s, d):
-    """Two strands through a grid for each part: points, and cells near them."""
-    p = sizes.dealt(table(s, d, "part").select(F.col("p_partkey").alias("grid_id"), "p_size"), "grid_id")
+    """Cells near two strands through a grid for each part, some 200 of them."""
+    p = table(s, d, "part").select(F.col("p_partkey").alias("grid_id"))
+    p = sizes.spread(p, sizes.parts(p, 200), "grid_id")
     k = F.col("grid_id")
     a = F.array(*[F.struct(F.lit(i).alias("i"), y.cast("double").alias("py"), x.cast("double").alias("px")) for i, (y, x) in enumerate(((k % 5, F.lit(0)), (9 - k % 4, F.lit(9)), (k % 3, F.lit(18)), (8 + k % 2, F.lit(27))))])
     b = F.array(*[F.struct(F.lit(i).alias("i"), y.cast("double").alias("py"), x.cast("double").alias("px")) for i, (y, x) in enumerate(((4 + k % 3, F.lit(0)), (4 + k % 2, F.lit(14)), (5 - k % 3, F.lit(27))))])
     points = p.select("grid_id", F.explode(F.array(F.struct(F.lit("a").alias("line"), a.alias("p")), F.struct(F.lit("b").alias("line"), b.alias("p")))).alias("s")).select("grid_id", "s.line", F.explode("s.p").alias("p")).select("grid_id", "line", "p.*")
-    cells = shapes.drawn(p, 28, 11).select("grid_id", "y", "x")
-    return points, cells, shapes.polyline_cells(cells, points, ["grid_id"], "line", 1.3)
+    return shapes.traced(points, 28, 11, ["grid_id"], "line", 1.3)
 
 
 def polyline_cells(s, d):
     """Cells near two strands of every grid, with distance and place along them."""
-    return _strands(s, d)[2].select("grid_id", "line", "y", "x", F.round("d", 4).alias("d"), F.round("arc", 3).alias("arc"))
+    return _strands(s, d).select("grid_id", "line", "y", "x", F.round("d", 4).alias("d"), F.round("arc", 3).alias("arc"))
 
 
 def strand_crossings(s, d):
     """Cells that two strands share, by crossings that go over and under in turn."""
-    return shapes.crossings(_strands(s, d)[2], ["grid_id"], "line", 4.0)
+    return shapes.crossings(_strands(s, d), ["grid_id"], "line", 4.0)
 
 
 def woven_strands(s, d):
     """Strands with gaps beside the upper one, which changes by sectors."""
-    points, cells, near = _strands(s, d)
-    windows = cells.withColumn("over", F.when(shapes.sector(5.0, 13.0, 6, 10.0) % 2 == 0, "a").otherwise("b"))
-    return shapes.woven(near.select("grid_id", "line", "y", "x"), windows, ["grid_id"], "line")
+    over = F.when(shapes.sector(5.0, 13.0, 6, 10.0) % 2 == 0, "a").otherwise("b")
+    return shapes.woven(_strands(s, d).select("grid_id", "line", "y", "x"), over, ["grid_id"], "line")
 
 
 def masks(s, d):
